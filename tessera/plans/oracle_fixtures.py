@@ -49,6 +49,11 @@ FROM part""",
 DEPENDS = {"preds": ["bars_d"]}
 
 
+def sql_round_even(expr: str, n: int) -> str:
+    """DuckDB text of ``tessera.functions.numeric.round_half_even`` (same arithmetic)."""
+    return f"(round_even(round(({expr}) * {10 ** (n + 3)}) / 1000, 0) / {10 ** n})"
+
+
 def with_fixtures(body: str, *names: str) -> str:
     """Prefix ``body`` with the named fixture views (and their dependencies) as CTEs."""
     order: list[str] = []

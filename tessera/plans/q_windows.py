@@ -13,6 +13,7 @@ from tessera.operators import indicators as I
 from tessera.operators.series import bfill, ffill, with_index
 from tessera.plans import daily as D
 from tessera.plans.fixtures import Fixtures
+from tessera.plans.oracle_fixtures import sql_round_even as RE
 from tessera.plans.registry import query
 
 
@@ -136,16 +137,16 @@ def win_02(spark, sf_dir):
     return bfill(_rated_bars(_fx(spark, sf_dir)), ["close"]).select("tic", "date", "close", "rating")
 
 
-@query("pipe_06_enrich_bars", SQL_IND + """, vix AS (SELECT date, close AS vix FROM bars_d WHERE tic = '5-LOW'),
+@query("pipe_06_enrich_bars", SQL_IND + f""", vix AS (SELECT date, close AS vix FROM bars_d WHERE tic = '5-LOW'),
 bonds AS (SELECT date, max(CASE WHEN tic = '1-URGENT' THEN close END) AS TLT,
             max(CASE WHEN tic = '2-HIGH' THEN close END) AS IEF, max(CASE WHEN tic = '3-MEDIUM' THEN close END) AS SHY
           FROM bars_d WHERE tic IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY date),
 e AS (SELECT i.*, v.vix, o.TLT, o.IEF, o.SHY FROM ind i LEFT JOIN vix v ON i.date = v.date LEFT JOIN bonds o ON i.date = o.date)
-SELECT tic, date, round_even(round(close, 6), 3) AS close, round_even(round(volume, 6), 3) AS volume, day,
-  round_even(round_even(round(macd, 6), 3), 1) AS macd, round_even(round(kdjk, 6), 3) AS kdjk, round_even(round(kdjd, 6), 3) AS kdjd, round_even(round(kdjj, 6), 3) AS kdjj,
-  round_even(round(rsi, 6), 3) AS rsi, round_even(round(ma50, 6), 3) AS ma50, round_even(round(ma200, 6), 3) AS ma200,
-  round_even(round(last_value(vix IGNORE NULLS) OVER w, 6), 3) AS vix, round_even(round(last_value(TLT IGNORE NULLS) OVER w, 6), 3) AS TLT,
-  round_even(round(last_value(IEF IGNORE NULLS) OVER w, 6), 3) AS IEF, round_even(round(last_value(SHY IGNORE NULLS) OVER w, 6), 3) AS SHY
+SELECT tic, date, {RE("close", 3)} AS close, {RE("volume", 3)} AS volume, day,
+  {RE(RE("macd", 3), 1)} AS macd, {RE("kdjk", 3)} AS kdjk, {RE("kdjd", 3)} AS kdjd, {RE("kdjj", 3)} AS kdjj,
+  {RE("rsi", 3)} AS rsi, {RE("ma50", 3)} AS ma50, {RE("ma200", 3)} AS ma200,
+  {RE("last_value(vix IGNORE NULLS) OVER w", 3)} AS vix, {RE("last_value(TLT IGNORE NULLS) OVER w", 3)} AS TLT,
+  {RE("last_value(IEF IGNORE NULLS) OVER w", 3)} AS IEF, {RE("last_value(SHY IGNORE NULLS) OVER w", 3)} AS SHY
 FROM e WINDOW w AS (PARTITION BY tic ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", ("bars_d",))
 def pipe_06_check(spark, sf_dir):
     """PIPE-06 value check: the enriched bars with MACD compared at one digit (its
