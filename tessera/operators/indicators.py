@@ -78,8 +78,9 @@ class _Plan:
 
     def run(self, df: DataFrame, key, order) -> DataFrame:
         d = df
-        for n, aggs in sorted(self.rolls.items()):
-            d = rolling(d, n, aggs, key=key, order=order)
+        if self.rolls:
+            frames = {name: (n, agg) for n, aggs in self.rolls.items() for name, agg in aggs.items()}
+            d = rolling(d, max(self.rolls), frames, key=key, order=order)
         if self.pre:
             d = d.withColumns(self.pre)
         if self.pass1:

@@ -99,21 +99,25 @@ def bfill(df: DataFrame, cols: Sequence[str], key="tic", order="date", chunk=Non
     return _fill(df, cols, key, order, chunk, forward=False)
 
 
-def rolling(df: DataFrame, n: int, aggs: dict[str, Column], key="tic", order="date",
+def rolling(df: DataFrame, n: int, aggs: dict, key="tic", order="date",
             block: int = 4096) -> DataFrame:
-    """Trailing ``n``-row frame aggregates (partial frames at the start, like pandas
-    ``rolling(n, min_periods=1)``).  ``aggs`` maps output name -> aggregate Column.
+    """Trailing row-frame aggregates (partial frames at the start, like pandas
+    ``rolling(n, min_periods=1)``).  ``aggs`` maps output name -> aggregate Column (frame
+    of ``n`` rows) or -> (rows, Column) for its own frame size.  All frames share one
+    block layout: blocks of at least the largest frame, each row copied once more into
+    the next block as a halo, so one shuffle serves every frame.
     """
     key = _cols(key)
-    b = max(int(block), n)
+    spec = {k: (v if isinstance(v, tuple) else (n, v)) for k, v in aggs.items()}
+    nmax = max(m for m, _ in spec.values())
+    b = max(int(block), nmax)
     have_idx = IDX in df.columns
     d = df if have_idx else with_index(df, key, order)
     j = F.col(IDX)
     d = d.withColumn("_home", F.floor(j / b)).withColumn(
-        "_blk", F.explode(F.sequence(F.col("_home"), F.floor((j + (n - 1)) / b))))
-    w = Window.partitionBy(*key, "_blk").orderBy(IDX).rowsBetween(-(n - 1), 0)
-    for name, agg in aggs.items():
-        d = d.withColumn(name, agg.over(w))
+        "_blk", F.explode(F.sequence(F.col("_home"), F.floor((j + (nmax - 1)) / b))))
+    base = Window.partitionBy(*key, "_blk").orderBy(IDX)
+    d = d.withColumns({name: agg.over(base.rowsBetween(-(m - 1), 0)) for name, (m, agg) in spec.items()})
     d = d.filter(F.col("_blk") == F.col("_home")).drop("_blk", "_home")
     return d if have_idx else d.drop(IDX)
 
