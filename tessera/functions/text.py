@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Whitespace as Python's ``str.split()`` sees it (Unicode White_Space plus the
 # information separators U+001C..U+001F, which Java's \s does not match).  The same
@@ -41,7 +42,7 @@ def strip_tags(c) -> Column:
     return F.regexp_replace(F.regexp_replace(_c(c), HTML_DROP, ""), HTML_TAG, "")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def unescape_entities(s: pd.Series) -> pd.Series:
     """Decode HTML character references (named and numeric), Arrow-batched."""
     return s.map(lambda v: None if v is None else html.unescape(v))
