@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.dates import cyclic_dates
 from tessera.operators.joins import shift
+from tessera.session import materialize
 
 
 def one_hot_month(df: DataFrame, date: str = "date", prefix: str = "Month_") -> DataFrame:
@@ -36,6 +37,7 @@ def standardise(df: DataFrame, cols: Sequence[str], key: str = "tic", fit_mask:
     fitted on rows where ``fit_mask`` is true (all rows when None) and applied to all.
     One aggregate pass, joined back on the key."""
     cols = list(cols)
+    df = materialize(df)
     m = F.col(fit_mask) if fit_mask else F.lit(True)
     stats = df.groupBy(key).agg(*[F.avg(F.when(m, F.col(c))).alias(f"_mu_{i}") for i, c in enumerate(cols)],
                                 *[F.stddev_pop(F.when(m, F.col(c))).alias(f"_sd_{i}") for i, c in enumerate(cols)])
@@ -49,6 +51,7 @@ def standardise(df: DataFrame, cols: Sequence[str], key: str = "tic", fit_mask:
 def minmax(df: DataFrame, cols: Sequence[str], key: str = "tic") -> DataFrame:
     """ML-03 min-max scale to [0, 1] per key; constant columns -> 0."""
     cols = list(cols)
+    df = materialize(df)
     stats = df.groupBy(key).agg(*[F.min(c).alias(f"_lo_{i}") for i, c in enumerate(cols)],
                                 *[F.max(c).alias(f"_hi_{i}") for i, c in enumerate(cols)])
     d = df.join(stats, key, "left")

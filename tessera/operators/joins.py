@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.series import IDX, with_index
+from tessera.session import materialize
 
 # Dimension tables keyed by calendar date (macro, vix, bonds, holidays) have at most one
 # row per day: about 36,500 rows per century, so broadcasting them is always safe.
@@ -54,7 +55,7 @@ def shift(df: DataFrame, cols: Sequence[str], n: int, key="tic", order="date", s
     spread over all tasks instead of one window."""
     keys = [key] if isinstance(key, str) else list(key)
     added = IDX not in df.columns
-    d = with_index(df, keys, order) if added else df
+    d = with_index(df, keys, order) if added else materialize(df)
     sfx = suffix if suffix is not None else (f"_lead{n}" if n > 0 else f"_lag{-n}")
     other = d.select(*keys, (F.col(IDX) - n).alias(IDX), *[F.col(c).alias(c + sfx) for c in cols])
     out = d.join(other, keys + [IDX], "left")

@@ -25,6 +25,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import materialize
+
 IDX = "_j"
 
 
@@ -47,7 +49,7 @@ def with_index(df: DataFrame, key="tic", order="date", chunk: Column | None = No
     """
     key, order = _cols(key), _cols(order)
     ch = chunk if chunk is not None else default_chunk(order[0])
-    d = df.withColumn("_chunk", ch)
+    d = materialize(df).withColumn("_chunk", ch)
     local = d.withColumn("_rn", F.row_number().over(
         Window.partitionBy(*key, "_chunk").orderBy(*order)))
     sizes = local.groupBy(*key, "_chunk").agg(F.count(F.lit(1)).alias("_cnt"))
@@ -65,7 +67,7 @@ def _fill(df: DataFrame, cols: Sequence[str], key, order, chunk, forward: bool)
     if not cols:
         return df
     ch = chunk if chunk is not None else default_chunk(order[0])
-    d = df.withColumn("_chunk", ch)
+    d = materialize(df).withColumn("_chunk", ch)
     wl = Window.partitionBy(*key, "_chunk").orderBy(*order)
     wl = (wl.rowsBetween(Window.unboundedPreceding, 0) if forward
           else wl.rowsBetween(0, Window.unboundedFollowing))
@@ -142,7 +144,7 @@ def linear_recurrences(df: DataFrame, specs: Sequence[tuple[str, Column, float,
     key = _cols(key)
     specs = list(specs)
     have_idx = IDX in df.columns
-    d = df if have_idx else with_index(df, key, order)
+    d = materialize(df) if have_idx else with_index(df, key, order)
     c = min(block_size(a) for _, _, a, _ in specs)
     d = d.withColumn("_q", F.floor(F.col(IDX) / c)).withColumn("_i", (F.col(IDX) % c).cast("double"))
     wq = Window.partitionBy(*key, "_q").orderBy(IDX).rowsBetween(Window.unboundedPreceding, 0)

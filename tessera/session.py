@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session used with this library should have.
 SESSION_CONF = {
@@ -49,3 +49,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+def _plan_weight(df: DataFrame) -> int:
+    """Number of shuffle-producing nodes (joins, windows, aggregates) in the analyzed plan."""
+    p = df._jdf.queryExecution().analyzed().toString()
+    return sum(p.count(k) for k in ("Join ", "Window [", "Aggregate [", "Union "))
+
+
+def materialize(df: DataFrame, min_weight: int = 2) -> DataFrame:
+    """Cut the lineage of ``df`` before it is used twice (rows and per-block summaries).
+
+    Chained ordered-series operators each read their input twice; without a cut the
+    upstream plan would be recomputed 2**k times.  When the plan of ``df`` has at least
+    ``min_weight`` joins / windows / aggregates it is written once with a reliable
+    ``checkpoint()`` to the shared ``spark.checkpoint.dir`` (survives executor loss);
+    plain scans and projections are returned unchanged.  Set the session option
+    ``tessera.materialize=false`` to disable.
+    """
+    spark = df.sparkSession
+    if spark.conf.get("tessera.materialize", "true").lower() == "false":
+        return df
+    if _plan_weight(df) < min_weight:
+        return df
+    checkpoint_dir(spark)
+    return df.checkpoint(eager=True)
