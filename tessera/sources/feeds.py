@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.readers import explode_payload
+from tessera.sources.readers import ddl_fields, explode_payload
 
 _CAL_COMMON = "id string, date string, time string, ticker string, exchange string, name string, importance int, updated bigint"
 
@@ -63,7 +63,7 @@ def load_feed(df: DataFrame, feed: str, json_col: str = "payload", keep=()) -> D
         key, schema = CALENDAR_FEEDS[feed]
         return explode_payload(df, json_col, key, schema, keep)
     if feed in REFERENCE_FEEDS:
-        return df.select(*keep, F.inline_outer(F.from_json(json_col, f"array<struct<{_ddl(REFERENCE_FEEDS[feed])}>>")))
+        return df.select(*keep, F.inline_outer(F.from_json(json_col, f"array<struct<{ddl_fields(REFERENCE_FEEDS[feed])}>>")))
     raise ValueError(f"unknown feed {feed!r}")
 
 
@@ -76,23 +76,3 @@ def load_fundamentals(df: DataFrame, feed: str, json_col: str = "payload") -> Da
     keys = {k: F.get_json_object("record", f"$.{k}") for k in ("symbol", "isin", "cik", "asOf")}
     return d.select(F.lit(feed).alias("feed"), *[v.alias(k) for k, v in keys.items()],
                     F.to_date(keys["asOf"]).alias("as_of"), "record")
-
-
-def _ddl(schema: str) -> str:
-    """'a string, b int' -> 'a: string, b: int' for struct<...> text."""
-    parts, depth, cur = [], 0, ""
-    for ch in schema:
-        depth += ch == "<"
-        depth -= ch == ">"
-        if ch == "," and depth == 0:
-            parts.append(cur)
-            cur = ""
-        else:
-            cur += ch
-    parts.append(cur)
-    out = []
-    for p in parts:
-        p = p.strip()
-        name, typ = p.split(" ", 1)
-        out.append(f"{name}: {typ}")
-    return ", ".join(out)

@@ -86,11 +86,35 @@ def explode_payload(df: DataFrame, json_col: str, key: str, record_schema: str |
                     keep: Sequence[str] = ()) -> DataFrame:
     """SRC-05 a JSON object holding one named array of records -> one row per record.
     A payload without ``key`` yields no rows (and ``payload_missing_key`` counts them)."""
-    st = record_schema if isinstance(record_schema, str) else record_schema.simpleString()
-    arr = F.from_json(F.col(json_col), f"struct<{key}: array<{st}>>")[key]
+    st = ("struct<" + ddl_fields(record_schema) + ">") if isinstance(record_schema, str) \
+        else record_schema.simpleString()
+    arr = F.from_json(F.col(json_col), f"struct<`{key}`: array<{st}>>")[key]
     return df.select(*keep, F.inline_outer(F.coalesce(arr, F.array().cast(f"array<{st}>"))))
 
 
+def ddl_fields(schema: str) -> str:
+    """'a string, b: int, c array<string>' -> 'a: string, b: int, c: array<string>'."""
+    parts, depth, cur = [], 0, ""
+    for ch in schema:
+        depth += ch == "<"
+        depth -= ch == ">"
+        if ch == "," and depth == 0:
+            parts.append(cur)
+            cur = ""
+        else:
+            cur += ch
+    parts.append(cur)
+    out = []
+    for p in parts:
+        p = p.strip()
+        if not p:
+            continue
+        head = p.split("<", 1)[0]
+        name, typ = (x.strip() for x in (p.split(":", 1) if ":" in head else p.split(None, 1)))
+        out.append(f"`{name}`: {typ}")
+    return ", ".join(out)
+
+
 def payload_missing_key(df: DataFrame, json_col: str, key: str) -> DataFrame:
     """SRC-05 message side: number of payloads without the named key."""
     return df.agg(F.sum(F.get_json_object(json_col, f"$.{key}").isNull().cast("long")).alias("missing"))
