@@ -339,7 +339,9 @@ SELECT ticker, date_expiration,
   round(avg(midpoint) FILTER (WHERE put_call = 'CALL'), 6) AS CALL_mid,
   CAST(sum(volume) FILTER (WHERE put_call = 'PUT') AS BIGINT) AS PUT_volume, CAST(sum(open_interest) FILTER (WHERE put_call = 'PUT') AS BIGINT) AS PUT_oi,
   round(avg(midpoint) FILTER (WHERE put_call = 'PUT'), 6) AS PUT_mid,
-  round(CAST(sum(volume) FILTER (WHERE put_call = 'PUT') AS DOUBLE) / CAST(sum(volume) FILTER (WHERE put_call = 'CALL') AS DOUBLE), 6) AS put_call_ratio
+  round(CAST(sum(volume) FILTER (WHERE put_call = 'PUT') AS DOUBLE)
+    / CASE WHEN sum(volume) FILTER (WHERE put_call = 'CALL') = 0 THEN NULL
+      ELSE CAST(sum(volume) FILTER (WHERE put_call = 'CALL') AS DOUBLE) END, 6) AS put_call_ratio
 FROM o GROUP BY ticker, date_expiration""")
 def agg_17(spark, sf_dir):
     t = EV.type_options(_options(_fx(spark, sf_dir)))
