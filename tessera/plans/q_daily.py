@@ -147,3 +147,10 @@ def _stand_in_dims(fx):
              .groupBy("date").pivot("tic", ["1-URGENT", "2-HIGH", "3-MEDIUM"]).agg(F.first("close"))
              .withColumnsRenamed({"1-URGENT": "TLT", "2-HIGH": "IEF", "3-MEDIUM": "SHY"}))
     return vix, bonds
+
+
+@query("prj_07_constant_days", f"WITH {SQL_MACRO_DAILY}, {SQL_MACRO_CLEAN} SELECT * FROM macro2", ("macro_m",))
+def prj_07(spark, sf_dir):
+    """The constant patch month (one row per day, fixed values) appended to the daily
+    macro table; patch rows win on a shared date."""
+    return D.clean_macro(spark, D.macro_daily(_fx(spark, sf_dir).macro_m, FIX_MACRO_NAMES))

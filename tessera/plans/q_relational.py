@@ -525,3 +525,11 @@ def src_04(spark, sf_dir):
     from tessera.sources.readers import load_bars
     return load_bars(_fx(spark, sf_dir).bars_d.drop("day"), ["1-URGENT", "3-MEDIUM", "5-LOW"], "1996-01-01",
                      "1998-01-01")
+
+
+@query("str_f6_named_interval", """
+SELECT tic, date_trunc('day', ts) AS ts, min_by(open, ts) AS open, max(high) AS high, min(low) AS low,
+  max_by(close, ts) AS close, sum(volume) AS volume FROM bars_h GROUP BY tic, date_trunc('day', ts)""", ("bars_h",))
+def str_f6(spark, sf_dir):
+    """Bars at a vendor-style interval name ('1D' -> '1d'); unknown names raise."""
+    return B.resample(_fx(spark, sf_dir).bars_h, "1D", ohlc_in=True)
