@@ -17,19 +17,46 @@ def wide(df: DataFrame, tickers: Sequence[str], key: str = "tic", date: str = "d
     return df.groupBy(date).pivot(key, list(tickers)).agg(F.first(value))
 
 
-def covariance(returns_wide: DataFrame, tickers: Sequence[str]) -> DataFrame:
-    """AGG-08 sample covariance of every ticker pair from the wide returns table, in ONE
-    aggregate pass over dates (pairwise complete rows); no row pairs are generated."""
+def covariance(returns: DataFrame, tickers: Sequence[str], key: str = "tic", date: str = "date",
+               ret: str = "ret") -> DataFrame:
+    """AGG-08 pairwise-complete sample covariance of returns for every ticker pair.
+
+    Returns are centred per ticker (one small aggregate, broadcast: one row per ticker),
+    pivoted to one row per date, and each partition folds its rows into N x N partial sums
+    with numpy (counts, cross sums and the sums of each side where both are present); the
+    partials are summed per (i, j) natively.  No pairs of rows are generated and nothing
+    goes through the driver.  Output (tic_a, tic_b, cov)."""
     t = list(tickers)
-    aggs = [F.covar_samp(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"c{i}_{j}")
-            for i, a in enumerate(t) for j, b in enumerate(t) if j >= i]
-    row = returns_wide.agg(*aggs)
-    items = []
-    for i, a in enumerate(t):
-        for j, b in enumerate(t):
-            src = f"c{min(i, j)}_{max(i, j)}"
-            items.append(F.struct(F.lit(a).alias("tic_a"), F.lit(b).alias("tic_b"), F.col(src).alias("cov")))
-    return row.select(F.inline(F.array(*items)))
+    n = len(t)
+    mu = returns.groupBy(key).agg(F.avg(ret).alias("_mu"))
+    c = returns.join(F.broadcast(mu), key).withColumn("_c", F.col(ret) - F.col("_mu"))
+    w = wide(c, t, key, date, "_c")
+    arr = w.select(F.array(*[F.col(f"`{x}`").cast("double") for x in t]).alias("v"))
+
+    def partials(batches):
+        acc = None
+        for b in batches:
+            x = np.array([np.asarray(v, dtype=float) if v is not None else np.full(n, np.nan) for v in b["v"]])
+            if x.size == 0:
+                continue
+            m = ~np.isnan(x)
+            xz = np.where(m, x, 0.0)
+            mf = m.astype(float)
+            part = (mf.T @ mf, xz.T @ mf, xz.T @ xz)
+            acc = part if acc is None else tuple(a + p for a, p in zip(acc, part))
+        if acc is None:
+            return
+        cnt, s_i, prod = acc
+        ii, jj = np.meshgrid(np.arange(n), np.arange(n), indexing="ij")
+        yield pd.DataFrame({"i": ii.ravel(), "j": jj.ravel(), "n": cnt.ravel(), "si": s_i.ravel(),
+                            "sj": s_i.T.ravel(), "p": prod.ravel()})
+
+    parts = arr.mapInPandas(partials, "i long, j long, n double, si double, sj double, p double")
+    tot = parts.groupBy("i", "j").agg(*[F.sum(x).alias(x) for x in ("n", "si", "sj", "p")])
+    names = F.array(*[F.lit(x) for x in t])
+    cov = F.when(F.col("n") > 1, (F.col("p") - F.col("si") * F.col("sj") / F.col("n")) / (F.col("n") - 1))
+    return tot.select(F.element_at(names, F.col("i").cast("int") + 1).alias("tic_a"),
+                      F.element_at(names, F.col("j").cast("int") + 1).alias("tic_b"), cov.alias("cov"))
 
 
 def turbulence(returns: DataFrame, tickers: Sequence[str], lookback: int = 252, key: str = "tic",

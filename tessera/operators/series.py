@@ -61,33 +61,39 @@ def with_index(df: DataFrame, key="tic", order="date", chunk: Column | None = No
             .drop("_chunk", "_rn", "_off"))
 
 
-def _fill(df: DataFrame, cols: Sequence[str], key, order, chunk, forward: bool) -> DataFrame:
+def fill(df: DataFrame, forward: Sequence[str] = (), backward: Sequence[str] = (), key="tic", order="date",
+         chunk=None) -> DataFrame:
+    """Forward fill ``forward`` columns and backward fill ``backward`` columns in ONE pass:
+    fills inside calendar buckets, carries from the small (key, bucket) summary table,
+    one join back."""
     key, order = _cols(key), _cols(order)
-    cols = list(cols)
-    if not cols:
+    items = [(c, True) for c in forward] + [(c, False) for c in backward]
+    if not items:
         return df
     ch = chunk if chunk is not None else default_chunk(order[0])
     d = materialize(df).withColumn("_chunk", ch)
-    wl = Window.partitionBy(*key, "_chunk").orderBy(*order)
-    wl = (wl.rowsBetween(Window.unboundedPreceding, 0) if forward
-          else wl.rowsBetween(0, Window.unboundedFollowing))
-    pick = F.last if forward else F.first
-    loc = {c: f"_l_{i}" for i, c in enumerate(cols)}
-    for c in cols:
-        d = d.withColumn(loc[c], pick(c, ignorenulls=True).over(wl))
+    base = Window.partitionBy(*key, "_chunk").orderBy(*order)
+    wf = base.rowsBetween(Window.unboundedPreceding, 0)
+    wb = base.rowsBetween(0, Window.unboundedFollowing)
+    d = d.withColumns({f"_l_{i}": (F.last(c, ignorenulls=True).over(wf) if fw else
+                                   F.first(c, ignorenulls=True).over(wb)) for i, (c, fw) in enumerate(items)})
     ordkey = F.struct(*order)
-    by = F.max_by if forward else F.min_by
-    summ = d.groupBy(*key, "_chunk").agg(*[by(loc[c], ordkey).alias(f"_s_{i}")
-                                           for i, c in enumerate(cols)])
+    summ = d.groupBy(*key, "_chunk").agg(*[(F.max_by if fw else F.min_by)(f"_l_{i}", ordkey).alias(f"_s_{i}")
+                                           for i, (c, fw) in enumerate(items)])
     wc = Window.partitionBy(*key).orderBy("_chunk")
-    wc = (wc.rowsBetween(Window.unboundedPreceding, -1) if forward
-          else wc.rowsBetween(1, Window.unboundedFollowing))
-    carry = summ.select(*key, "_chunk", *[pick(f"_s_{i}", ignorenulls=True).over(wc).alias(f"_c_{i}")
-                                          for i in range(len(cols))])
+    wcf = wc.rowsBetween(Window.unboundedPreceding, -1)
+    wcb = wc.rowsBetween(1, Window.unboundedFollowing)
+    carry = summ.select(*key, "_chunk", *[(F.last(f"_s_{i}", ignorenulls=True).over(wcf) if fw else
+                                           F.first(f"_s_{i}", ignorenulls=True).over(wcb)).alias(f"_c_{i}")
+                                          for i, (c, fw) in enumerate(items)])
     out = d.join(carry, on=key + ["_chunk"], how="left")
-    for i, c in enumerate(cols):
-        out = out.withColumn(c, F.coalesce(F.col(loc[c]), F.col(f"_c_{i}")))
-    return out.drop("_chunk", *loc.values(), *[f"_c_{i}" for i in range(len(cols))])
+    out = out.withColumns({c: F.coalesce(F.col(f"_l_{i}"), F.col(f"_c_{i}")) for i, (c, fw) in enumerate(items)})
+    return out.drop("_chunk", *[f"_l_{i}" for i in range(len(items))], *[f"_c_{i}" for i in range(len(items))])
+
+
+def _fill(df: DataFrame, cols: Sequence[str], key, order, chunk, forward: bool) -> DataFrame:
+    cols = list(cols)
+    return fill(df, cols if forward else (), () if forward else cols, key, order, chunk)
 
 
 def ffill(df: DataFrame, cols: Sequence[str], key="tic", order="date", chunk=None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.numeric import round_half_even, round_half_up
 from tessera.operators import clean as C
 from tessera.operators.indicators import add_indicators
-from tessera.operators.series import bfill, ffill
+from tessera.operators.series import ffill, fill
 
 # The macro patch the cleaner appends (every day of April 2023).
 MACRO_PATCH_START = "2023-04-01"
@@ -114,15 +114,14 @@ def merge_daily(bars: DataFrame, macro: DataFrame | None, ratings: DataFrame | N
         u = b.select(key, "date", "_sess_row", *(["close", "volume", "day"] if parity else [])).join(
             r, [key, "date"], "full")
         u = u.withColumn("_sess", F.when(F.col("_sess_row"), F.col("date")))
-        u = ffill(u, ["benz_rate"], key=key, order="date")
+        back = ["close", "volume", "day"] if parity else ["_sess"]
+        u = fill(u, ["benz_rate"], back, key=key, order="date")
         if parity:
-            u = bfill(u, ["close", "volume", "day"], key=key, order="date")
             gk = ["close", "volume", "day"]
             rate = (u.filter(F.col("close").isNotNull()).groupBy(key, *gk)
                     .agg(round_half_even(F.avg("benz_rate"), 3).alias("benz_rate")))
             b = b.join(rate, [key, *gk], "left")
         else:
-            u = bfill(u, ["_sess"], key=key, order="date")
             rate = (u.filter(F.col("_sess").isNotNull()).groupBy(key, F.col("_sess").alias("date"))
                     .agg(round_half_even(F.avg("benz_rate"), 3).alias("benz_rate")))
             b = b.join(rate, [key, "date"], "left")

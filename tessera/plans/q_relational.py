@@ -211,9 +211,9 @@ SQL_RET_X = """rx AS (SELECT tic, date, close / lag(close) OVER (PARTITION BY ti
 SELECT a.tic AS tic_a, b.tic AS tic_b, round(covar_samp(a.ret, b.ret) * 1e6, 6) AS cov
 FROM rx a JOIN rx b ON a.date = b.date GROUP BY a.tic, b.tic""", ("bars_x",))
 def agg_08(spark, sf_dir):
-    from tessera.operators.risk import covariance, wide
+    from tessera.operators.risk import covariance
     r = pct_change(_fx(spark, sf_dir).bars_x, "close", "ret")
-    c = covariance(wide(r, _brands(), "tic", "date", "ret"), _brands())
+    c = covariance(r, _brands())
     return c.select("tic_a", "tic_b", round_half_up(F.col("cov") * 1e6, 6).alias("cov"))
 
 

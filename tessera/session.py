@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,15 +63,17 @@ def materialize(df: DataFrame, min_weight: int = 2) -> DataFrame:
 
     Chained ordered-series operators each read their input twice; without a cut the
     upstream plan would be recomputed 2**k times.  When the plan of ``df`` has at least
-    ``min_weight`` joins / windows / aggregates it is written once with a reliable
-    ``checkpoint()`` to the shared ``spark.checkpoint.dir`` (survives executor loss);
-    plain scans and projections are returned unchanged.  Set the session option
-    ``tessera.materialize=false`` to disable.
+    ``min_weight`` joins / windows / aggregates it is written once as a parquet table in
+    the shared ``spark.checkpoint.dir`` (one job, columnar, survives executor loss; an RDD
+    ``checkpoint()`` would compute the input twice) and read back; plain scans and
+    projections are returned unchanged.  Session option ``tessera.materialize=false``
+    disables it.
     """
     spark = df.sparkSession
     if spark.conf.get("tessera.materialize", "true").lower() == "false":
         return df
     if _plan_weight(df) < min_weight:
         return df
-    checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tessera-mat-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
