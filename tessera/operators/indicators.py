@@ -61,6 +61,7 @@ class _Plan:
         self.pass1: list = []
         self.ewm1: list[str] = []
         self.pass2: list = []
+        self.chains: list = []
         self.post: list[tuple[str, Column]] = []
         self.tmp: set[str] = set()
 
@@ -84,7 +85,8 @@ class _Plan:
         if self.pre:
             d = d.withColumns(self.pre)
         if self.pass1:
-            d = linear_recurrences(d, self.pass1, key=key, order=order)
+            chains = [(out, [sp[0] for sp in self.pass1].index(src), seed) for out, src, seed in self.chains]
+            d = linear_recurrences(d, self.pass1, key=key, order=order, chains=chains)
             for out in self.ewm1:
                 d = ewm_finish(d, out)
         if self.pass2:
@@ -115,7 +117,7 @@ def _plan_kdj(p: _Plan, n=9):
     p.pre["_rsv"] = _rsv(n)
     p.tmp.add("_rsv")
     p.pass1.append(("kdjk", F.col("_rsv") / 3.0, 2.0 / 3.0, 50.0))
-    p.pass2.append(("kdjd", F.col("kdjk") / 3.0, 2.0 / 3.0, 50.0))
+    p.chains.append(("kdjd", "kdjk", 50.0))  # D = 2/3 D' + 1/3 K, same pass
     p.post.append(("kdjj", 3 * F.col("kdjk") - 2 * F.col("kdjd")))
 
 

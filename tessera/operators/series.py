@@ -138,50 +138,79 @@ def block_size(a: float, cap: int = 4096) -> int:
 
 
 def linear_recurrences(df: DataFrame, specs: Sequence[tuple[str, Column, float, float]],
-                       key="tic", order="date") -> DataFrame:
+                       key="tic", order="date", chains: Sequence[tuple[str, int, float]] = ()) -> DataFrame:
     """Several recurrences ``out_t = a * out_{t-1} + b_t`` (``out_{-1} = seed``) per key in
     row order, computed in ONE pass: one block window, one fold, one join.
 
-    ``specs`` = [(out, b, a, seed), ...].  Needs the ``_j`` index (added if missing).
-    Inside a block of C rows ``L_i = a**i * sum_{k<=i} a**-k * b_k``; the carry into a
-    block is the value at the end of the previous block, folded per key over the sorted
-    block summaries.  Exact up to float rounding (no truncation of history).
+    ``specs`` = [(out, b, a, seed), ...].  ``chains`` = [(out, k, seed), ...] adds
+    ``out_t = a * out_{t-1} + (1 - a) * s_t`` driven by spec ``k``'s output ``s`` with the
+    same ``a`` (stochastic D from K) in the same pass.
+
+    Inside a block of C rows ``L_i = a**i * sum_{j<=i} a**-j * b_j``; a chained output
+    adds ``(1-a) * a**i * sum_{j<=i} (i-j+1) a**-j b_j``.  The carry into a block is the
+    state at the end of the previous block, folded per key over the sorted block
+    summaries.  Exact up to float rounding (no truncation of history).
     """
     key = _cols(key)
-    specs = list(specs)
+    specs, chains = list(specs), list(chains)
     have_idx = IDX in df.columns
     d = materialize(df) if have_idx else with_index(df, key, order)
     c = min(block_size(a) for _, _, a, _ in specs)
     d = d.withColumn("_q", F.floor(F.col(IDX) / c)).withColumn("_i", (F.col(IDX) % c).cast("double"))
     wq = Window.partitionBy(*key, "_q").orderBy(IDX).rowsBetween(Window.unboundedPreceding, 0)
+    i = F.col("_i")
+    cols = {}
     for k, (_, b, a, _) in enumerate(specs):
         la = F.lit(float(a))
         bb = F.coalesce(b.cast("double"), F.lit(0.0))
-        d = d.withColumn(f"_L{k}", F.pow(la, F.col("_i")) * F.sum(bb * F.pow(la, -F.col("_i"))).over(wq))
-    ks = range(len(specs))
+        cols[f"_L{k}"] = F.pow(la, i) * F.sum(bb * F.pow(la, -i)).over(wq)
+    for p, (_, k, _) in enumerate(chains):
+        _, b, a, _ = specs[k]
+        la = F.lit(float(a))
+        bb = F.coalesce(b.cast("double"), F.lit(0.0))
+        m = F.pow(la, i) * F.sum(i * bb * F.pow(la, -i)).over(wq)
+        cols[f"_M{p}"] = (1.0 - a) * ((i + 1) * F.col(f"_L{k}") - m)
+    d = d.withColumns({n: e for n, e in cols.items() if n.startswith("_L")})
+    d = d.withColumns({n: e for n, e in cols.items() if n.startswith("_M")})
+    ks, ps = range(len(specs)), range(len(chains))
     summ = d.groupBy(*key, "_q").agg(F.count(F.lit(1)).alias("_n"),
-                                     *[F.max_by(f"_L{k}", IDX).alias(f"_T{k}") for k in ks])
-    cs_type = "array<struct<q:bigint," + ",".join(f"c{k}:double" for k in ks) + ">>"
+                                     *[F.max_by(f"_L{k}", IDX).alias(f"_T{k}") for k in ks],
+                                     *[F.max_by(f"_M{p}", IDX).alias(f"_U{p}") for p in ps])
+    cs_type = ("array<struct<q:bigint," + ",".join([f"c{k}:double" for k in ks] + [f"e{p}:double" for p in ps])
+               + ">>")
     acc0 = F.struct(*[F.lit(float(seed)).alias(f"s{k}") for k, (_, _, _, seed) in enumerate(specs)],
+                    *[F.lit(float(seed)).alias(f"r{p}") for p, (_, _, seed) in enumerate(chains)],
                     F.array().cast(cs_type).alias("cs"))
 
     def step(acc, x):
         n = x["n"].cast("double")
-        return F.struct(*[(F.pow(F.lit(float(specs[k][2])), n) * acc[f"s{k}"] + x[f"t{k}"]).alias(f"s{k}")
-                          for k in ks],
-                        F.concat(acc["cs"], F.array(F.struct(x["q"].alias("q"),
-                                                             *[acc[f"s{k}"].alias(f"c{k}") for k in ks])))
-                        .alias("cs"))
+        an = {k: F.pow(F.lit(float(specs[k][2])), n) for k in ks}
+        new_s = [(an[k] * acc[f"s{k}"] + x[f"t{k}"]).alias(f"s{k}") for k in ks]
+        new_r = []
+        for p, (_, k, _) in enumerate(chains):
+            a = float(specs[k][2])
+            new_r.append((an[k] * acc[f"r{p}"] + (1.0 - a) * n * an[k] * acc[f"s{k}"] + x[f"u{p}"]).alias(f"r{p}"))
+        rec = F.struct(x["q"].alias("q"), *[acc[f"s{k}"].alias(f"c{k}") for k in ks],
+                       *[acc[f"r{p}"].alias(f"e{p}") for p in ps])
+        return F.struct(*new_s, *new_r, F.concat(acc["cs"], F.array(rec)).alias("cs"))
 
     arr = F.array_sort(F.collect_list(F.struct(F.col("_q").cast("long").alias("q"), F.col("_n").alias("n"),
-                                               *[F.col(f"_T{k}").alias(f"t{k}") for k in ks])))
+                                               *[F.col(f"_T{k}").alias(f"t{k}") for k in ks],
+                                               *[F.col(f"_U{p}").alias(f"u{p}") for p in ps])))
     folded = (summ.groupBy(*key).agg(arr.alias("_arr"))
               .select(*key, F.inline(F.aggregate("_arr", acc0, step)["cs"]))
               .withColumnRenamed("q", "_q"))
     d = d.join(folded, on=key + ["_q"], how="left")
+    outs = {}
     for k, (out, _, a, _) in enumerate(specs):
-        d = d.withColumn(out, F.col(f"_L{k}") + F.pow(F.lit(float(a)), F.col("_i") + 1) * F.col(f"c{k}"))
-    d = d.drop("_q", "_i", *[f"_L{k}" for k in ks], *[f"c{k}" for k in ks])
+        outs[out] = F.col(f"_L{k}") + F.pow(F.lit(float(a)), i + 1) * F.col(f"c{k}")
+    for p, (out, k, _) in enumerate(chains):
+        a = float(specs[k][2])
+        ai1 = F.pow(F.lit(a), i + 1)
+        outs[out] = F.col(f"_M{p}") + ai1 * F.col(f"e{p}") + (1.0 - a) * (i + 1) * ai1 * F.col(f"c{k}")
+    d = d.withColumns(outs)
+    d = d.drop("_q", "_i", *[f"_L{k}" for k in ks], *[f"c{k}" for k in ks],
+               *[f"_M{p}" for p in ps], *[f"e{p}" for p in ps])
     return d if have_idx else d.drop(IDX)
 
 

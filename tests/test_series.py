@@ -78,3 +78,18 @@ def test_fused_recurrences_independent(spark):
     for d, x in zip(_days(50), xs):
         s1, s2 = 0.5 * s1 + x, 0.9 * s2 + 1.0
         assert abs(r[d][0] - s1) < 1e-9 and abs(r[d][1] - s2) < 1e-9
+
+
+def test_chained_recurrence_matches_loop(spark):
+    random.seed(7)
+    n = 2000
+    xs = [random.uniform(0, 100) for _ in range(n)]
+    df = spark.createDataFrame([("K", d, x) for d, x in zip(_days(n), xs)], "tic string, date date, x double")
+    a = 2.0 / 3.0
+    out = linear_recurrences(df, [("k", F.col("x") / 3.0, a, 50.0)], chains=[("dd", 0, 50.0)])
+    got = {r.date: (r.k, r.dd) for r in out.collect()}
+    k, dd = 50.0, 50.0
+    for day, x in zip(_days(n), xs):
+        k = a * k + x / 3.0
+        dd = a * dd + k / 3.0
+        assert abs(got[day][0] - k) < 1e-9 and abs(got[day][1] - dd) < 1e-9
