@@ -62,52 +62,58 @@ def covariance(returns: DataFrame, tickers: Sequence[str], key: str = "tic", dat
 def turbulence(returns: DataFrame, tickers: Sequence[str], lookback: int = 252, key: str = "tic",
                date: str = "date", ret: str = "ret") -> DataFrame:
     """WIN-11 turbulence per date: for the i-th date (i >= lookback), with H the
-    ``lookback`` earlier dates of returns (tickers with more gaps in H than the oldest
-    ticker are dropped), d = today's returns - mean(H): ``d . pinv(cov(H)) . d``;
-    non-positive -> 0; the first two positive values are forced to 0; the first
-    ``lookback`` dates are 0.
-
-    Each date's task gets only its own look-back matrix (lookback x N) through an
-    equi-join on a date-position window, so dates run in parallel.
+    ``lookback`` earlier dates of returns (leading rows up to the fewest gaps of any
+    ticker dropped, then every ticker with a gap left dropped), d = today's returns -
+    mean(H): ``d . pinv(cov(H)) . d``; non-positive -> 0; the first two positive values
+    are forced to 0; the first ``lookback`` dates are 0.
+
+    Dates are cut into blocks of ``lookback`` consecutive dates; each block's task also
+    receives the previous block as its look-back halo, so every row is shipped at most
+    twice and each task holds at most 2 x lookback x N returns.
     """
     t = list(tickers)
     if len(t) > MAX_TICKERS:
         raise ValueError(f"turbulence needs N <= {MAX_TICKERS} tickers, got {len(t)}")
+    n = len(t)
+    lb = int(lookback)
     dates = returns.select(date).distinct()
-    # position of each date: dates are one row per calendar day (bounded), one task
+    # position of each date: one row per calendar day (bounded), a single small task
     dpos = dates.withColumn("_p", F.row_number().over(Window.orderBy(date)) - 1)
     w = wide(returns, t, key, date, ret).join(dpos, date)
     arr = w.select("_p", date, F.array(*[F.col(f"`{c}`").cast("double") for c in t]).alias("v"))
-    # each row is needed by the lookback later dates that use it as history
-    hist = arr.select(F.explode(F.sequence(F.col("_p") + 1, F.col("_p") + lookback)).alias("_target"),
-                      F.col("_p").alias("_hp"), F.col("v").alias("hv"))
-    today = arr.filter(F.col("_p") >= lookback).select(F.col("_p").alias("_target"), date, "v")
-    job = today.join(hist, "_target")
-    n = len(t)
+    blk = F.floor(F.col("_p") / lb)
+    rows = arr.withColumn("_b", F.explode(F.array(blk, blk + 1)))
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_hp")
-        h = np.array([np.asarray(x, dtype=float) if x is not None else np.full(n, np.nan) for x in pdf["hv"]])
-        cur = np.asarray(pdf["v"].iloc[0], dtype=float)
-        # drop the leading rows up to the fewest gaps of any ticker, then every ticker
-        # that still has a gap in the window
-        skip = int(np.isnan(h).sum(axis=0).min()) if n else 0
-        ht = h[skip:]
-        keep = ~np.isnan(ht).any(axis=0) if ht.size else np.zeros(n, bool)
-        hk, ck = ht[:, keep], cur[keep]
-        val = 0.0
-        if hk.shape[0] > 1 and hk.shape[1] > 0 and not np.isnan(ck).any():
-            d = ck - hk.mean(axis=0)
-            cov = np.cov(hk, rowvar=False)
-            val = float(d @ np.linalg.pinv(np.atleast_2d(cov)) @ d.T)
-        return pd.DataFrame({"_target": [int(pdf["_target"].iloc[0])], date: [pdf[date].iloc[0]],
-                             "raw": [val]})
-
-    raw = job.groupBy("_target").applyInPandas(score, f"_target long, {date} date, raw double")
+        pdf = pdf.sort_values("_p")
+        b = int(pdf["_b"].iloc[0])
+        pos = pdf["_p"].to_numpy()
+        x = np.array([np.asarray(v, dtype=float) if v is not None else np.full(n, np.nan) for v in pdf["v"]])
+        out_p, out_d, out_v = [], [], []
+        for k in np.nonzero((pos // lb) == b)[0]:
+            p = pos[k]
+            if p < lb:
+                continue
+            h = x[(pos >= p - lb) & (pos < p)]
+            skip = int(np.isnan(h).sum(axis=0).min()) if n else 0
+            ht = h[skip:]
+            keep = ~np.isnan(ht).any(axis=0) if ht.size else np.zeros(n, bool)
+            hk, ck = ht[:, keep], x[k][keep]
+            val = 0.0
+            if hk.shape[0] > 1 and hk.shape[1] > 0 and not np.isnan(ck).any():
+                dv = ck - hk.mean(axis=0)
+                val = float(dv @ np.linalg.pinv(np.atleast_2d(np.cov(hk, rowvar=False))) @ dv.T)
+            out_p.append(int(p))
+            out_d.append(pdf[date].iloc[k])
+            out_v.append(val)
+        return pd.DataFrame({"_target": pd.Series(out_p, dtype="int64"), date: pd.Series(out_d, dtype="object"),
+                             "raw": pd.Series(out_v, dtype="float64")})
+
+    raw = rows.groupBy("_b").applyInPandas(score, f"_target long, {date} date, raw double")
     # warm-up rule over dates (small table: one row per date)
     wd = Window.orderBy("_target").rowsBetween(Window.unboundedPreceding, 0)
     r = raw.withColumn("_pos_cnt", F.sum((F.col("raw") > 0).cast("int")).over(wd))
     r = r.withColumn("turbulence", F.when((F.col("raw") > 0) & (F.col("_pos_cnt") > 2), F.col("raw"))
                      .otherwise(F.lit(0.0)))
-    early = dpos.filter(F.col("_p") < lookback).select(date, F.lit(0.0).alias("turbulence"))
+    early = dpos.filter(F.col("_p") < lb).select(date, F.lit(0.0).alias("turbulence"))
     return r.select(date, "turbulence").unionByName(early)
