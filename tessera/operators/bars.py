@@ -70,11 +70,12 @@ def quote_stats(df: DataFrame, key: str = "tic", date: str = "date") -> DataFram
                     "avg50", "high52", "low52", "volume")
 
 
-def gap_fill(df: DataFrame, grid: DataFrame, keys: DataFrame, key: str = "tic", ts: str = "ts") -> DataFrame:
-    """WIN-12 bars on a full grid: a missing bar takes the previous close for O/H/L/C and
-    volume 0; a missing first bar takes the first valid close; all missing -> 0."""
-    spine = keys.select(key).distinct().crossJoin(F.broadcast(grid.select(ts)))
-    d = spine.join(df, [key, ts], "left").withColumn("_c", F.col("close"))
+def gap_fill(df: DataFrame, keys: DataFrame, start, end, step: str, key: str = "tic", ts: str = "ts") -> DataFrame:
+    """WIN-12 bars on a full grid ``sequence(start, end, step)`` per key (columns of
+    ``keys`` or literals): a missing bar takes the previous close for O/H/L/C and volume
+    0; a missing first bar takes the first valid close; all missing -> 0."""
+    from tessera.operators.joins import spine_join
+    d = spine_join(df, keys, start, end, step, ts).withColumn("_c", F.col("close"))
     d = ffill(d, ["_c"], key=key, order=ts, chunk=F.date_trunc("day", F.col(ts)))
     d = d.withColumn("_f", F.col("close"))
     d = bfill(d, ["_f"], key=key, order=ts, chunk=F.date_trunc("day", F.col(ts)))

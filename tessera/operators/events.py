@@ -9,10 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """AGG-03 keep the first row per ``keys`` in ``order`` (order must be total)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1).drop("_rk")
+def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """AGG-03 keep the first row per ``keys`` in ``order`` (order must be total).
+
+    An aggregate (``min_by`` of the whole row), not a window: partial aggregation combines
+    duplicates map-side, so a very frequent key never lands whole in one task."""
+    keys = list(keys)
+    rest = [c for c in df.columns if c not in keys]
+    g = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*[F.col(o) for o in order])).alias("_r"))
+    return g.select(*keys, "_r.*").select(*df.columns)
 
 
 def join_fragments(df: DataFrame, key: str | Sequence[str], order: str, text: str, sep: str = " ",

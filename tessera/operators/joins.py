@@ -36,17 +36,25 @@ def unrated(df: DataFrame, done: DataFrame, on: Sequence[str] | str = "doc_id")
     return df.join(done.select(*on), on, "left_anti")
 
 
-def spine_join(df: DataFrame, keys: DataFrame, grid: DataFrame) -> DataFrame:
-    """JOIN-09 full grid (every key x every grid point) LEFT JOIN observations.
-    ``grid`` is a calendar (bounded), broadcast to the key side."""
-    spine = keys.crossJoin(F.broadcast(grid))
-    on = [c for c in spine.columns if c in df.columns]
-    return spine.join(df, on, "left")
-
-
-def cross_params(df: DataFrame, grid: DataFrame) -> DataFrame:
-    """JOIN-10 every row x every hyper-parameter set; the grid is a small literal table."""
-    return df.crossJoin(F.broadcast(grid))
+def spine_join(df: DataFrame, keys: DataFrame, start, end, step: str, col: str) -> DataFrame:
+    """JOIN-09 full grid LEFT JOIN observations: every key gets every point of the grid
+    ``sequence(start, end, step)`` (``start``/``end`` are columns of ``keys``, so a key
+    may carry its own span, or literals), generated per key with ``explode``, then an
+    equi-join on (key, grid point)."""
+    k = [c for c in keys.columns if c not in ("_lo", "_hi")]
+    lo = start if not isinstance(start, str) or start in keys.columns else F.lit(start)
+    hi = end if not isinstance(end, str) or end in keys.columns else F.lit(end)
+    spine = keys.select(*k, F.explode(F.sequence(F.col(lo) if isinstance(lo, str) else lo,
+                                                 F.col(hi) if isinstance(hi, str) else hi,
+                                                 F.expr(f"INTERVAL {step}"))).alias(col))
+    return spine.join(df, k + [col], "left")
+
+
+def cross_params(df: DataFrame, grid: Sequence[dict]) -> DataFrame:
+    """JOIN-10 every row x every hyper-parameter set: the literal parameter sets are
+    exploded onto each row (no join); output columns are the parameter names."""
+    sets = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in g.items()]) for g in grid])
+    return df.withColumn("_ps", F.explode(sets)).select(*df.columns, "_ps.*")
 
 
 def shift(df: DataFrame, cols: Sequence[str], n: int, key="tic", order="date", suffix: str | None = None) -> DataFrame:

@@ -59,10 +59,8 @@ def grid_search(df: DataFrame, lams: Sequence[float], fit: Callable = ridge_fit)
     """ML-07 / JOIN-10 every ticker x every parameter set fitted in parallel; the best set
     per ticker by validation MAE (``min_by``)."""
     from tessera.operators.joins import cross_params
-    spark = df.sparkSession
-    grid = spark.createDataFrame([(float(x),) for x in lams], "lam double")
     d = df.filter(F.col("target").isNotNull() & F.col("split").isin("train", "val"))
-    d = cross_params(d.select("tic", "features", "target", "split"), grid)
+    d = cross_params(d.select("tic", "features", "target", "split"), [{"lam": float(x)} for x in lams])
     allfits = d.groupBy("tic", "lam").applyInPandas(_fit_group("lam", fit), COEF_SCHEMA)
     best = allfits.groupBy("tic").agg(F.min_by(F.struct(*[c for c in allfits.columns if c != "tic"]),
                                                F.struct("val_mae", "lam")).alias("b"))

@@ -129,9 +129,12 @@ def page(df: DataFrame, order: Sequence[str], size: int, number: int = 0, last_i
 
 
 def tail_per_key(df: DataFrame, n: int, key: str = "tic", order: str = "date") -> DataFrame:
-    """SRT-03 last ``n`` rows per key."""
-    w = Window.partitionBy(key).orderBy(F.col(order).desc())
-    return df.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= n).drop("_rk")
+    """SRT-03 last ``n`` rows per key: block-split row positions and a per-key count, so
+    a long key is not sorted in one task."""
+    from tessera.operators.series import IDX, with_index
+    d = with_index(df, key, order)
+    cnt = d.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return d.join(cnt, key).filter(F.col(IDX) >= F.col("_n") - n).drop(IDX, "_n")
 
 
 def percentiles(df: DataFrame, metrics: Sequence[str], peer: str) -> DataFrame:

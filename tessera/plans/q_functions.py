@@ -195,10 +195,10 @@ SELECT tic, date, round(abs(prediction - observed), 4) AS abs_err, coalesce(isna
   round((observed - min(observed) OVER (PARTITION BY tic)) / (max(observed) OVER (PARTITION BY tic) - min(observed) OVER (PARTITION BY tic)), 6) AS scaled
 FROM preds""", ("preds",))
 def mth_f2(spark, sf_dir):
-    from pyspark.sql import Window
     p = _fx(spark, sf_dir).preds
-    w = Window.partitionBy("tic")
-    lo, hi = F.min("observed").over(w), F.max("observed").over(w)
+    ext = p.groupBy("tic").agg(F.min("observed").alias("_lo"), F.max("observed").alias("_hi"))
+    p = p.join(ext, "tic")
+    lo, hi = F.col("_lo"), F.col("_hi")
     return p.select("tic", "date", round_half_up(F.abs(F.col("prediction") - F.col("observed")), 4).alias("abs_err"),
                     F.isnan("prediction").alias("is_nan"),
                     (F.abs(F.col("prediction")) == F.lit(float("inf"))).alias("is_inf"),

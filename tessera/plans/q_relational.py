@@ -113,9 +113,9 @@ CROSS JOIN (SELECT unnest(generate_series((SELECT min(ts) FROM bars_h), (SELECT
 LEFT JOIN bars_h h ON h.tic = k.tic AND h.ts = g.ts""", ("bars_h",))
 def join_09(spark, sf_dir):
     h = _fx(spark, sf_dir).bars_h
-    grid = h.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).select(
-        F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("ts"))
-    return J.spine_join(h.select("tic", "ts", "close"), h.select("tic").distinct(), grid)
+    keys = h.groupBy("tic").agg(F.lit(1).alias("_one")).join(
+        F.broadcast(h.agg(F.min("ts").alias("_lo"), F.max("ts").alias("_hi"), F.lit(1).alias("_one"))), "_one")
+    return J.spine_join(h.select("tic", "ts", "close"), keys.drop("_one"), "_lo", "_hi", "1 HOUR", "ts")
 
 
 @query("join_10_cross_params", """
@@ -123,7 +123,8 @@ SELECT t.tic, g.layers, g.lr FROM (SELECT DISTINCT tic FROM bars_d) t
 CROSS JOIN (VALUES (2, 0.01::DOUBLE), (4, 0.01::DOUBLE), (6, 0.01::DOUBLE), (6, 0.001::DOUBLE)) g(layers, lr)""", ("bars_d",))
 def join_10(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    grid = spark.createDataFrame([(2, 0.01), (4, 0.01), (6, 0.01), (6, 0.001)], "layers int, lr double")
+    grid = [{"layers": 2, "lr": 0.01}, {"layers": 4, "lr": 0.01}, {"layers": 6, "lr": 0.01},
+            {"layers": 6, "lr": 0.001}]
     return J.cross_params(fx.bars_d.select("tic").distinct(), grid)
 
 
@@ -154,9 +155,9 @@ def agg_02(spark, sf_dir):
     fx = _fx(spark, sf_dir)
     n = fx.news.select("doc_id", "tic", F.col("created").alias("date"), parse_rating("benz_rate").alias("rating"))
     r = A.session_roll(n, fx.bars_d.select("tic", "date"))
-    m = F.avg("rating").over(Window.partitionBy("tic", "session"))
-    return r.select("doc_id", "tic", "session", "rating",
-                    F.when(F.col("session").isNotNull(), round_half_up(m, 6)).alias("session_mean"))
+    m = r.filter(F.col("session").isNotNull()).groupBy("tic", "session").agg(F.avg("rating").alias("_m"))
+    return r.join(m, ["tic", "session"], "left").select(
+        "doc_id", "tic", "session", "rating", round_half_up("_m", 6).alias("session_mean"))
 
 
 @query("agg_03_dedupe_keep_first", """
@@ -392,9 +393,9 @@ SELECT tic, ts, coalesce(open, fill) AS open, coalesce(high, fill) AS high, coal
   coalesce(close, fill) AS close, coalesce(volume, 0.0) AS volume FROM f""", ("bars_h",))
 def win_12(spark, sf_dir):
     h = _fx(spark, sf_dir).bars_h
-    grid = h.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).select(
-        F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("ts"))
-    return B.gap_fill(h, grid, h.select("tic"))
+    keys = h.groupBy("tic").agg(F.lit(1).alias("_one")).join(
+        F.broadcast(h.agg(F.min("ts").alias("_lo"), F.max("ts").alias("_hi"), F.lit(1).alias("_one"))), "_one")
+    return B.gap_fill(h, keys.drop("_one"), "_lo", "_hi", "1 HOUR")
 
 
 # ---- sort, limit, set ----------------------------------------------------------------------

@@ -40,12 +40,12 @@ def latest_snapshot(ticks: DataFrame, minutes: int = 100, ma: int = 20) -> DataF
     a moving average, and the latest row per ticker."""
     bars = (ticks.groupBy("tic", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("ts"))
             .agg(F.max_by("close", F.struct("ts", "event_id")).alias("close")))
-    hi = bars.agg(F.max("ts").alias("hi"))
-    grid = hi.select(F.explode(F.sequence(F.col("hi") - F.make_dt_interval(mins=F.lit(minutes - 1)), F.col("hi"),
-                                          F.expr("INTERVAL 1 MINUTE"))).alias("ts"))
+    bounds = bars.agg(F.max("ts").alias("_hi"), F.lit(1).alias("_one")).withColumn(
+        "_lo", F.col("_hi") - F.make_dt_interval(mins=F.lit(minutes - 1)))
+    keys = bars.groupBy("tic").agg(F.lit(1).alias("_one")).join(F.broadcast(bounds), "_one").drop("_one")
     b = bars.withColumns({"open": F.col("close"), "high": F.col("close"), "low": F.col("close"),
                           "volume": F.lit(0.0)})
-    g = B.gap_fill(b, grid, bars.select("tic"))
+    g = B.gap_fill(b, keys, "_lo", "_hi", "1 MINUTE")
     s = sma(g.select("tic", "ts", "close"), "close", ma, f"ma{ma}", order="ts")
     last = s.groupBy("tic").agg(F.max_by(F.struct("ts", "close", f"ma{ma}"), "ts").alias("r"))
     return last.select("tic", "r.*")
