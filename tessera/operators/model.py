@@ -46,22 +46,94 @@ def _fit_group(lam_col: str | None, fit: Callable = ridge_fit):
     return run
 
 
-def fit_per_ticker(df: DataFrame, lam: float = 1.0, fit: Callable = ridge_fit) -> DataFrame:
-    """ML-06 one model per ticker from labelled rows (tic, features, target, split):
-    trained on ``train``, validated on ``val``.  Returns the coefficients table.  Each
-    group is one ticker's labelled history (a few thousand rows of daily features)."""
+def fit_grouped(df: DataFrame, lam: float = 1.0, fit: Callable = ridge_fit) -> DataFrame:
+    """ML-06 with an arbitrary regressor ``fit(x, y, lam) -> (intercept, coef)``: one
+    ``applyInPandas`` group per ticker (its labelled history)."""
     d = df.filter(F.col("target").isNotNull() & F.col("split").isin("train", "val"))
     d = d.select("tic", "features", "target", "split", F.lit(float(lam)).alias("lam"))
     return d.groupBy("tic", "lam").applyInPandas(_fit_group("lam", fit), COEF_SCHEMA)
 
 
-def grid_search(df: DataFrame, lams: Sequence[float], fit: Callable = ridge_fit) -> DataFrame:
+_STATS_SCHEMA = "tic string, lam double, s string, i int, j int, v double"
+
+
+def _train_stats(d: DataFrame) -> DataFrame:
+    """Per (tic, lam) sufficient statistics of the train rows, long form (s, i, j, v):
+    xtx, xty, sx, sy, n.  Each partition folds its rows with numpy; the partials are
+    summed natively, so no key's rows are ever gathered in one place."""
+    def part(batches):
+        acc: dict = {}
+        for b in batches:
+            for (tic, lam), g in b.groupby(["tic", "lam"], sort=False):
+                x = np.vstack(g["features"].to_numpy())
+                y = g["target"].to_numpy(dtype=float)
+                st = (x.T @ x, x.T @ y, x.sum(axis=0), y.sum(), float(len(y)))
+                a = acc.get((tic, lam))
+                acc[(tic, lam)] = st if a is None else tuple(p + q for p, q in zip(a, st))
+        rows = []
+        for (tic, lam), (xtx, xty, sx, sy, n) in acc.items():
+            k = len(sx)
+            rows += [(tic, lam, "xtx", i, j, float(xtx[i, j])) for i in range(k) for j in range(k)]
+            rows += [(tic, lam, "xty", i, 0, float(xty[i])) for i in range(k)]
+            rows += [(tic, lam, "sx", i, 0, float(sx[i])) for i in range(k)]
+            rows += [(tic, lam, "sy", 0, 0, float(sy)), (tic, lam, "n", 0, 0, n)]
+        if rows:
+            yield pd.DataFrame(rows, columns=["tic", "lam", "s", "i", "j", "v"])
+
+    t = d.filter(F.col("split") == "train").select("tic", "lam", "features", "target")
+    return t.mapInPandas(part, _STATS_SCHEMA).groupBy("tic", "lam", "s", "i", "j").agg(F.sum("v").alias("v"))
+
+
+def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Ridge with an unpenalised intercept from the sufficient statistics of one key
+    (a (k+1)^2-row group)."""
+    lam = float(pdf["lam"].iloc[0])
+    k = int(pdf.loc[pdf["s"] == "sx", "i"].max()) + 1
+    xtx = np.zeros((k, k))
+    xty, sx = np.zeros(k), np.zeros(k)
+    for s_, i, j, v in pdf[["s", "i", "j", "v"]].itertuples(index=False):
+        if s_ == "xtx":
+            xtx[i, j] = v
+        elif s_ == "xty":
+            xty[i] = v
+        elif s_ == "sx":
+            sx[i] = v
+    n = float(pdf.loc[pdf["s"] == "n", "v"].iloc[0])
+    sy = float(pdf.loc[pdf["s"] == "sy", "v"].iloc[0])
+    xm, ym = sx / n, sy / n
+    a = xtx - n * np.outer(xm, xm) + lam * np.eye(k)
+    w = np.linalg.lstsq(a, xty - n * xm * ym, rcond=None)[0]
+    return pd.DataFrame({"tic": [pdf["tic"].iloc[0]], "lam": [lam], "intercept": [float(ym - xm @ w)],
+                         "coef": [w.tolist()], "n_train": [int(n)]})
+
+
+def _fit_ridge(d: DataFrame) -> DataFrame:
+    coefs = _train_stats(d).groupBy("tic", "lam").applyInPandas(
+        _solve, "tic string, lam double, intercept double, coef array<double>, n_train long")
+    val = d.filter(F.col("split") == "val").join(coefs, ["tic", "lam"])
+    dot = F.aggregate(F.zip_with("features", "coef", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+    mae = (val.withColumn("_e", F.abs(dot + F.col("intercept") - F.col("target")))
+           .groupBy("tic", "lam").agg(F.avg("_e").alias("val_mae")))
+    return coefs.join(mae, ["tic", "lam"], "left").select("tic", "lam", "intercept", "coef", "val_mae", "n_train")
+
+
+def fit_per_ticker(df: DataFrame, lam: float = 1.0) -> DataFrame:
+    """ML-06 one ridge model per ticker from labelled rows (tic, features, target, split):
+    trained on ``train`` from sufficient statistics, validation MAE on ``val`` scored
+    natively.  Returns the coefficients table (tic, lam, intercept, coef, val_mae,
+    n_train).  Use ``fit_grouped`` for another regressor."""
+    d = df.filter(F.col("target").isNotNull() & F.col("split").isin("train", "val"))
+    d = d.select("tic", "features", "target", "split", F.lit(float(lam)).alias("lam"))
+    return _fit_ridge(d)
+
+
+def grid_search(df: DataFrame, lams: Sequence[float]) -> DataFrame:
     """ML-07 / JOIN-10 every ticker x every parameter set fitted in parallel; the best set
     per ticker by validation MAE (``min_by``)."""
     from tessera.operators.joins import cross_params
     d = df.filter(F.col("target").isNotNull() & F.col("split").isin("train", "val"))
     d = cross_params(d.select("tic", "features", "target", "split"), [{"lam": float(x)} for x in lams])
-    allfits = d.groupBy("tic", "lam").applyInPandas(_fit_group("lam", fit), COEF_SCHEMA)
+    allfits = _fit_ridge(d)
     best = allfits.groupBy("tic").agg(F.min_by(F.struct(*[c for c in allfits.columns if c != "tic"]),
                                                F.struct("val_mae", "lam")).alias("b"))
     return best.select("tic", "b.*")

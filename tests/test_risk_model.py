@@ -76,3 +76,20 @@ def test_model_dataflow(spark):
     assert {e.split for e in ev} == {"train", "val", "test"} and all(e.mae >= 0 for e in ev)
     r = q["ml_14_rate_text"](spark, sf).collect()
     assert all(x.rating is None or 1 <= x.rating <= 10 for x in r)
+
+
+def test_ridge_from_sufficient_stats_matches_grouped(spark):
+    from tessera.operators import model as M
+    random.seed(5)
+    rows = []
+    for t in ("A", "B"):
+        for i in range(300):
+            x = [random.gauss(0, 1), random.gauss(5, 2), 1000.0 + random.gauss(0, 10)]
+            y = 2 * x[0] - x[1] + 0.01 * x[2] + random.gauss(0, 0.1)
+            rows.append((t, x, y, "train" if i < 200 else "val"))
+    df = spark.createDataFrame(rows, "tic string, features array<double>, target double, split string")
+    a = {r.tic: r for r in M.fit_per_ticker(df, 0.5).collect()}
+    b = {r.tic: r for r in M.fit_grouped(df, 0.5).collect()}
+    for t in ("A", "B"):
+        assert np.allclose(a[t].coef, b[t].coef, rtol=1e-6, atol=1e-8)
+        assert abs(a[t].intercept - b[t].intercept) < 1e-6 and abs(a[t].val_mae - b[t].val_mae) < 1e-8
