@@ -104,42 +104,38 @@ def merge_daily(bars: DataFrame, macro: DataFrame | None, ratings: DataFrame | N
     Semantics (per ticker): bars left-join macro on date; news ratings are forward filled
     over calendar days, then each session's rating is the mean of its own and the closed
     days rolled into it (half-even 3); earnings and every other column are carried forward
-    as-of the session (column-wise); only session dates are kept.  ``parity=True`` groups
-    ratings by the literal (close, volume, day) key instead of the session.
+    as-of the session (column-wise, an earnings row sorts before a session on the same
+    date); only session dates are kept.  ``parity=True`` groups ratings by the literal
+    (close, volume, day) key instead of the session.
+
+    Plan: bars (+ broadcast macro) FULL JOIN daily ratings, UNION earnings rows, ONE fused
+    fill pass (forward: rating, macro, earnings; backward: the session date), one
+    aggregate for the session rating, one join back.
     """
     bar_cols = [c for c in bars.columns if c not in (key, "date")]
-    b = bars.withColumn("_sess_row", F.lit(True))
-    if ratings is not None:
-        r = ratings.select(key, "date", "benz_rate")
-        u = b.select(key, "date", "_sess_row", *(["close", "volume", "day"] if parity else [])).join(
-            r, [key, "date"], "full")
-        u = u.withColumn("_sess", F.when(F.col("_sess_row"), F.col("date")))
-        back = ["close", "volume", "day"] if parity else ["_sess"]
-        u = fill(u, ["benz_rate"], back, key=key, order="date")
-        if parity:
-            gk = ["close", "volume", "day"]
-            rate = (u.filter(F.col("close").isNotNull()).groupBy(key, *gk)
-                    .agg(round_half_even(F.avg("benz_rate"), 3).alias("benz_rate")))
-            b = b.join(rate, [key, *gk], "left")
-        else:
-            rate = (u.filter(F.col("_sess").isNotNull()).groupBy(key, F.col("_sess").alias("date"))
-                    .agg(round_half_even(F.avg("benz_rate"), 3).alias("benz_rate")))
-            b = b.join(rate, [key, "date"], "left")
-    else:
-        b = b.withColumn("benz_rate", F.lit(None).cast("double"))
+    b = bars.withColumn("_sess0", F.col("date"))
     macro_cols: list[str] = []
     if macro is not None:
         macro_cols = [c for c in macro.columns if c != "date"]
         # the daily macro table has one row per calendar day: bounded by the date range
         b = b.join(F.broadcast(macro), "date", "left")
-    s = b.withColumn("_tag", F.lit(1))
+    if ratings is not None:
+        u = b.join(ratings.select(key, "date", F.col("benz_rate").alias("_rf")), [key, "date"], "full")
+    else:
+        u = b.withColumn("_rf", F.lit(None).cast("double"))
+    u = u.withColumn("_tag", F.lit(1))
     earn_cols: list[str] = []
     if earnings is not None:
         earn_cols = [c for c in earnings.columns if c not in (key, "date")]
-        s = s.unionByName(earnings.withColumn("_tag", F.lit(0)), allowMissingColumns=True)
-    fill_cols = bar_cols + macro_cols + ["benz_rate"] + earn_cols
-    s = ffill(s, fill_cols, key=key, order=["date", "_tag"])
-    s = s.filter(F.col("_tag") == 1)
+        u = u.unionByName(earnings.withColumn("_tag", F.lit(0)), allowMissingColumns=True)
+    gk = ["close", "volume", "day"] if parity else ["_sess"]
+    u = u.withColumn("_sess", F.col("_sess0"))
+    back = ["_sess"] + (gk if parity else [])
+    u = fill(u, ["_rf"] + macro_cols + earn_cols, back, key=key, order=["date", "_tag"])
+    rows = u.filter((F.col("_tag") == 1) & F.col("_sess").isNotNull())
+    rate = rows.groupBy(key, *gk).agg(round_half_even(F.avg("_rf"), 3).alias("benz_rate"))
+    s = u.filter((F.col("_tag") == 1) & F.col("_sess0").isNotNull())
+    s = s.join(rate, [key, *gk], "left")
     return s.select(key, "date", *bar_cols, *macro_cols, "benz_rate", *earn_cols)
 
 
