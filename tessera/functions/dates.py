@@ -41,9 +41,10 @@ def daily_range(start, end) -> Column:
 def session_minutes(session_date, tz: str = "America/New_York", open_hm: str = "09:30",
                     minutes: int = 390) -> Column:
     """DAT-F4: the 390 regular-session minute stamps of a date, local open 09:30 in ``tz``,
-    as UTC timestamps (daylight saving handled by the zone rules)."""
-    local_open = F.to_timestamp(F.concat(F.date_format(_c(session_date), "yyyy-MM-dd"), F.lit(" " + open_hm)))
-    start = F.to_utc_timestamp(local_open, tz)
+    as UTC TIMESTAMP_NTZ (daylight saving handled by the zone rules)."""
+    local_open = F.to_timestamp_ntz(F.concat(F.date_format(_c(session_date), "yyyy-MM-dd"), F.lit(" " + open_hm)))
+    # wall clock in ``tz`` -> UTC wall clock, both TIMESTAMP_NTZ: independent of the session time zone
+    start = F.convert_timezone(F.lit(tz), F.lit("UTC"), local_open)
     return F.transform(F.sequence(F.lit(0), F.lit(minutes - 1)),
                        lambda i: start + F.make_dt_interval(mins=i))
 

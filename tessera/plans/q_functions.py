@@ -118,8 +118,7 @@ FROM (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events WHERE isodow(ts) <= 5
 def dat_f4(spark, sf_dir):
     d = (_fx(spark, sf_dir).events.select(F.col("ts").cast("date").alias("date")).filter(DT.is_weekday("date"))
          .distinct())
-    m = d.select("date", F.explode(DT.session_minutes("date")).alias("m"))
-    return m.select("date", F.col("m").cast("timestamp_ntz").alias("minute_utc"))
+    return d.select("date", F.explode(DT.session_minutes("date")).alias("minute_utc"))
 
 
 @query("dat_f4_daily_range", """
