@@ -148,8 +148,8 @@ def linear_recurrences(df: DataFrame, specs: Sequence[tuple[str, Column, float,
 
     Inside a block of C rows ``L_i = a**i * sum_{j<=i} a**-j * b_j``; a chained output
     adds ``(1-a) * a**i * sum_{j<=i} (i-j+1) a**-j b_j``.  The carry into a block is the
-    state at the end of the previous block, folded per key over the sorted block
-    summaries.  Exact up to float rounding (no truncation of history).
+    state at the end of the previous block, from a parallel prefix scan over the block
+    table (``_carry_scan``).  Exact up to float rounding (no truncation of history).
     """
     key = _cols(key)
     specs, chains = list(specs), list(chains)
@@ -176,30 +176,7 @@ def linear_recurrences(df: DataFrame, specs: Sequence[tuple[str, Column, float,
     summ = d.groupBy(*key, "_q").agg(F.count(F.lit(1)).alias("_n"),
                                      *[F.max_by(f"_L{k}", IDX).alias(f"_T{k}") for k in ks],
                                      *[F.max_by(f"_M{p}", IDX).alias(f"_U{p}") for p in ps])
-    cs_type = ("array<struct<q:bigint," + ",".join([f"c{k}:double" for k in ks] + [f"e{p}:double" for p in ps])
-               + ">>")
-    acc0 = F.struct(*[F.lit(float(seed)).alias(f"s{k}") for k, (_, _, _, seed) in enumerate(specs)],
-                    *[F.lit(float(seed)).alias(f"r{p}") for p, (_, _, seed) in enumerate(chains)],
-                    F.array().cast(cs_type).alias("cs"))
-
-    def step(acc, x):
-        n = x["n"].cast("double")
-        an = {k: F.pow(F.lit(float(specs[k][2])), n) for k in ks}
-        new_s = [(an[k] * acc[f"s{k}"] + x[f"t{k}"]).alias(f"s{k}") for k in ks]
-        new_r = []
-        for p, (_, k, _) in enumerate(chains):
-            a = float(specs[k][2])
-            new_r.append((an[k] * acc[f"r{p}"] + (1.0 - a) * n * an[k] * acc[f"s{k}"] + x[f"u{p}"]).alias(f"r{p}"))
-        rec = F.struct(x["q"].alias("q"), *[acc[f"s{k}"].alias(f"c{k}") for k in ks],
-                       *[acc[f"r{p}"].alias(f"e{p}") for p in ps])
-        return F.struct(*new_s, *new_r, F.concat(acc["cs"], F.array(rec)).alias("cs"))
-
-    arr = F.array_sort(F.collect_list(F.struct(F.col("_q").cast("long").alias("q"), F.col("_n").alias("n"),
-                                               *[F.col(f"_T{k}").alias(f"t{k}") for k in ks],
-                                               *[F.col(f"_U{p}").alias(f"u{p}") for p in ps])))
-    folded = (summ.groupBy(*key).agg(arr.alias("_arr"))
-              .select(*key, F.inline(F.aggregate("_arr", acc0, step)["cs"]))
-              .withColumnRenamed("q", "_q"))
+    folded = _carry_scan(summ, key, specs, chains, c)
     d = d.join(folded, on=key + ["_q"], how="left")
     outs = {}
     for k, (out, _, a, _) in enumerate(specs):
@@ -214,6 +191,69 @@ def linear_recurrences(df: DataFrame, specs: Sequence[tuple[str, Column, float,
     return d if have_idx else d.drop(IDX)
 
 
+def _scan_rounds(a: float, c: int, chained: bool) -> int:
+    """Rounds of the prefix scan after which every composed multiplier is exactly 0.0 in
+    double arithmetic (so further rounds would only add exact zeros)."""
+    x = a ** c
+    y = (1.0 - a) * c * x if chained else 0.0
+    m = 1
+    for r in range(64):
+        if x == 0.0 and y == 0.0:
+            return r
+        x, y, m = x * x, 2 * x * y, m * 2
+    raise ValueError("recurrence coefficient too close to 1 for the block scan")
+
+
+def _carry_scan(summ: DataFrame, key: list[str], specs, chains, c: int) -> DataFrame:
+    """Carry into every block: the state at the end of the previous block.
+
+    Each block is the affine map s -> x*s + t (x = a**n; a chained pair adds the lower
+    triangular term y = (1-a) n a**n).  Hillis-Steele prefix scan: round r composes each
+    block with the one 2**r earlier through an equi-join on (key, q - 2**r); a virtual
+    block -1 holds the seeds.  Multipliers of composed spans underflow to exactly 0.0
+    after a few rounds (``_scan_rounds``), after which the prefixes are complete.  Work
+    is spread over all (key, block) rows; no key's blocks are gathered in one place.
+    """
+    ks, ps = range(len(specs)), range(len(chains))
+    n = F.col("_n").cast("double")
+    cols = [*key, F.col("_q").cast("long").alias("_q")]
+    for k in ks:
+        a = float(specs[k][2])
+        cols += [F.pow(F.lit(a), n).alias(f"x{k}"), F.col(f"_T{k}").alias(f"t{k}")]
+    for p, (_, k, _) in enumerate(chains):
+        a = float(specs[k][2])
+        cols += [((1.0 - a) * n * F.pow(F.lit(a), n)).alias(f"y{p}"), F.col(f"_U{p}").alias(f"u{p}")]
+    blocks = summ.select(*cols)
+    seed_cols = [*[F.col(k) for k in key], F.lit(-1).cast("long").alias("_q")]
+    for k in ks:
+        seed_cols += [F.lit(0.0).alias(f"x{k}"), F.lit(float(specs[k][3])).alias(f"t{k}")]
+    for p, (_, _, seed) in enumerate(chains):
+        seed_cols += [F.lit(0.0).alias(f"y{p}"), F.lit(float(seed)).alias(f"u{p}")]
+    seeds = summ.select(*key).distinct().select(*seed_cols)
+    cur = materialize(blocks.unionByName(seeds), min_weight=1)
+    rounds = max(_scan_rounds(float(specs[k][2]), c, any(ch[1] == k for ch in chains)) for k in ks)
+    names = [f"x{k}" for k in ks] + [f"t{k}" for k in ks] + [f"y{p}" for p in ps] + [f"u{p}" for p in ps]
+    for r in range(rounds):
+        step = 2 ** r
+        inner = cur.select(*key, (F.col("_q") + step).alias("_q"), *[F.col(x).alias(f"i_{x}") for x in names])
+        j = cur.join(inner, key + ["_q"], "left")
+        has = F.col(f"i_t{0}").isNotNull()
+        out = {}
+        for k in ks:
+            x2, t2, x1, t1 = F.col(f"x{k}"), F.col(f"t{k}"), F.col(f"i_x{k}"), F.col(f"i_t{k}")
+            out[f"x{k}"] = F.when(has, x2 * x1).otherwise(x2)
+            out[f"t{k}"] = F.when(has, x2 * t1 + t2).otherwise(t2)
+        for p, (_, k, _) in enumerate(chains):
+            x2, x1, t1 = F.col(f"x{k}"), F.col(f"i_x{k}"), F.col(f"i_t{k}")
+            y2, u2, y1, u1 = F.col(f"y{p}"), F.col(f"u{p}"), F.col(f"i_y{p}"), F.col(f"i_u{p}")
+            out[f"y{p}"] = F.when(has, y2 * x1 + x2 * y1).otherwise(y2)
+            out[f"u{p}"] = F.when(has, y2 * t1 + x2 * u1 + u2).otherwise(u2)
+        cur = materialize(j.select(*key, "_q", *[out[x].alias(x) for x in names]), min_weight=1)
+    # state at the end of block q is the carry into block q + 1
+    return cur.select(*key, (F.col("_q") + 1).alias("_q"), *[F.col(f"t{k}").alias(f"c{k}") for k in ks],
+                      *[F.col(f"u{p}").alias(f"e{p}") for p in ps])
+
+
 def linear_recurrence(df: DataFrame, b: Column, a: float, out: str, seed: float = 0.0,
                       key="tic", order="date") -> DataFrame:
     """One recurrence ``out_t = a * out_{t-1} + b_t``; see ``linear_recurrences``."""
