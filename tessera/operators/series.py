@@ -11,8 +11,8 @@ fine for a few thousand daily bars but not when one ticker holds a third of all
   (at most one extra copy because blocks are at least n rows), then an ordinary
   window runs per (key, block).
 * ``linear_recurrence`` - ``s_t = a * s_{t-1} + b_t`` in closed form inside blocks of
-  rows whose size keeps ``a**-i`` finite; block carries are folded per key over the
-  sorted block summaries (``N / block`` entries per key) and joined back.
+  rows whose size keeps ``a**-i`` finite; the carry into a block is folded from the
+  few preceding block summaries whose weight is not exactly 0.0, and joined back.
 
 All work is native expressions; no Python runs per row.
 """
@@ -148,8 +148,9 @@ def linear_recurrences(df: DataFrame, specs: Sequence[tuple[str, Column, float,
 
     Inside a block of C rows ``L_i = a**i * sum_{j<=i} a**-j * b_j``; a chained output
     adds ``(1-a) * a**i * sum_{j<=i} (i-j+1) a**-j b_j``.  The carry into a block is the
-    state at the end of the previous block, from a parallel prefix scan over the block
-    table (``_carry_scan``).  Exact up to float rounding (no truncation of history).
+    state at the end of the previous block, folded over the block table
+    (``_carry_scan``).  Exact up to float rounding: history older than the fold's
+    lookback is weighted by exactly 0.0.
     """
     key = _cols(key)
     specs, chains = list(specs), list(chains)
@@ -178,6 +179,10 @@ def linear_recurrences(df: DataFrame, specs: Sequence[tuple[str, Column, float,
                                      *[F.max_by(f"_M{p}", IDX).alias(f"_U{p}") for p in ps])
     folded = _carry_scan(summ, key, specs, chains, c)
     d = d.join(folded, on=key + ["_q"], how="left")
+    # block 0 has no carry row: its carry is the seed
+    carry = {f"c{k}": F.coalesce(F.col(f"c{k}"), F.lit(float(seed))) for k, (_, _, _, seed) in enumerate(specs)}
+    carry.update({f"e{p}": F.coalesce(F.col(f"e{p}"), F.lit(float(seed))) for p, (_, _, seed) in enumerate(chains)})
+    d = d.withColumns(carry)
     outs = {}
     for k, (out, _, a, _) in enumerate(specs):
         outs[out] = F.col(f"_L{k}") + F.pow(F.lit(float(a)), i + 1) * F.col(f"c{k}")
@@ -191,32 +196,35 @@ def linear_recurrences(df: DataFrame, specs: Sequence[tuple[str, Column, float,
     return d if have_idx else d.drop(IDX)
 
 
-def _scan_rounds(a: float, c: int, chained: bool) -> int:
-    """Rounds of the prefix scan after which every composed multiplier is exactly 0.0 in
-    double arithmetic (so further rounds would only add exact zeros)."""
+def _lookback_blocks(a: float, c: int, chained: bool) -> int:
+    """Blocks of history that reach a state: the smallest power of two K for which the
+    multiplier of K full blocks (``a**(c*K)``, and the chained term) is exactly 0.0 in
+    double arithmetic.  Anything older than K blocks adds exact zeros, so the carry into a
+    block is a fold over the K block summaries before it."""
     x = a ** c
     y = (1.0 - a) * c * x if chained else 0.0
-    m = 1
-    for r in range(64):
+    k = 1
+    for _ in range(13):
         if x == 0.0 and y == 0.0:
-            return r
-        x, y, m = x * x, 2 * x * y, m * 2
-    raise ValueError("recurrence coefficient too close to 1 for the block scan")
+            return k
+        x, y, k = x * x, 2 * x * y, k * 2
+    raise ValueError("recurrence coefficient too close to 1 for a bounded block lookback")
 
 
 def _carry_scan(summ: DataFrame, key: list[str], specs, chains, c: int) -> DataFrame:
     """Carry into every block: the state at the end of the previous block.
 
-    Each block is the affine map s -> x*s + t (x = a**n; a chained pair adds the lower
-    triangular term y = (1-a) n a**n).  Hillis-Steele prefix scan: round r composes each
-    block with the one 2**r earlier through an equi-join on (key, q - 2**r); a virtual
-    block -1 holds the seeds.  Multipliers of composed spans underflow to exactly 0.0
-    after a few rounds (``_scan_rounds``), after which the prefixes are complete.  Work
-    is spread over all (key, block) rows; no key's blocks are gathered in one place.
+    Block q is the affine map s -> x*s + t (x = a**n rows; a chained pair adds
+    e -> y*s + x*e + u with y = (1-a) n a**n).  The state after block q is the fold of
+    the last K maps (``_lookback_blocks``) starting from the seed when the frame reaches
+    block 0 and from 0 otherwise (its weight is exactly 0.0).  That is a trailing frame of
+    K rows over the small block table, run by ``rolling`` (blocks of blocks with a halo:
+    no key is gathered in one task) and folded with ``aggregate``: one shuffle, no
+    self-joins, no lineage cut.
     """
     ks, ps = range(len(specs)), range(len(chains))
     n = F.col("_n").cast("double")
-    cols = [*key, F.col("_q").cast("long").alias("_q")]
+    cols = [*key, F.col("_q").cast("long").alias(IDX)]
     for k in ks:
         a = float(specs[k][2])
         cols += [F.pow(F.lit(a), n).alias(f"x{k}"), F.col(f"_T{k}").alias(f"t{k}")]
@@ -224,34 +232,26 @@ def _carry_scan(summ: DataFrame, key: list[str], specs, chains, c: int) -> DataF
         a = float(specs[k][2])
         cols += [((1.0 - a) * n * F.pow(F.lit(a), n)).alias(f"y{p}"), F.col(f"_U{p}").alias(f"u{p}")]
     blocks = summ.select(*cols)
-    seed_cols = [*[F.col(k) for k in key], F.lit(-1).cast("long").alias("_q")]
-    for k in ks:
-        seed_cols += [F.lit(0.0).alias(f"x{k}"), F.lit(float(specs[k][3])).alias(f"t{k}")]
-    for p, (_, _, seed) in enumerate(chains):
-        seed_cols += [F.lit(0.0).alias(f"y{p}"), F.lit(float(seed)).alias(f"u{p}")]
-    seeds = summ.select(*key).distinct().select(*seed_cols)
-    cur = materialize(blocks.unionByName(seeds), min_weight=1)
-    rounds = max(_scan_rounds(float(specs[k][2]), c, any(ch[1] == k for ch in chains)) for k in ks)
-    names = [f"x{k}" for k in ks] + [f"t{k}" for k in ks] + [f"y{p}" for p in ps] + [f"u{p}" for p in ps]
-    for r in range(rounds):
-        step = 2 ** r
-        inner = cur.select(*key, (F.col("_q") + step).alias("_q"), *[F.col(x).alias(f"i_{x}") for x in names])
-        j = cur.join(inner, key + ["_q"], "left")
-        has = F.col(f"i_t{0}").isNotNull()
-        out = {}
-        for k in ks:
-            x2, t2, x1, t1 = F.col(f"x{k}"), F.col(f"t{k}"), F.col(f"i_x{k}"), F.col(f"i_t{k}")
-            out[f"x{k}"] = F.when(has, x2 * x1).otherwise(x2)
-            out[f"t{k}"] = F.when(has, x2 * t1 + t2).otherwise(t2)
-        for p, (_, k, _) in enumerate(chains):
-            x2, x1, t1 = F.col(f"x{k}"), F.col(f"i_x{k}"), F.col(f"i_t{k}")
-            y2, u2, y1, u1 = F.col(f"y{p}"), F.col(f"u{p}"), F.col(f"i_y{p}"), F.col(f"i_u{p}")
-            out[f"y{p}"] = F.when(has, y2 * x1 + x2 * y1).otherwise(y2)
-            out[f"u{p}"] = F.when(has, y2 * t1 + x2 * u1 + u2).otherwise(u2)
-        cur = materialize(j.select(*key, "_q", *[out[x].alias(x) for x in names]), min_weight=1)
+    look = max(_lookback_blocks(float(specs[k][2]), c, any(ch[1] == k for ch in chains)) for k in ks)
+    fields = [f"x{k}" for k in ks] + [f"t{k}" for k in ks] + [f"y{p}" for p in ps] + [f"u{p}" for p in ps]
+    win = rolling(blocks, look, {"_win": F.collect_list(F.struct(IDX, *fields))}, key=key, order=IDX,
+                  block=max(4096, look))
+    arr = F.array_sort(F.col("_win"))
+    at0 = arr[0][IDX] == 0
+    init = F.struct(*[F.when(at0, F.lit(float(specs[k][3]))).otherwise(F.lit(0.0)).alias(f"s{k}") for k in ks],
+                    *[F.when(at0, F.lit(float(seed))).otherwise(F.lit(0.0)).alias(f"e{p}")
+                      for p, (_, _, seed) in enumerate(chains)])
+
+    def step(acc, b):
+        nxt = [(b[f"x{k}"] * acc[f"s{k}"] + b[f"t{k}"]).alias(f"s{k}") for k in ks]
+        nxt += [(b[f"y{p}"] * acc[f"s{k}"] + b[f"x{k}"] * acc[f"e{p}"] + b[f"u{p}"]).alias(f"e{p}")
+                for p, (_, k, _) in enumerate(chains)]
+        return F.struct(*nxt)
+
+    st = win.select(*key, (F.col(IDX) + 1).alias("_q"), F.aggregate(arr, init, step).alias("_st"))
     # state at the end of block q is the carry into block q + 1
-    return cur.select(*key, (F.col("_q") + 1).alias("_q"), *[F.col(f"t{k}").alias(f"c{k}") for k in ks],
-                      *[F.col(f"u{p}").alias(f"e{p}") for p in ps])
+    return st.select(*key, "_q", *[F.col("_st")[f"s{k}"].alias(f"c{k}") for k in ks],
+                     *[F.col("_st")[f"e{p}"].alias(f"e{p}") for p in ps])
 
 
 def linear_recurrence(df: DataFrame, b: Column, a: float, out: str, seed: float = 0.0,

@@ -93,3 +93,28 @@ def test_chained_recurrence_matches_loop(spark):
         k = a * k + x / 3.0
         dd = a * dd + k / 3.0
         assert abs(got[day][0] - k) < 1e-9 and abs(got[day][1] - dd) < 1e-9
+
+
+def test_recurrence_lookback_drops_only_zero_weight_history(spark):
+    # a = 2/3 -> blocks of ~850 rows and a lookback of 4 blocks; 7000 rows = 9 blocks, so
+    # later carries start from a frame that no longer reaches block 0.  a = 0.9 shares
+    # the block size and needs a longer lookback.  Two keys of different lengths.
+    random.seed(3)
+    rows, series = [], {}
+    for tic, n in (("K", 7000), ("L", 1900)):
+        xs = [random.uniform(-50, 100) for _ in range(n)]
+        series[tic] = xs
+        rows += [(tic, d, x) for d, x in zip(_days(n), xs)]
+    df = spark.createDataFrame(rows, "tic string, date date, x double")
+    out = linear_recurrences(df, [("s", F.col("x"), 2.0 / 3.0, 50.0), ("v", F.col("x"), 0.9, -3.0)],
+                             chains=[("w", 0, 7.0)])
+    got = {(r.tic, r.date): (r.s, r.v, r.w) for r in out.collect()}
+    for tic, xs in series.items():
+        s, v, w = 50.0, -3.0, 7.0
+        for d, x in zip(_days(len(xs)), xs):
+            s, v = 2.0 / 3.0 * s + x, 0.9 * v + x
+            w = 2.0 / 3.0 * w + s / 3.0
+            gs, gv, gw = got[(tic, d)]
+            assert np.isclose(gs, s, rtol=1e-11, atol=1e-9)
+            assert np.isclose(gv, v, rtol=1e-11, atol=1e-9)
+            assert np.isclose(gw, w, rtol=1e-11, atol=1e-9)
