@@ -1,5 +1,6 @@
-"""The flagship plan behind ``entry()``: the daily merge for three tickers (the form of the
-reference accepts exactly three) followed by the model feature frame (ML-01/02/05)."""
+"""The flagship plan behind ``entry()``: the daily merge of every ticker followed by the
+model feature frame (ML-01/02/05).  ``tickers`` narrows it to a chosen list (the form of
+the reference takes three) when a caller asks for that."""
 
 from __future__ import annotations
 
@@ -11,7 +12,6 @@ from tessera.plans import daily as D
 from tessera.plans.fixtures import Fixtures
 from tessera.plans.q_daily import FIX_MACRO_NAMES
 
-TICKERS3 = ["1-URGENT", "3-MEDIUM", "5-LOW"]
 HORIZON_ROWS = 90  # 3 months x 30 rows
 
 FEATURE_BASE = ["volume", "NFP", "InterestRate", "UnemploymentRate", "PPI", "CPI", "benz_rate", "reportedEPS",
@@ -31,11 +31,13 @@ def feature_frame(merged: DataFrame, horizon: int = HORIZON_ROWS) -> DataFrame:
     return d.select("tic", "date", "close", "target", "labelled", "features")
 
 
-def flagship(spark: SparkSession, sf_dir: str, tickers=TICKERS3) -> DataFrame:
+def flagship(spark: SparkSession, sf_dir: str, tickers=None) -> DataFrame:
     fx = Fixtures(spark, sf_dir)
-    bars = D.clean_bars(fx.bars_d.filter(F.col("tic").isin(list(tickers))))
-    news = fx.news.filter(F.col("tic").isin(list(tickers)))
-    earn = fx.earnings.filter(F.col("tic").isin(list(tickers)))
+    bars, news, earn = fx.bars_d, fx.news, fx.earnings
+    if tickers is not None:
+        keep = F.col("tic").isin(list(tickers))
+        bars, news, earn = bars.filter(keep), news.filter(keep), earn.filter(keep)
+    bars = D.clean_bars(bars)
     macro = D.clean_macro(spark, D.macro_daily(fx.macro_m, FIX_MACRO_NAMES))
     merged = D.merge_daily(bars, macro, D.clean_news(news), D.clean_earnings(earn))
     return feature_frame(merged)

@@ -74,9 +74,8 @@ def ml_05(spark, sf_dir):
 
 @query("ml_05_flagship_features", None)
 def ml_05_flagship(spark, sf_dir):
-    """The flagship feature frame over the whole fixtures (all five tickers)."""
-    from tessera.plans.fixtures import TICKERS
-    return flagship(spark, sf_dir, TICKERS)
+    """The flagship feature frame over the whole fixtures (every ticker)."""
+    return flagship(spark, sf_dir)
 
 
 def _model_frame(spark, sf_dir, horizon=30):
@@ -165,14 +164,15 @@ def ml_14(spark, sf_dir):
 
 
 @query("ml_15_few_shot", """
-WITH lab AS (SELECT * FROM embeddings WHERE vec_id % 2 = 1), q AS (SELECT * FROM embeddings WHERE vec_id % 2 = 0),
+WITH lab AS (SELECT * FROM embeddings WHERE label IS NOT NULL), q AS (SELECT * FROM embeddings),
 el AS (SELECT label, i, CAST(e AS DOUBLE) AS x FROM (SELECT label, unnest(embedding) AS e, unnest(range(len(embedding))) AS i FROM lab) t),
 cent AS (SELECT label, list(c ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS c FROM el GROUP BY label, i) a GROUP BY label),
 s AS (SELECT q.vec_id, cent.label, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), cent.c) AS cos FROM q CROSS JOIN cent)
 SELECT vec_id, CAST(arg_max(label, (cos, -label)) AS INT) AS predicted, round(max(cos), 6) AS similarity FROM s GROUP BY vec_id""")
 def ml_15(spark, sf_dir):
+    # every embedding is classified against the centroids of every labelled embedding
     e = _fx(spark, sf_dir).embeddings
-    r = R.few_shot(e.filter(F.col("vec_id") % 2 == 0), e.filter(F.col("vec_id") % 2 == 1))
+    r = R.few_shot(e, e.filter(F.col("label").isNotNull()))
     return r.select("vec_id", "predicted", round_half_up("similarity", 6).alias("similarity"))
 
 
