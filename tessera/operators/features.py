@@ -64,8 +64,11 @@ def minmax(df: DataFrame, cols: Sequence[str], key: str = "tic") -> DataFrame:
 def hash_split(df: DataFrame, keys: Sequence[str], fractions: Sequence[float] = (0.9, 0.1),
                names: Sequence[str] = ("train", "test"), seed: int = 42, out: str = "split") -> DataFrame:
     """ML-04 deterministic split by a hash of the row key (stable under re-partitioning,
-    unlike ``randomSplit``): bucket = pmod(xxhash64(seed, keys), 1000)."""
-    b = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(1000))
+    unlike ``randomSplit``): bucket = first 32 bits of md5(seed|key...) mod 1000.  md5 is
+    the same in every SQL engine, so the split can be reproduced outside Spark; keys are
+    hashed in their string form (strings, integers, dates)."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    b = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % 1000
     edges, acc = [], 0.0
     for f in fractions:
         acc += f

@@ -327,7 +327,25 @@ def flt_06(spark, sf_dir):
     return lab.withColumn("labelled", F.lit(True)).unionByName(unl.withColumn("labelled", F.lit(False)))
 
 
-@query("flt_02_drop_invalid", None)
+_FLT02_FEATS = ["macd", "kdjk", "kdjd", "kdjj", "rsi", "ma50", "ma200", "vix", "TLT", "IEF", "SHY"]
+_FLT02_BAD = " OR ".join(f"{c} IS NULL OR isnan({c}) OR isinf({c})" for c in _FLT02_FEATS)
+_FLT02_ZERO = " OR ".join(f"{c} = 0" for c in _FLT02_FEATS)
+
+
+def _flt02_sql():
+    from tessera.plans.q_windows import SQL_IND
+    w = "OVER (PARTITION BY tic ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return SQL_IND + f""", vix AS (SELECT date, close AS vix FROM bars_d WHERE tic = '5-LOW'),
+bonds AS (SELECT date, max(CASE WHEN tic = '1-URGENT' THEN close END) AS TLT,
+            max(CASE WHEN tic = '2-HIGH' THEN close END) AS IEF, max(CASE WHEN tic = '3-MEDIUM' THEN close END) AS SHY
+          FROM bars_d WHERE tic IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY date),
+e AS (SELECT i.*, v.vix, o.TLT, o.IEF, o.SHY FROM ind i LEFT JOIN vix v ON i.date = v.date LEFT JOIN bonds o ON i.date = o.date),
+en AS (SELECT tic, date, j, {", ".join(f"{RE(c, 3)} AS {c}" for c in _FLT02_FEATS[:7])},
+  {", ".join(f"{RE(f'last_value({c} IGNORE NULLS) {w}', 3)} AS {c}" for c in _FLT02_FEATS[7:])} FROM e)
+SELECT tic, date FROM en WHERE NOT ({_FLT02_BAD} OR (j < 10 AND coalesce({_FLT02_ZERO}, false)))"""
+
+
+@query("flt_02_drop_invalid", _flt02_sql(), ("bars_d",))
 def flt_02(spark, sf_dir):
     """Enriched bars minus rows with NaN/inf/null features or a zero in the warm-up
     rows (macd is 0 on each ticker's first row)."""

@@ -58,7 +58,9 @@ def ml_03(spark, sf_dir):
     return d.select("tic", "date", round_half_up("close", 6).alias("close"), round_half_up("volume", 6).alias("volume"))
 
 
-@query("ml_04_hash_split", None)
+@query("ml_04_hash_split", """SELECT tic, CASE WHEN b < 900 THEN 'train' ELSE 'test' END AS split, count(*) AS n
+FROM (SELECT tic, CAST(('0x' || substr(md5(concat_ws('|', '42', tic, CAST(date AS VARCHAR))), 1, 8)) AS BIGINT) % 1000 AS b
+      FROM bars_d) h GROUP BY 1, 2""", ("bars_d",))
 def ml_04(spark, sf_dir):
     b = _fx(spark, sf_dir).bars_d.select("tic", "date")
     d = FE.hash_split(b, ["tic", "date"], (0.9, 0.1), ("train", "test"))
