@@ -353,7 +353,11 @@ def agg_17(spark, sf_dir):
                     round_half_up("PUT_mid", 6).alias("PUT_mid"), round_half_up("put_call_ratio", 6).alias("put_call_ratio"))
 
 
-@query("src_09_options_typed", None)
+@query("src_09_options_typed", """SELECT CAST(event_id AS VARCHAR) AS id, CAST(ts AS DATE) AS date, event_type AS ticker,
+  CASE WHEN event_id % 2 = 0 THEN 'CALL' ELSE 'PUT' END AS put_call, value AS strike_price,
+  CAST(ts AS DATE) + CAST((event_id % 4) * 7 AS INT) AS date_expiration, value AS midpoint,
+  CAST(user_id * 10 AS BIGINT) AS volume, CASE WHEN event_id % 97 = 0 THEN NULL ELSE event_id % 50 END AS open_interest
+FROM events""")
 def src_09(spark, sf_dir):
     return EV.type_options(_options(_fx(spark, sf_dir)))
 

@@ -122,7 +122,10 @@ def src_06(spark, sf_dir):
     return RD.load_news(_fx(spark, sf_dir).news)
 
 
-@query("src_07_calendar_feed", None)
+@query("src_07_calendar_feed", """SELECT CAST(id AS VARCHAR) AS id, CAST(date AS VARCHAR) AS date, CAST(NULL AS VARCHAR) AS time, ticker,
+  CAST(NULL AS VARCHAR) AS exchange, CAST(NULL AS VARCHAR) AS name, importance, CAST(NULL AS BIGINT) AS updated, CAST(NULL AS VARCHAR) AS action_pt, action AS action_company,
+  CAST(NULL AS VARCHAR) AS rating_current, printf('%.2f', yield) AS pt_current, CAST(NULL AS VARCHAR) AS rating_prior, CAST(NULL AS VARCHAR) AS pt_prior, CAST(NULL AS VARCHAR) AS url,
+  CAST(NULL AS VARCHAR) AS url_calendar, CAST(NULL AS VARCHAR) AS url_news, CAST(NULL AS VARCHAR) AS analyst, CAST(NULL AS VARCHAR) AS analyst_id FROM feed""", ("feed",))
 def src_07(spark, sf_dir):
     """Ratings-calendar payloads (one record each) built from the feed fixture, typed by
     the registry."""
@@ -142,7 +145,10 @@ def src_08(spark, sf_dir):
     return FD.load_fundamentals(p, "valuation-ratios")
 
 
-@query("src_10_reference_quote", None)
+@query("src_10_reference_quote", """SELECT symbol, close AS last, CAST(NULL AS DOUBLE) AS previousClose,
+  CAST(NULL AS DOUBLE) AS change, CAST(NULL AS DOUBLE) AS changePercent, CAST(NULL AS DOUBLE) AS fiftyDayAveragePrice,
+  CAST(NULL AS DOUBLE) AS fiftyTwoWeekHigh, CAST(NULL AS DOUBLE) AS fiftyTwoWeekLow, CAST(trunc(marketcap) AS BIGINT) AS volume
+FROM universe""", ("universe",))
 def src_10(spark, sf_dir):
     u = _fx(spark, sf_dir).universe
     rec = F.struct(F.col("symbol"), F.col("close").alias("last"), F.col("marketcap").cast("long").alias("volume"))
