@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import normalise_text
@@ -40,9 +40,11 @@ def latest_snapshot(ticks: DataFrame, minutes: int = 100, ma: int = 20) -> DataF
     a moving average, and the latest row per ticker."""
     bars = (ticks.groupBy("tic", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("ts"))
             .agg(F.max_by("close", F.struct("ts", "event_id")).alias("close")))
-    bounds = bars.agg(F.max("ts").alias("_hi"), F.lit(1).alias("_one")).withColumn(
-        "_lo", F.col("_hi") - F.make_dt_interval(mins=F.lit(minutes - 1)))
-    keys = bars.groupBy("tic").agg(F.lit(1).alias("_one")).join(F.broadcast(bounds), "_one").drop("_one")
+    # the grid ends at the latest minute of any ticker: a window over the per-ticker
+    # table (one row per ticker), no join with a one-row table
+    keys = (bars.groupBy("tic").agg(F.max("ts").alias("_last"))
+            .withColumn("_hi", F.max("_last").over(Window.partitionBy()))
+            .withColumn("_lo", F.col("_hi") - F.make_dt_interval(mins=F.lit(minutes - 1))).drop("_last"))
     b = bars.withColumns({"open": F.col("close"), "high": F.col("close"), "low": F.col("close"),
                           "volume": F.lit(0.0)})
     g = B.gap_fill(b, keys, "_lo", "_hi", "1 MINUTE")

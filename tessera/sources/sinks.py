@@ -16,10 +16,15 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         w.format(fmt).save(path)
 
 
-def write_by_ticker(df: DataFrame, path: str, key: str = "tic", fmt: str = "parquet") -> None:
+def write_by_ticker(df: DataFrame, path: str, key: str = "tic", order=("date",), fmt: str = "parquet") -> None:
     """SNK-02 one folder per ticker (``partitionBy``) with dynamic partition overwrite:
-    only the tickers present in ``df`` are replaced."""
-    (df.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    only the tickers present in ``df`` are replaced.
+
+    Rows are range-partitioned on (key, order): each task writes one or two tickers'
+    contiguous date ranges, and a hot ticker is cut into as many tasks as its size needs
+    (hash-partitioning on the key alone would give it one writer task)."""
+    cols = [key] + [c for c in order if c in df.columns]
+    (df.repartitionByRange(*cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(key).format(fmt).save(path))
 
 
