@@ -8,6 +8,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.session import broadcast_bounded
+
 # Exchange closings used for the session calendar check (2023-05 .. 2024-01).
 HOLIDAYS = ["2023-05-29", "2023-06-19", "2023-07-04", "2023-09-04", "2023-11-23", "2023-12-25",
             "2024-01-01", "2024-01-15"]
@@ -69,7 +71,7 @@ def sessions_of(days: DataFrame, spark: SparkSession, holidays=None, col: str =
     if not isinstance(holidays, DataFrame):
         holidays = spark.createDataFrame([(h,) for h in holidays], "h string").select(
             F.col("h").cast("date").alias(col))
-    return d.join(F.broadcast(holidays), col, "left_anti")
+    return d.join(broadcast_bounded(holidays), col, "left_anti")
 
 
 def next_sessions(starts: DataFrame, spark: SparkSession, n: int, key: str = "tic", col: str = "date",

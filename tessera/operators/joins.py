@@ -9,15 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.series import IDX, with_index
-from tessera.session import materialize
+from tessera.session import broadcast_bounded, materialize
 
 # Dimension tables keyed by calendar date (macro, vix, bonds, holidays) have at most one
-# row per day: about 36,500 rows per century, so broadcasting them is always safe.
+# row per day (about 36,500 rows per century); the broadcast is still size-checked
+# (``broadcast_bounded``) and left to AQE beyond the limit.
 
 
 def left_on_date(facts: DataFrame, dim: DataFrame, on: str | Sequence[str] = "date") -> DataFrame:
-    """JOIN-01 facts LEFT JOIN a per-date dimension (broadcast: bounded by the calendar)."""
-    return facts.join(F.broadcast(dim), on, "left")
+    """JOIN-01 facts LEFT JOIN a per-date dimension (broadcast when its size estimate is small)."""
+    return facts.join(broadcast_bounded(dim), on, "left")
 
 
 def full_on_key(a: DataFrame, b: DataFrame, on: Sequence[str] = ("tic", "date")) -> DataFrame:

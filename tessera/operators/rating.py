@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import truncate_words
 from tessera.operators.joins import unrated
+from tessera.session import broadcast_bounded
 
 # Our own default word lists for the offline scorer.
 POSITIVE = {"gain", "gains", "growth", "beat", "beats", "record", "strong", "upgrade", "profit", "rise", "rises",
@@ -71,8 +72,8 @@ def few_shot(queries: DataFrame, labelled: DataFrame, id_col: str = "vec_id", ve
     cn = c.groupBy(label).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("cn"))
     q = queries.select(id_col, F.posexplode(vec).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
     qn = q.groupBy(id_col).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("qn"))
-    dots = q.join(F.broadcast(c), "dim").groupBy(id_col, label).agg(F.sum(F.col("x") * F.col("c")).alias("dot"))
-    s = dots.join(qn, id_col).join(F.broadcast(cn), label)
+    dots = q.join(broadcast_bounded(c), "dim").groupBy(id_col, label).agg(F.sum(F.col("x") * F.col("c")).alias("dot"))
+    s = dots.join(qn, id_col).join(broadcast_bounded(cn), label)
     s = s.withColumn("cos", F.col("dot") / (F.col("qn") * F.col("cn")))
     best = s.groupBy(id_col).agg(F.max_by(F.struct("cos", label), F.struct("cos", (-F.col(label)).alias("nl")))
                                  .alias("b"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import broadcast_bounded
+
 MAX_TICKERS = 500  # turbulence works on N x N matrices; refuse larger universes
 
 
@@ -29,7 +31,7 @@ def covariance(returns: DataFrame, tickers: Sequence[str], key: str = "tic", dat
     t = list(tickers)
     n = len(t)
     mu = returns.groupBy(key).agg(F.avg(ret).alias("_mu"))
-    c = returns.join(F.broadcast(mu), key).withColumn("_c", F.col(ret) - F.col("_mu"))
+    c = returns.join(broadcast_bounded(mu), key).withColumn("_c", F.col(ret) - F.col("_mu"))
     w = wide(c, t, key, date, "_c")
     arr = w.select(F.array(*[F.col(f"`{x}`").cast("double") for x in t]).alias("v"))
 

@@ -11,6 +11,7 @@ from tessera.functions.numeric import round_half_even, round_half_up
 from tessera.operators import clean as C
 from tessera.operators.indicators import add_indicators
 from tessera.operators.series import ffill, fill
+from tessera.session import broadcast_bounded
 
 # The macro patch the cleaner appends (every day of April 2023).
 MACRO_PATCH_START = "2023-04-01"
@@ -118,7 +119,7 @@ def merge_daily(bars: DataFrame, macro: DataFrame | None, ratings: DataFrame | N
     if macro is not None:
         macro_cols = [c for c in macro.columns if c != "date"]
         # the daily macro table has one row per calendar day: bounded by the date range
-        b = b.join(F.broadcast(macro), "date", "left")
+        b = b.join(broadcast_bounded(macro), "date", "left")
     if ratings is not None:
         u = b.join(ratings.select(key, "date", F.col("benz_rate").alias("_rf")), [key, "date"], "full")
     else:
@@ -149,7 +150,7 @@ def enrich_bars(bars: DataFrame, vix: DataFrame | None = None, bonds: DataFrame
     fills = []
     for dim in (vix, bonds):
         if dim is not None:
-            d = d.join(F.broadcast(dim), "date", "left")
+            d = d.join(broadcast_bounded(dim), "date", "left")
             fills += [c for c in dim.columns if c != "date"]
     if fills:
         d = ffill(d, fills, key=key, order="date")

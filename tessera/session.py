@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every session used with this library should have.
 SESSION_CONF = {
@@ -52,6 +53,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+
+
+def size_estimate(df: DataFrame) -> int | None:
+    """The optimizer's size estimate of ``df`` in bytes (plan statistics; no job runs)."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except Exception:  # noqa: BLE001 - no estimate (e.g. a remote session)
+        return None
+
+
+def broadcast_bounded(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Broadcast hint for ``df`` only when its size estimate is at most ``max_bytes``
+    (session option ``tessera.broadcast.maxBytes``, default 64 MiB).  Beyond that no hint
+    is given: AQE measures the real shuffle output at runtime and chooses a broadcast or
+    a sort-merge join itself.  Estimates of derived tables are upper bounds (Spark sizes
+    an aggregate like its input), so the check errs towards not broadcasting."""
+    if max_bytes is None:
+        max_bytes = int(df.sparkSession.conf.get("tessera.broadcast.maxBytes", str(BROADCAST_MAX_BYTES)))
+    est = size_estimate(df)
+    return F.broadcast(df) if est is not None and est <= max_bytes else df
+
+
 def _plan_weight(df: DataFrame) -> int:
     """Number of shuffle-producing nodes (joins, windows, aggregates) in the analyzed plan."""
     p = df._jdf.queryExecution().analyzed().toString()
