@@ -61,3 +61,23 @@ def test_native_operators_have_no_python(spark):
                  "agg_11_resample_4h", "ml_15_few_shot"):
         p = _plan(QUERIES[name](spark, SF001))
         assert "Python" not in p and "ArrowEval" not in p, name
+
+
+def test_broadcast_only_below_size_estimate(spark):
+    from tessera.session import broadcast_bounded, size_estimate
+    from tessera.plans.fixtures import Fixtures
+    fx = Fixtures(spark, SF001)
+    dim = fx.bars_d.select("date", "close").distinct()
+    est = size_estimate(dim)
+    assert est is not None and est > 0
+    hinted = fx.bars_d.join(broadcast_bounded(dim, max_bytes=est), "date")
+    assert "BroadcastHashJoin" in _plan(hinted)
+    # beyond the limit no hint: with AQE off and auto-broadcast off the join must shuffle
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plain = fx.bars_d.join(broadcast_bounded(dim, max_bytes=est - 1), "date")
+        assert "BroadcastHashJoin" not in _plan(plain)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
