@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import normalise_interval
-from tessera.operators.series import IDX, bfill, ffill, with_index
+from tessera.operators.series import IDX, fill, with_index
 
 # normalised interval -> Spark window duration, or a calendar unit for date_trunc
 _DURATION = {"1m": "1 minute", "2m": "2 minutes", "5m": "5 minutes", "15m": "15 minutes", "30m": "30 minutes",
@@ -75,12 +75,11 @@ def gap_fill(df: DataFrame, keys: DataFrame, start, end, step: str, key: str = "
     ``keys`` or literals): a missing bar takes the previous close for O/H/L/C and volume
     0; a missing first bar takes the first valid close; all missing -> 0."""
     from tessera.operators.joins import spine_join
-    d = spine_join(df, keys, start, end, step, ts).withColumn("_c", F.col("close"))
-    d = ffill(d, ["_c"], key=key, order=ts, chunk=F.date_trunc("day", F.col(ts)))
-    d = d.withColumn("_f", F.col("close"))
-    d = bfill(d, ["_f"], key=key, order=ts, chunk=F.date_trunc("day", F.col(ts)))
-    fill = F.coalesce(F.col("_c"), F.col("_f"), F.lit(0.0))
-    return d.select(key, ts, *[F.coalesce(F.col(c), fill).alias(c) for c in ("open", "high", "low", "close")],
+    d = spine_join(df, keys, start, end, step, ts).withColumns({"_c": F.col("close"), "_f": F.col("close")})
+    # previous close forward, first close backward: one fused fill pass
+    d = fill(d, ["_c"], ["_f"], key=key, order=ts, chunk=F.date_trunc("day", F.col(ts)))
+    filler = F.coalesce(F.col("_c"), F.col("_f"), F.lit(0.0))
+    return d.select(key, ts, *[F.coalesce(F.col(c), filler).alias(c) for c in ("open", "high", "low", "close")],
                     F.coalesce(F.col("volume"), F.lit(0.0)).alias("volume"))
 
 
