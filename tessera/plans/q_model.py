@@ -74,7 +74,38 @@ def ml_05(spark, sf_dir):
     return FE.assemble(b, ["close", "volume", "day", "spread"]).select("tic", "date", "features")
 
 
-@query("ml_05_flagship_features", None)
+def _flagship_sql() -> str:
+    """DuckDB text of the flagship: the PIPE-05 merge, calendar features, the 90-row lead
+    target, per-ticker z-scores fitted on labelled rows (population std, 0 -> 1) and the
+    feature array (close first, unscaled)."""
+    from tessera.plans.flagship import FEATURE_BASE, HORIZON_ROWS, MONTHS
+    from tessera.plans.q_daily import SQL_MERGE
+    cut = SQL_MERGE.rindex("\nSELECT tic, date, close, volume, day,")
+    tau = "6.283185307179586"
+    cal = {"month_sin": f"sin({tau} * month(date) / 12)", "month_cos": f"cos({tau} * month(date) / 12)",
+           "day_of_month_sin": f"sin({tau} * dayofmonth(date) / 31)",
+           "day_of_month_cos": f"cos({tau} * dayofmonth(date) / 31)",
+           "day_of_week_sin": f"sin({tau} * day / 5)", "day_of_week_cos": f"cos({tau} * day / 5)",
+           "Year": "year(date)", "Day": "dayofmonth(date)"}
+    cal.update({m: f"CAST(month(date) = {m.split('_')[1]} AS INT)" for m in MONTHS})
+    feats = list(FEATURE_BASE) + list(MONTHS)
+    src = {c: (f"x_{c}" if c in cal else c) for c in feats}
+    stats = ", ".join(f"avg(CASE WHEN labelled THEN CAST({src[c]} AS DOUBLE) END) AS mu{i}, "
+                      f"stddev_pop(CASE WHEN labelled THEN CAST({src[c]} AS DOUBLE) END) AS sd{i}"
+                      for i, c in enumerate(feats))
+    zs = ", ".join(f"(CAST(lb.{src[c]} AS DOUBLE) - st.mu{i}) / "
+                   f"(CASE WHEN st.sd{i} = 0 OR st.sd{i} IS NULL THEN 1.0 ELSE st.sd{i} END)"
+                   for i, c in enumerate(feats))
+    return (SQL_MERGE[:cut] + ",\nmg AS (" + SQL_MERGE[cut:].strip() + "),\n"
+            + "cal AS (SELECT *, " + ", ".join(f"{e} AS x_{c}" for c, e in cal.items()) + " FROM mg),\n"
+            + f"lb AS (SELECT *, lead(close, {HORIZON_ROWS}) OVER (PARTITION BY tic ORDER BY date) AS target, "
+            + f"lead(close, {HORIZON_ROWS}) OVER (PARTITION BY tic ORDER BY date) IS NOT NULL AS labelled FROM cal),\n"
+            + f"st AS (SELECT tic, {stats} FROM lb GROUP BY tic)\n"
+            + f"SELECT lb.tic, lb.date, lb.close, lb.target, lb.labelled, [CAST(lb.close AS DOUBLE), {zs}] AS features\n"
+            + "FROM lb JOIN st ON lb.tic = st.tic")
+
+
+@query("ml_05_flagship_features", _flagship_sql(), ("bars_d", "macro_m", "news", "earnings"))
 def ml_05_flagship(spark, sf_dir):
     """The flagship feature frame over the whole fixtures (every ticker)."""
     return flagship(spark, sf_dir)
