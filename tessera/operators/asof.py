@@ -1,8 +1,8 @@
 """As-of joins and calendar alignment (JOIN-07, JOIN-08, JOIN-12).
 
 Spark SQL has no ASOF JOIN.  All three are a tagged ``unionByName`` followed by the
-chunked fills of ``tessera.operators.series``: one shuffle on (key, calendar bucket),
-no range join, no per-key task.
+chunked fills of ``tessera.operators.series``: one shuffle on (key, calendar bucket: month
+for dates, day for timestamps), no range join, no per-key task.
 """
 
 from __future__ import annotations
@@ -31,8 +31,7 @@ def asof_backward(left: DataFrame, right: DataFrame, cols: Sequence[str], key="t
     # right-side values only: null them on left rows so a left column of the same name
     # is not taken as a known value
     u = u.withColumns({f"_r_{i}": F.when(F.col("_tag") == 0, F.col(c)) for i, c in enumerate(cols)})
-    filled = ffill(u, [f"_r_{i}" for i in range(len(cols))], key=keys, order=[order, "_tag"],
-                   chunk=F.date_trunc("month", F.col(order)))
+    filled = ffill(u, [f"_r_{i}" for i in range(len(cols))], key=keys, order=[order, "_tag"])
     out = filled.filter(F.col("_tag") == 1)
     out = out.withColumns({c: F.col(f"_r_{i}") for i, c in enumerate(cols)})
     return out.drop("_tag", *[f"_r_{i}" for i in range(len(cols))])
@@ -46,7 +45,7 @@ def session_roll(df: DataFrame, sessions: DataFrame, key="tic", date="date", out
     s = sessions.select(*keys, date).distinct().withColumn("_tag", F.lit(1)).withColumn(out, F.col(date))
     d = df.withColumn("_tag", F.lit(0))
     u = d.unionByName(s, allowMissingColumns=True)
-    filled = bfill(u, [out], key=keys, order=[date, "_tag"], chunk=F.date_trunc("month", F.col(date)))
+    filled = bfill(u, [out], key=keys, order=[date, "_tag"])
     return filled.filter(F.col("_tag") == 0).drop("_tag")
 
 
@@ -58,6 +57,6 @@ def point_in_time(facts: DataFrame, records: DataFrame, key: str, as_of: str, re
                          F.struct(*record_cols).alias("_rec"))
     f = facts.withColumn("_d", F.col(as_of))
     u = f.withColumn("_tag", F.lit(1)).unionByName(rec.withColumn("_tag", F.lit(0)), allowMissingColumns=True)
-    filled = ffill(u, ["_rec"], key=key, order=["_d", "_tag"], chunk=F.date_trunc("month", F.col("_d")))
+    filled = ffill(u, ["_rec"], key=key, order=["_d", "_tag"])
     out = filled.filter(F.col("_tag") == 1)
     return out.select(*facts.columns, *[F.col("_rec")[c].alias(c) for c in record_cols])

@@ -34,9 +34,13 @@ def _cols(x) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
-def default_chunk(order: str) -> Column:
-    """Calendar bucket used to split a key: the month of the first order column."""
-    return F.date_trunc("month", F.col(order))
+def default_chunk(order: str, df: DataFrame | None = None) -> Column:
+    """Calendar bucket used to split a key: the month of a date order column (about 21
+    daily bars), the day of a timestamp one (intraday bars and ticks: a month of a hot
+    ticker's ticks would be one task)."""
+    kind = dict(df.dtypes).get(order) if df is not None else None
+    unit = "day" if kind in ("timestamp", "timestamp_ntz") else "month"
+    return F.date_trunc(unit, F.col(order))
 
 
 def with_index(df: DataFrame, key="tic", order="date", chunk: Column | None = None,
@@ -48,7 +52,7 @@ def with_index(df: DataFrame, key="tic", order="date", chunk: Column | None = No
     order column).
     """
     key, order = _cols(key), _cols(order)
-    ch = chunk if chunk is not None else default_chunk(order[0])
+    ch = chunk if chunk is not None else default_chunk(order[0], df)
     d = materialize(df).withColumn("_chunk", ch)
     local = d.withColumn("_rn", F.row_number().over(
         Window.partitionBy(*key, "_chunk").orderBy(*order)))
@@ -70,7 +74,7 @@ def fill(df: DataFrame, forward: Sequence[str] = (), backward: Sequence[str] = (
     items = [(c, True) for c in forward] + [(c, False) for c in backward]
     if not items:
         return df
-    ch = chunk if chunk is not None else default_chunk(order[0])
+    ch = chunk if chunk is not None else default_chunk(order[0], df)
     d = materialize(df).withColumn("_chunk", ch)
     base = Window.partitionBy(*key, "_chunk").orderBy(*order)
     wf = base.rowsBetween(Window.unboundedPreceding, 0)

@@ -118,3 +118,16 @@ def test_recurrence_lookback_drops_only_zero_weight_history(spark):
             assert np.isclose(gs, s, rtol=1e-11, atol=1e-9)
             assert np.isclose(gv, v, rtol=1e-11, atol=1e-9)
             assert np.isclose(gw, w, rtol=1e-11, atol=1e-9)
+
+
+def test_timestamp_order_splits_by_day_and_stays_exact(spark):
+    # 100 hourly rows span five day buckets; index and fills must not notice the cuts
+    t0 = dt.datetime(2021, 3, 1, 0, 30)
+    ts = [t0 + dt.timedelta(hours=h) for h in range(100)]
+    vals = [float(h) if h % 7 == 0 else None for h in range(100)]
+    df = spark.createDataFrame([("A", t, v) for t, v in zip(ts, vals)], "tic string, ts timestamp_ntz, x double")
+    got = {r.ts: (r._j, r.x) for r in ffill(with_index(df, order="ts"), ["x"], order="ts").collect()}
+    last = None
+    for i, (t, v) in enumerate(zip(ts, vals)):
+        last = v if v is not None else last
+        assert got[t] == (i, last)
