@@ -1,15 +1,16 @@
 """Per-ticker model dataflow (ML-06..13).
 
 The reference trains a neural network per ticker on one machine; the network itself is
-not rebuilt.  What is rebuilt is the data flow around it: one grouped ``applyInPandas``
-fit per (ticker, parameter set) with a pluggable regressor (closed-form ridge in numpy by
-default), a coefficients table that can be stored and re-used, native batch scoring, the
-prediction / observation alignment and the per-split evaluation.
+not rebuilt.  What is rebuilt is the data flow around it: a closed-form ridge per (ticker,
+parameter set) from sufficient statistics (XtX, Xty folded per partition in numpy and
+summed natively, so no ticker's rows meet in one task), a coefficients table that can be
+stored and re-used, native batch scoring, the prediction / observation alignment and the
+per-split evaluation.
 """
 
 from __future__ import annotations
 
-from typing import Callable, Sequence
+from typing import Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,39 +22,6 @@ from tessera.operators.joins import shift
 COEF_SCHEMA = "tic string, lam double, intercept double, coef array<double>, val_mae double, n_train long"
 
 
-def ridge_fit(x: np.ndarray, y: np.ndarray, lam: float) -> tuple[float, np.ndarray]:
-    """Closed-form ridge with an unpenalised intercept."""
-    if len(y) == 0:
-        return float("nan"), np.zeros(x.shape[1])
-    xm, ym = x.mean(axis=0), y.mean()
-    xc, yc = x - xm, y - ym
-    a = xc.T @ xc + lam * np.eye(x.shape[1])
-    w = np.linalg.lstsq(a, xc.T @ yc, rcond=None)[0]
-    return float(ym - xm @ w), w
-
-
-def _fit_group(lam_col: str | None, fit: Callable = ridge_fit):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lam = float(pdf[lam_col].iloc[0]) if lam_col else 1.0
-        x = np.vstack(pdf["features"].to_numpy()) if len(pdf) else np.zeros((0, 0))
-        y = pdf["target"].to_numpy(dtype=float)
-        tr = (pdf["split"] == "train").to_numpy()
-        va = (pdf["split"] == "val").to_numpy()
-        b0, w = fit(x[tr], y[tr], lam)
-        val_mae = float(np.mean(np.abs(x[va] @ w + b0 - y[va]))) if va.any() else float("nan")
-        return pd.DataFrame({"tic": [pdf["tic"].iloc[0]], "lam": [lam], "intercept": [b0], "coef": [w.tolist()],
-                             "val_mae": [val_mae], "n_train": [int(tr.sum())]})
-    return run
-
-
-def fit_grouped(df: DataFrame, lam: float = 1.0, fit: Callable = ridge_fit) -> DataFrame:
-    """ML-06 with an arbitrary regressor ``fit(x, y, lam) -> (intercept, coef)``: one
-    ``applyInPandas`` group per ticker (its labelled history)."""
-    d = df.filter(F.col("target").isNotNull() & F.col("split").isin("train", "val"))
-    d = d.select("tic", "features", "target", "split", F.lit(float(lam)).alias("lam"))
-    return d.groupBy("tic", "lam").applyInPandas(_fit_group("lam", fit), COEF_SCHEMA)
-
-
 _STATS_SCHEMA = "tic string, lam double, s string, i int, j int, v double"
 
 
@@ -121,7 +89,7 @@ def fit_per_ticker(df: DataFrame, lam: float = 1.0) -> DataFrame:
     """ML-06 one ridge model per ticker from labelled rows (tic, features, target, split):
     trained on ``train`` from sufficient statistics, validation MAE on ``val`` scored
     natively.  Returns the coefficients table (tic, lam, intercept, coef, val_mae,
-    n_train).  Use ``fit_grouped`` for another regressor."""
+    n_train)."""
     d = df.filter(F.col("target").isNotNull() & F.col("split").isin("train", "val"))
     d = d.select("tic", "features", "target", "split", F.lit(float(lam)).alias("lam"))
     return _fit_ridge(d)
