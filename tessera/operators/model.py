@@ -22,34 +22,35 @@ from tessera.operators.joins import shift
 COEF_SCHEMA = "tic string, lam double, intercept double, coef array<double>, val_mae double, n_train long"
 
 
-_STATS_SCHEMA = "tic string, lam double, s string, i int, j int, v double"
+_STATS_SCHEMA = "tic string, s string, i int, j int, v double"
 
 
 def _train_stats(d: DataFrame) -> DataFrame:
-    """Per (tic, lam) sufficient statistics of the train rows, long form (s, i, j, v):
-    xtx, xty, sx, sy, n.  Each partition folds its rows with numpy; the partials are
-    summed natively, so no key's rows are ever gathered in one place."""
+    """Per ticker sufficient statistics of the train rows, long form (s, i, j, v): xtx,
+    xty, sx, sy, n.  Each partition folds its rows with numpy; the partials are summed
+    natively, so no key's rows are ever gathered in one place.  They do not depend on the
+    ridge penalty, so a parameter grid reuses them."""
     def part(batches):
         acc: dict = {}
         for b in batches:
-            for (tic, lam), g in b.groupby(["tic", "lam"], sort=False):
+            for tic, g in b.groupby("tic", sort=False):
                 x = np.vstack(g["features"].to_numpy())
                 y = g["target"].to_numpy(dtype=float)
                 st = (x.T @ x, x.T @ y, x.sum(axis=0), y.sum(), float(len(y)))
-                a = acc.get((tic, lam))
-                acc[(tic, lam)] = st if a is None else tuple(p + q for p, q in zip(a, st))
+                a = acc.get(tic)
+                acc[tic] = st if a is None else tuple(p + q for p, q in zip(a, st))
         rows = []
-        for (tic, lam), (xtx, xty, sx, sy, n) in acc.items():
+        for tic, (xtx, xty, sx, sy, n) in acc.items():
             k = len(sx)
-            rows += [(tic, lam, "xtx", i, j, float(xtx[i, j])) for i in range(k) for j in range(k)]
-            rows += [(tic, lam, "xty", i, 0, float(xty[i])) for i in range(k)]
-            rows += [(tic, lam, "sx", i, 0, float(sx[i])) for i in range(k)]
-            rows += [(tic, lam, "sy", 0, 0, float(sy)), (tic, lam, "n", 0, 0, n)]
+            rows += [(tic, "xtx", i, j, float(xtx[i, j])) for i in range(k) for j in range(k)]
+            rows += [(tic, "xty", i, 0, float(xty[i])) for i in range(k)]
+            rows += [(tic, "sx", i, 0, float(sx[i])) for i in range(k)]
+            rows += [(tic, "sy", 0, 0, float(sy)), (tic, "n", 0, 0, n)]
         if rows:
-            yield pd.DataFrame(rows, columns=["tic", "lam", "s", "i", "j", "v"])
+            yield pd.DataFrame(rows, columns=["tic", "s", "i", "j", "v"])
 
-    t = d.filter(F.col("split") == "train").select("tic", "lam", "features", "target")
-    return t.mapInPandas(part, _STATS_SCHEMA).groupBy("tic", "lam", "s", "i", "j").agg(F.sum("v").alias("v"))
+    t = d.filter(F.col("split") == "train").select("tic", "features", "target")
+    return t.mapInPandas(part, _STATS_SCHEMA).groupBy("tic", "s", "i", "j").agg(F.sum("v").alias("v"))
 
 
 def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -75,10 +76,15 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
                          "coef": [w.tolist()], "n_train": [int(n)]})
 
 
-def _fit_ridge(d: DataFrame) -> DataFrame:
-    coefs = _train_stats(d).groupBy("tic", "lam").applyInPandas(
+def _fit_ridge(d: DataFrame, lams: Sequence[float]) -> DataFrame:
+    """Fits for every penalty in ``lams``: the statistics are computed once and only that
+    small table ((k+1)^2 rows per ticker) is fanned out over the grid; validation rows
+    are paired with each ticker's fits (grid size) to score them."""
+    grid = F.array(*[F.lit(float(x)) for x in lams])
+    stats = _train_stats(d).withColumn("lam", F.explode(grid))
+    coefs = stats.groupBy("tic", "lam").applyInPandas(
         _solve, "tic string, lam double, intercept double, coef array<double>, n_train long")
-    val = d.filter(F.col("split") == "val").join(coefs, ["tic", "lam"])
+    val = d.filter(F.col("split") == "val").join(coefs, "tic")
     dot = F.aggregate(F.zip_with("features", "coef", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
     mae = (val.withColumn("_e", F.abs(dot + F.col("intercept") - F.col("target")))
            .groupBy("tic", "lam").agg(F.avg("_e").alias("val_mae")))
@@ -91,17 +97,14 @@ def fit_per_ticker(df: DataFrame, lam: float = 1.0) -> DataFrame:
     natively.  Returns the coefficients table (tic, lam, intercept, coef, val_mae,
     n_train)."""
     d = df.filter(F.col("target").isNotNull() & F.col("split").isin("train", "val"))
-    d = d.select("tic", "features", "target", "split", F.lit(float(lam)).alias("lam"))
-    return _fit_ridge(d)
+    return _fit_ridge(d.select("tic", "features", "target", "split"), [lam])
 
 
 def grid_search(df: DataFrame, lams: Sequence[float]) -> DataFrame:
-    """ML-07 / JOIN-10 every ticker x every parameter set fitted in parallel; the best set
-    per ticker by validation MAE (``min_by``)."""
-    from tessera.operators.joins import cross_params
+    """ML-07 every ticker x every penalty fitted in parallel from one pass of sufficient
+    statistics; the best penalty per ticker by validation MAE (``min_by``)."""
     d = df.filter(F.col("target").isNotNull() & F.col("split").isin("train", "val"))
-    d = cross_params(d.select("tic", "features", "target", "split"), [{"lam": float(x)} for x in lams])
-    allfits = _fit_ridge(d)
+    allfits = _fit_ridge(d.select("tic", "features", "target", "split"), lams)
     best = allfits.groupBy("tic").agg(F.min_by(F.struct(*[c for c in allfits.columns if c != "tic"]),
                                                F.struct("val_mae", "lam")).alias("b"))
     return best.select("tic", "b.*")

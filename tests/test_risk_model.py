@@ -100,3 +100,21 @@ def test_ridge_from_sufficient_stats_matches_grouped(spark):
         mae = np.mean([abs(np.dot(xv, w) + b0 - yv) for xv, yv in va])
         assert np.allclose(a[t].coef, w, rtol=1e-6, atol=1e-8)
         assert abs(a[t].intercept - b0) < 1e-6 and abs(a[t].val_mae - mae) < 1e-8
+
+
+def test_grid_search_reuses_stats_and_picks_min_val_mae(spark):
+    from tessera.operators import model as M
+    random.seed(11)
+    rows = []
+    for t in ("A", "B", "C"):
+        for i in range(120):
+            x = [random.gauss(0, 1), random.gauss(0, 3)]
+            rows.append((t, x, 3 * x[0] + random.gauss(0, 2), "train" if i < 90 else "val"))
+    df = spark.createDataFrame(rows, "tic string, features array<double>, target double, split string")
+    lams = [0.01, 1.0, 50.0, 500.0]
+    fits = {lam: {r.tic: r for r in M.fit_per_ticker(df, lam).collect()} for lam in lams}
+    best = {r.tic: r for r in M.grid_search(df, lams).collect()}
+    for t in ("A", "B", "C"):
+        want = min(lams, key=lambda lam: (fits[lam][t].val_mae, lam))
+        assert best[t].lam == want
+        assert np.allclose(best[t].coef, fits[want][t].coef) and best[t].val_mae == fits[want][t].val_mae
