@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import SUFFIX
+from tessera.session import broadcast_bounded, materialize
 
 _OPS = {"gt": lambda c, v: c > v, "gte": lambda c, v: c >= v, "eq": lambda c, v: c == v,
         "lte": lambda c, v: c <= v, "lt": lambda c, v: c < v}
@@ -138,9 +139,34 @@ def tail_per_key(df: DataFrame, n: int, key: str = "tic", order: str = "date") -
 
 
 def percentiles(df: DataFrame, metrics: Sequence[str], peer: str) -> DataFrame:
-    """AGG-13 percentile rank (0..1) of each metric within its peer group."""
-    w = lambda m: Window.partitionBy(peer).orderBy(m)
-    return df.withColumns({f"{m}_pctl": F.percent_rank().over(w(m)) for m in metrics})
+    """AGG-13 percentile rank (0..1, ``percent_rank``: ties share the lowest rank, nulls
+    first) of each metric within its peer group."""
+    out = df
+    for m in metrics:
+        out = percent_rank(out, m, peer, f"{m}_pctl")
+    return out
+
+
+def percent_rank(df: DataFrame, metric: str, peer: str, out: str) -> DataFrame:
+    """``percent_rank() OVER (PARTITION BY peer ORDER BY metric)`` without a per-peer task.
+
+    Rows are range-partitioned on (peer, metric): equal keys share a partition and a large
+    peer group is cut into as many ordered partitions as its size needs.  The partition id
+    is pinned by a lineage cut (one sample, one layout).  Rank = rows of the peer in
+    earlier partitions (all strictly smaller) + the local rank inside (partition, peer);
+    the offsets come from the small (partition, peer) count table."""
+    d = df.repartitionByRange(peer, metric).withColumn("_pid", F.spark_partition_id())
+    d = materialize(d, min_weight=0)
+    loc = d.withColumn("_r", F.rank().over(Window.partitionBy("_pid", peer).orderBy(metric)))
+    cnt = d.groupBy("_pid", peer).agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(peer).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = cnt.select(F.col("_pid").alias("_ppid"), F.col(peer).alias("_ppeer"),
+                      F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
+                      F.sum("_c").over(Window.partitionBy(peer)).alias("_n"))
+    j = loc.join(broadcast_bounded(offs), (F.col("_pid") == F.col("_ppid")) & F.col(peer).eqNullSafe(F.col("_ppeer")))
+    rank = F.col("_off") + F.col("_r") - 1
+    pr = F.when(F.col("_n") > 1, rank / (F.col("_n") - 1)).otherwise(F.lit(0.0)).cast("double")
+    return j.withColumn(out, pr).select(*df.columns, out)
 
 
 def alpha_beta(returns: DataFrame, key: str = "tic", date: str = "date", ret: str = "ret") -> DataFrame:
