@@ -13,6 +13,7 @@ from tessera.operators import features as FE
 from tessera.operators import model as M
 from tessera.operators import rating as R
 from tessera.operators.indicators import add_indicators, pct_change
+from tessera.operators.series import IDX, with_index
 from tessera.operators.risk import turbulence
 from tessera.plans.fixtures import Fixtures
 from tessera.plans.flagship import flagship
@@ -112,10 +113,11 @@ def ml_05_flagship(spark, sf_dir):
 
 
 def _model_frame(spark, sf_dir, horizon=30):
-    b = _fx(spark, sf_dir).bars_d
+    # one row index serves the previous close, the lead target and the positional split
+    b = with_index(_fx(spark, sf_dir).bars_d)
     b = pct_change(b, "close", "ret")
     d = FE.lead_target(b, horizon, "close", "target")
-    d = B.chrono_split(d)
+    d = B.chrono_split(d).drop(IDX)
     d = FE.add_calendar_features(d)
     return FE.assemble(d.fillna(0.0, ["ret"]), ["close", "ret", "month_sin", "month_cos", "day_of_week_sin"], "features")
 
