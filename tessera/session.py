@@ -100,4 +100,22 @@ def materialize(df: DataFrame, min_weight: int = 2) -> DataFrame:
         return df
     path = f"{checkpoint_dir(spark).rstrip('/')}/tessera-mat-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _MATERIALIZED.append(path)
     return spark.read.parquet(path)
+
+
+_MATERIALIZED: list[str] = []
+
+
+def release_materialized(spark: SparkSession) -> int:
+    """Delete the lineage-cut tables written by ``materialize`` in this process (call it
+    once the jobs reading them have finished).  Uses the Hadoop file system of each path,
+    so it works on shared storage.  Returns the number of tables removed."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _MATERIALIZED:
+        p = jvm.org.apache.hadoop.fs.Path(_MATERIALIZED.pop())
+        if p.getFileSystem(conf).delete(p, True):
+            n += 1
+    return n

@@ -131,3 +131,14 @@ def test_timestamp_order_splits_by_day_and_stays_exact(spark):
     for i, (t, v) in enumerate(zip(ts, vals)):
         last = v if v is not None else last
         assert got[t] == (i, last)
+
+
+def test_release_materialized_removes_cut_tables(spark):
+    import os
+    from tessera.session import _MATERIALIZED, materialize, release_materialized
+    df = spark.range(100).withColumn("k", F.col("id") % 3)
+    cut = materialize(df.groupBy("k").count().join(df, "k"), min_weight=1)
+    path = _MATERIALIZED[-1]
+    assert cut.count() == 100 and os.path.exists(path.replace("file:", ""))
+    assert release_materialized(spark) >= 1
+    assert not os.path.exists(path.replace("file:", "")) and not _MATERIALIZED
