@@ -74,3 +74,39 @@ def op7_two_pass_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (assign_shards(slim, ["doc_id", "text_crc32"], "size").withColumn("law", F.lit("rows"))
             .withColumn("grown_shard", F.lit(None).cast("int"))
             .select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"))
+
+
+@query()
+def op10_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import held_out, score, train
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = train(docs, labels.filter(~held_out(F.col("doc_id"))))
+    return (score(docs.select("doc_id", "text"), model)
+            .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                    (F.col("score") >= 0.3).cast("int").alias("predicted")))
+
+
+OP3_SQL = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM p)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+
+@query(OP3_SQL)
+def op3_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.nearest import nearest
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors.filter(F.col("vec_id") % 20 == 0), vectors)
+
+
+@query()
+def op8_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.url_filter import judge
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url")).select(
+        "page_id", "host", "path", "rule", "verdict", "ratio")
