@@ -110,3 +110,12 @@ def op8_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.url_filter import judge
     return judge(table(spark, sf_dir, "pages").select("page_id", "url")).select(
         "page_id", "host", "path", "rule", "verdict", "ratio")
+
+
+@query()
+def op9_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.near_dedup import near_duplicates
+    found = near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
+                        F.col("component").alias("component_id"),
+                        F.col("id").eqNullSafe(F.col("component")).alias("kept"))
