@@ -119,3 +119,15 @@ def op9_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
                         F.col("component").alias("component_id"),
                         F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+@query()
+def op5_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.spotsigs import fingerprint, fingerprints, pruned_jaccard
+    found = fingerprints(table(spark, sf_dir, "documents"))
+    own = F.col("signatures")
+    return found.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
+        fingerprint(own).alias("fingerprint"), fingerprint(F.col("edited_signatures")).alias("edited_fingerprint"),
+        pruned_jaccard(own, F.col("edited_signatures")).alias("near_edited"),
+        pruned_jaccard(own, F.col("next_signatures")).alias("near_next"), "length_partition")
