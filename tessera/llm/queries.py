@@ -131,3 +131,13 @@ def op5_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprint(own).alias("fingerprint"), fingerprint(F.col("edited_signatures")).alias("edited_fingerprint"),
         pruned_jaccard(own, F.col("edited_signatures")).alias("near_edited"),
         pruned_jaccard(own, F.col("next_signatures")).alias("near_next"), "length_partition")
+
+
+@query()
+def op6_weakly_supervised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pii import KINDS, listed, personal_data
+    found = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.transform("base", lambda x: x["k"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"),
+                        listed("spans").alias("spans"))
