@@ -205,12 +205,13 @@ def confirmed_edges(df: DataFrame, members: DataFrame, id_col: str, text_col: st
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """(id, n, key, component): per row the shingles of its text, the key of its set and the
-    smallest id that it reaches over links of at least ``percent`` similarity.
+    """(id, n, key, component, first_key): per row the shingles of its text, the key of its set
+    and the smallest id, with that row's key, that it reaches over links of at least
+    ``percent`` similarity.
 
     Null and empty texts have no shingles, a null key and themselves as component; null ids are
-    larger than any other (a component of null ids only is null); repeated rows are equal sets;
-    other columns are ignored; an empty table gives no rows."""
+    larger than any other (a component of null ids only is null, its first key the smallest);
+    repeated rows are equal sets; other columns are ignored; an empty table gives no rows."""
     rows = pinned(described(df, id_col, text_col, width))
     classes = pinned(rows.filter("key IS NOT NULL").groupBy("key")
                      .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")))
@@ -218,9 +219,34 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     members = pinned(classes.select("key", "id").join(clusters.withColumnRenamed("node", "key"), "key"))
     links = components(confirmed_edges(df, members, id_col, text_col, width, percent))
     whole = members.select("key", "id").join(links.withColumnRenamed("node", "key"), "key")
-    first = whole.groupBy("root").agg(F.min("id").alias("component"))
-    of_class = (classes.select("key", "id").join(whole.select("key", "root").join(first, "root").drop("root"), "key", "left")
-                .select("key", F.coalesce("component", "id").alias("component")))
+    first = whole.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("f"))
+    moved = whole.select("key", "root").join(first, "root").select("key", "f")
+    of_class = (classes.select("key", "id").join(moved, "key", "left")
+                .select("key", F.when(F.col("f").isNull(), F.col("id")).otherwise(F.col("f.id")).alias("component"),
+                        F.coalesce("f.key", "key").alias("first_key")))
     out = rows.select("id", "n", "key").join(of_class, "key", "left")
     return out.select("id", "n", "key", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component"))
-                      .alias("component"))
+                      .alias("component"), "first_key")
+
+
+def keep_one(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
+             text_col: str = "text") -> DataFrame:
+    """``df`` with one row of each group of near-duplicates: the row of the smallest id (null
+    ids last), one of its copies if it is repeated.  Rows without words all stay."""
+    found = near_duplicates(df, width, percent, id_col, text_col)
+    keep = F.col("id").eqNullSafe(F.col("component")) & (F.col("key") == F.col("first_key"))
+    decided = pinned(found.filter("key IS NOT NULL").withColumn("_keep", keep)
+                     .groupBy(F.col("id").alias("_id"), F.col("key").alias("_set"))
+                     .agg(F.first("_keep").alias("_keep"), F.count(F.lit(1)).alias("_copies")))
+
+    @F.pandas_udf("binary")
+    def key_of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: set_key(shingle_set(t, width)))
+
+    keyed = df.withColumn("_key", key_of(F.col(text_col).cast("string")))
+    told = keyed.join(decided, (F.col("_key") == F.col("_set")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left")
+    told = told.filter(F.coalesce("_keep", F.lit(True)))
+    once = told.filter(F.coalesce("_copies", F.lit(1)) == 1)
+    # copies of one row meet in a partial aggregate before the shuffle
+    many = told.filter("_copies > 1").dropDuplicates(["_id", "_key"])
+    return once.unionByName(many).select(*df.columns)

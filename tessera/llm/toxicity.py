@@ -1,6 +1,6 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A bounded, documented sample of labelled rows is streamed through one online learner with
+Unigrams come with their stems, so that inflected forms teach each other.  A bounded, documented sample of labelled rows is streamed through one online learner with
 per-coordinate learning rates and L1 sparsity.  What is left are a few thousand (key, weight)
 pairs, which go to every task; scoring is a map over all rows without a shuffle.
 """
@@ -21,13 +21,16 @@ from pyspark.sql import functions as F
 KEY_BITS, CHECK_BITS, SLOT_BITS = 40, 16, 24
 #: Weights kept at most (the largest), so what is broadcast stays under 4 MB.
 MAX_WEIGHTS = 1 << 18
+#: Bytes of a word that tell its stem.
+STEM = 6
 #: Bytes to words: A-Z to lower case, other ASCII but letters and digits to spaces.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def feature_keys(text: str | None) -> np.ndarray:
-    """Keys (uint64) of all words, word pairs and pairs with one word between; repeats stay."""
+    """Keys (uint64) of all words, word pairs and pairs with one word between, and of the stems
+    (first ``STEM`` bytes) of longer words; repeats stay."""
     words = (text or "").encode("utf-8", "replace").translate(_WORDS).split()
     h = np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=len(words))
     shift = np.uint64(64 - KEY_BITS)
@@ -36,7 +39,9 @@ def feature_keys(text: str | None) -> np.ndarray:
     mixed ^= mixed >> np.uint64(29)
     two = ((mixed[:-1] * np.uint64(3) + h[1:]) * _ODD) >> shift
     skip = ((mixed[:-2] * np.uint64(5) + h[2:]) * _ODD) >> shift
-    return np.concatenate([one, two, skip])
+    stems = [zlib.crc32(w[:STEM], 1) for w in words if len(w) > STEM]
+    stem = (np.array(stems, dtype=np.uint64) * _ODD) >> shift
+    return np.concatenate([one, two, skip, stem])
 
 
 class Ftrl:
