@@ -84,7 +84,8 @@ def mix(df: DataFrame, keep: list[str], weights: tuple[float, ...] = (5, 2, 1),
 
     The hash is over id and text: rows equal in both are taken alike.  Null sources are one
     source, last; sources without words get a target of 0; an empty table gives no rows.
-    ``keep`` columns named like the results are not allowed."""
+    ``keep`` columns named like the results are replaced."""
+    keep = [c for c in keep if c not in ("size", "source_size", "target", "taken")]
     docs = pinned(df.select(
         *[F.col(c) for c in keep], F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("size"),
         unit_hash(F.col(id_col), F.col(text_col), seed=seed).alias("_hash")).withColumn("_k", _key(F.col("_source"))))
@@ -99,9 +100,11 @@ def mix(df: DataFrame, keep: list[str], weights: tuple[float, ...] = (5, 2, 1),
             .select(*keep, "size", "source_size", "target", "taken"))
 
 
-def repeated(mixed: DataFrame) -> DataFrame:
-    """Each row of ``mix`` as often as its words are taken (rows not taken go)."""
+def mixed_rows(df: DataFrame, **options) -> DataFrame:
+    """``df``, each row as often as ``mix`` takes its words (rows that it leaves out go)."""
+    names = [options.pop(f"{c}_col", d) for c, d in (("id", "doc_id"), ("text", "text"), ("source", "source"))]
+    rows = df.select(F.struct("*").alias("row"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(names)])
+    mixed = mix(rows, ["row"], id_col="_0", text_col="_1", source_col="_2", **options)
     times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(F.lit(0))
-    return (mixed.withColumn("_times", times).filter("_times > 0")
-            .withColumn("_times", F.explode(F.array_repeat(F.lit(0), F.col("_times"))))
-            .drop("_times", "size", "source_size", "target", "taken"))
+    once = mixed.withColumn("_times", times).filter("_times > 0")
+    return once.select("row", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select("row.*")

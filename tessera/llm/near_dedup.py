@@ -243,10 +243,11 @@ def keep_one(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
     def key_of(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: set_key(shingle_set(t, width)))
 
-    keyed = df.withColumn("_key", key_of(F.col(text_col).cast("string")))
-    told = keyed.join(decided, (F.col("_key") == F.col("_set")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left")
+    keyed = df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"),
+                      key_of(F.col(text_col).cast("string")).alias("key"))
+    told = keyed.join(decided, (F.col("key") == F.col("_set")) & F.col("id").eqNullSafe(F.col("_id")), "left")
     told = told.filter(F.coalesce("_keep", F.lit(True)))
     once = told.filter(F.coalesce("_copies", F.lit(1)) == 1)
     # copies of one row meet in a partial aggregate before the shuffle
-    many = told.filter("_copies > 1").dropDuplicates(["_id", "_key"])
-    return once.unionByName(many).select(*df.columns)
+    many = told.filter("_copies > 1").dropDuplicates(["id", "key"])
+    return once.unionByName(many).select("row.*")

@@ -228,23 +228,24 @@ def personal_data(df: DataFrame, text_col: str = "text", accept: float = 0.9) ->
     Null and empty texts have no spans; repeated rows have the same; columns named like the
     results are replaced, others kept; an empty table gives no rows."""
     # the text is searched twice: once to learn, once to apply
-    def search(cols):
-        return found_spans(df.drop("base", "spans", "loose").select(
-            *cols, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")), "_text")
-
-    scores = train(search([]).withColumn("_spans", F.concat("base", "loose")), "_text")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")
+    learn = found_spans(df.select(text), "_text")
+    scores = train(learn.withColumn("_spans", F.concat("base", "loose")), "_text")
     good = [f for f, p in scores.items() if p >= accept and f.split("|")[0] not in KINDS]
-    out = search([c for c in df.columns if c not in ("base", "spans", "loose")])
+    kept = [F.col(c) for c in df.columns if c not in ("base", "spans")]
+    out = found_spans(df.select(F.struct(*kept, F.lit(0).alias("_end")).alias("_row"), text), "_text")
 
     def bare(col):
         return F.transform(col, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
 
     if good:
-        out = out.withColumn("_more", F.when(F.size("loose") > 0, F.filter(described("loose", "_text"), lambda x: x["features"].isin(*good))))
-        spans = F.array_sort(F.concat(bare("base"), F.coalesce(bare("_more"), F.array().cast("array<struct<k:int,s:bigint,e:bigint>>"))))
+        more = F.filter(described("loose", "_text"), lambda x: x["features"].isin(*good))
+        out = out.withColumn("_more", F.when(F.size("loose") > 0, more))
+        none = F.array().cast("array<struct<k:int,s:bigint,e:bigint>>")
+        spans = F.array_sort(F.concat(bare("base"), F.coalesce(bare("_more"), none)))
     else:
         spans = bare("base")
-    return out.withColumn("spans", spans).withColumn("base", bare("base")).drop("loose", "_text", "_more")
+    return out.select("_row.*", bare("base").alias("base"), spans.alias("spans")).drop("_end")
 
 
 def listed(spans: str) -> Column:

@@ -150,19 +150,18 @@ def judge(df: DataFrame, url_col: str = "url", rules=RULES, folds: int = 5) -> D
     rows are judged alike; columns named like the results are replaced; an empty table gives
     no rows."""
     host, path = parsed(F.col(url_col))
-    base = df.drop("host", "path", "rule", "verdict", "ratio").withColumn("host", host).withColumn("path", path)
+    kept = [F.col(c) for c in df.columns if c not in ("host", "path", "rule", "verdict", "ratio")]
+    base = df.select(F.struct(*kept, F.lit(0).alias("_end")).alias("_row"), F.col(url_col).alias("_url"),
+                     host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    text = F.when(F.col("host") != "", F.concat("host", "path")).otherwise(F.coalesce(F.col(url_col), F.lit("")))
-    base = base.withColumn("rule", rule).withColumn("_ruled", verdict).withColumn("text_", text)
-    known = (base.filter("_ruled IS NOT NULL")
-             .select(F.col("text_").alias("text"), F.col("_ruled").alias("verdict"),
-                     F.pmod(F.xxhash64("text_"), F.lit(folds)).alias("fold")))
+    text = F.when(F.col("host") != "", F.concat("host", "path")).otherwise(F.coalesce(F.col("_url"), F.lit("")))
+    base = base.withColumn("rule", rule).withColumn("_ruled", verdict).withColumn("text", text)
+    known = base.filter("_ruled IS NOT NULL").select("text", F.col("_ruled").alias("verdict"),
+                                                     F.pmod(F.xxhash64("text"), F.lit(folds)).alias("fold"))
     model = train(known)
     both = model.counts[:, -1] > 0
     method = F.when((F.col("text") == "") | (F.col("ratio") >= model.threshold), "allow").otherwise("block")
     if not both.all():
         method = F.lit("block" if both[1] else "allow")
-    named = base.withColumnRenamed("text", "_text_in") if "text" in base.columns else base
-    out = with_ratio(named.withColumnRenamed("text_", "text"), model).withColumn("verdict", F.coalesce("_ruled", method))
-    out = out.drop("text", "_ruled")
-    return out.withColumnRenamed("_text_in", "text") if "text" in base.columns else out
+    out = with_ratio(base, model).withColumn("verdict", F.coalesce("_ruled", method))
+    return out.select("_row.*", "host", "path", "rule", "verdict", "ratio").drop("_end")

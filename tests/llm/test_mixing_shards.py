@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm.common import word_count
-from tessera.llm.mixing import mix, repeated, source_targets
+from tessera.llm.mixing import mix, mixed_rows, source_targets
 from tessera.llm.shards import assign_shards, write_shards
 
 ROWS = ([(i, "a b c d " * (i % 7), "hot", 1) for i in range(400)] + [(1000 + i, "x\x0by z", "b", 2) for i in range(30)]
@@ -79,10 +79,10 @@ def test_targets_stop_at_three_times(spark):
 
 
 def test_repeated_rows(docs):
-    mixed = mix(docs, docs.columns)
-    n = Counter((r["doc_id"], r["text"]) for r in repeated(mixed).collect())
-    assert repeated(mixed).columns == docs.columns
-    for r in mixed.collect():
+    named = docs.withColumnRenamed("slot", "size")
+    n = Counter((r["doc_id"], r["text"]) for r in mixed_rows(named).collect())
+    assert mixed_rows(named).columns == named.columns
+    for r in mix(docs, docs.columns).collect():
         if r["doc_id"] not in (1000,):
             assert n[(r["doc_id"], r["text"])] == (r["taken"] // r["size"] if r["size"] else 0)
 
