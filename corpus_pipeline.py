@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
-from tessera.llm.mixing import mix, repeated
+from tessera.llm.mixing import mixed_rows
 from tessera.llm.near_dedup import keep_one
 from tessera.llm.packing_sos import pack_sum_of_squares
 from tessera.llm.pii import personal_data, redacted
@@ -40,15 +40,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in brackets, and ``n_chars`` follows; all
     documents stay, null texts stay null."""
-    found = personal_data(docs).withColumn("text", redacted(F.col("text"), "spans"))
-    n = F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.withColumn("n_chars", n).select(*docs.columns)
+    found = personal_data(docs.select(F.struct("*").alias("row"), "text"))
+    clean = found.select("row", "spans", redacted(F.col("text"), "spans").alias("text"))
+    n = F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    new = {"text": F.col("text"), "n_chars": n}
+    return clean.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are brought to their target weights (5, 2, 1 in turn): a document comes as often
     as the mix takes it, up to three times."""
-    return repeated(mix(docs, docs.columns))
+    return mixed_rows(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
