@@ -98,9 +98,11 @@ def fingerprints(df: DataFrame, chain: int = 2, similarity: float = 0.8, id_col:
     one document is its own successor; an empty table gives no rows; other columns are
     ignored."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    docs = df.select(F.col(id_col).cast("long").alias("_id"), text.alias("text"))
-    docs = docs.select("_id", F.coalesce("_id", F.lit((1 << 63) - 1)).alias("_i"),
-                       F.xxhash64(F.col("_id").isNull(), "text").alias("_h"), "text")
+    doc_id = F.col(id_col).cast("long")
+    # the lowest bit of the hash tells null ids; both joins below then read one and the same shuffle
+    bit = F.when(doc_id.isNull(), 1).otherwise(0).cast("long")
+    docs = df.select(F.coalesce(doc_id, F.lit((1 << 63) - 1)).alias("_i"),
+                     F.shiftleft(F.xxhash64(text), 1).bitwiseOR(bit).alias("_h"), text.alias("text"))
     sizes = docs.groupBy("_i", "_h").agg(F.max(F.length("text")).alias("_n"))
     asked = (successors(sizes).join(sizes, ["_i", "_h"])
              .select(F.col("_ni").alias("_i"), F.col("_nh").alias("_h"), F.col("_i").alias("_oi"),
@@ -115,5 +117,6 @@ def fingerprints(df: DataFrame, chain: int = 2, similarity: float = 0.8, id_col:
     out = out.withColumn("edited_text", F.concat(F.substring(F.col("text"), F.lit(1), kept), F.col("_lent")))
     out = spot_columns(out, F.col("text"), "signatures", chain)
     out = spot_columns(out, F.col("edited_text"), "edited_signatures", chain)
-    return out.select(F.col("_id").alias("doc_id"), "n_chars", "text", "edited_text", "signatures", "edited_signatures",
+    own_id = F.when(F.col("_h").bitwiseAND(F.lit(1)) == 0, F.col("_i"))
+    return out.select(own_id.alias("doc_id"), "n_chars", "text", "edited_text", "signatures", "edited_signatures",
                       "next_signatures", length_partition(F.size("signatures"), similarity).alias("length_partition"))
