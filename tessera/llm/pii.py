@@ -42,6 +42,8 @@ CONTEXT = 32
 
 #: Forms of a span; the first four are base spans.
 FORMS = ("email", "ip", "card", "phone", "spelled_email", "odd_ip", "odd_card", "odd_phone", "local_phone")
+#: Forms that may be added; the odd ones break the format of their kind and only teach what is not.
+ADDABLE = ("spelled_email", "local_phone")
 _KIND_OF = {"spelled_email": "email", "odd_ip": "ip", "odd_card": "card", "odd_phone": "phone", "local_phone": "phone"}
 
 
@@ -59,19 +61,20 @@ def _sums_before(lengths: Column) -> Column:
 
 
 def matches(df: DataFrame, text: str, pattern: str, may: Column, name: str) -> DataFrame:
-    """``df`` with ``name``: array of (s, e, m), the leftmost non-overlapping matches with code
-    point offsets; empty where ``may`` rules matches out."""
+    """``df`` with ``name``: array of (s, e, m, b), the leftmost non-overlapping matches with
+    code point offsets and the up to ``CONTEXT`` code points between the match before and this
+    one; empty where ``may`` rules matches out."""
     m, gaps, at = f"_{name}_m", f"_{name}_gaps", f"_{name}_at"
     found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
     df = df.withColumn(m, F.when(may, found).otherwise(F.array().cast("array<string>")))
-    between = F.transform(F.split(F.col(text), pattern, -1), lambda g: F.length(g))
-    df = df.withColumn(gaps, F.when(F.size(m) > 0, between))
-    steps = F.zip_with(F.slice(gaps, 1, F.size(m)), m, lambda g, x: g + F.length(x))
+    df = df.withColumn(gaps, F.when(F.size(m) > 0, F.split(F.col(text), pattern, -1)))
+    steps = F.zip_with(F.slice(gaps, 1, F.size(m)), m, lambda g, x: F.length(g) + F.length(x))
     df = df.withColumn(at, F.when(F.size(m) > 0, steps))
     df = df.withColumn(at, _sums_before(F.col(at)))
     span = F.transform(m, lambda x, i: F.struct(
-        (F.get(at, i) + F.get(gaps, i)).cast("long").alias("s"),
-        (F.get(at, i) + F.get(gaps, i) + F.length(x)).cast("long").alias("e"), x.alias("m")))
+        (F.get(at, i) + F.length(F.get(gaps, i))).cast("long").alias("s"),
+        (F.get(at, i) + F.length(F.get(gaps, i)) + F.length(x)).cast("long").alias("e"), x.alias("m"),
+        F.substring(F.get(gaps, i), -CONTEXT, CONTEXT).alias("b")))
     return df.withColumn(name, span).drop(m, gaps, at)
 
 
@@ -104,7 +107,7 @@ def phone_valid(s: Column) -> Column:
 
 def found_spans(df: DataFrame, text: str) -> DataFrame:
     """``df`` (null texts are empty already) with ``base`` and ``loose``: arrays of
-    (k, s, e, form, m), base spans by kind and start, candidates likewise."""
+    (k, s, e, form, m, b), base spans by kind and start, candidates likewise."""
     t = F.col(text)
     df = matches(df, text, EMAIL, t.contains("@"), "_email")
     df = matches(df, text, IP, t.rlike(r"[0-9]\.[0-9]"), "_ip")
@@ -117,7 +120,7 @@ def found_spans(df: DataFrame, text: str) -> DataFrame:
         spans = F.col(col) if keep is None else F.filter(col, lambda x: keep(x["m"]))
         kind = KINDS.index(_KIND_OF.get(form, form))
         return F.transform(spans, lambda x: F.struct(F.lit(kind).alias("k"), x["s"].alias("s"), x["e"].alias("e"),
-                                                     F.lit(form).alias("form"), x["m"].alias("m")))
+                                                     F.lit(form).alias("form"), x["m"].alias("m"), x["b"].alias("b")))
 
     df = df.withColumn("base", F.concat(of("_email", "email"), of("_ip", "ip", ip_valid), of("_card", "card", luhn_valid),
                                         of("_phone", "phone", phone_valid)))
@@ -128,7 +131,7 @@ def found_spans(df: DataFrame, text: str) -> DataFrame:
     return df.drop("_email", "_ip", "_card", "_phone", "_spelled", "_local")
 
 
-def described(spans: str, text: str) -> Column:
+def described(spans: str) -> Column:
     """The spans with ``votes`` (pattern, gazetteer, context: each -1, 0 or 1) and ``features``."""
     def one(x):
         form, m, kind = x["form"], x["m"], x["k"]
@@ -139,15 +142,13 @@ def described(spans: str, text: str) -> Column:
                .when(kind == 1, F.when(F.regexp_extract(m, r"^0*([0-9]{0,4})", 1).isin("", "127", "255"), -1).otherwise(1))
                .when(kind == 2, F.when(F.substring(digits, 1, 1).isin("3", "4", "5", "6"), 1).otherwise(-1))
                .otherwise(F.when(F.substring(F.substring(digits, -10, 10), 1, 1).isin("0", "1"), -1).otherwise(1)))
-        lo = F.greatest(x["s"] - CONTEXT, F.lit(0))
-        before = F.lower(F.substring(F.col(text), (lo + 1).cast("int"), (x["s"] - lo).cast("int")))
-        words = F.split(before, r"[^\p{L}\p{N}-]+")
+        words = F.split(F.lower(x["b"]), r"[^\p{L}\p{N}-]+")
         cue = F.lit(False)
         for i, k in enumerate(KINDS):
             cue = cue | ((kind == i) & F.arrays_overlap(words, F.array(*[F.lit(w) for w in CUES[k].split()])))
         against = F.arrays_overlap(words, F.array(*[F.lit(w) for w in AGAINST]))
         context = F.when(cue, 1).when(against, -1).otherwise(0)
-        joined = F.when((x["s"] > 0) & F.substring(F.col(text), x["s"].cast("int"), 1).rlike(r"[\p{L}\p{N}_=\"]"), "j").otherwise("f")
+        joined = F.when(x["b"].rlike(r"[\p{L}\p{N}_=\"]$"), "j").otherwise("f")
         size = F.least(F.length(digits), F.lit(20)).cast("string")
         return F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"),
                         F.struct(pattern.alias("p"), gaz.alias("g"), context.alias("c")).alias("votes"),
@@ -184,12 +185,12 @@ def posterior(votes, prior, true, false) -> float:
     return 1 / (1 + math.exp(min(max(b - a, -700), 700)))
 
 
-def train(found: DataFrame, text: str) -> dict[str, float]:
+def train(found: DataFrame) -> dict[str, float]:
     """Probability by feature string (form, votes, surroundings, digits), smoothed per feature.
 
     What comes to the driver is one row a (kind, votes, features): the features take fewer than
     2,300 values, whatever the input."""
-    spans = found.select(F.explode(described("_spans", text)).alias("x")).select("x.*")
+    spans = found.select(F.explode(described("_spans")).alias("x")).select("x.*")
     seen = spans.groupBy("k", "votes", "features").count().collect()
     scores = {}
     for kind in range(len(KINDS)):
@@ -230,8 +231,8 @@ def personal_data(df: DataFrame, text_col: str = "text", accept: float = 0.9) ->
     # the text is searched twice: once to learn, once to apply
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")
     learn = found_spans(df.select(text), "_text")
-    scores = train(learn.withColumn("_spans", F.concat("base", "loose")), "_text")
-    good = [f for f, p in scores.items() if p >= accept and f.split("|")[0] not in KINDS]
+    scores = train(learn.withColumn("_spans", F.concat("base", "loose")))
+    good = [f for f, p in scores.items() if p >= accept and f.split("|")[0] in ADDABLE]
     kept = [F.col(c) for c in df.columns if c not in ("base", "spans")]
     out = found_spans(df.select(F.struct(*kept, F.lit(0).alias("_end")).alias("_row"), text), "_text")
 
@@ -239,7 +240,7 @@ def personal_data(df: DataFrame, text_col: str = "text", accept: float = 0.9) ->
         return F.transform(col, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
 
     if good:
-        more = F.filter(described("loose", "_text"), lambda x: x["features"].isin(*good))
+        more = F.filter(described("loose"), lambda x: x["features"].isin(*good))
         out = out.withColumn("_more", F.when(F.size("loose") > 0, more))
         none = F.array().cast("array<struct<k:int,s:bigint,e:bigint>>")
         spans = F.array_sort(F.concat(bare("base"), F.coalesce(bare("_more"), none)))
