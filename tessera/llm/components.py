@@ -14,14 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     Every round hangs the neighbours of a node on the smallest of them, larger ones first,
     then smaller ones; rounds end when only stars are left (logarithmic in the longest path).
     Nodes of any comparable type; edge endpoints must not be null; an empty table gives no rows."""
-    edges = pinned(_directed(edges))
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        ends = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
-        edges = pinned(_directed(large.join(low, "a").select(F.explode(ends).alias("e")).select("e.*")))
+        edges = pinned(_directed(edges))
         # done when every node hangs on one root, and no root hangs on another node
         nodes = edges.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
             edges.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down")))
@@ -29,6 +23,12 @@ def components(edges: DataFrame) -> DataFrame:
         if odd.isEmpty():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        ends = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        edges = large.join(low, "a").select(F.explode(ends).alias("e")).select("e.*")
 
 
 def _directed(edges: DataFrame) -> DataFrame:

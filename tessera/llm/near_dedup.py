@@ -26,7 +26,7 @@ from tessera.llm.shingles import MinHash, match_floor, set_key, shingle_set
 #: Coordinates of a signature; chance that a pair right at the threshold is not a candidate.
 COORDINATES, MISS = 48, 1e-7
 #: Rows of a block of a posting list, and of a cluster whose full sets are compared.
-LIST_BLOCK, SET_BLOCK = 1024, 256
+LIST_BLOCK, SET_BLOCK = 1024, 512
 
 
 def described(df: DataFrame, id_col: str, text_col: str, width: int, k: int = COORDINATES) -> DataFrame:
@@ -74,20 +74,21 @@ def _by_cell(df: DataFrame, cell: list[str], work: Callable[[pd.DataFrame], list
 
 
 def _forest(linked: np.ndarray, keys: list) -> list[tuple]:
-    """Edges of a spanning forest of a boolean adjacency matrix."""
+    """Stars that span the components of a boolean adjacency matrix, each around its smallest
+    key: lists that find the same component agree on it."""
     todo, out = np.ones(len(keys), dtype=bool), []
-    degree = linked.any(axis=1)
-    for i in np.flatnonzero(degree).tolist():
+    for i in np.flatnonzero(linked.any(axis=1)).tolist():
         if not todo[i]:
             continue
         todo[i] = False
-        front = [i]
+        front, group = [i], [i]
         while front:
-            x = front.pop()
-            new = np.flatnonzero(linked[x] & todo)
+            new = np.flatnonzero(linked[front.pop()] & todo)
             todo[new] = False
-            out += [(keys[y], keys[x]) for y in new.tolist()]
             front += new.tolist()
+            group += new.tolist()
+        root = min(keys[x] for x in group)
+        out += [(keys[x], root) for x in group if keys[x] != root]
     return out
 
 
