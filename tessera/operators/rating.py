@@ -3,7 +3,7 @@
 The reference asks a remote language model for a 1..10 rating per story.  Here the scorer
 is an injected callable ``pd.Series[str] -> pd.Series[int | None]`` run with
 ``mapInPandas`` (one scorer instance per partition, Arrow batches); the default is a small
-word-list scorer so everything runs offline.  Failures stay null and are picked up by the
+word-list scorer so everything runs offline.  Failures stay null, up to a stated share, and are picked up by the
 next run (anti join on already-rated ids).
 """
 
@@ -39,19 +39,38 @@ def lexicon_scorer(texts: pd.Series) -> pd.Series:
 
 
 def rate_text(df: DataFrame, scorer: Callable[[pd.Series], pd.Series] = lexicon_scorer, text: str = "body",
-              id_col: str = "doc_id", done: DataFrame | None = None, max_words: int = 1500) -> DataFrame:
-    """ML-14 rate only the rows not in ``done`` (id_col, rating); text truncated to
-    ``max_words`` words first.  Output: id_col, rating (INT, null on scorer failure)."""
+              id_col: str = "doc_id", done: DataFrame | None = None, max_words: int | None = None,
+              max_failures: float = 0.5) -> DataFrame:
+    """ML-14 rate only the rows not in ``done`` (id_col, rating) by their whole text, cut to
+    ``max_words`` words only if asked.  Output: id_col, rating (INT).
+
+    A batch that the scorer refuses is scored row by row; rows that fail stay null and are
+    retried by the next run (they are not in ``done``).  A task whose failed rows pass the
+    share ``max_failures`` raises: a dead scorer is not a finished run."""
     todo = df if done is None else unrated(df, done, id_col)
-    t = todo.select(id_col, truncate_words(text, max_words).alias("_t"))
+    t = todo.select(id_col, (truncate_words(text, max_words) if max_words else F.col(text)).alias("_t"))
+
+    def rate(texts):
+        try:
+            return list(pd.Series(scorer(texts), dtype="Int64")), 0, None
+        except Exception as e:  # noqa: BLE001 - told apart row by row below
+            if len(texts) == 1:
+                return [None], 1, e
+        out, failed, last = [], 0, None
+        for i in range(len(texts)):
+            r, f, e = rate(texts.iloc[i:i + 1].reset_index(drop=True))
+            out, failed, last = out + r, failed + f, e or last
+        return out, failed, last
 
     def run(batches):
+        rows = failures = 0
+        last = None
         for b in batches:
-            try:
-                r = scorer(b["_t"])
-            except Exception:  # noqa: BLE001 - a failed batch stays unrated
-                r = pd.Series([None] * len(b), dtype="Int64")
+            r, failed, error = rate(b["_t"])
+            rows, failures, last = rows + len(b), failures + failed, error or last
             yield pd.DataFrame({id_col: b[id_col], "rating": pd.Series(r, dtype="Int64").to_numpy()})
+        if failures > max_failures * rows:
+            raise RuntimeError(f"the scorer failed on {failures} of {rows} rows") from last
 
     return t.mapInPandas(run, f"{id_col} long, rating int")
 

@@ -11,15 +11,28 @@ from pyspark.sql import functions as F
 
 from tessera.session import broadcast_bounded
 
-MAX_TICKERS = 500  # turbulence works on N x N matrices; refuse larger universes
 
+def tickers(df: DataFrame, key: str = "tic") -> list[str]:
+    """All tickers of ``df`` in order: the column list of the wide forms.  One row a ticker
+    comes to the driver; a null ticker has no column and raises."""
+    found = [r[0] for r in df.select(key).distinct().collect()]
+    if None in found:
+        raise ValueError("rows without a ticker have no place in a wide table")
+    return sorted(found)
 
-def wide(df: DataFrame, tickers: Sequence[str], key: str = "tic", date: str = "date", value: str = "close") -> DataFrame:
-    """AGG-04 long -> wide: one column per ticker (explicit list, so no extra pass)."""
-    return df.groupBy(date).pivot(key, list(tickers)).agg(F.first(value))
 
+def wide(df: DataFrame, columns: Sequence[str] | None = None, key: str = "tic", date: str = "date",
+         value: str = "close") -> DataFrame:
+    """AGG-04 long -> wide: one column per ticker.  Without ``columns`` all tickers of the data
+    are taken; with a list, a ticker outside it fails the job instead of vanishing."""
+    if columns is None:
+        return df.groupBy(date).pivot(key, tickers(df, key)).agg(F.first(value))
+    known = F.col(key).isin(list(columns))
+    told = F.when(known, F.col(key)).otherwise(F.raise_error(F.concat(F.lit("ticker not in the list: "), F.coalesce(key, F.lit("null")))))
+    return df.withColumn(key, told).groupBy(date).pivot(key, list(columns)).agg(F.first(value))
 
-def covariance(returns: DataFrame, tickers: Sequence[str], key: str = "tic", date: str = "date",
+
+def covariance(returns: DataFrame, columns: Sequence[str] | None = None, key: str = "tic", date: str = "date",
                ret: str = "ret") -> DataFrame:
     """AGG-08 pairwise-complete sample covariance of returns for every ticker pair.
 
@@ -28,7 +41,7 @@ def covariance(returns: DataFrame, tickers: Sequence[str], key: str = "tic", dat
     with numpy (counts, cross sums and the sums of each side where both are present); the
     partials are summed per (i, j) natively.  No pairs of rows are generated and nothing
     goes through the driver.  Output (tic_a, tic_b, cov)."""
-    t = list(tickers)
+    t = list(columns) if columns is not None else tickers(returns, key)
     n = len(t)
     mu = returns.groupBy(key).agg(F.avg(ret).alias("_mu"))
     c = returns.join(broadcast_bounded(mu), key).withColumn("_c", F.col(ret) - F.col("_mu"))
@@ -61,7 +74,7 @@ def covariance(returns: DataFrame, tickers: Sequence[str], key: str = "tic", dat
                       F.element_at(names, F.col("j").cast("int") + 1).alias("tic_b"), cov.alias("cov"))
 
 
-def turbulence(returns: DataFrame, tickers: Sequence[str], lookback: int = 252, key: str = "tic",
+def turbulence(returns: DataFrame, columns: Sequence[str] | None = None, lookback: int = 252, key: str = "tic",
                date: str = "date", ret: str = "ret") -> DataFrame:
     """WIN-11 turbulence per date: for the i-th date (i >= lookback), with H the
     ``lookback`` earlier dates of returns (leading rows up to the fewest gaps of any
@@ -73,9 +86,7 @@ def turbulence(returns: DataFrame, tickers: Sequence[str], lookback: int = 252,
     receives the previous block as its look-back halo, so every row is shipped at most
     twice and each task holds at most 2 x lookback x N returns.
     """
-    t = list(tickers)
-    if len(t) > MAX_TICKERS:
-        raise ValueError(f"turbulence needs N <= {MAX_TICKERS} tickers, got {len(t)}")
+    t = list(columns) if columns is not None else tickers(returns, key)
     n = len(t)
     lb = int(lookback)
     dates = returns.select(date).distinct()

@@ -156,7 +156,7 @@ def percent_rank(df: DataFrame, metric: str, peer: str, out: str) -> DataFrame:
     earlier partitions (all strictly smaller) + the local rank inside (partition, peer);
     the offsets come from the small (partition, peer) count table."""
     d = df.repartitionByRange(peer, metric).withColumn("_pid", F.spark_partition_id())
-    d = materialize(d, min_weight=0)
+    d = materialize(d, pin=True)
     loc = d.withColumn("_r", F.rank().over(Window.partitionBy("_pid", peer).orderBy(metric)))
     cnt = d.groupBy("_pid", peer).agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(peer).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

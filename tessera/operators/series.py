@@ -43,26 +43,44 @@ def default_chunk(order: str, df: DataFrame | None = None) -> Column:
     return F.date_trunc(unit, F.col(order))
 
 
+def _safe_keys(df: DataFrame, key: list[str], prefix: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with the key columns as strings that are never null, and their names: windows,
+    aggregates and joins on them share one partitioning and keep rows with null keys."""
+    names = [f"{prefix}{i}" for i in range(len(key))]
+    return df.withColumns({n: F.coalesce(F.col(k).cast("string"), F.lit("\x00null")) for n, k in zip(names, key)}), names
+
+
+def _chunked(df: DataFrame, ch: Column) -> DataFrame:
+    """``df`` with ``_chunk``; rows without an order value form a chunk before all others, as
+    windows sort nulls first."""
+    d = df.withColumn("_chunk", ch)
+    kind = dict(d.dtypes)["_chunk"]
+    low = {"string": F.lit("")}.get(kind, F.lit("0001-01-01").cast(kind) if kind.startswith(("date", "timestamp"))
+                                    else F.lit(-(1 << 30)).cast(kind))
+    return d.withColumn("_chunk", F.coalesce("_chunk", low))
+
+
 def with_index(df: DataFrame, key="tic", order="date", chunk: Column | None = None,
                name: str = IDX) -> DataFrame:
     """Add ``name`` = 0-based row position within ``key`` ordered by ``order``.
 
     ``order`` must be unique within a key (add a tie-break column if needed).  The
     chunk expression must be monotone in ``order`` (default: month of the first
-    order column).
+    order column).  Rows with a null key form one key of their own; rows with a null order
+    come first in their key.
     """
     key, order = _cols(key), _cols(order)
     ch = chunk if chunk is not None else default_chunk(order[0], df)
-    d = materialize(df).withColumn("_chunk", ch)
+    d, kk = _safe_keys(_chunked(materialize(df), ch), key, "_wk")
     local = d.withColumn("_rn", F.row_number().over(
-        Window.partitionBy(*key, "_chunk").orderBy(*order)))
-    sizes = local.groupBy(*key, "_chunk").agg(F.count(F.lit(1)).alias("_cnt"))
+        Window.partitionBy(*kk, "_chunk").orderBy(*order)))
+    sizes = local.groupBy(*kk, "_chunk").agg(F.count(F.lit(1)).alias("_cnt"))
     offs = sizes.withColumn("_off", F.coalesce(F.sum("_cnt").over(
-        Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)),
+        Window.partitionBy(*kk).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0))).drop("_cnt")
-    return (local.join(offs, on=key + ["_chunk"])
+    return (local.join(offs, on=kk + ["_chunk"])
             .withColumn(name, (F.col("_off") + F.col("_rn") - 1).cast("long"))
-            .drop("_chunk", "_rn", "_off"))
+            .drop("_chunk", "_rn", "_off", *kk))
 
 
 def fill(df: DataFrame, forward: Sequence[str] = (), backward: Sequence[str] = (), key="tic", order="date",
@@ -75,24 +93,24 @@ def fill(df: DataFrame, forward: Sequence[str] = (), backward: Sequence[str] = (
     if not items:
         return df
     ch = chunk if chunk is not None else default_chunk(order[0], df)
-    d = materialize(df).withColumn("_chunk", ch)
-    base = Window.partitionBy(*key, "_chunk").orderBy(*order)
+    d, kk = _safe_keys(_chunked(materialize(df), ch), key, "_fk")
+    base = Window.partitionBy(*kk, "_chunk").orderBy(*order)
     wf = base.rowsBetween(Window.unboundedPreceding, 0)
     wb = base.rowsBetween(0, Window.unboundedFollowing)
     d = d.withColumns({f"_l_{i}": (F.last(c, ignorenulls=True).over(wf) if fw else
                                    F.first(c, ignorenulls=True).over(wb)) for i, (c, fw) in enumerate(items)})
     ordkey = F.struct(*order)
-    summ = d.groupBy(*key, "_chunk").agg(*[(F.max_by if fw else F.min_by)(f"_l_{i}", ordkey).alias(f"_s_{i}")
+    summ = d.groupBy(*kk, "_chunk").agg(*[(F.max_by if fw else F.min_by)(f"_l_{i}", ordkey).alias(f"_s_{i}")
                                            for i, (c, fw) in enumerate(items)])
-    wc = Window.partitionBy(*key).orderBy("_chunk")
+    wc = Window.partitionBy(*kk).orderBy("_chunk")
     wcf = wc.rowsBetween(Window.unboundedPreceding, -1)
     wcb = wc.rowsBetween(1, Window.unboundedFollowing)
-    carry = summ.select(*key, "_chunk", *[(F.last(f"_s_{i}", ignorenulls=True).over(wcf) if fw else
+    carry = summ.select(*kk, "_chunk", *[(F.last(f"_s_{i}", ignorenulls=True).over(wcf) if fw else
                                            F.first(f"_s_{i}", ignorenulls=True).over(wcb)).alias(f"_c_{i}")
                                           for i, (c, fw) in enumerate(items)])
-    out = d.join(carry, on=key + ["_chunk"], how="left")
+    out = d.join(carry, on=kk + ["_chunk"], how="left")
     out = out.withColumns({c: F.coalesce(F.col(f"_l_{i}"), F.col(f"_c_{i}")) for i, (c, fw) in enumerate(items)})
-    return out.drop("_chunk", *[f"_l_{i}" for i in range(len(items))], *[f"_c_{i}" for i in range(len(items))])
+    return out.drop("_chunk", *kk, *[f"_l_{i}" for i in range(len(items))], *[f"_c_{i}" for i in range(len(items))])
 
 
 def _fill(df: DataFrame, cols: Sequence[str], key, order, chunk, forward: bool) -> DataFrame:
@@ -160,9 +178,10 @@ def linear_recurrences(df: DataFrame, specs: Sequence[tuple[str, Column, float,
     specs, chains = list(specs), list(chains)
     have_idx = IDX in df.columns
     d = materialize(df) if have_idx else with_index(df, key, order)
+    d, kk = _safe_keys(d, key, "_rk")
     c = min(block_size(a) for _, _, a, _ in specs)
     d = d.withColumn("_q", F.floor(F.col(IDX) / c)).withColumn("_i", (F.col(IDX) % c).cast("double"))
-    wq = Window.partitionBy(*key, "_q").orderBy(IDX).rowsBetween(Window.unboundedPreceding, 0)
+    wq = Window.partitionBy(*kk, "_q").orderBy(IDX).rowsBetween(Window.unboundedPreceding, 0)
     i = F.col("_i")
     cols = {}
     for k, (_, b, a, _) in enumerate(specs):
@@ -178,11 +197,11 @@ def linear_recurrences(df: DataFrame, specs: Sequence[tuple[str, Column, float,
     d = d.withColumns({n: e for n, e in cols.items() if n.startswith("_L")})
     d = d.withColumns({n: e for n, e in cols.items() if n.startswith("_M")})
     ks, ps = range(len(specs)), range(len(chains))
-    summ = d.groupBy(*key, "_q").agg(F.count(F.lit(1)).alias("_n"),
+    summ = d.groupBy(*kk, "_q").agg(F.count(F.lit(1)).alias("_n"),
                                      *[F.max_by(f"_L{k}", IDX).alias(f"_T{k}") for k in ks],
                                      *[F.max_by(f"_M{p}", IDX).alias(f"_U{p}") for p in ps])
-    folded = _carry_scan(summ, key, specs, chains, c)
-    d = d.join(folded, on=key + ["_q"], how="left")
+    folded = _carry_scan(summ, kk, specs, chains, c)
+    d = d.join(folded, on=kk + ["_q"], how="left")
     # block 0 has no carry row: its carry is the seed
     carry = {f"c{k}": F.coalesce(F.col(f"c{k}"), F.lit(float(seed))) for k, (_, _, _, seed) in enumerate(specs)}
     carry.update({f"e{p}": F.coalesce(F.col(f"e{p}"), F.lit(float(seed))) for p, (_, _, seed) in enumerate(chains)})
@@ -195,7 +214,7 @@ def linear_recurrences(df: DataFrame, specs: Sequence[tuple[str, Column, float,
         ai1 = F.pow(F.lit(a), i + 1)
         outs[out] = F.col(f"_M{p}") + ai1 * F.col(f"e{p}") + (1.0 - a) * (i + 1) * ai1 * F.col(f"c{k}")
     d = d.withColumns(outs)
-    d = d.drop("_q", "_i", *[f"_L{k}" for k in ks], *[f"c{k}" for k in ks],
+    d = d.drop("_q", "_i", *kk, *[f"_L{k}" for k in ks], *[f"c{k}" for k in ks],
                *[f"_M{p}" for p in ps], *[f"e{p}" for p in ps])
     return d if have_idx else d.drop(IDX)
 

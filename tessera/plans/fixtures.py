@@ -93,7 +93,7 @@ class Fixtures:
                 .otherwise((1 + (k * 3 + F.col("n_chars")) % 10).cast("string")))
         return d.select("doc_id", tic.alias("tic"),
                         F.date_add(F.lit("1995-01-01").cast("date"), offs).alias("created"),
-                        F.substring("text", 1, 40).alias("title"), F.col("text").alias("body"),
+                        F.regexp_extract("text", r"^[^.\n]*", 0).alias("title"), F.col("text").alias("body"),
                         rate.alias("benz_rate"))
 
     # F: quarterly earnings

@@ -27,7 +27,7 @@ def feature_frame(merged: DataFrame, horizon: int = HORIZON_ROWS) -> DataFrame:
     d = FE.lead_target(d, horizon, "close", "target")
     d = d.withColumn("labelled", F.col("target").isNotNull())
     d = FE.standardise(d, FEATURE_BASE + MONTHS, fit_mask="labelled")
-    d = FE.assemble(d, ["close"] + FEATURE_BASE + MONTHS, "features")
+    d = FE.assemble(d, ["close"] + FEATURE_BASE + MONTHS, "features", digits=4)
     return d.select("tic", "date", "close", "target", "labelled", "features")
 
 

@@ -24,7 +24,7 @@ GROUP BY o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE)""",
     "news": """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM'
     WHEN 3 THEN '4-NOT SPECIFIED' ELSE '5-LOW' END AS tic,
   DATE '1995-01-01' + CAST(((doc_id * 7) % 200) * 12 + floor(doc_id / 400) % 3 AS INT) AS created,
-  substr(text, 1, 40) AS title, text AS body,
+  regexp_extract(text, '^[^.\n]*', 0) AS title, text AS body,
   CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 17 = 0 THEN 'As an AI language model I cannot say'
        WHEN doc_id % 13 = 0 THEN 'Rate: 8' ELSE CAST(1 + (doc_id * 3 + n_chars) % 10 AS VARCHAR) END AS benz_rate
 FROM documents""",

@@ -29,7 +29,7 @@ def str_f1(spark, sf_dir):
     return _fx(spark, sf_dir).documents.select("doc_id", TX.normalise_text("text").alias("text"))
 
 
-SQL_STRIP = (f"regexp_replace(regexp_replace(html, '{TX.HTML_DROP}', '', 'g'), '{TX.HTML_TAG}', '', 'g')")
+SQL_STRIP = (f"regexp_replace(regexp_replace(html, '{TX.HTML_DROP}', '', 'g'), '{TX.HTML_TAG_SQL}', '', 'g')")
 
 
 @query("str_f2_html_strip_tags",
@@ -39,9 +39,9 @@ def str_f2(spark, sf_dir):
         "page_id", TX.html_to_text("html", decode_entities=False).alias("text"))
 
 
-@query("str_f2_html_to_text", None)
+@query("str_f2_html_to_text", f"SELECT page_id, {TX.html_text_sql('html')} AS text FROM pages")
 def str_f2_full(spark, sf_dir):
-    """Tags removed and entities decoded (Arrow UDF for the entity table): rows-only check."""
+    """Tags removed and entities decoded (Arrow UDF for the entity table)."""
     return _fx(spark, sf_dir).pages.select("page_id", TX.html_to_text("html").alias("text"))
 
 

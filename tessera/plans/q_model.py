@@ -102,7 +102,7 @@ def _flagship_sql() -> str:
             + f"lb AS (SELECT *, lead(close, {HORIZON_ROWS}) OVER (PARTITION BY tic ORDER BY date) AS target, "
             + f"lead(close, {HORIZON_ROWS}) OVER (PARTITION BY tic ORDER BY date) IS NOT NULL AS labelled FROM cal),\n"
             + f"st AS (SELECT tic, {stats} FROM lb GROUP BY tic)\n"
-            + f"SELECT lb.tic, lb.date, lb.close, lb.target, lb.labelled, [CAST(lb.close AS DOUBLE), {zs}] AS features\n"
+            + f"SELECT lb.tic, lb.date, lb.close, lb.target, lb.labelled, list_transform([CAST(lb.close AS DOUBLE), {zs}], lambda x: round(x, 4)) AS features\n"
             + "FROM lb JOIN st ON lb.tic = st.tic")
 
 
@@ -189,7 +189,19 @@ def ml_12(spark, sf_dir):
     return M.timeline(hist.unionByName(new)).select("tic", "date", "split", "prediction", "observed")
 
 
-@query("ml_14_rate_text", None)
+def lexicon_sql(body: str) -> str:
+    """The word-list score of a text in SQL."""
+    def lit(words):
+        return "(" + ", ".join(f"'{w}'" for w in sorted(words)) + ")"
+    words = (f"list_transform(string_split(trim(regexp_replace({body}, '{WS}', ' ', 'g')), ' '), "
+             "lambda w: lower(trim(w, '.,;:!?\"''()')))")
+    def hits(words_in):
+        return f"len(list_filter({words}, lambda w: w IN {lit(words_in)}))"
+    return f"CAST(greatest(1, least(10, 5 + {hits(R.POSITIVE)} - {hits(R.NEGATIVE)})) AS INT)"
+
+
+@query("ml_14_rate_text", f"""SELECT doc_id, {lexicon_sql('body')} AS rating FROM news
+WHERE TRY_CAST(benz_rate AS INT) IS NULL""", ("news",))
 def ml_14(spark, sf_dir):
     """Rate the stories that have no usable rating yet (offline word-list scorer)."""
     from tessera.operators.clean import parse_rating
@@ -213,9 +225,8 @@ def ml_15(spark, sf_dir):
 
 @query("win_11_turbulence", None)
 def win_11(spark, sf_dir):
-    from tessera.plans.q_relational import _brands
     r = pct_change(_fx(spark, sf_dir).bars_x, "close", "ret")
-    return turbulence(r, _brands(), lookback=252)
+    return turbulence(r, lookback=252)
 
 
 # ---- text plans ----------------------------------------------------------------------------
@@ -223,8 +234,9 @@ def win_11(spark, sf_dir):
 @query("pipe_08_news_batch", f"""
 SELECT doc_id, tic, created, title, body FROM (
   SELECT *, row_number() OVER (PARTITION BY created, title ORDER BY created, doc_id) AS rk FROM (
-    SELECT doc_id, tic, created, replace(title, '"', '') AS title,
-      trim(regexp_replace(replace(body, '"', ''), '{WS}', ' ', 'g')) AS body FROM news) c) x WHERE rk = 1""", ("news",))
+    SELECT *, row_number() OVER (PARTITION BY tic, title ORDER BY created, doc_id) AS rt FROM (
+      SELECT doc_id, tic, created, replace(title, '"', '') AS title, {TX.html_text_sql('body')} AS body FROM news) c) x
+  WHERE rt = 1) y WHERE rk = 1""", ("news",))
 def pipe_08(spark, sf_dir):
     from tessera.plans.textplans import news_batch
     return news_batch(_fx(spark, sf_dir).news)

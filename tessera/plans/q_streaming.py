@@ -19,6 +19,7 @@ from tessera.plans.registry import query
 from tessera.sources import feeds as FD
 from tessera.sources import readers as RD
 from tessera.sources import sinks as SK
+from tessera.plans.q_model import lexicon_sql
 from tessera.streaming import streams as ST
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -36,7 +37,7 @@ def _news_expr(d):
            .when(k % 5 == 3, "4-NOT SPECIFIED").otherwise("5-LOW"))
     offs = (((k * 7) % 200) * 12 + F.floor(k / 400) % 3).cast("int")
     return d.select("doc_id", tic.alias("tic"), F.date_add(F.lit("1995-01-01").cast("date"), offs).alias("created"),
-                    F.substring("text", 1, 40).alias("title"), F.col("text").alias("body"))
+                    F.regexp_extract("text", r"^[^.\n]*", 0).alias("title"), F.col("text").alias("body"))
 
 
 @query("stm_01_stream_news_dedupe", None)
@@ -93,7 +94,7 @@ def stm_04(spark, sf_dir):
     return spark.read.parquet(path + "/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("stm_05_stream_rate", None)
+@query("stm_05_stream_rate", f"""SELECT doc_id, {lexicon_sql('body')} AS rating, 0 AS batch_id FROM news""", ("news",))
 def stm_05(spark, sf_dir):
     s = _news_expr(ST.file_stream(spark, sf_dir, "documents", DOCS_SCHEMA))
     path = ST.scratch(spark, "stm05")
@@ -137,34 +138,90 @@ def src_05(spark, sf_dir):
 
 @query("src_06_load_news", f"""
 SELECT TRY_CAST(CAST(created AS VARCHAR) AS DATE) AS created, replace(title, '"', '') AS title,
-  trim(regexp_replace(replace(regexp_replace(regexp_replace(body, '{TX.HTML_DROP}', '', 'g'),
-    '{TX.HTML_TAG}', '', 'g'), '"', ''),
-    '{TX.WS_CLASS}', ' ', 'g')) AS body FROM news""", ("news",))
+  {TX.html_text_sql('body')} AS body FROM news""", ("news",))
 def src_06(spark, sf_dir):
     return RD.load_news(_fx(spark, sf_dir).news)
 
 
-@query("src_07_calendar_feed", """SELECT CAST(id AS VARCHAR) AS id, CAST(date AS VARCHAR) AS date, CAST(NULL AS VARCHAR) AS time, ticker,
-  CAST(NULL AS VARCHAR) AS exchange, CAST(NULL AS VARCHAR) AS name, importance, CAST(NULL AS BIGINT) AS updated, CAST(NULL AS VARCHAR) AS action_pt, action AS action_company,
-  CAST(NULL AS VARCHAR) AS rating_current, printf('%.2f', yield) AS pt_current, CAST(NULL AS VARCHAR) AS rating_prior, CAST(NULL AS VARCHAR) AS pt_prior, CAST(NULL AS VARCHAR) AS url,
-  CAST(NULL AS VARCHAR) AS url_calendar, CAST(NULL AS VARCHAR) AS url_news, CAST(NULL AS VARCHAR) AS analyst, CAST(NULL AS VARCHAR) AS analyst_id FROM feed""", ("feed",))
+@query("src_06_load_news_html", f"""
+SELECT DATE '2024-01-01' AS created, url AS title, {TX.html_text_sql('html')} AS body FROM pages""")
+def src_06_html(spark, sf_dir):
+    """Story bodies as web pages: tags removed, character references decoded."""
+    p = _fx(spark, sf_dir).table("pages")
+    return RD.load_news(p.select(F.lit("2024-01-01").alias("created"), F.col("url").alias("title"), F.col("html").alias("body")))
+
+
+def _feed_values(schema: str) -> list[tuple[str, str, str]]:
+    """(field, Spark SQL, DuckDB SQL) of a value for every field, derived from the feed rows."""
+    out = []
+    for field, kind in (f.split(None, 1) for f in schema.split(", ")):
+        name = field.rstrip(":")
+        one, duck = {
+            "int": ("importance", "importance"), "bigint": ("CAST(id * 10 AS BIGINT)", "CAST(id * 10 AS BIGINT)"),
+            "double": ("CAST(id AS DOUBLE) / 4", "CAST(id AS DOUBLE) / 4"), "boolean": ("importance > 2", "importance > 2"),
+            "array<string>": ("array(ticker, action)", "[ticker, action]"),
+        }.get(kind, (f"concat('{name}-', id)", f"concat('{name}-', id)"))
+        out.append((name, one, duck))
+    return out
+
+
+def _feed_query(feed: str, schema: str, key: str | None):
+    values = _feed_values(schema)
+
+    def run(spark, sf_dir):
+        """Payloads that fill every documented field, typed by the registry: no null is left."""
+        rec = F.struct(*[F.expr(one).alias(name) for name, one, _ in values])
+        body = F.to_json(F.struct(F.array(rec).alias(key))) if key else F.to_json(F.array(rec))
+        return FD.load_feed(_fx(spark, sf_dir).feed.select(body.alias("payload")), feed)
+
+    sql = "SELECT " + ", ".join(f'{duck} AS "{name}"' for name, _, duck in values) + " FROM feed"
+    kind = "src_07" if key else "src_10"
+    query(f"{kind}_{feed.replace('-', '_')}", sql, ("feed",))(run)
+
+
+for _name, (_key, _schema) in FD.CALENDAR_FEEDS.items():
+    _feed_query(_name, _schema, _key)
+for _name in ("security", "logos", "quote"):
+    _feed_query(_name, FD.REFERENCE_FEEDS[_name], None)
+
+
+@query("src_07_calendar_feed", "SELECT " + ", ".join(
+    {"id": "CAST(id AS VARCHAR) AS id", "date": "CAST(date AS VARCHAR) AS date", "ticker": "ticker",
+     "importance": "importance", "action_company": "action AS action_company",
+     "pt_current": "printf('%.2f', yield) AS pt_current"}.get(f, f'CAST(NULL AS {"BIGINT" if f == "updated" else "VARCHAR"}) AS {f}')
+    for f in FD.CALENDAR_FIELDS["ratings"][1].split()) + " FROM feed", ("feed",))
 def src_07(spark, sf_dir):
-    """Ratings-calendar payloads (one record each) built from the feed fixture, typed by
-    the registry."""
+    """Ratings-calendar payloads that hold only some of the documented fields."""
     f = _fx(spark, sf_dir).feed
     rec = F.struct(F.col("id").cast("string").alias("id"), F.col("date").cast("string").alias("date"),
                    F.col("ticker"), F.col("importance"), F.col("action").alias("action_company"),
                    F.format_string("%.2f", "yield").alias("pt_current"))
-    p = f.select(F.to_json(F.struct(F.array(rec).alias("ratings"))).alias("payload"))
-    return FD.load_feed(p, "ratings")
+    return FD.load_feed(f.select(F.to_json(F.struct(F.array(rec).alias("ratings"))).alias("payload")), "ratings")
 
 
-@query("src_08_fundamentals", None)
+@query("src_08_fundamentals", """SELECT 'valuation-ratios' AS feed, symbol, CAST(NULL AS VARCHAR) AS isin,
+  CAST(NULL AS VARCHAR) AS cik, '2024-01-31' AS "asOf", DATE '2024-01-31' AS as_of,
+  '{"symbol":"' || symbol || '","asOf":"2024-01-31","sector":"' || sector || '"}' AS record FROM universe""", ("universe",))
 def src_08(spark, sf_dir):
-    u = _fx(spark, sf_dir).universe
-    rec = F.to_json(F.struct(F.col("symbol"), F.lit("2024-01-31").alias("asOf"), F.col("marketcap")))
-    p = u.select(F.to_json(F.array(rec)).alias("payload"))
-    return FD.load_fundamentals(p, "valuation-ratios")
+    rec = F.to_json(F.struct(F.col("symbol"), F.lit("2024-01-31").alias("asOf"), F.col("sector")))
+    return FD.load_fundamentals(_fx(spark, sf_dir).universe.select(F.to_json(F.array(rec)).alias("payload")), "valuation-ratios")
+
+
+def _fundamentals_query(feed: str):
+    def run(spark, sf_dir):
+        u = _fx(spark, sf_dir).universe
+        rec = F.to_json(F.struct("symbol", F.col("name").alias("isin"), F.col("exchange").alias("cik"),
+                                 F.lit("2024-01-31").alias("asOf")))
+        return FD.load_fundamentals(u.select(F.to_json(F.array(rec)).alias("payload")), feed)
+
+    query(f"src_08_feed_{feed.replace('-', '_')}", f"""SELECT '{feed}' AS feed, symbol, name AS isin, exchange AS cik,
+  '2024-01-31' AS "asOf", DATE '2024-01-31' AS as_of,
+  '{{"symbol":"' || symbol || '","isin":"' || name || '","cik":"' || exchange || '","asOf":"2024-01-31"}}' AS record
+FROM universe""", ("universe",))(run)
+
+
+for _name in FD.FUNDAMENTAL_FEEDS:
+    _fundamentals_query(_name)
 
 
 @query("src_10_reference_quote", """SELECT symbol, close AS last, CAST(NULL AS DOUBLE) AS previousClose,

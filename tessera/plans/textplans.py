@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import normalise_text
+from tessera.functions.text import html_to_text
 from tessera.operators import bars as B
 from tessera.operators import clean as C
 from tessera.operators.events import dedupe_first, join_fragments
@@ -14,12 +14,17 @@ from tessera.sources.readers import load_videos
 
 
 def news_batch(raw: DataFrame) -> DataFrame:
-    """PIPE-08 every ticker's stories cleaned (quotes out of titles, normalised bodies),
-    one table, de-duplicated on (created, title) keeping the first by created."""
-    d = raw.select("doc_id", "tic", "created", F.regexp_replace("title", '"', "").alias("title"),
-                   normalise_text("body").alias("body"))
-    d = d.na.drop(subset=["created", "title", "body"])
-    return dedupe_first(d, ["created", "title"], ["created", "doc_id"])
+    """PIPE-08 every ticker's stories cleaned (quotes out of titles; bodies without HTML tags
+    and entities, white space normalised), one table; of stories with one title within a
+    ticker the first stays, then of those with one (created, title) over all tickers.
+
+    Only ids, dates and titles are compared and shuffled; the bodies are read once, for the
+    stories that stay."""
+    d = raw.withColumn("title", F.regexp_replace("title", '"', "")).na.drop(subset=["created", "title", "body"])
+    keys = d.select("doc_id", "tic", "created", "title")
+    first = dedupe_first(keys, ["tic", "title"], ["created", "doc_id"])
+    first = dedupe_first(first, ["created", "title"], ["created", "doc_id"]).select("doc_id")
+    return d.join(first, "doc_id", "left_semi").select("doc_id", "tic", "created", "title", html_to_text("body").alias("body"))
 
 
 def clean_ratings(df: DataFrame, col: str = "benz_rate") -> DataFrame:

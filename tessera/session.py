@@ -48,6 +48,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
@@ -82,7 +84,7 @@ def _plan_weight(df: DataFrame) -> int:
     return sum(p.count(k) for k in ("Join ", "Window [", "Aggregate [", "Union "))
 
 
-def materialize(df: DataFrame, min_weight: int = 2) -> DataFrame:
+def materialize(df: DataFrame, min_weight: int = 2, pin: bool = False) -> DataFrame:
     """Cut the lineage of ``df`` before it is used twice (rows and per-block summaries).
 
     Chained ordered-series operators each read their input twice; without a cut the
@@ -91,13 +93,15 @@ def materialize(df: DataFrame, min_weight: int = 2) -> DataFrame:
     the shared ``spark.checkpoint.dir`` (one job, columnar, survives executor loss; an RDD
     ``checkpoint()`` would compute the input twice) and read back; plain scans and
     projections are returned unchanged.  Session option ``tessera.materialize=false``
-    disables it.
+    disables it, but for ``pin``: such a table is always written, because it fixes values
+    that depend on the physical layout.
     """
     spark = df.sparkSession
-    if spark.conf.get("tessera.materialize", "true").lower() == "false":
-        return df
-    if _plan_weight(df) < min_weight:
-        return df
+    if not pin:
+        if spark.conf.get("tessera.materialize", "true").lower() == "false":
+            return df
+        if _plan_weight(df) < min_weight:
+            return df
     path = f"{checkpoint_dir(spark).rstrip('/')}/tessera-mat-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     _MATERIALIZED.append(path)

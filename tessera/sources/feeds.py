@@ -12,36 +12,39 @@ from pyspark.sql import functions as F
 
 from tessera.sources.readers import ddl_fields, explode_payload
 
-_CAL_COMMON = "id string, date string, time string, ticker string, exchange string, name string, importance int, updated bigint"
-
-# Calendar feeds, their payload keys and record fields.
-CALENDAR_FEEDS = {
-    "dividends": ("dividends", _CAL_COMMON + ", currency string, frequency int, dividend string, dividend_type string, "
-                  "dividend_yield string, ex_dividend_date string, payable_date string, record_date string"),
-    "earnings": ("earnings", _CAL_COMMON + ", period string, period_year int, currency string, eps string, "
-                 "eps_est string, eps_prior string, eps_surprise string, eps_surprise_percent string, eps_type string, "
-                 "revenue string, revenue_est string, revenue_prior string, revenue_surprise string, "
-                 "revenue_surprise_percent string, revenue_type string"),
-    "splits": ("splits", _CAL_COMMON + ", ratio string, optionable boolean, date_ex string, date_recorded string, "
-               "date_distribution string"),
-    "economics": ("economics", "id string, date string, time string, country string, event_name string, "
-                  "event_period string, period_year int, actual string, actual_t string, consensus string, "
-                  "consensus_t string, prior string, prior_t string, importance int, updated bigint, description string"),
-    "guidance": ("guidance", _CAL_COMMON + ", period string, period_year int, prelim string, eps_guidance_est string, "
-                 "eps_guidance_max string, eps_guidance_min string, eps_guidance_prior_max string, "
-                 "eps_guidance_prior_min string, revenue_guidance_est string, revenue_guidance_max string, "
-                 "revenue_guidance_min string, revenue_guidance_prior_max string, revenue_guidance_prior_min string"),
-    "ipos": ("ipos", _CAL_COMMON + ", pricing_date string, price_min string, price_max string, deal_status string, "
-             "insider_lockup_days int, insider_lockup_date string, offering_value int, offering_shares int, "
-             "lead_underwriters array<string>, underwriter_quiet_expiration_date string, notes string"),
-    "retail": ("retail", _CAL_COMMON + ", period string, period_year int, sss string, sss_est string, "
-               "retail_surprise string"),
-    "ratings": ("ratings", _CAL_COMMON + ", action_pt string, action_company string, rating_current string, "
-                "pt_current string, rating_prior string, pt_prior string, url string, url_calendar string, "
-                "url_news string, analyst string, analyst_id string"),
-    "conference-calls": ("conference", _CAL_COMMON + ", start_time string, phone_num string, "
-                         "international_num string, reservation_num string, access_code string, webcast_url string"),
+# Calendar feeds, their payload keys and documented fields.
+CALENDAR_FIELDS = {
+    "dividends": ("dividends", "id date updated isin ticker name exchange frequency dividend dividend_prior dividend_type "
+                  "dividend_yield ex_dividend_date payable_date record_date importance"),
+    "earnings": ("earnings", "id date date_confirmed time isin ticker exchange name period period_year eps eps_est eps_prior "
+                 "eps_surprise eps_surprise_percent revenue revenue_est revenue_prior revenue_surprise "
+                 "revenue_surprise_percent importance updated"),
+    "splits": ("splits", "id updated date time ticker exchange importance ratio optionable date_ex date_recorded "
+               "date_distribution"),
+    "economics": ("economics", "id date time country event_name event_period period_year actual actual_t consensus "
+                  "consensus_t prior importance updated description"),
+    "guidance": ("guidance", "id date time ticker exchange name period period_year prelim eps_guidance_est eps_guidance_max "
+                 "eps_guidance_min eps_guidance_prior_max eps_guidance_prior_min revenue_guidance_est "
+                 "revenue_guidance_max revenue_guidance_min revenue_guidance_prior_max revenue_guidance_prior_min "
+                 "importance updated"),
+    "ipos": ("ipos", "id date time ticker exchange name pricing_date price_min price_max deal_status insider_lockup_days "
+             "insider_lockup_date offering_value offering_shares lead_underwriters underwriter_quiet_expiration_days "
+             "underwriter_quiet_expiration_date update"),
+    "retail": ("retail", "id date time ticker exchange name importance period period_year sss sss_est retail_surprise "
+               "updated"),
+    "ratings": ("ratings", "id date time ticker exchange name action_pt action_company rating_current pt_current "
+                "rating_prior pt_prior url importance updated url_calendar url_news analyst analyst_name"),
+    "conference-calls": ("conference", "id date time ticker exchange name start_time phone_num international_line "
+                         "reservation_num access_code webcast_url importance updated"),
+}
+#: Types of the fields that are not text.
+FIELD_TYPES = {
+    "importance": "int", "period_year": "int", "frequency": "int", "insider_lockup_days": "int",
+    "underwriter_quiet_expiration_days": "int", "updated": "bigint", "update": "bigint", "offering_value": "bigint",
+    "offering_shares": "bigint", "optionable": "boolean", "lead_underwriters": "array<string>",
 }
+CALENDAR_FEEDS = {feed: (key, ", ".join(f"{f} {FIELD_TYPES.get(f, 'string')}" for f in fields.split()))
+                  for feed, (key, fields) in CALENDAR_FIELDS.items()}
 
 FUNDAMENTAL_FEEDS = ["fundamentals", "financials", "valuation-ratios", "earning-ratios", "operation-ratios",
                      "share-class", "share-class-profile-history", "earning-reports", "alpha-beta", "company",

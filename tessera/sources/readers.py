@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.text import normalise_text, strip_tags
+from tessera.functions.text import html_to_text
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
@@ -125,7 +125,7 @@ def load_news(raw: DataFrame, created: str = "created", title: str = "title", bo
     removed from titles, HTML bodies to clean text, rows missing any of the three dropped."""
     d = raw.select(F.to_date(F.try_to_timestamp(F.col(created).cast("string"))).alias("created"),
                    F.regexp_replace(F.col(title), '"', "").alias("title"),
-                   normalise_text(strip_tags(F.col(body))).alias("body"))
+                   html_to_text(F.col(body)).alias("body"))
     return d.na.drop(subset=["created", "title", "body"])
 
 
