@@ -16,14 +16,16 @@ from tessera.operators.series import bfill, ffill
 
 
 def asof_backward(left: DataFrame, right: DataFrame, cols: Sequence[str], key="tic",
-                  order="date") -> DataFrame:
+                  order="date", tie: Sequence[str] = ()) -> DataFrame:
     """JOIN-07: for each left row, the latest non-null value of each ``cols`` from
     ``right`` at or before the left row's ``order`` value (per column, like a forward
-    fill).  Right rows sort before left rows of the same date."""
+    fill).  Right rows sort before left rows of the same date; among right rows of one date
+    the last by the ``tie`` columns of ``right`` wins (without any, an arbitrary one)."""
     keys = [key] if isinstance(key, str) else list(key)
     cols = list(cols)
     l = left.withColumn("_tag", F.lit(1))
-    r = right.select(*keys, order, *cols).withColumn("_tag", F.lit(0))
+    ties = [f"_tie{i}" for i in range(len(tie))]
+    r = right.select(*keys, order, *cols, *[F.col(c).alias(t) for c, t in zip(tie, ties)]).withColumn("_tag", F.lit(0))
     for c in cols:
         if c not in left.columns:
             l = l.withColumn(c, F.lit(None).cast(right.schema[c].dataType))
@@ -31,10 +33,10 @@ def asof_backward(left: DataFrame, right: DataFrame, cols: Sequence[str], key="t
     # right-side values only: null them on left rows so a left column of the same name
     # is not taken as a known value
     u = u.withColumns({f"_r_{i}": F.when(F.col("_tag") == 0, F.col(c)) for i, c in enumerate(cols)})
-    filled = ffill(u, [f"_r_{i}" for i in range(len(cols))], key=keys, order=[order, "_tag"])
+    filled = ffill(u, [f"_r_{i}" for i in range(len(cols))], key=keys, order=[order, "_tag", *ties])
     out = filled.filter(F.col("_tag") == 1)
     out = out.withColumns({c: F.col(f"_r_{i}") for i, c in enumerate(cols)})
-    return out.drop("_tag", *[f"_r_{i}" for i in range(len(cols))])
+    return out.drop("_tag", *ties, *[f"_r_{i}" for i in range(len(cols))])
 
 
 def session_roll(df: DataFrame, sessions: DataFrame, key="tic", date="date", out="session") -> DataFrame:
@@ -49,14 +51,21 @@ def session_roll(df: DataFrame, sessions: DataFrame, key="tic", date="date", out
     return filled.filter(F.col("_tag") == 0).drop("_tag")
 
 
-def point_in_time(facts: DataFrame, records: DataFrame, key: str, as_of: str, record_date: str,
-                  record_cols: Sequence[str]) -> DataFrame:
+def point_in_time(facts: DataFrame, records: DataFrame, key, as_of: str, record_date: str, record_cols: Sequence[str],
+                  tie: Sequence[str] = (), where: dict | None = None) -> DataFrame:
     """JOIN-12: for each fact row (key, as_of), the whole latest record with
-    ``record_date <= as_of`` (record-wise, not column-wise)."""
-    rec = records.select(F.col(key), F.col(record_date).alias("_d"),
-                         F.struct(*record_cols).alias("_rec"))
+    ``record_date <= as_of`` (record-wise, not column-wise).
+
+    ``key``: one column or several (symbol, isin, cik); ``where``: values that a record must
+    have (period, report type); ``tie``: among records of one date the last by these wins."""
+    key = [key] if isinstance(key, str) else list(key)
+    for c, v in (where or {}).items():
+        records = records.filter(F.col(c) == v)
+    ties = [f"_tie{i}" for i in range(len(tie))]
+    rec = records.select(*key, F.col(record_date).alias("_d"), F.struct(*record_cols).alias("_rec"),
+                         *[F.col(c).alias(t) for c, t in zip(tie, ties)])
     f = facts.withColumn("_d", F.col(as_of))
     u = f.withColumn("_tag", F.lit(1)).unionByName(rec.withColumn("_tag", F.lit(0)), allowMissingColumns=True)
-    filled = ffill(u, ["_rec"], key=key, order=["_d", "_tag"])
+    filled = ffill(u, ["_rec"], key=key, order=["_d", "_tag", *ties])
     out = filled.filter(F.col("_tag") == 1)
     return out.select(*facts.columns, *[F.col("_rec")[c].alias(c) for c in record_cols])

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.dates import resolve_start
+from tessera.operators.screen import market_session
+
 from tessera.functions.text import normalise_interval
 from tessera.operators.series import IDX, fill, with_index
 
@@ -48,6 +53,22 @@ def resample(df: DataFrame, interval: str = "5Min", key: str = "tic", ts: str =
     return d.groupBy(key, F.col("_b").alias(ts)).agg(*aggs)
 
 
+def candles(df: DataFrame, date_from: str, today, interval: str = "5Min", date_to=None, session: str = "ANY", ts: str = "ts",
+            **options) -> DataFrame:
+    """SRC-14 candles from a start date or a relative one (YTD, 1d, 5d, 1m; against ``today``)
+    to ``date_to`` (inclusive), of any or only of the regular session."""
+    relative = not re.match(r"\d{4}-\d{2}-\d{2}$", date_from)
+    start = resolve_start(date_from, today) if relative else F.lit(date_from).cast("date")
+    d = df.filter(F.col(ts) >= start.cast("timestamp_ntz"))
+    if date_to is not None:
+        d = d.filter(F.col(ts) < F.date_add(F.lit(str(date_to)).cast("date"), 1).cast("timestamp_ntz"))
+    if session == "REGULAR":
+        d = d.filter(market_session(F.col(ts)) == "REGULAR")
+    elif session != "ANY":
+        raise ValueError("session must be ANY or REGULAR")
+    return resample(d, interval, ts=ts, **options)
+
+
 def quote_stats(df: DataFrame, key: str = "tic", date: str = "date") -> DataFrame:
     """AGG-12 latest quote per ticker: last close, previous close, change, change %,
     50-row average close, 52-week (365-day) high / low, last volume.

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import truncate_words
 from tessera.operators.joins import unrated
-from tessera.session import broadcast_bounded
 
 # Our own default word lists for the offline scorer.
 POSITIVE = {"gain", "gains", "growth", "beat", "beats", "record", "strong", "upgrade", "profit", "rise", "rises",
@@ -76,24 +75,25 @@ def rate_text(df: DataFrame, scorer: Callable[[pd.Series], pd.Series] = lexicon_
 
 
 def centroids(labelled: DataFrame, vec: str = "embedding", label: str = "label") -> DataFrame:
-    """Per-class mean vector in long form (label, dim, c): one aggregate, bounded by
-    classes x dimensions."""
+    """Per-class mean vector (label, c array<double>): aggregated by (label, dimension) first,
+    so what meets per class is one row a dimension."""
     e = labelled.select(label, F.posexplode(vec).alias("dim", "x"))
-    return e.groupBy(label, "dim").agg(F.avg(F.col("x").cast("double")).alias("c"))
+    means = e.groupBy(label, "dim").agg(F.avg(F.col("x").cast("double")).alias("c"))
+    return means.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "c"))), lambda x: x["c"]).alias("c"))
 
 
 def few_shot(queries: DataFrame, labelled: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
              label: str = "label") -> DataFrame:
-    """ML-15 nearest labelled centroid by cosine similarity.  Dot products are an equi-join
-    on the dimension index against the broadcast centroid table (classes x dims rows),
-    summed per (query, class); no cross join."""
-    c = centroids(labelled, vec, label)
-    cn = c.groupBy(label).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("cn"))
-    q = queries.select(id_col, F.posexplode(vec).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
-    qn = q.groupBy(id_col).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("qn"))
-    dots = q.join(broadcast_bounded(c), "dim").groupBy(id_col, label).agg(F.sum(F.col("x") * F.col("c")).alias("dot"))
-    s = dots.join(qn, id_col).join(broadcast_bounded(cn), label)
-    s = s.withColumn("cos", F.col("dot") / (F.col("qn") * F.col("cn")))
-    best = s.groupBy(id_col).agg(F.max_by(F.struct("cos", label), F.struct("cos", (-F.col(label)).alias("nl")))
-                                 .alias("b"))
-    return best.select(id_col, F.col("b")[label].alias("predicted"), F.col("b.cos").alias("similarity"))
+    """ML-15 nearest labelled centroid by cosine similarity (ties to the smaller label).  The
+    centroids are one scalar subquery (classes x dimensions, bounded by the classes); every
+    vector is compared in place, without an explode, a join or a shuffle of the queries."""
+    def dot(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda t, p: t + p)
+
+    classes = centroids(labelled, vec, label).agg(F.collect_list(F.struct(label, "c")).alias("cs"))
+    q = queries.filter(F.size(vec) > 0).select(id_col, F.col(vec).alias("_v")).withColumn("_cs", classes.scalar())
+    q = q.withColumn("_n", F.sqrt(F.aggregate("_v", F.lit(0.0), lambda t, x: t + x.cast("double") * x)))
+    one = F.transform("_cs", lambda k: F.struct((dot(F.col("_v"), k["c"]) / (F.col("_n") * F.sqrt(dot(k["c"], k["c"])))).alias("cos"),
+                                               (-k[label]).alias("nl"), k[label].alias("label")))
+    best = q.select(id_col, F.array_max(one).alias("b"))
+    return best.select(id_col, F.col("b.label").alias("predicted"), F.col("b.cos").alias("similarity"))

@@ -9,6 +9,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import parse_amount
+
 from tessera.functions.text import SUFFIX
 from tessera.session import broadcast_bounded, materialize
 
@@ -93,20 +95,46 @@ def change_over(df: DataFrame, start, end, key: str = "tic", date: str = "date",
     return g.withColumn("change_pct", F.try_divide(F.col("last") - F.col("first"), F.col("first")) * 100)
 
 
-def movers(df: DataFrame, start, end, k: int = 10, key: str = "tic", date: str = "date") -> DataFrame:
+def movers(df: DataFrame, start, end, k: int = 10, key: str = "tic", date: str = "date", universe: DataFrame | None = None,
+           market_cap_gt: str | None = None, market_cap_lt: str | None = None, close_gt: float | None = None,
+           sector: str | None = None, industry: str | None = None, session: str | None = None) -> DataFrame:
     """FLT-10 / SRT-04 top-k gainers and losers by change % over [start, end]
-    (``side``, ``rank``); each side is a TakeOrdered, no full sort."""
+    (``side``, ``rank``); each side is a TakeOrdered, no full sort.
+
+    The filters look at ``universe`` (key, marketcap, close, sector, industry; one row a
+    ticker): market caps as amounts ("1b"), a least close, a sector, an industry.  ``session``
+    keeps the rows of one session of an intraday ``date`` column."""
+    if session is not None:
+        df = df.filter(market_session(F.col(date)) == session)
+    wanted = []
+    for name, op, value in (("marketcap", "gt", market_cap_gt), ("marketcap", "lt", market_cap_lt), ("close", "gt", close_gt)):
+        if value is not None:
+            bound = parse_amount(F.lit(str(value)))
+            wanted.append(F.col(name) > bound if op == "gt" else F.col(name) < bound)
+    wanted += [F.col(c) == v for c, v in (("sector", sector), ("industry", industry)) if v is not None]
+    if wanted:
+        if universe is None:
+            raise ValueError("the filters need a universe")
+        for cond in wanted:
+            universe = universe.filter(cond)
+        df = df.join(universe.select(key).distinct(), key, "left_semi")
     ch = change_over(df, start, end, key, date)
     g = ch.orderBy(F.col("change_pct").desc(), F.col(key)).limit(k).withColumn("side", F.lit("gainer"))
     losers = ch.orderBy(F.col("change_pct").asc(), F.col(key)).limit(k).withColumn("side", F.lit("loser"))
     return g.unionByName(losers)
 
 
+def market_session(ts) -> Column:
+    """Session of a wall-clock timestamp: PRE_MARKET before 9:30, REGULAR to 16:00, AFTER_MARKET."""
+    minute = F.hour(ts) * 60 + F.minute(ts)
+    return F.when(minute < 570, "PRE_MARKET").when(minute < 960, "REGULAR").otherwise("AFTER_MARKET")
+
+
 def autocomplete(df: DataFrame, q: str, method: str = "symbol", limit: int = 10, symbol: str = "symbol",
-                 name: str = "name") -> DataFrame:
+                 name: str = "name", exchanges: Sequence[str] | None = None, types: Sequence[str] | None = None) -> DataFrame:
     """FLT-11 symbol lookup: ``symbol`` prefix; ``symbol_name`` prefix of the symbol or of
     any word of the name; ``symbol_within`` substring of the symbol.  Case-insensitive,
-    ordered by symbol, first ``limit``."""
+    ordered by symbol, first ``limit``; only the given exchanges and types, if any."""
     ql = q.lower()
     s = F.lower(F.col(symbol))
     if method == "symbol":
@@ -117,6 +145,9 @@ def autocomplete(df: DataFrame, q: str, method: str = "symbol", limit: int = 10,
         cond = s.contains(ql)
     else:
         raise ValueError("method must be symbol, symbol_name or symbol_within")
+    for column, values in (("exchange", exchanges), ("type", types)):
+        if values is not None:
+            cond = cond & F.col(column).isin(list(values))
     return df.filter(cond).orderBy(symbol).limit(limit)
 
 

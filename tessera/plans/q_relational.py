@@ -113,9 +113,8 @@ CROSS JOIN (SELECT unnest(generate_series((SELECT min(ts) FROM bars_h), (SELECT
 LEFT JOIN bars_h h ON h.tic = k.tic AND h.ts = g.ts""", ("bars_h",))
 def join_09(spark, sf_dir):
     h = _fx(spark, sf_dir).bars_h
-    keys = h.groupBy("tic").agg(F.lit(1).alias("_one")).join(
-        F.broadcast(h.agg(F.min("ts").alias("_lo"), F.max("ts").alias("_hi"), F.lit(1).alias("_one"))), "_one")
-    return J.spine_join(h.select("tic", "ts", "close"), keys.drop("_one"), "_lo", "_hi", "1 HOUR", "ts")
+    keys = h.select("tic").distinct().withColumns({"_lo": h.select(F.min("ts")).scalar(), "_hi": h.select(F.max("ts")).scalar()})
+    return J.spine_join(h.select("tic", "ts", "close"), keys, "_lo", "_hi", "1 HOUR", "ts")
 
 
 @query("join_10_cross_params", """
@@ -392,9 +391,8 @@ SELECT tic, ts, coalesce(open, fill) AS open, coalesce(high, fill) AS high, coal
   coalesce(close, fill) AS close, coalesce(volume, 0.0) AS volume FROM f""", ("bars_h",))
 def win_12(spark, sf_dir):
     h = _fx(spark, sf_dir).bars_h
-    keys = h.groupBy("tic").agg(F.lit(1).alias("_one")).join(
-        F.broadcast(h.agg(F.min("ts").alias("_lo"), F.max("ts").alias("_hi"), F.lit(1).alias("_one"))), "_one")
-    return B.gap_fill(h, keys.drop("_one"), "_lo", "_hi", "1 HOUR")
+    keys = h.select("tic").distinct().withColumns({"_lo": h.select(F.min("ts")).scalar(), "_hi": h.select(F.max("ts")).scalar()})
+    return B.gap_fill(h, keys, "_lo", "_hi", "1 HOUR")
 
 
 # ---- sort, limit, set ----------------------------------------------------------------------
@@ -430,6 +428,38 @@ def flt_10(spark, sf_dir):
     return m.withColumn("change_pct", round_half_up("change_pct", 6))
 
 
+@query("flt_10_movers_filtered", f"""WITH u AS (SELECT p_brand AS tic, max(p_retailprice) AS close, sum(p_retailprice * p_size) AS marketcap
+  FROM part GROUP BY p_brand),
+{SQL_CHANGE.replace('bars_x', '(SELECT * FROM bars_x WHERE tic IN (SELECT tic FROM u WHERE marketcap > 100000 AND marketcap < 2200000 AND close > 910))')}
+SELECT tic, first, last, round(change_pct, 6) AS change_pct, side FROM (
+  (SELECT *, 'gainer' AS side FROM ch ORDER BY change_pct DESC, tic LIMIT 5)
+  UNION ALL (SELECT *, 'loser' AS side FROM ch ORDER BY change_pct ASC, tic LIMIT 5)) x""", ("bars_x",))
+def flt_10_f(spark, sf_dir):
+    """Movers among tickers of a market cap and a close price."""
+    fx = _fx(spark, sf_dir)
+    u = fx.table("part").groupBy(F.col("p_brand").alias("tic")).agg(
+        F.max("p_retailprice").alias("close"), F.sum(F.col("p_retailprice") * F.col("p_size")).alias("marketcap"))
+    m = S.movers(fx.bars_x, "1996-01-01", "1996-12-31", k=5, universe=u, market_cap_gt="100k", market_cap_lt="2.2m", close_gt=910)
+    return m.withColumn("change_pct", round_half_up("change_pct", 6))
+
+
+@query("flt_11_autocomplete_exchange", """SELECT * FROM universe WHERE lower(symbol) LIKE 'p1%'
+  AND exchange IN ('Brand#1', 'Brand#13') ORDER BY symbol LIMIT 10""", ("universe",))
+def flt_11_exchange(spark, sf_dir):
+    return S.autocomplete(_fx(spark, sf_dir).universe, "P1", "symbol", 10, exchanges=["Brand#1", "Brand#13"])
+
+
+@query("src_14_candles_session", """
+SELECT event_type AS tic, time_bucket(INTERVAL 15 MINUTE, ts) AS ts, min_by(value, (ts, event_id)) AS open, max(value) AS high,
+  min(value) AS low, max_by(value, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume
+FROM events WHERE ts >= DATE '2024-01-01' AND hour(ts) * 60 + minute(ts) BETWEEN 570 AND 959
+GROUP BY event_type, time_bucket(INTERVAL 15 MINUTE, ts)""")
+def src_14_session(spark, sf_dir):
+    """Candles of the regular session since the start of the year."""
+    ev = _fx(spark, sf_dir).events.withColumnRenamed("event_type", "tic")
+    return B.candles(ev, "YTD", "2024-01-31", "15Min", session="REGULAR", price="value", volume=None, tie="event_id")
+
+
 @query("srt_04_top_k", f"""WITH {SQL_CHANGE}
 SELECT tic, round(change_pct, 6) AS change_pct FROM ch ORDER BY change_pct DESC, tic LIMIT 3""", ("bars_x",))
 def srt_04(spark, sf_dir):

@@ -105,3 +105,36 @@ def test_news_text(spark):
     odd = spark.createDataFrame([("<p title=\"a>b\">x</p>",), ("a < b it's 5 > 3",), ("<a " + "b='c' " * 20000 + ">y",)], "h string")
     assert [r[0] for r in odd.select(strip_tags("h")).collect()] == ["x", "a < b it's 5 > 3", "y"]
     assert odd.select(html_to_text("h")).first()[0] == "x"
+
+
+def test_ties_and_record_filters(spark):
+    from tessera.operators.asof import asof_backward, point_in_time
+    facts = spark.createDataFrame([("A", D(2024, 1, 5))], "tic string, date date")
+    rec = spark.createDataFrame([("A", D(2024, 1, 2), 1, "Q", 1.0), ("A", D(2024, 1, 2), 3, "Q", 3.0), ("A", D(2024, 1, 2), 2, "Q", 2.0),
+                                 ("A", D(2024, 1, 3), 9, "Y", 9.0)], "tic string, date date, seq int, period string, v double")
+    assert asof_backward(facts, rec.filter("period = 'Q'"), ["v"], tie=["seq"]).first()["v"] == 3.0
+    got = point_in_time(facts, rec, ["tic"], "date", "date", ["v"], tie=["seq"], where={"period": "Q"})
+    assert got.columns == ["tic", "date", "v"] and got.first()["v"] == 3.0
+
+
+def test_checkpoint_folder_is_required_on_a_cluster(spark):
+    from types import SimpleNamespace
+    from tessera.session import checkpoint_dir
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077",
+                              getConf=lambda: SimpleNamespace(get=lambda k, d: None))
+    with pytest.raises(RuntimeError, match="shared folder"):
+        checkpoint_dir(SimpleNamespace(sparkContext=context))
+
+
+def test_movers_filters(spark):
+    from tessera.operators.screen import movers
+    rows = [(t, dt.datetime(2024, 1, d, h), p) for t, a, b in (("A", 1.0, 2.0), ("B", 1.0, 3.0), ("C", 1.0, 0.5))
+            for d, h, p in ((2, 10, a), (3, 10, b), (3, 20, 99.0))]
+    df = spark.createDataFrame(rows, "tic string, ts timestamp_ntz, close double")
+    u = spark.createDataFrame([("A", 2e9, 5.0, "x", "i"), ("B", 5e8, 5.0, "x", "j"), ("C", 3e9, 1.0, "y", "i")],
+                              "tic string, marketcap double, close double, sector string, industry string")
+    def top(**f):
+        m = movers(df, "2024-01-01", "2024-01-04", date="ts", session="REGULAR", universe=u, **f)
+        return [r.tic for r in m.filter("side = 'gainer'").collect()]
+    assert top() == ["B", "A", "C"] and top(market_cap_gt="1b") == ["A", "C"] and top(market_cap_lt="2.5b") == ["B", "A"]
+    assert top(close_gt=4) == ["B", "A"] and top(sector="y") == ["C"] and top(industry="i") == ["A", "C"]
