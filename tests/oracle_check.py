@@ -36,8 +36,8 @@ def _norm(v):
         return ("t", v.replace(tzinfo=None).isoformat())
     if isinstance(v, dt.date):
         return ("t", dt.datetime(v.year, v.month, v.day).isoformat())
-    if isinstance(v, (list, tuple)):
-        return ("l",) + tuple(_norm(x) for x in v)
+    if isinstance(v, (list, tuple)):  # nested floats are compared to the last digit
+        return ("l",) + tuple(("f", x) if isinstance(x, float) and not math.isnan(x) else _norm(x) for x in v)
     if isinstance(v, dict):
         return ("d",) + tuple(sorted((k, _norm(x)) for k, x in v.items()))
     if hasattr(v, "asDict"):
