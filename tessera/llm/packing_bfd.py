@@ -82,28 +82,27 @@ def best_fit_decreasing(sizes: list[int], window: int) -> list[list[int]]:
 def _matrix(windows: list[list[tuple]], window: int, pad_id: int, matrix_id: int) -> dict:
     """One output row.  ``cu_seqlens`` runs over the flattened matrix: a padded tail is a
     segment of its own, with null document and start."""
-    ids = np.full((len(windows), window), pad_id, dtype="<u4")
-    pos = np.zeros((len(windows), window), dtype="<u4")
-    cu, docs, starts, totals = [0], [], [], []
-    for r, pieces in enumerate(windows):
-        at = 0
+    parts, sizes, docs, starts, totals = [], [], [], [], []
+    for pieces in windows:
+        room = window
         for doc, start, piece, total in pieces:
-            n = len(piece)
-            ids[r, at:at + n] = piece
-            pos[r, at:at + n] = np.arange(n)
-            at += n
-            cu.append(cu[-1] + n)
+            parts.append(piece)
+            sizes.append(len(piece))
             docs.append(doc)
             starts.append(start)
             totals.append(total)
-        if at < window:
-            pos[r, at:] = np.arange(window - at)
-            cu.append(cu[-1] + window - at)
+            room -= len(piece)
+        if room:
+            parts.append(np.full(room, pad_id, dtype="<u4"))
+            sizes.append(room)
             docs.append(None)
             starts.append(None)
             totals.append(None)
-    return {"matrix_id": matrix_id, "n_rows": len(windows), "n_cols": window, "input_ids": ids.tobytes(),
-            "position_ids": pos.tobytes(), "cu_seqlens": cu, "doc_ids": docs, "starts": starts, "doc_tokens": totals}
+    cu = np.concatenate([[0], np.cumsum(sizes)])
+    pos = np.arange(cu[-1]) - np.repeat(cu[:-1], sizes)
+    return {"matrix_id": matrix_id, "n_rows": len(windows), "n_cols": window,
+            "input_ids": np.concatenate(parts).astype("<u4", copy=False).tobytes(), "position_ids": pos.astype("<u2").tobytes(),
+            "cu_seqlens": cu.tolist(), "doc_ids": docs, "starts": starts, "doc_tokens": totals}
 
 
 _ARROW = pa.schema([("matrix_id", pa.int64()), ("n_rows", pa.int32()), ("n_cols", pa.int32()),
@@ -115,7 +114,8 @@ _ARROW = pa.schema([("matrix_id", pa.int64()), ("n_rows", pa.int32()), ("n_cols"
 def pack_best_fit(df: DataFrame, window: int = 2048, end_id: int = 1, pad_id: int = 0, tokenizer: str | None = None,
                   matrix_rows: int = 64, block_tokens: int = 4_000_000, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
-    """One row per id matrix (``SCHEMA``; ids and positions little-endian uint32, row by row).
+    """One row per id matrix (``SCHEMA``; ids little-endian uint32, positions uint16, so windows of
+    up to 65,536; both row by row).
 
     Null and empty texts hold only ``end_id``; null ids stay null (their pieces keep a start);
     repeated rows are packed each; every id of every document lies in exactly one segment;

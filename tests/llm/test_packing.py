@@ -111,7 +111,7 @@ def test_matrices_round_trip(spark, docs, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "m")).collect()
     for r in rows:
         ids = np.frombuffer(r["input_ids"], "<u4").reshape(r["n_rows"], r["n_cols"])
-        pos = np.frombuffer(r["position_ids"], "<u4")
+        pos = np.frombuffer(r["position_ids"], "<u2")
         cu = r["cu_seqlens"]
         assert ids.shape[1] == 2048 and cu[-1] == ids.size
         for a, b in zip(cu, cu[1:]):
