@@ -68,7 +68,7 @@ class WordEncoder:
         stem, tail = s.rstrip(string.punctuation), b""
         if stem != s and stem.isalpha():  # the closing marks are one piece of their own
             marks, s = s[len(stem):], stem
-            tail = self._close[marks] if marks in self._close else self._whole(marks)
+            tail = self._close[marks] if marks in self._close else self._ids(marks.encode())
         if s.isalpha() and max(s) < LATIN_END and "İ" not in s and unicodedata.is_normalized("NFC", s):
             if not s.isascii():
                 table = self._table
