@@ -53,15 +53,33 @@ def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def _runs(*sorted_by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal values."""
+    n = len(sorted_by[0])
+    new = np.ones(n, dtype=bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in sorted_by], axis=0)
+    starts = np.flatnonzero(new)
+    return starts, np.append(starts[1:], n)
+
+
 def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> list[list[tuple]]:
-    """Best k (score, -id) per query among the candidates of this cell."""
-    # equal candidate vectors are scored once; k + 1 smallest ids of each are enough
+    """Best k (score, -id) per query among the candidates of this cell; all rows of the query's
+    own id are left out before any bound is taken."""
+    # equal candidate vectors are scored once; k rows of an id and 2 k rows in all are enough of
+    # each: at most k of them are the query's own
     c = np.ascontiguousarray(c + 0.0)
     rows, inverse = np.unique(c.view([("", c.dtype)] * c.shape[1]).ravel(), return_inverse=True)
     vectors = rows.view(c.dtype).reshape(len(rows), -1)
     order = np.lexsort((c_ids, inverse))
-    starts = np.searchsorted(inverse[order], np.arange(len(rows)))
-    ids = [c_ids[order[s:s + k + 1][inverse[order[s:s + k + 1]] == u]] for u, s in enumerate(starts)]
+    owner, sorted_ids = inverse[order], c_ids[order]
+    first, last = _runs(owner)
+    sole = sorted_ids[first] == sorted_ids[last - 1]  # vectors that one id alone holds
+    holder = sorted_ids[first]
+    repeat_from, repeat_to = _runs(owner, sorted_ids)
+    few = np.arange(len(order)) - np.repeat(repeat_from, repeat_to - repeat_from) < k
+    owner, sorted_ids = owner[few], sorted_ids[few]
+    first, last = _runs(owner)
+    ids = [sorted_ids[a:min(b, a + 2 * k)] for a, b in zip(first.tolist(), last.tolist())]
     heaps: list[list[tuple]] = [[] for _ in q_ids]
     qq, qs, qn, qe = quantised(q)
     floor = np.full(len(q_ids), -np.inf)
@@ -71,10 +89,11 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
         near = int8_product(qq, vq) * qs[:, None] * vs[None, :]
         slack = (qn[:, None] * ve[None, :] + qe[:, None] * (vn + ve)[None, :])
         slack += 1e-9 * (qn + qe)[:, None] * (vn + ve)[None, :]
-        if near.shape[1] > k:  # one of the k + 1 may be the query itself
-            low = near - slack
-            floor = np.maximum(floor, np.partition(low, near.shape[1] - k - 1, axis=1)[:, -k - 1])
-        qi, vi = np.nonzero(near + slack >= floor[:, None])
+        own_only = sole[at:at + TILE] & (holder[at:at + TILE] == q_ids[:, None])
+        if near.shape[1] >= k:  # k vectors that others hold too bound the k-th neighbour
+            low = np.where(own_only, -np.inf, near - slack)
+            floor = np.maximum(floor, np.partition(low, near.shape[1] - k, axis=1)[:, -k])
+        qi, vi = np.nonzero((near + slack >= floor[:, None]) & ~own_only)
         score = exact_products(q[qi], v[vi]) if len(qi) else np.zeros(0)
         for a, u, s in zip(qi.tolist(), vi.tolist(), score.tolist()):
             heap, own = heaps[a], q_ids[a]
@@ -96,14 +115,16 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
 def nearest(queries: DataFrame, candidates: DataFrame, k: int = 20, id_col: str = "vec_id",
             vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` candidates of the largest inner
-    product, ties to the smaller id; the candidate of the query's own id is left out.
+    product, ties to the smaller id; all candidates of the query's own id are left out.
 
     Null ids and unusable vectors take no part; only vectors of equal length are compared;
-    repeated rows are candidates each.  A query without candidates, or an empty table, gives
+    repeated rows are candidates each, and a query id held by several rows has the best pairs of
+    them all.  Rows are dealt by id and row number, so one id fills no block.  A query without candidates, or an empty table, gives
     no rows.  Other columns are ignored."""
     def slim(df):
         return (df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-                .filter(F.col("id").isNotNull() & usable(F.col("v"))))
+                .filter(F.col("id").isNotNull() & usable(F.col("v")))
+                .withColumn("row", F.monotonically_increasing_id()))
 
     q, c = pinned(slim(queries)), pinned(slim(candidates))
     n_q, n_c = q.count(), c.count()
@@ -111,7 +132,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 20, id_col: str
     cols = max(1, -(-n_c // CANDIDATE_BLOCK), min(16, n_c // LEAST_BLOCK))
 
     def block(n, seed):
-        return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
+        return F.pmod(F.xxhash64("id", "row", F.lit(seed)), F.lit(n)).cast("int")
 
     def every(n):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

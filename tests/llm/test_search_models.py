@@ -49,6 +49,32 @@ def test_neighbours_equal_brute_force(spark, monkeypatch):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
 
 
+def test_neighbours_of_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(nn, "CANDIDATE_BLOCK", 128)
+    monkeypatch.setattr(nn, "TILE", 64)
+    rng = np.random.Generator(np.random.PCG64(5))
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(1, 200)]
+    rows += [(400, [9.0] * 8)] * 30 + [(401 + i, [9.0] * 8) for i in range(5)]  # one vector, mostly of one id
+    rows += [(500, (20 + rng.normal(size=8)).tolist()) for _ in range(30)]  # one id, many vectors, all near the best
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    as_float = [(i, np.array(v, dtype=np.float32).tolist()) for i, v in rows]
+    want = []
+    for q in (20, 40, 400, 500):
+        pairs = sorted((-reduce(lambda t, xy: t + xy[0] * xy[1], zip(a, b), 0.0), i)
+                       for j, a in as_float if j == q for i, b in as_float if i != q)
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(pairs[:20])]
+    got = nn.nearest(df.filter("vec_id IN (20, 40, 400, 500)"), df, k=20).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
+    # one block: its best candidates are the query's own
+    a, i = np.array([v for _, v in as_float]), np.array([i for i, _ in as_float])
+    for own, part in ((500, i > 0), (400, i < 500)):
+        at = int(np.flatnonzero(i == own)[-1])
+        heap = nn.search_block(i[[at]], a[[at]], i[part], a[part], 20)[0]
+        scores = nn.exact_products(np.repeat(a[[at]], len(a), axis=0), a)
+        assert sorted(heap, reverse=True) == sorted([(float(scores[r]), -int(i[r])) for r in np.flatnonzero(part & (i != own))],
+                                                    reverse=True)[:20]
+
+
 def test_quantisation_bounds_hold():
     rng = np.random.Generator(np.random.PCG64(9))
     a, b = rng.normal(size=(50, 40)), rng.normal(size=(70, 40)) ** 3
