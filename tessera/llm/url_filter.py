@@ -1,9 +1,12 @@
 """URL filter: host and path rules, and a character language-model ratio for the rest.
 
 URLs that a rule accepts or rejects teach two smoothed variable-order Markov models.  The
-counts of all of them are added up by Spark into a table of fixed size, which every task gets;
-a URL that no rule covers is judged by the length-normalised difference of log-likelihoods
-against a threshold calibrated on held-out rule-covered URLs.
+counts of all their grams, under the grams themselves, are a Spark table that grows with the
+input; a URL that no rule covers is judged by the length-normalised difference of
+log-likelihoods against a threshold calibrated on held-out rule-covered URLs.  What one byte
+adds to the difference depends on the last ``ORDER`` bytes alone: tasks hold the table while it
+is small, and join the distinct windows of the URLs with it beyond that; terms are fixed-point,
+so both ways give the same sums.
 """
 
 from __future__ import annotations
@@ -16,12 +19,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import pinned
+
 #: (verdict, host, path): a rule fits its host and all subdomains if the path starts with its path.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Longest gram, and slots of the count table (int64 for each verdict: 16 MB in all).
-ORDER, SLOT_BITS = 6, 20
+#: Longest gram; its bytes and its length are packed into one long.
+ORDER = 6
 VERDICTS = ("allow", "block")
+#: Rows of the count table that tasks hold (24 bytes each); a larger one is joined.
+HELD_GRAMS = 1 << 20
+#: Distinct grams that a task adds up before it passes them on, texts worked on at a time.
+TASK_GRAMS, TEXTS = 1 << 20, 512
+#: Fixed point of the terms: 32 bits after the point.
+UNIT = float(1 << 32)
 
 
 def parsed(url: Column) -> tuple[Column, Column]:
@@ -43,22 +54,29 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def gram_slots(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of the grams of 1 to ``ORDER`` bytes that end at each byte, one row a length; the
-    position of each text's first own byte; the lengths.  Every text starts after ``ORDER``
-    start marks and ends with an end mark."""
+    """Keys of the grams of 1 to ``ORDER`` bytes that end at each byte, one row a length: the
+    bytes, and the length above them.  The position of each text's first own byte; the lengths.
+    Every text starts after ``ORDER`` start marks and ends with an end mark."""
     raw = [t.encode("utf-8", "replace") for t in texts]
-    buf = np.frombuffer(b"".join(b"\x02" * ORDER + r + b"\x03" for r in raw), dtype=np.uint8).astype(np.uint64)
+    buf = np.frombuffer(b"".join(b"\x02" * ORDER + r + b"\x03" for r in raw), dtype=np.uint8).astype(np.int64)
     n = np.array([len(r) + 1 for r in raw], dtype=np.int64)
     first = np.cumsum(n + ORDER) - n
-    slots, h, power = np.zeros((ORDER, len(buf)), dtype=np.int64), np.zeros(len(buf), dtype=np.uint64), 1
+    window = np.zeros_like(buf)
     for k in range(ORDER):
-        back = np.zeros_like(buf)
-        back[k:] = buf[:len(buf) - k]
-        h = h + (back + np.uint64(1)) * np.uint64(power)
-        power = power * 0x100000001B3 % (1 << 64)
-        mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
-        slots[k] = ((mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(64 - SLOT_BITS)
-    return slots, first, n
+        window[k:] |= buf[:len(buf) - k] << (8 * k)
+    return np.stack([gram(window, k + 1) for k in range(ORDER)]), first, n
+
+
+def gram(window: np.ndarray, length: int) -> np.ndarray:
+    """Key of the last ``length`` bytes of each window."""
+    return (window & ((1 << 8 * length) - 1)) | (length << 8 * ORDER)
+
+
+def needed(windows: np.ndarray) -> np.ndarray:
+    """Keys whose counts give the terms of the windows: grams of 1 to ``ORDER`` bytes, then their
+    contexts of 1 to ``ORDER`` - 1 bytes; one row a window."""
+    bare = windows & ((1 << 8 * ORDER) - 1)
+    return np.stack([*[gram(bare, k) for k in range(1, ORDER + 1)], *[gram(bare >> 8, k) for k in range(1, ORDER)]], axis=1)
 
 
 def _own(first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -66,55 +84,96 @@ def _own(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
 
 
+def _chunks(texts: list[str]) -> Iterator[list[str]]:
+    for at in range(0, len(texts), TEXTS):
+        yield texts[at:at + TEXTS]
+
+
 class UrlModel:
-    """Counts of grams by verdict (the last entry: all bytes), and the calibrated threshold."""
+    """Table of counts (gram, allow, block), the numbers of all bytes by verdict, and the
+    calibrated threshold.  ``held``: the table as sorted arrays, if it is small."""
 
-    def __init__(self, counts: np.ndarray, mass: float = 1.0, threshold: float = 0.0):
-        self.counts, self.mass, self.threshold = counts, mass, threshold
+    def __init__(self, table: DataFrame, totals: np.ndarray, held: tuple[np.ndarray, np.ndarray] | None, mass: float):
+        self.table, self.totals, self.held, self.mass, self.threshold = table, totals, held, mass, 0.0
 
-    def ratio(self, texts: list[str]) -> np.ndarray:
-        """Mean log-likelihood a byte under allow minus that under block."""
-        if not texts:
-            return np.zeros(0)
-        slots, first, n = gram_slots(texts)
-        at = _own(first, n)
+    def scorer(self) -> Scorer:
+        return Scorer(self.totals, self.held, self.mass)
+
+
+class Scorer:
+    """What tasks need of a model."""
+
+    def __init__(self, totals: np.ndarray, held: tuple[np.ndarray, np.ndarray] | None, mass: float):
+        self.totals, self.held, self.mass = totals, held, mass
+
+    def terms(self, counts: np.ndarray) -> np.ndarray:
+        """Fixed-point log-likelihood of each window's last byte under allow minus that under
+        block, from the counts (verdict, window, ``needed`` key)."""
         logs = []
-        for c in self.counts:
+        for c, total in zip(counts, self.totals):
             # the longest context seen decides most; shorter ones smooth it
-            p = (c[slots[0][at]] + self.mass / 256) / (c[-1] + self.mass)
+            p = (c[:, 0] + self.mass / 256) / (total + self.mass)
             for k in range(1, ORDER):
-                p = (c[slots[k][at]] + self.mass * p) / (c[slots[k - 1][at - 1]] + self.mass)
+                p = (c[:, k] + self.mass * p) / (c[:, ORDER + k - 1] + self.mass)
             logs.append(np.log(np.minimum(p, 1.0)))
-        starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-        return np.add.reduceat(logs[0] - logs[1], starts) / n
+        return np.rint((logs[0] - logs[1]) * UNIT).astype(np.int64)
 
+    def held_terms(self, windows: np.ndarray) -> np.ndarray:
+        grams, counts = self.held
+        keys = needed(windows)
+        if not len(grams):
+            return self.terms(np.zeros((len(VERDICTS), *keys.shape)))
+        at = np.minimum(np.searchsorted(grams, keys), len(grams) - 1)
+        return self.terms(np.where(grams[at] == keys, counts[:, at], 0))
 
-def train(urls: DataFrame, mass: float = 1.0, bins: int = 400) -> UrlModel:
-    """Models from all rows of ``urls`` (text, verdict, fold): fold 0 calibrates, the others
-    are counted.  The counts come back as at most ``2**SLOT_BITS`` rows."""
+    def ratio(self, texts: list[str]) -> np.ndarray:
+        """Mean log-likelihood a byte under allow minus that under block."""
+        slots, first, n = gram_slots(texts)
+        windows, inverse = np.unique(slots[-1][_own(first, n)], return_inverse=True)
+        return np.add.reduceat(self.held_terms(windows)[inverse], np.cumsum(n) - n) / UNIT / n
+
+
+def gram_counts(urls: DataFrame) -> DataFrame:
+    """(gram, allow, block) of all rows of ``urls`` (text, verdict); gram 0 counts all bytes.
+    Tasks add up their own counts first."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(VERDICTS), (1 << SLOT_BITS) + 1), dtype=np.int64)
+        grams, counts = np.zeros(0, dtype=np.int64), np.zeros((len(VERDICTS), 0), dtype=np.int64)
         for b in batches:
             texts, verdicts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, v in enumerate(VERDICTS):
-                mine = [t for t, w in zip(texts, verdicts) if w == v]
-                for at in range(0, len(mine), 512):
-                    slots, first, n = gram_slots(mine[at:at + 512])
-                    own = _own(first, n)
-                    for k in range(ORDER):
-                        total[i, :-1] += np.bincount(slots[k][own], minlength=1 << SLOT_BITS)
-                        if k < ORDER - 1:  # contexts that end in a start mark
-                            total[i, :-1] += np.bincount(slots[k][first - 1], minlength=1 << SLOT_BITS)
-                    total[i, -1] += n.sum()
-        slot = np.flatnonzero(total.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(slot), *[pa.array(t[slot]) for t in total]], ["slot", *VERDICTS])
-
-    rows = (urls.filter("fold > 0").select("text", "verdict").mapInArrow(count, "slot long, allow long, block long")
-            .groupBy("slot").agg(*[F.sum(v).alias(v) for v in VERDICTS]).toArrow())
-    counts = np.zeros((len(VERDICTS), (1 << SLOT_BITS) + 1), dtype=np.int64)
-    for i, v in enumerate(VERDICTS):
-        counts[i, rows["slot"].to_numpy()] = rows[v].to_numpy()
-    model = UrlModel(counts, mass)
+                for part in _chunks([t for t, w in zip(texts, verdicts) if w == v]):
+                    slots, first, n = gram_slots(part)
+                    # contexts may end in a start mark
+                    new, times = np.unique(np.concatenate([slots[:, _own(first, n)].ravel(), slots[:-1, first - 1].ravel(),
+                                                           np.zeros(n.sum(), dtype=np.int64)]), return_counts=True)
+                    both, inverse = np.unique(np.concatenate([grams, new]), return_inverse=True)
+                    total = np.zeros((len(VERDICTS), len(both)), dtype=np.int64)
+                    total[:, inverse[:len(grams)]] = counts
+                    total[i, inverse[len(grams):]] += times
+                    grams, counts = both, total
+                    if len(grams) > TASK_GRAMS:
+                        yield rows_of(grams, counts)
+                        grams, counts = grams[:0], counts[:, :0]
+        yield rows_of(grams, counts)
+
+    def rows_of(grams: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(grams), *[pa.array(c) for c in counts]], ["gram", *VERDICTS])
+
+    return (urls.select("text", "verdict").mapInArrow(count, "gram long, allow long, block long")
+            .groupBy("gram").agg(*[F.sum(v).alias(v) for v in VERDICTS]))
+
+
+def train(urls: DataFrame, mass: float = 1.0, bins: int = 400) -> UrlModel:
+    """Models from all rows of ``urls`` (text, verdict, fold): fold 0 calibrates, the others
+    are counted.  At most ``HELD_GRAMS`` count rows come back."""
+    table = pinned(gram_counts(urls.filter("fold > 0")))
+    n, *totals = table.agg(F.count(F.lit(1)), *[F.coalesce(F.max(F.when(F.col("gram") == 0, F.col(v))), F.lit(0)) for v in VERDICTS]).first()
+    held = None
+    if n <= HELD_GRAMS:
+        rows = table.toArrow()  # HELD_GRAMS rows at most
+        order = np.argsort(rows["gram"].to_numpy())
+        held = rows["gram"].to_numpy()[order], np.stack([rows[v].to_numpy()[order] for v in VERDICTS])
+    model = UrlModel(table, np.array(totals, dtype=np.int64), held, mass)
     # calibration: the cut that is best for both verdicts alike, from a histogram of the ratios
     grid = F.least(F.greatest(F.floor((F.col("ratio") + 4) * (bins / 8)), F.lit(0)), F.lit(bins - 1)).cast("int")
     hist = (with_ratio(urls.filter("fold = 0"), model).groupBy(grid.alias("bin"))
@@ -131,16 +190,63 @@ def train(urls: DataFrame, mass: float = 1.0, bins: int = 400) -> UrlModel:
 
 
 def with_ratio(urls: DataFrame, model: UrlModel) -> DataFrame:
+    """``urls`` with the ratio of each text, the same whether tasks hold the counts or not."""
+    return urls.join(joined_ratios(urls, model), "text") if model.held is None else held_ratios(urls, model)
+
+
+def held_ratios(urls: DataFrame, model: UrlModel) -> DataFrame:
+    scorer = model.scorer()
+
     @F.pandas_udf("double")
     def ratio(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in batches:
-            texts = t.tolist()
-            yield pd.Series(np.concatenate([model.ratio(texts[at:at + 512]) for at in range(0, len(texts), 512)]
-                                           or [np.zeros(0)]))
+            yield pd.Series(np.concatenate([*[scorer.ratio(part) for part in _chunks(t.tolist())], np.zeros(0)]))
 
     return urls.withColumn("ratio", ratio("text"))
 
 
+def joined_ratios(urls: DataFrame, model: UrlModel) -> DataFrame:
+    """(text, ratio) of the distinct texts.  Their windows are joined with the terms of all
+    distinct windows, which are joined with the count table; no task holds it."""
+    texts = pinned(urls.select("text").distinct().withColumn("id", F.monotonically_increasing_id()))
+    scorer = model.scorer()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
+            for at in range(0, len(texts), TEXTS):
+                slots, first, n = gram_slots(texts[at:at + TEXTS])
+                # the text's number in the part goes above the 51 bits of the window
+                found, times = np.unique(slots[-1][_own(first, n)] | (np.repeat(np.arange(len(n)), n) << 51), return_counts=True)
+                who = found >> 51
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at + who]), pa.array(found & ((1 << 51) - 1)), pa.array(times),
+                                                  pa.array(n[who])], ["id", "window", "times", "n"])
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            windows = b.column(0).to_numpy()
+            keys = needed(windows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(windows, keys.shape[1])), pa.array(np.tile(np.arange(keys.shape[1]), len(windows))),
+                 pa.array(keys.ravel())], ["window", "at", "gram"])
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = np.stack([np.array(b.column(i + 1).to_pylist(), dtype=np.int64).reshape(b.num_rows, -1)
+                               for i in range(len(VERDICTS))])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer.terms(counts))], ["window", "term"])
+
+    pieces = pinned(texts.select("id", "text").mapInArrow(cut, "id long, window long, times long, n long"))
+    keys = pieces.select("window").distinct().mapInArrow(asked, "window long, at long, gram long")
+    met = keys.join(model.table, "gram", "left").groupBy("window").agg(*[
+        F.array(*[F.coalesce(F.max(F.when(F.col("at") == k, F.col(v))), F.lit(0)) for k in range(2 * ORDER - 1)]).alias(v)
+        for v in VERDICTS])
+    worth = met.mapInArrow(terms, "window long, term long")
+    sums = pieces.join(worth, "window").groupBy("id").agg((F.sum(F.col("times") * F.col("term")) / F.lit(UNIT)
+                                                           / F.first("n")).alias("ratio"))
+    return texts.join(sums, "id").select("text", "ratio")
+
+
 def judge(df: DataFrame, url_col: str = "url", rules=RULES, folds: int = 5) -> DataFrame:
     """``df`` with host, path, rule, verdict and ratio of every row.
 
@@ -159,7 +265,7 @@ def judge(df: DataFrame, url_col: str = "url", rules=RULES, folds: int = 5) -> D
     known = base.filter("_ruled IS NOT NULL").select("text", F.col("_ruled").alias("verdict"),
                                                      F.pmod(F.xxhash64("text"), F.lit(folds)).alias("fold"))
     model = train(known)
-    both = model.counts[:, -1] > 0
+    both = model.totals > 0
     method = F.when((F.col("text") == "") | (F.col("ratio") >= model.threshold), "allow").otherwise("block")
     if not both.all():
         method = F.lit("block" if both[1] else "allow")

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import nearest as nn
+from tessera.llm import url_filter
 from tessera.llm.pii import KINDS, expectation_maximisation, listed, personal_data, posterior, redacted
 from tessera.llm.toxicity import feature_keys, held_out, score, train
 from tessera.llm.url_filter import RULES, gram_slots, judge
@@ -201,6 +202,50 @@ def test_gram_slots_are_of_one_text():
     assert (alone[:, first[0]:] == both[:, firsts[1]:]).all() and n.tolist() == [4]
 
 
+def brute_ratio(taught, text):
+    """Mean log-likelihood a byte under allow minus that under block, from counts of whole grams."""
+    total, marks = 0.0, b"\x02" * 6
+    counts = []
+    for verdict in ("allow", "block"):
+        c = {}
+        for t in [t for t, v in taught if v == verdict]:
+            b = marks + t.encode() + b"\x03"
+            for at in range(6, len(b)):
+                for k in range(1, 7):
+                    c[b[at + 1 - k:at + 1]] = c.get(b[at + 1 - k:at + 1], 0) + 1
+                c[b""] = c.get(b"", 0) + 1
+            for k in range(1, 6):
+                c[marks[:k]] = c.get(marks[:k], 0) + 1
+        counts.append(c)
+    b = marks + text.encode() + b"\x03"
+    for at in range(6, len(b)):
+        for c, sign in zip(counts, (1, -1)):
+            p = (c.get(b[at:at + 1], 0) + 1 / 256) / (c.get(b"", 0) + 1)
+            for k in range(2, 7):
+                p = (c.get(b[at + 1 - k:at + 1], 0) + p) / (c.get(b[at + 1 - k:at], 0) + 1)
+            total += sign * np.log(min(p, 1.0))
+    return total / (len(b) - 6)
+
+
+def test_url_counts_are_of_whole_grams(spark, monkeypatch):
+    rng = random.Random(16)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789-_") for _ in range(90)) for _ in range(400)]
+    # tens of thousands of distinct grams: a table of hashed slots would mix some of them up
+    urls = [f"https://h{i}.com/{'fr' if i % 2 else 'de'}/{w}" for i, w in enumerate(words)]
+    urls += [f"https://{rng.choice(words)[:40]}.net/{rng.choice(words)[:30]}ä" for _ in range(60)] + ["", None, urls[0], urls[0]]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    held = {r["page_id"]: r for r in judge(df).collect()}
+    fold = {r["u"]: r["f"] for r in spark.createDataFrame([("".join(host_path(u)),) for u in urls], "u string")
+            .select("u", F.pmod(F.xxhash64("u"), F.lit(5)).alias("f")).collect()}
+    text = [("".join(host_path(u)) if host_path(u)[0] else u or "") for u in urls]
+    taught = [(text[i], rule(*host_path(u))[1]) for i, u in enumerate(urls) if rule(*host_path(u))[1] and fold[text[i]] > 0]
+    for i in (0, 1, 2, 399, *range(400, 464)):
+        assert held[i]["ratio"] == pytest.approx(brute_ratio(taught, text[i]), abs=1e-8)
+    monkeypatch.setattr(url_filter, "HELD_GRAMS", 1000)  # counts joined instead of held
+    monkeypatch.setattr(url_filter, "TASK_GRAMS", 5000)
+    assert {r["page_id"]: r for r in judge(df).collect()} == held
+
+
 def toxic_rows(n=600, seed=1):
     rng = random.Random(seed)
     rows = []
