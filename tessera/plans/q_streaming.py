@@ -91,7 +91,7 @@ def stm_04(spark, sf_dir):
     path = ST.scratch(spark, "stm04")
     ST.run_available_now(ST.stream_state(s), path)
     # back to the wall-clock type of the input
-    return spark.read.parquet(path + "/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return spark.read.parquet(path + "/out").drop("batch_id").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("stm_05_stream_rate", f"""SELECT doc_id, {lexicon_sql('body')} AS rating, 0 AS batch_id FROM news""", ("news",))

@@ -41,6 +41,43 @@ def test_stream_state_ema_matches_batch(spark):
     assert j.filter(F.abs(F.col("ema") - F.col("ema_b")) > 1e-6).count() == 0
 
 
+def test_stream_state_over_batches_without_a_task_per_ticker(spark):
+    import datetime as dt
+    import random
+
+    import pytest
+
+    rng, start = random.Random(4), dt.datetime(2024, 1, 1)
+    rows = [("hot" if i % 3 else rng.choice(["a", None]), start + dt.timedelta(minutes=i),
+             rng.choice([None, float("nan"), rng.random()])) for i in range(900)]
+    rows += [("gone", start, 5.0), ("gone", start + dt.timedelta(days=30), None), ("hot", start + dt.timedelta(days=20), 1.0)]
+    folder, path = ST.scratch(spark, "t-land"), ST.scratch(spark, "t-batches")
+    schema, got = "tic string, ts timestamp_ntz, value double", []
+    for k, (lo, hi) in enumerate([(dt.datetime.min, start + dt.timedelta(minutes=500)), (start + dt.timedelta(minutes=500), start + dt.timedelta(days=25)),
+                                  (start + dt.timedelta(days=25), dt.datetime.max)]):
+        part = [r for r in rows if lo <= r[1] < hi]
+        spark.createDataFrame(part, schema).repartition(3).write.parquet(f"{folder}/ticks{k}.parquet")
+        ST.run_available_now(ST.stream_state(ST.file_stream(spark, folder, "ticks", schema)), path)
+    for r in spark.read.parquet(path + "/out").withColumn("ts", F.col("ts").cast("timestamp_ntz")).collect():
+        got.append((str(r["tic"]), r["ts"], r["value"], r["last_known"], r["ema"]))
+    want, a = [], 1 - 2 / 13
+    for tic in {r[0] for r in rows}:
+        last, num, den = None, 0.0, 0.0
+        for _, ts, v in sorted((r for r in rows if r[0] == tic), key=lambda r: r[1]):
+            if tic == "gone" and ts > start:
+                last, num, den = None, 0.0, 0.0  # idle for more than a week when the second batch was over
+            v = None if v is None or v != v else v
+            last, num, den = (v if v is not None else last), a * num + (v or 0.0), a * den + (v is not None)
+            want.append((str(tic), ts, v, last, num / den if den else None))
+    got.sort(key=lambda r: r[:2])
+    want.sort(key=lambda r: r[:2])
+    assert [r[:4] for r in got] == [r[:4] for r in want]
+    assert all((g[4] is None and w[4] is None) or g[4] == pytest.approx(w[4], rel=1e-9) for g, w in zip(got, want))
+    stream = ST.stream_state(ST.file_stream(spark, folder, "ticks", schema))
+    plan = getattr(stream, "source", stream)._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroups" not in plan  # no Python group of a ticker's whole batch
+
+
 def test_stream_news_dedupe_keys_equal_batch(spark):
     from tessera.plans.q_streaming import stm_01
     got = stm_01(spark, SF001)
