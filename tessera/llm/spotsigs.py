@@ -69,6 +69,41 @@ def pruned_jaccard(a: Column, b: Column, at_least: float = 0.0) -> Column:
             .when(reach < at_least, F.lit(0.0)).otherwise(both / (n + m - both)))
 
 
+def matches(df: DataFrame, similarity: float = 0.8, set_col: str = "signatures") -> tuple[DataFrame, DataFrame]:
+    """Classes (class, set, n, part, copies) of the equal signature sets of ``df``, and the pairs
+    (a, b, similarity; a > b) of classes whose Jaccard similarity is at least ``similarity``.
+
+    Every set is posted under its rarest signatures, as many as a similar set must meet one of,
+    in its own length partition and in the next one; sets meet in the partition of the longer,
+    and are compared once.  All pairs are given, so a group of sets that are all alike but not
+    equal gives quadratically many.  Sets without signatures are one class that matches no other; null
+    sets are left out."""
+    sets = pinned(df.filter(F.col(set_col).isNotNull()).groupBy(F.col(set_col).alias("set"))
+                  .agg(F.count(F.lit(1)).alias("copies"))
+                  .select(F.monotonically_increasing_id().alias("class"), "set", F.size("set").alias("n"),
+                          length_partition(F.size("set"), similarity).alias("part"), "copies"))
+    each = sets.select("class", "n", "part", F.explode("set").alias("s"))
+    # a signature that no other class has meets nobody, but takes a place among the rarest
+    shared = each.groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    places = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
+    rarest = (each.join(shared, "s").groupBy("class", "n", "part")
+              .agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("_s"))  # at most n
+              .withColumn("_take", (places - (F.col("n") - F.size("_s"))).cast("int")).filter("_take > 0")
+              .select("class", "n", "part", F.explode(F.slice(F.col("_s.s"), F.lit(1), F.col("_take"))).alias("s")))
+    rarest = pinned(rarest)
+    own = rarest.select(F.col("class").alias("a"), F.col("n").alias("_n"), "part", "s")
+    posts = rarest.select(F.col("class").alias("b"), F.col("n").alias("_m"), "s", F.explode(F.array(
+        F.struct("part", F.lit(True).alias("own")), F.struct((F.col("part") + 1).alias("part"), F.lit(False).alias("own")))).alias("_p"))
+    posts = posts.select("b", "_m", "s", "_p.part", "_p.own")
+    near = F.least("_n", "_m") / F.greatest("_n", "_m") >= similarity
+    met = own.join(posts, ["part", "s"]).filter(near & (~F.col("own") | (F.col("a") > F.col("b")))).select("a", "b").distinct()
+    pairs = (met.join(sets.select(F.col("class").alias("a"), F.col("set").alias("_x")), "a")
+             .join(sets.select(F.col("class").alias("b"), F.col("set").alias("_y")), "b")
+             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"),
+                     pruned_jaccard(F.col("_x"), F.col("_y"), similarity).alias("similarity")))
+    return sets, pairs.filter(F.col("similarity") >= similarity)
+
+
 def successors(keys: DataFrame) -> DataFrame:
     """``keys`` (_i, _h; distinct) with the key after each in order (after the last: the first).
 

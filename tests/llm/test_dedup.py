@@ -173,6 +173,28 @@ def test_length_partitions_and_pruning(spark):
     assert (r["x"], r["y"]) == (0.2, 0.0)
 
 
+def test_matches_equal_brute_force(spark):
+    from tessera.llm.spotsigs import matches
+    rng = random.Random(21)
+    base = rng.sample(range(-9000, 9000), 60)
+    rows = [sorted({*rng.sample(base, rng.randint(40, 60)), *rng.sample(range(-9000, 9000), rng.randint(0, 6))}) for _ in range(80)]
+    rows += [sorted(rng.sample(range(-300, 300), rng.randint(1, 12))) for _ in range(150)]
+    rows += [list(range(n)) for n in range(1, 40)] * 2 + [[], [], None] + [rows[0]] * 30
+    df = spark.createDataFrame([(r,) for r in rows], "signatures array<int>")
+    for similarity in (0.5, 0.8):
+        classes, pairs = matches(df, similarity)
+        classes = classes.collect()
+        of = {r["class"]: tuple(r["set"]) for r in classes}
+        assert sorted((tuple(r["set"]), r["copies"]) for r in classes) == sorted(
+            (x, sum(r is not None and tuple(r) == x for r in rows)) for x in {tuple(r) for r in rows if r is not None})
+        every = sorted({tuple(r) for r in rows if r})
+        want = {(x, y): len(set(x) & set(y)) / len(set(x) | set(y)) for i, x in enumerate(every) for y in every[:i]}
+        got = [(max(of[r["a"]], of[r["b"]]), min(of[r["a"]], of[r["b"]]), r["similarity"]) for r in pairs.collect()]
+        assert sorted(got) == sorted((x, y, v) for (x, y), v in want.items() if v >= similarity) and len(got) > 50
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
 def test_query_digests(spark):
     from conftest import SF001
     from tessera.llm.queries import QUERIES
