@@ -30,7 +30,8 @@ LIST_BLOCK, SET_BLOCK = 1024, 512
 
 
 def described(df: DataFrame, id_col: str, text_col: str, width: int, k: int = COORDINATES) -> DataFrame:
-    """(id, n, key, sig) of every row: shingles, 128-bit key and signature of its set."""
+    """(id, n, key, sig, print) of every row: shingles, 128-bit key and signature of its set, and
+    a hash of its text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = MinHash(k)
         for b in batches:
@@ -41,11 +42,13 @@ def described(df: DataFrame, id_col: str, text_col: str, width: int, k: int = CO
                 keys.append(set_key(s))
                 sigs.append(sign(s).view(np.int32) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))],
-                ["id", "n", "key", "sig"])
+                [b.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32())),
+                 b.column(2)],
+                ["id", "n", "key", "sig", "print"])
 
-    slim = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return slim.mapInArrow(run, "id long, n long, key binary, sig array<int>")
+    text = F.col(text_col).cast("string")
+    slim = df.select(F.col(id_col).cast("long"), text, F.xxhash64(text))
+    return slim.mapInArrow(run, "id long, n long, key binary, sig array<int>, print long")
 
 
 def _by_cell(df: DataFrame, cell: list[str], work: Callable[[pd.DataFrame], list[tuple]]) -> DataFrame:
@@ -168,24 +171,36 @@ def candidate_edges(classes: DataFrame, percent: int, k: int = COORDINATES, miss
     return _by_cell(cells, ["post", "lo", "hi"], collide)
 
 
+def class_texts(df: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``members`` (id, print, ...) with the text ``_t`` of the rows that hold that id and a text of
+    that hash: an id, or a null id, that many rows hold brings none of its other texts along."""
+    text = F.col(text_col).cast("string")
+    docs = df.select(F.col(id_col).cast("long").alias("_i"), F.xxhash64(text).alias("_p"), text.alias("_t"))
+    return docs.join(members, F.col("_i").eqNullSafe(F.col("id")) & (F.col("_p") == F.col("print"))).drop("_i", "_p")
+
+
 def confirmed_edges(df: DataFrame, members: DataFrame, id_col: str, text_col: str, width: int,
                     percent: int) -> DataFrame:
-    """Spanning edges (a, b) of the true links within each cluster of ``members`` (id, key,
+    """Spanning edges (a, b) of the true links within each cluster of ``members`` (id, print, key,
     root): full sets with ``100 * intersection >= percent * union``."""
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    who = members.join(sizes, "root").withColumnRenamed("id", "_id")
-    docs = df.select(F.col(id_col).cast("long").alias("_i"), F.col(text_col).cast("string").alias("_t"))
-    texts = docs.join(who, F.col("_i").eqNullSafe(F.col("_id"))).select("root", "key", "m", "_t")
+    texts = class_texts(df, members.join(sizes, "root"), id_col, text_col).select("root", "key", "m", "_t")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()  # copies of a row: one set of a class is enough
         for b in batches:
-            keys = b.column(1).to_pylist()
-            sets = [shingle_set(t.as_py(), width) for t in b.column(3)]
-            # an id held by several rows brings other texts along: they are not this class
-            keep = [i for i, s in enumerate(sets) if set_key(s) == keys[i]]
+            keep, sets = [], []
+            for i, key in enumerate(b.column(1).to_pylist()):
+                if key in done:
+                    continue
+                s = shingle_set(b.column(3)[i].as_py(), width)
+                if set_key(s) == key:  # the hash of another text of the id may be the same
+                    done.add(key)
+                    keep.append(i)
+                    sets.append(s.tobytes())
             part = b.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), part.column(2), pa.array([sets[i].tobytes() for i in keep], pa.binary())],
+                [part.column(0), part.column(1), part.column(2), pa.array(sets, pa.binary())],
                 ["root", "key", "m", "members"])
 
     sets = texts.mapInArrow(to_sets, "root binary, key binary, m long, members binary")
@@ -215,9 +230,11 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     repeated rows are equal sets; other columns are ignored; an empty table gives no rows."""
     rows = pinned(described(df, id_col, text_col, width))
     classes = pinned(rows.filter("key IS NOT NULL").groupBy("key")
-                     .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+                     .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "print")).alias("f"),
+                          F.first("n").alias("n"), F.first("sig").alias("sig"))
+                     .select("key", "f.id", "f.print", "n", "sig"))
     clusters = components(candidate_edges(classes, percent))
-    members = pinned(classes.select("key", "id").join(clusters.withColumnRenamed("node", "key"), "key"))
+    members = pinned(classes.select("key", "id", "print").join(clusters.withColumnRenamed("node", "key"), "key"))
     links = components(confirmed_edges(df, members, id_col, text_col, width, percent))
     whole = members.select("key", "id").join(links.withColumnRenamed("node", "key"), "key")
     first = whole.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("f"))

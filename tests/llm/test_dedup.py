@@ -173,6 +173,30 @@ def test_length_partitions_and_pruning(spark):
     assert (r["x"], r["y"]) == (0.2, 0.0)
 
 
+def test_ids_of_many_texts_bring_one_text_a_class(spark, monkeypatch):
+    from tessera.llm import near_dedup
+    rng, base = random.Random(31), [f"v{i}" for i in range(80)]
+    rows = []
+    for i in range(60):
+        t = list(base)
+        t[rng.randrange(80)] = f"x{i}"
+        rows.append((None if i % 2 else 7, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, made = [], near_dedup._blocked
+    def blocked(frame, key, size, block):
+        if key == "root":  # texts that were fetched for the classes
+            plan = frame._jdf.queryExecution().analyzed().toString()
+            seen.append((frame.count(), "print" in plan))
+        return made(frame, key, size, block)
+    monkeypatch.setattr(near_dedup, "_blocked", blocked)
+    got = near_duplicates(df, 5, 80).collect()
+    want, _ = brute(rows, 5, 80)
+    assert sorted(map(str, [(r["id"], r["n"], r["component"]) for r in got])) == sorted(map(str, want))
+    assert seen == [(60, True)]
+    members = spark.createDataFrame([(r[0], r[1]) for r in rows], "id long, t string").select("id", F.xxhash64("t").alias("print"))
+    assert near_dedup.class_texts(df, members, "doc_id", "text").count() == 60  # not 30 * 30 for each id
+
+
 def test_matches_equal_brute_force(spark):
     from tessera.llm.spotsigs import matches
     rng = random.Random(21)
