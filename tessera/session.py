@@ -46,13 +46,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     it.  Only when it is unset (local tests) do we create a scratch folder.
     """
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        d = tempfile.mkdtemp(prefix="tessera-ckpt-")
-    sc.setCheckpointDir(d)
-    return sc.getCheckpointDir() or d
+    if not sc.getCheckpointDir():  # set once a session: Spark adds a folder of its own each time
+        d = sc.getConf().get("spark.checkpoint.dir", None)
+        if not d:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+            d = tempfile.mkdtemp(prefix="tessera-ckpt-")
+        sc.setCheckpointDir(d)
+    return sc.getCheckpointDir()
+
+
+_SCRATCH: list[str] = []
+
+
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new path under ``spark.checkpoint.dir`` for a table of intermediate rows; it is deleted
+    by ``release_materialized``."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
 
 
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
@@ -102,24 +114,20 @@ def materialize(df: DataFrame, min_weight: int = 2, pin: bool = False) -> DataFr
             return df
         if _plan_weight(df) < min_weight:
             return df
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tessera-mat-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "tessera-mat")
     df.write.mode("overwrite").parquet(path)
-    _MATERIALIZED.append(path)
     return spark.read.parquet(path)
 
 
-_MATERIALIZED: list[str] = []
-
-
 def release_materialized(spark: SparkSession) -> int:
-    """Delete the lineage-cut tables written by ``materialize`` in this process (call it
-    once the jobs reading them have finished).  Uses the Hadoop file system of each path,
+    """Delete the tables of intermediate rows (``scratch_path``) written in this process, lineage
+    cuts included (call it once the jobs reading them have finished).  Uses the Hadoop file system of each path,
     so it works on shared storage.  Returns the number of tables removed."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     n = 0
-    while _MATERIALIZED:
-        p = jvm.org.apache.hadoop.fs.Path(_MATERIALIZED.pop())
+    while _SCRATCH:
+        p = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
         if p.getFileSystem(conf).delete(p, True):
             n += 1
     return n

@@ -135,10 +135,28 @@ def test_timestamp_order_splits_by_day_and_stays_exact(spark):
 
 def test_release_materialized_removes_cut_tables(spark):
     import os
-    from tessera.session import _MATERIALIZED, materialize, release_materialized
+    from tessera.session import _SCRATCH, materialize, release_materialized
     df = spark.range(100).withColumn("k", F.col("id") % 3)
     cut = materialize(df.groupBy("k").count().join(df, "k"), min_weight=1)
-    path = _MATERIALIZED[-1]
+    path = _SCRATCH[-1]
     assert cut.count() == 100 and os.path.exists(path.replace("file:", ""))
     assert release_materialized(spark) >= 1
-    assert not os.path.exists(path.replace("file:", "")) and not _MATERIALIZED
+    assert not os.path.exists(path.replace("file:", "")) and not _SCRATCH
+
+
+def test_checkpoint_folder_is_set_once_a_session(spark):
+    from tessera.session import checkpoint_dir
+    assert len({checkpoint_dir(spark) for _ in range(200)}) == 1
+
+
+def test_disk_is_back_to_its_start_after_release(spark):
+    import os
+    from tessera.session import checkpoint_dir, materialize, release_materialized
+    release_materialized(spark)
+    root = checkpoint_dir(spark).replace("file:", "")
+    before = set(os.listdir(root)) if os.path.exists(root) else set()
+    df = spark.range(50).withColumn("k", F.col("id") % 3)
+    for _ in range(3):
+        df = materialize(df, pin=True)
+    assert df.count() == 50 and release_materialized(spark) == 3
+    assert set(os.listdir(root)) <= before
