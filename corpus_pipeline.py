@@ -8,8 +8,6 @@ last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +17,7 @@ from tessera.llm.near_dedup import keep_one
 from tessera.llm.packing_sos import pack_sum_of_squares
 from tessera.llm.pii import personal_data, redacted
 from tessera.llm.toxicity import score, train
-from tessera.session import checkpoint_dir
+from tessera.session import scratch_path
 
 #: Rejected from this probability on.
 TOXIC = 0.3
@@ -68,7 +66,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
