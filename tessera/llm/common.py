@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import checkpoint_dir
+from tessera.session import scratch_path
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,9 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def pinned(df: DataFrame) -> DataFrame:
     """``df`` written once as a table under ``spark.checkpoint.dir`` and read back.  Cuts the
     lineage on shared storage, so a lost executor costs no earlier stage, and fixes values
-    that depend on the physical layout (partition ids)."""
+    that depend on the physical layout (partition ids).  ``session.release_materialized``
+    deletes it."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "llm")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

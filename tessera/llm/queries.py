@@ -158,3 +158,11 @@ def op6_weakly_supervised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"),
                         listed("spans").alias("spans"))
+
+
+@query()
+def op12_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.simhash import as_hex, near_fingerprints
+    found = near_fingerprints(table(spark, sf_dir, "documents"), radius=2, width=3)
+    return found.select(F.col("id").alias("doc_id"), as_hex(F.col("fp")).alias("fingerprint"),
+                        F.col("component").alias("component_id"))
