@@ -166,3 +166,30 @@ def op12_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_fingerprints(table(spark, sf_dir, "documents"), radius=2, width=3)
     return found.select(F.col("id").alias("doc_id"), as_hex(F.col("fp")).alias("fingerprint"),
                         F.col("component").alias("component_id"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+l AS (SELECT r, doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+c AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS lt FROM l),
+t AS (SELECT r, unnest(w) AS term FROM d),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+p AS (SELECT r, term, count(*)::BIGINT AS tf FROM t WHERE term IN (SELECT term FROM i) GROUP BY r, term),
+f AS (SELECT term, floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY term, nd),
+s AS (SELECT i.item_id, p.r, l.doc_id,
+             sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // lt))))::BIGINT AS score
+      FROM i JOIN p ON i.term = p.term JOIN f ON i.term = f.term JOIN l ON p.r = l.r, c GROUP BY ALL),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+      FROM s WHERE score > 0)
+SELECT * FROM k WHERE rank <= 50
+"""
+
+
+@query(OP11_SQL)
+def op11_k2_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.lexical import ranked
+    return ranked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
