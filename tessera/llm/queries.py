@@ -193,3 +193,10 @@ SELECT * FROM k WHERE rank <= 50
 def op11_k2_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.lexical import ranked
     return ranked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op13_viterbi_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.turns import damaged, repair
+    turns = table(spark, sf_dir, "conversations")
+    return repair(damaged(turns), turns.select(F.col("conv_id").cast("long")))
