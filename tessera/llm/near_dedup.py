@@ -53,27 +53,39 @@ def described(df: DataFrame, id_col: str, text_col: str, width: int, k: int = CO
 
 def _by_cell(df: DataFrame, cell: list[str], work: Callable[[pd.DataFrame], list[tuple]]) -> DataFrame:
     """Edges (a, b) that ``work`` finds in each cell.  Tasks stream over their sorted cells and
-    hold one batch and one cell at a time."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            ends = np.flatnonzero((pdf[cell].to_numpy()[1:] != pdf[cell].to_numpy()[:-1]).any(axis=1)) + 1
-            out, at = [], 0
-            for end in ends.tolist():
-                if end - at > 1:
-                    out += work(pdf.iloc[at:end])
-                at = end
-            rest = pdf.iloc[at:]
-            if out:
-                yield pd.DataFrame(out, columns=["a", "b"])
-        if rest is not None and len(rest) > 1:
-            out = work(rest)
+    hold one Arrow batch (bounded in bytes by Spark) and one cell at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def found() -> list[tuple]:
+            rows = pa.Table.from_batches(held)
+            return work(rows.to_pandas()) if len(rows) > 1 else []
+
+        for b in batches:
+            keys = pd.DataFrame({c: b.column(c).to_pandas() for c in cell})
+            new = (keys.to_numpy()[1:] != keys.to_numpy()[:-1]).any(axis=1)
+            edges = np.concatenate([[0], np.flatnonzero(new) + 1, [len(keys)]]).tolist()
+            out = []
+            for lo, hi in zip(edges, edges[1:]):
+                here = tuple(keys.iloc[lo]) if hi > lo else at
+                if here != at:
+                    out += found() if held else []
+                    at, held = here, []
+                if hi > lo:
+                    held.append(b.slice(lo, hi - lo))
             if out:
-                yield pd.DataFrame(out, columns=["a", "b"])
+                yield _edge_batch(out)
+        out = found() if held else []
+        if out:
+            yield _edge_batch(out)
 
     return (df.repartition(*[F.col(c) for c in cell]).sortWithinPartitions(*cell)
-            .mapInPandas(run, "a binary, b binary"))
+            .mapInArrow(run, "a binary, b binary"))
+
+
+def _edge_batch(edges: list[tuple]) -> pa.RecordBatch:
+    a, b = zip(*edges)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
 def _forest(linked: np.ndarray, keys: list) -> list[tuple]:
@@ -187,15 +199,15 @@ def confirmed_edges(df: DataFrame, members: DataFrame, id_col: str, text_col: st
     texts = class_texts(df, members.join(sizes, "root"), id_col, text_col).select("root", "key", "m", "_t")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = set()  # copies of a row: one set of a class is enough
+        last = None
         for b in batches:
             keep, sets = [], []
             for i, key in enumerate(b.column(1).to_pylist()):
-                if key in done:
+                if key == last:  # copies of a row come together: one set of a class is enough
                     continue
                 s = shingle_set(b.column(3)[i].as_py(), width)
                 if set_key(s) == key:  # the hash of another text of the id may be the same
-                    done.add(key)
+                    last = key
                     keep.append(i)
                     sets.append(s.tobytes())
             part = b.take(pa.array(keep, pa.int64()))
@@ -221,9 +233,9 @@ def confirmed_edges(df: DataFrame, members: DataFrame, id_col: str, text_col: st
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """(id, n, key, component, first_key): per row the shingles of its text, the key of its set
-    and the smallest id, with that row's key, that it reaches over links of at least
-    ``percent`` similarity.
+    """(id, n, key, print, component, first_key): per row the shingles of its text, the key of its
+    set, a hash of the text and the smallest id, with that row's key, that it reaches over links
+    of at least ``percent`` similarity.
 
     Null and empty texts have no shingles, a null key and themselves as component; null ids are
     larger than any other (a component of null ids only is null, its first key the smallest);
@@ -242,8 +254,8 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     of_class = (classes.select("key", "id").join(moved, "key", "left")
                 .select("key", F.when(F.col("f").isNull(), F.col("id")).otherwise(F.col("f.id")).alias("component"),
                         F.coalesce("f.key", "key").alias("first_key")))
-    out = rows.select("id", "n", "key").join(of_class, "key", "left")
-    return out.select("id", "n", "key", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component"))
+    out = rows.select("id", "n", "key", "print").join(of_class, "key", "left")
+    return out.select("id", "n", "key", "print", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component"))
                       .alias("component"), "first_key")
 
 
@@ -252,20 +264,14 @@ def keep_one(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
     """``df`` with one row of each group of near-duplicates: the row of the smallest id (null
     ids last), one of its copies if it is repeated.  Rows without words all stay."""
     found = near_duplicates(df, width, percent, id_col, text_col)
-    keep = F.col("id").eqNullSafe(F.col("component")) & (F.col("key") == F.col("first_key"))
-    decided = pinned(found.filter("key IS NOT NULL").withColumn("_keep", keep)
-                     .groupBy(F.col("id").alias("_id"), F.col("key").alias("_set"))
-                     .agg(F.first("_keep").alias("_keep"), F.count(F.lit(1)).alias("_copies")))
-
-    @F.pandas_udf("binary")
-    def key_of(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: set_key(shingle_set(t, width)))
-
-    keyed = df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"),
-                      key_of(F.col(text_col).cast("string")).alias("key"))
-    told = keyed.join(decided, (F.col("key") == F.col("_set")) & F.col("id").eqNullSafe(F.col("_id")), "left")
-    told = told.filter(F.coalesce("_keep", F.lit(True)))
-    once = told.filter(F.coalesce("_copies", F.lit(1)) == 1)
+    kept = (found.filter("key IS NOT NULL").filter(F.col("id").eqNullSafe(F.col("component")) & (F.col("key") == F.col("first_key")))
+            .groupBy("id", "key").agg(F.min("print").alias("print"), F.count(F.lit(1)).alias("copies")))
+    kept = pinned(kept.select("id", "print", "copies"))
+    text = F.col(text_col).cast("string")
+    worded = F.coalesce(F.rtrim(text, F.lit(" \t\n\x0b\f\r")) != "", F.lit(False))
+    told = (df.filter(worded).select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("_i"), F.xxhash64(text).alias("_p"))
+            .join(kept, F.col("_i").eqNullSafe(F.col("id")) & (F.col("_p") == F.col("print"))))
+    once = told.filter("copies = 1")
     # copies of one row meet in a partial aggregate before the shuffle
-    many = told.filter("_copies > 1").dropDuplicates(["id", "key"])
-    return once.unionByName(many).select("row.*")
+    many = told.filter("copies > 1").dropDuplicates(["_i", "_p"])
+    return df.filter(~worded).unionByName(once.unionByName(many).select("row.*"))

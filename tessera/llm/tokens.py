@@ -8,7 +8,7 @@ import unicodedata
 from array import array
 
 #: Words kept per worker; words that do not fit are encoded each time they occur.
-CACHE_WORDS = 450_000
+CACHE_WORDS = 250_000
 CACHE_WORD_BYTES = 40
 #: Below this code point, lower-casing and letter classes do not vary by library.
 LATIN_END = "ɐ"
