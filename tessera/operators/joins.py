@@ -69,3 +69,19 @@ def shift(df: DataFrame, cols: Sequence[str], n: int, key="tic", order="date", s
     other = d.select(*keys, (F.col(IDX) - n).alias(IDX), *[F.col(c).alias(c + sfx) for c in cols])
     out = d.join(other, keys + [IDX], "left")
     return out.drop(IDX) if added else out
+
+
+#: Keys with more than this share of all rows are met by broadcast: at most its inverse many.
+HOT_SHARE = 1e-4
+
+
+def skew_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, total: int,
+              how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` (one row a key, ``weight`` = rows of the key in ``rows``,
+    ``total`` = all of them; both read several times) with no key in one task: the few keys with
+    more than ``HOT_SHARE`` of all rows are broadcast, the others shuffled.  ``weight`` is not
+    returned; ``how`` is inner or left; null keys meet nothing."""
+    hot = F.col(weight) > F.lit(total * HOT_SHARE)
+    few = F.broadcast(table.filter(hot).drop(weight))
+    rest = rows.join(few.select(*keys), list(keys), "left_anti").join(table.filter(~hot).drop(weight), list(keys), how)
+    return rows.join(few, list(keys)).unionByName(rest)

@@ -10,10 +10,12 @@ from tessera.functions.numeric import round_half_up
 from tessera.operators import bars as B
 from tessera.operators import events as EV
 from tessera.operators import features as FE
+from tessera.operators import iterative as IT
 from tessera.operators import model as M
 from tessera.operators import rating as R
+from tessera.operators import textclass as TXC
 from tessera.operators.indicators import add_indicators, pct_change
-from tessera.operators.series import IDX, with_index
+from tessera.operators.series import IDX, ffill, with_index
 from tessera.operators.risk import turbulence
 from tessera.plans.fixtures import Fixtures
 from tessera.plans.flagship import flagship
@@ -132,6 +134,88 @@ def ml_07(spark, sf_dir):
     return M.grid_search(_model_frame(spark, sf_dir), [0.1, 1.0, 10.0, 100.0])
 
 
+def _descent_frame(spark, sf_dir):
+    """Standardised close and volume against the standardised close 30 sessions on."""
+    b = FE.lead_target(with_index(_fx(spark, sf_dir).bars_d), 30, "close", "target")
+    d = B.chrono_split(b).filter(F.col("target").isNotNull()).drop(IDX)
+    d = FE.standardise(d.withColumn("_fit", F.col("split") == "train"), ["close", "volume", "target"], fit_mask="_fit")
+    return FE.assemble(d, ["close", "volume"], "features")
+
+
+def _descent_sql(sets: list[tuple]) -> str:
+    """Gradient descent over sufficient statistics in a recursive query; a set is (set_id,
+    learning_rate, epochs, patience)."""
+    values = ", ".join(f"({i}, {lr:.17g}::DOUBLE, {e}, {p})" for i, lr, e, p in sets)
+    return f"""
+WITH RECURSIVE b0 AS (SELECT tic, date, close, volume, row_number() OVER w - 1 AS j, count(*) OVER (PARTITION BY tic) AS n,
+    lead(close, 30) OVER w AS target FROM bars_d WINDOW w AS (PARTITION BY tic ORDER BY date)),
+b1 AS (SELECT *, CASE WHEN j >= floor(n * 0.8) THEN 'test' WHEN j >= floor(floor(n * 0.8) * 0.8) THEN 'val' ELSE 'train' END AS split
+       FROM b0 WHERE target IS NOT NULL),
+z AS (SELECT tic, avg(close) AS m1, stddev_pop(close) AS s1, avg(volume) AS m2, stddev_pop(volume) AS s2, avg(target) AS m3,
+        stddev_pop(target) AS s3 FROM b1 WHERE split = 'train' GROUP BY tic),
+r AS (SELECT b1.tic, split, (close - m1) / CASE WHEN coalesce(s1, 0) = 0 THEN 1 ELSE s1 END AS x1,
+        (volume - m2) / CASE WHEN coalesce(s2, 0) = 0 THEN 1 ELSE s2 END AS x2, (target - m3) / CASE WHEN coalesce(s3, 0) = 0 THEN 1 ELSE s3 END AS y
+      FROM b1 JOIN z ON b1.tic = z.tic),
+st AS (SELECT tic, count(*) AS n, sum(x1) / count(*) AS a1, sum(x2) / count(*) AS a2, sum(x1 * x1) / count(*) AS a11, sum(x1 * x2) / count(*) AS a12,
+         sum(x2 * x2) / count(*) AS a22, sum(y) / count(*) AS ay, sum(x1 * y) / count(*) AS a1y, sum(x2 * y) / count(*) AS a2y
+       FROM r WHERE split = 'train' GROUP BY tic),
+ps(set_id, lr, epochs, patience) AS (VALUES {values}),
+gd AS (SELECT tic, set_id, 0 AS epoch, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, 0.0::DOUBLE AS b FROM st, ps
+  UNION ALL
+  SELECT gd.tic, gd.set_id, epoch + 1, w1 - lr * (a11 * w1 + a12 * w2 + a1 * b - a1y), w2 - lr * (a12 * w1 + a22 * w2 + a2 * b - a2y),
+    b - lr * (a1 * w1 + a2 * w2 + b - ay)
+  FROM gd JOIN st ON gd.tic = st.tic JOIN ps ON gd.set_id = ps.set_id WHERE epoch < epochs),
+v AS (SELECT gd.tic, set_id, epoch, any_value(w1) AS w1, any_value(w2) AS w2, any_value(b) AS b, avg(abs(w1 * x1 + w2 * x2 + b - y)) AS mae
+      FROM gd JOIN r ON gd.tic = r.tic AND r.split = 'val' GROUP BY gd.tic, set_id, epoch),
+run AS (SELECT v.tic, v.set_id, v.epoch, v.mae AS best, v.epoch AS be, patience, epochs FROM v JOIN ps ON v.set_id = ps.set_id WHERE v.epoch = 0
+  UNION ALL
+  SELECT run.tic, run.set_id, run.epoch + 1, CASE WHEN v.mae < best - 1e-6 THEN v.mae ELSE best END,
+    CASE WHEN v.mae < best - 1e-6 THEN v.epoch ELSE be END, patience, epochs
+  FROM run JOIN v ON run.tic = v.tic AND run.set_id = v.set_id AND v.epoch = run.epoch + 1
+  WHERE run.epoch < epochs AND run.epoch - be < patience),
+fin AS (SELECT tic, set_id, max(epoch) AS last_epoch, arg_max(be, epoch) AS best_epoch FROM run GROUP BY tic, set_id),
+models AS (SELECT fin.tic, fin.set_id, fin.best_epoch, fin.last_epoch, round(v.b, 6) AS intercept, round(v.w1, 6) AS w_close,
+         round(v.w2, 6) AS w_volume, round(v.mae, 6) AS val_mae, v.mae AS raw_mae, st.n AS n_train
+       FROM fin JOIN v ON fin.tic = v.tic AND fin.set_id = v.set_id AND fin.best_epoch = v.epoch JOIN st ON fin.tic = st.tic)
+"""
+
+
+def _told(models):
+    return models.select("tic", "set_id", "best_epoch", "last_epoch", round_half_up("intercept", 6).alias("intercept"),
+                         round_half_up(F.col("coef")[0], 6).alias("w_close"), round_half_up(F.col("coef")[1], 6).alias("w_volume"),
+                         round_half_up("val_mae", 6).alias("val_mae"), "n_train")
+
+
+_MODEL_COLUMNS = "tic, set_id, best_epoch, last_epoch, intercept, w_close, w_volume, val_mae, n_train"
+
+
+@query("ml_06_early_stop", _descent_sql([(0, 0.4, 25, 3)]) + f"SELECT {_MODEL_COLUMNS} FROM models", ("bars_d",))
+def ml_06_early_stop(spark, sf_dir):
+    """Gradient descent per ticker, stopped 3 epochs after the last improvement of the validation MAE."""
+    models, _ = IT.fit_iterative(_descent_frame(spark, sf_dir), [{"learning_rate": 0.4, "epochs": 25, "patience": 3}], 2)
+    return _told(models)
+
+
+@query("ml_06_convergence", _descent_sql([(0, 0.4, 8, 8)]) + """SELECT v.tic, v.set_id, v.epoch, round(v.mae, 6) AS val_mae, v.epoch = run.be AS best
+FROM run JOIN v ON run.tic = v.tic AND run.set_id = v.set_id AND run.epoch = v.epoch""", ("bars_d",))
+def ml_06_convergence(spark, sf_dir):
+    """The convergence table of the fit: the validation MAE of every epoch of every ticker."""
+    _, told = IT.fit_iterative(_descent_frame(spark, sf_dir), [{"learning_rate": 0.4, "epochs": 8, "patience": 8}], 2)
+    return told.withColumn("val_mae", round_half_up("val_mae", 6))
+
+
+_GRID = [(0, 0.05, 10, 2), (1, 0.4, 10, 2), (2, 0.4, 10, 6), (3, 0.9, 10, 2)]
+
+
+@query("ml_07_early_stop_grid", _descent_sql(_GRID) + f"""SELECT {_MODEL_COLUMNS} FROM (
+  SELECT *, row_number() OVER (PARTITION BY tic ORDER BY raw_mae, set_id) AS rk FROM models) m WHERE rk = 1""", ("bars_d",))
+def ml_07_early_stop_grid(spark, sf_dir):
+    """Learning rates and patiences per ticker at once; the best set by validation MAE."""
+    grid = [{"learning_rate": lr, "epochs": e, "patience": p} for _, lr, e, p in _GRID]
+    models, _ = IT.fit_iterative(_descent_frame(spark, sf_dir), grid, 2)
+    return _told(IT.best_of_grid(models))
+
+
 @query("ml_08_load_or_fit", None)
 def ml_08(spark, sf_dir):
     """A store holding two tickers' models; the other three are fitted and appended."""
@@ -223,12 +307,81 @@ def ml_15(spark, sf_dir):
     return r.select("vec_id", "predicted", round_half_up("similarity", 6).alias("similarity"))
 
 
+def _bayes_sql(texts: str, labelled: str, out: str) -> str:
+    """Multinomial naive Bayes over TF-IDF; ``texts`` (id, text) are all texts, ``labelled`` (id, label)
+    the classes of some."""
+    return f"""
+WITH dd AS ({texts}), lb AS ({labelled}),
+tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM dd) t GROUP BY id, term),
+nn AS (SELECT count(*) AS n FROM lb),
+pr AS (SELECT label, count(*) AS c FROM lb GROUP BY label),
+lt AS (SELECT lb.label, tf.term, sum(tf) AS tf, count(*) AS df FROM tf JOIN lb ON tf.id = lb.id GROUP BY lb.label, tf.term),
+vo AS (SELECT term, ln((1.0 + n) / (1 + sum(df))) + 1 AS idf FROM lt, nn GROUP BY term, n),
+cw AS (SELECT label, term, tf * idf AS w FROM lt JOIN vo USING (term)),
+ct AS (SELECT label, sum(w) + (SELECT count(*) FROM vo) AS total FROM cw GROUP BY label),
+wt AS (SELECT id, term, tf * idf AS w FROM tf JOIN vo USING (term)),
+kn AS (SELECT id, sum(w) AS w FROM wt GROUP BY id),
+se AS (SELECT id, label, sum(wt.w * ln(cw.w + 1)) AS g FROM wt JOIN cw USING (term) GROUP BY id, label),
+sc AS (SELECT dd.id, pr.label, round((ln(pr.c / n) + coalesce(kn.w, 0) * ln(1 / ct.total) + coalesce(se.g, 0)) * 1e6) AS s
+       FROM dd CROSS JOIN pr CROSS JOIN nn JOIN ct ON ct.label = pr.label LEFT JOIN kn ON kn.id = dd.id
+       LEFT JOIN se ON se.id = dd.id AND se.label = pr.label),
+rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, CAST(label AS VARCHAR)) AS rk FROM sc)
+SELECT {out} FROM rk WHERE rk = 1"""
+
+
+@query("ml_15_text", _bayes_sql("SELECT doc_id AS id, body AS text FROM news",
+                                "SELECT doc_id AS id, TRY_CAST(benz_rate AS INT) AS label FROM news WHERE TRY_CAST(benz_rate AS INT) IS NOT NULL AND body IS NOT NULL",
+                                "id AS doc_id, label AS predicted, round(s / 1e6, 4) AS score"), ("news",))
+def ml_15_text(spark, sf_dir):
+    """Classes 1 to 10 of every story from its words, learnt from the rated stories."""
+    from tessera.operators.clean import parse_rating
+    n = _fx(spark, sf_dir).news.withColumn("label", parse_rating("benz_rate"))
+    model = TXC.fit_text(n, "label", "doc_id", "body")
+    return TXC.classify_text(n, model, "doc_id", "body").select(F.col("id").alias("doc_id"), "predicted", round_half_up("score", 4).alias("score"))
+
+
+@query("ml_15_spam", _bayes_sql("SELECT doc_id AS id, text FROM documents",
+                                "SELECT DISTINCT l.doc_id AS id, CASE WHEN quality = 0 THEN 'spam' ELSE 'not spam' END AS label FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE quality IS NOT NULL AND text IS NOT NULL",
+                                "id AS doc_id, label AS predicted"))
+def ml_15_spam(spark, sf_dir):
+    """Spam or not of every text from its words, learnt from the texts with a quality label."""
+    fx = _fx(spark, sf_dir)
+    marks = fx.labels.filter(F.col("quality").isNotNull()).select(
+        "doc_id", F.when(F.col("quality") == 0, "spam").otherwise("not spam").alias("label")).distinct()
+    docs = fx.documents.select("doc_id", "text")
+    model = TXC.fit_text(docs.join(marks, "doc_id"), "label")
+    return TXC.classify_text(docs, model).select(F.col("id").alias("doc_id"), "predicted")
+
+
 @query("win_11_turbulence", None)
 def win_11(spark, sf_dir):
     r = pct_change(_fx(spark, sf_dir).bars_x, "close", "ret")
     return turbulence(r, lookback=252)
 
 
+@query("win_11_turbulence_pair", """
+WITH dd AS (SELECT DISTINCT date FROM bars_x WHERE tic IN ('Brand#11', 'Brand#12')),
+gx AS (SELECT t.tic, dd.date FROM (VALUES ('Brand#11'), ('Brand#12')) t(tic) CROSS JOIN dd),
+fl AS (SELECT gx.tic, gx.date, last_value(b.close IGNORE NULLS) OVER (PARTITION BY gx.tic ORDER BY gx.date
+         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS close FROM gx LEFT JOIN bars_x b ON b.tic = gx.tic AND b.date = gx.date),
+rt AS (SELECT tic, date, close / lag(close) OVER (PARTITION BY tic ORDER BY date) - 1 AS ret FROM fl),
+wd AS (SELECT date, max(ret) FILTER (WHERE tic = 'Brand#11') AS a, max(ret) FILTER (WHERE tic = 'Brand#12') AS b FROM rt GROUP BY date),
+hh AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS p, a, b, avg(a) OVER w AS ma, avg(b) OVER w AS mb, var_samp(a) OVER w AS va,
+         var_samp(b) OVER w AS vb, covar_samp(a, b) OVER w AS vab, count(a) OVER w AS na, count(b) OVER w AS nb FROM wd
+       WINDOW w AS (ORDER BY date ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING)),
+tb AS (SELECT date, p, CASE WHEN p < 252 THEN 0.0
+         WHEN na = nb THEN (vb * (a - ma) ^ 2 - 2 * vab * (a - ma) * (b - mb) + va * (b - mb) ^ 2) / (va * vb - vab ^ 2)
+         WHEN na > nb THEN (a - ma) ^ 2 / va ELSE (b - mb) ^ 2 / vb END AS v FROM hh)
+SELECT date, round(CASE WHEN v > 0 AND sum(CAST(v > 0 AS INT)) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING) > 2 THEN v ELSE 0.0 END, 6) AS turbulence
+FROM tb""", ("bars_x",))
+def win_11_pair(spark, sf_dir):
+    """Turbulence of two tickers, whose inverse covariance has a closed form; closes filled forward."""
+    x = _fx(spark, sf_dir).bars_x.filter(F.col("tic").isin("Brand#11", "Brand#12")).select("tic", "date", "close")
+    grid = x.select("date").distinct().withColumn("tic", F.explode(F.array(F.lit("Brand#11"), F.lit("Brand#12"))))
+    r = pct_change(ffill(grid.join(x, ["tic", "date"], "left"), ["close"]), "close", "ret")
+    return turbulence(r, lookback=252).withColumn("turbulence", round_half_up("turbulence", 6))
+
+
 # ---- text plans ----------------------------------------------------------------------------
 
 @query("pipe_08_news_batch", f"""

@@ -64,6 +64,25 @@ def test_covariance_pairwise_complete(spark):
             assert abs(got[(a, b)] - exp.loc[a, b]) < 1e-12
 
 
+def test_covariance_tiles_equal_one_tile(spark):
+    names = [f"T{k}" for k in range(9)]
+    df, rows = _returns(spark, n_days=60, tickers=names, gaps=[(k, d) for k in range(9) for d in range(60) if (k * 7 + d) % 11 == 0])
+    odd = spark.createDataFrame([(None, dt.date(2020, 1, 5), 1.0), ("T1", None, 1.0), ("T9", dt.date(2020, 1, 5), None)], df.schema)
+    got = {(r.tic_a, r.tic_b): r.cov for r in covariance(df.unionByName(odd), tile=2, days=7).collect()}
+    exp = pd.DataFrame(rows, columns=["tic", "date", "ret"]).pivot(index="date", columns="tic", values="ret").cov()
+    assert {k for k in got if "T9" not in k} == {(a, b) for a in names for b in names}
+    assert all(abs(got[a, b] - exp.loc[a, b]) < 1e-12 for a in names for b in names)
+    assert got["T9", "T0"] is None
+    assert covariance(df.limit(0)).count() == 0
+
+
+def test_turbulence_needs_no_ticker_list(spark):
+    df, rows = _returns(spark, n_days=130)
+    a = turbulence(df, lookback=30).collect()
+    assert sorted(a) == sorted(turbulence(df, ["A", "B", "C"], lookback=30).collect())
+    assert turbulence(df.limit(0), lookback=30).count() == 0
+
+
 def test_model_dataflow(spark):
     import __spark_entry__ as E
     q = E.queries()
