@@ -76,9 +76,12 @@ def sessions_of(days: DataFrame, spark: SparkSession, holidays=None, col: str =
 
 def next_sessions(starts: DataFrame, spark: SparkSession, n: int, key: str = "tic", col: str = "date",
                   holidays=None) -> DataFrame:
-    """DAT-F5 / ML-11: for each (key, start date), the next ``n`` sessions after it,
-    searched within 2n calendar days (plus slack), numbered 1..n."""
-    span = 2 * n + 14
+    """DAT-F5 / ML-11: for each (key, start date), the next ``n`` sessions after it, numbered 1..n.
+
+    The search spans ``n`` weekdays and as many more as there are holidays, so all ``n`` are found
+    whatever the holiday list (a table of holidays is counted: one value)."""
+    closed = holidays.count() if isinstance(holidays, DataFrame) else len(HOLIDAYS if holidays is None else holidays)
+    span = 7 * (-(-(n + closed) // 5)) + 7
     cand = starts.select(key, F.col(col).alias("_start"),
                          F.explode(F.sequence(F.date_add(col, 1), F.date_add(col, span))).alias(col))
     s = sessions_of(cand, spark, holidays, col)

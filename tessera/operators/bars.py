@@ -12,6 +12,7 @@ from tessera.operators.screen import market_session
 
 from tessera.functions.text import normalise_interval
 from tessera.operators.series import IDX, fill, with_index
+from tessera.session import broadcast_bounded
 
 # normalised interval -> Spark window duration, or a calendar unit for date_trunc
 _DURATION = {"1m": "1 minute", "2m": "2 minutes", "5m": "5 minutes", "15m": "15 minutes", "30m": "30 minutes",
@@ -73,19 +74,18 @@ def quote_stats(df: DataFrame, key: str = "tic", date: str = "date") -> DataFram
     """AGG-12 latest quote per ticker: last close, previous close, change, change %,
     50-row average close, 52-week (365-day) high / low, last volume.
 
-    The 50-row average and previous close come from the block-split rolling frames; the
-    52-week extremes only read the last 365 days of each key (date filter after a
-    per-key max), so no window spans a whole key."""
-    from tessera.operators.series import rolling
-    r = rolling(df, 50, {"avg50": F.avg("close"), "_pv": (2, F.first("close")), "_pc": (2, F.count(F.lit(1)))},
-                key=key, order=date)
-    r = r.withColumn("_prev", F.when(F.col("_pc") == 2, F.col("_pv")))
-    last = df.groupBy(key).agg(F.max(date).alias("_last"))
-    yr = (df.join(last, key).filter(F.col(date) >= F.date_sub("_last", 365))
-          .groupBy(key).agg(F.max("high").alias("high52"), F.min("low").alias("low52")))
-    top = (r.join(last, key).filter(F.col(date) == F.col("_last"))
-           .select(key, date, F.col("close").alias("last"), F.col("_prev").alias("prev_close"), "avg50", "volume"))
-    q = top.join(yr, key)
+    The last 50 rows of each key come from ``tail_per_key``, the 52-week extremes from the rows
+    of the 365 days up to its last date: no history is indexed or rolled."""
+    from tessera.operators.screen import tail_per_key
+    tail = tail_per_key(df.select(key, date, "close", "volume"), 50, key, date, back="_b")
+    newest = F.col("_b") == 1
+    q = tail.groupBy(key).agg(F.max(date).alias(date), F.max(F.when(newest, F.col("close"))).alias("last"),
+                              F.max(F.when(F.col("_b") == 2, F.col("close"))).alias("prev_close"), F.avg("close").alias("avg50"),
+                              F.max(F.when(newest, F.col("volume"))).alias("volume"))
+    last = df.groupBy(F.col(key).alias("_k")).agg(F.max(date).alias("_last"))
+    yr = (df.join(broadcast_bounded(last), F.col(key).eqNullSafe(F.col("_k"))).filter(F.col(date) >= F.date_sub("_last", 365))
+          .groupBy("_k").agg(F.max("high").alias("high52"), F.min("low").alias("low52")))
+    q = q.join(yr, F.col(key).eqNullSafe(F.col("_k")))
     return q.select(key, date, "last", "prev_close", (F.col("last") - F.col("prev_close")).alias("change"),
                     (F.try_divide(F.col("last") - F.col("prev_close"), F.col("prev_close")) * 100).alias("change_pct"),
                     "avg50", "high52", "low52", "volume")

@@ -12,12 +12,18 @@ from pyspark.sql import functions as F
 def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """AGG-03 keep the first row per ``keys`` in ``order`` (order must be total).
 
-    An aggregate (``min_by`` of the whole row), not a window: partial aggregation combines
-    duplicates map-side, so a very frequent key never lands whole in one task."""
-    keys = list(keys)
-    rest = [c for c in df.columns if c not in keys]
-    g = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*[F.col(o) for o in order])).alias("_r"))
-    return g.select(*keys, "_r.*").select(*df.columns)
+    The least ``order`` of every key is an aggregate: partial aggregation combines duplicates
+    map-side, so a very frequent key never lands whole in one task.  Only these columns are
+    aggregated; rows with others are fetched by a semi-join with the winners."""
+    keys, order = list(keys), list(order)
+    win = df.groupBy(*keys).agg(F.min(F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)])).alias("_w"))
+    if set(df.columns) <= set(keys) | set(order):
+        rest = [F.col("_w")[f"_o{i}"].alias(o) for i, o in enumerate(order) if o not in keys]
+        return win.select(*keys, *rest).select(*df.columns)
+    win = win.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_w.*")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    same += [F.col(o).eqNullSafe(F.col(f"_o{i}")) for i, o in enumerate(order) if o not in keys]
+    return df.join(win, same, "left_semi")
 
 
 def join_fragments(df: DataFrame, key: str | Sequence[str], order: str, text: str, sep: str = " ",

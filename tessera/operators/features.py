@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import round_half_up
 
 from tessera.functions.dates import cyclic_dates
 from tessera.operators.joins import shift
-from tessera.session import materialize
+from tessera.session import broadcast_bounded, materialize
 
 
 def one_hot_month(df: DataFrame, date: str = "date", prefix: str = "Month_") -> DataFrame:
@@ -81,6 +81,53 @@ def hash_split(df: DataFrame, keys: Sequence[str], fractions: Sequence[float] =
     return df.withColumn(out, expr.otherwise(names[-1]))
 
 
+def _digits(text, width: int = 5) -> list:
+    """``width`` digits of 12 bits (three hexadecimal characters each) of the MD5 of ``text``."""
+    return [F.substring(F.md5(text.cast("binary")), 3 * i + 1, 3) for i in range(width)]
+
+
+def exact_split(df: DataFrame, group: Sequence[str], keys: Sequence[str], share: float = 0.1,
+                names: Sequence[str] = ("train", "test"), seed: int = 42, out: str = "split") -> DataFrame:
+    """ML-04 split with exact counts: of the ``n`` rows of every ``group``, ``ceil(n * share)`` get
+    ``names[1]``, those with the largest seeded MD5 of ``keys``; the same rows on every run unless
+    keys repeat.
+
+    No sort: rows are counted by the first 12 bits of the hash, the bucket that holds the cut is
+    counted by the next 12, and so on, until the cut falls between two buckets; a later pass reads
+    the rows of one bucket a group.  Rows that agree in 60 bits are told apart by their place in
+    a written copy of the table.  Null groups are a group, null keys read as empty; an empty table
+    gives no rows."""
+    group = list(group)
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    place = F.monotonically_increasing_id().cast("string")
+    safe = F.to_json(F.array(*[F.col(g).cast("string") for g in group])) if group else F.lit("")
+    d = materialize(df.withColumns({"_g": safe, "_h": F.concat(*_digits(text)), "_i": F.concat(*_digits(F.concat(place, F.lit("#"))))}), pin=True)
+    path = F.concat("_h", "_i")
+    sizes = d.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    cut = materialize(sizes.select("_g", (F.col("_n") - F.ceil(F.round(F.col("_n") * share, 6))).alias("_need"), F.lit("").alias("_cut"),
+                                   F.lit(True).alias("_open")), pin=True)
+    for level in range(10):
+        if cut.filter("_open").isEmpty():
+            break
+        live = cut.filter("_open")
+        at = (d.select("_g", path.alias("_path")).join(broadcast_bounded(live), "_g")
+              .filter(F.col("_path").startswith(F.col("_cut"))))
+        hist = at.groupBy("_g", F.substring("_path", 3 * level + 1, 3).alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+        # 4096 buckets a group at most
+        upto = F.sum("_c").over(Window.partitionBy("_g").orderBy("_b"))
+        met = hist.withColumn("_u", upto).join(live, "_g").filter(F.col("_u") > F.col("_need"))
+        first = met.groupBy("_g").agg(F.min_by(F.struct("_b", "_c", "_u"), "_b").alias("_f"))
+        told = live.join(first, "_g", "left")
+        left = F.col("_need") - (F.col("_f._u") - F.col("_f._c"))
+        step = told.select("_g", F.coalesce(left, F.lit(0)).alias("_need"),
+                           # no bucket beyond: the cut lies behind all rows of this one
+                           F.when(F.col("_f").isNull(), F.concat("_cut", F.lit("~"))).otherwise(F.concat("_cut", "_f._b")).alias("_cut"),
+                           (F.col("_f").isNotNull() & (left > 0)).alias("_open"))
+        cut = materialize(step.unionByName(cut.filter("NOT _open")), pin=True)
+    told = d.join(broadcast_bounded(cut.select("_g", "_cut")), "_g")
+    return told.withColumn(out, F.when(path < F.col("_cut"), names[0]).otherwise(names[1])).select(*df.columns, out)
+
+
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features", digits: int | None = None) -> DataFrame:
     """ML-05 feature vector as ARRAY<DOUBLE> (the length-1 time axis of the reference's
     3-D arrays carries nothing and is dropped); ``digits`` rounds every element, so that the

@@ -5,11 +5,14 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.series import IDX, with_index
-from tessera.session import broadcast_bounded, materialize
+from tessera.session import broadcast_bounded
+
+#: Rows of a block of a shift by position.
+SHIFT_BLOCK = 4096
 
 # Dimension tables keyed by calendar date (macro, vix, bonds, holidays) have at most one
 # row per day (about 36,500 rows per century); the broadcast is still size-checked
@@ -60,14 +63,21 @@ def cross_params(df: DataFrame, grid: Sequence[dict]) -> DataFrame:
 
 def shift(df: DataFrame, cols: Sequence[str], n: int, key="tic", order="date", suffix: str | None = None) -> DataFrame:
     """WIN-04: value of ``cols`` ``n`` rows ahead (n > 0, lead) or behind (n < 0, lag)
-    within the key.  Expressed as an equi-join on (key, row index + n), so a long key is
-    spread over all tasks instead of one window."""
+    within the key.  Rows are cut into blocks by position; those within ``n`` of the next block
+    are copied there once as a halo and an ordinary window runs per (key, block): one shuffle, no
+    self-join, and a long key is spread over all tasks."""
     keys = [key] if isinstance(key, str) else list(key)
     added = IDX not in df.columns
-    d = with_index(df, keys, order) if added else materialize(df)
+    d = with_index(df, keys, order) if added else df
     sfx = suffix if suffix is not None else (f"_lead{n}" if n > 0 else f"_lag{-n}")
-    other = d.select(*keys, (F.col(IDX) - n).alias(IDX), *[F.col(c).alias(c + sfx) for c in cols])
-    out = d.join(other, keys + [IDX], "left")
+    block = max(SHIFT_BLOCK, abs(n))
+    home = F.floor(F.col(IDX) / block)
+    d = d.withColumn("_home", home).withColumn("_blk", F.explode(F.array_distinct(F.array("_home", F.floor((F.col(IDX) - n) / block)))))
+    kk = [f"_sk{i}" for i in range(len(keys))]
+    d = d.withColumns({k: F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for k, c in zip(kk, keys)})
+    w = Window.partitionBy(*kk, "_blk").orderBy(IDX)
+    d = d.withColumns({c + sfx: F.lead(c, n).over(w) if n >= 0 else F.lag(c, -n).over(w) for c in cols})
+    out = d.filter(F.col("_blk") == F.col("_home")).drop("_home", "_blk", *kk)
     return out.drop(IDX) if added else out
 
 

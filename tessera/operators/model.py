@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.joins import shift
+from tessera.session import materialize
 
 COEF_SCHEMA = "tic string, lam double, intercept double, coef array<double>, val_mae double, n_train long"
 
@@ -79,7 +80,9 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
 def _fit_ridge(d: DataFrame, lams: Sequence[float]) -> DataFrame:
     """Fits for every penalty in ``lams``: the statistics are computed once and only that
     small table ((k+1)^2 rows per ticker) is fanned out over the grid; validation rows
-    are paired with each ticker's fits (grid size) to score them."""
+    are paired with each ticker's fits (grid size) to score them.  ``d`` is cut once: statistics
+    and validation read the same table."""
+    d = materialize(d)
     grid = F.array(*[F.lit(float(x)) for x in lams])
     stats = _train_stats(d).withColumn("lam", F.explode(grid))
     coefs = stats.groupBy("tic", "lam").applyInPandas(
@@ -114,6 +117,7 @@ def load_or_fit(df: DataFrame, store: DataFrame | None, lam: float = 1.0) -> Dat
     """ML-08 re-use stored coefficients; fit only the tickers missing from the store."""
     if store is None:
         return fit_per_ticker(df, lam)
+    df = df.filter(F.col("target").isNotNull() & F.col("split").isin("train", "val")).select("tic", "features", "target", "split")
     missing = df.join(store.select("tic"), "tic", "left_anti")
     return store.unionByName(fit_per_ticker(missing, lam))
 

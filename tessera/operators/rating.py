@@ -39,13 +39,14 @@ def lexicon_scorer(texts: pd.Series) -> pd.Series:
 
 def rate_text(df: DataFrame, scorer: Callable[[pd.Series], pd.Series] = lexicon_scorer, text: str = "body",
               id_col: str = "doc_id", done: DataFrame | None = None, max_words: int | None = None,
-              max_failures: float = 0.5) -> DataFrame:
+              max_failures: float = 0.0) -> DataFrame:
     """ML-14 rate only the rows not in ``done`` (id_col, rating) by their whole text, cut to
     ``max_words`` words only if asked.  Output: id_col, rating (INT).
 
     A batch that the scorer refuses is scored row by row; rows that fail stay null and are
     retried by the next run (they are not in ``done``).  A task whose failed rows pass the
-    share ``max_failures`` raises: a dead scorer is not a finished run."""
+    share ``max_failures`` raises (by default any failure does): a run that left rows out is not a
+    finished one."""
     todo = df if done is None else unrated(df, done, id_col)
     t = todo.select(id_col, (truncate_words(text, max_words) if max_words else F.col(text)).alias("_t"))
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tessera.functions.text import parse_amount
 
 from tessera.functions.text import SUFFIX
+from tessera.operators.joins import skew_join
+from tessera.operators.series import _chunked, _safe_keys, default_chunk
 from tessera.session import broadcast_bounded, materialize
 
 _OPS = {"gt": lambda c, v: c > v, "gte": lambda c, v: c >= v, "eq": lambda c, v: c == v,
@@ -151,6 +153,46 @@ def autocomplete(df: DataFrame, q: str, method: str = "symbol", limit: int = 10,
     return df.filter(cond).orderBy(symbol).limit(limit)
 
 
+def lookup_index(df: DataFrame, symbol: str = "symbol", name: str = "name") -> DataFrame:
+    """FLT-11 posting table (kind, gram, word, symbol) of a security master: under every prefix of
+    one to three characters of the symbol (kind ``s``) and of the words of the name (``w``), and
+    under every piece of one to three characters of the symbol (``g``).  Written sorted by
+    (kind, gram), a lookup reads the row groups of its grams only.  Rows without a symbol are left
+    out, a null name has no words; repeated rows are one."""
+    sym = F.lower(F.col(symbol))
+
+    def prefixes(w):
+        return F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.length(w))), lambda n: F.substring(w, F.lit(1), n))
+
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(name), F.lit(""))), " "), lambda w: w != "")
+    starts = F.flatten(F.transform(words, lambda w: F.transform(prefixes(w), lambda g: F.struct(F.lit("w").alias("kind"), g.alias("gram"), w.alias("word")))))
+    own = F.transform(prefixes(sym), lambda g: F.struct(F.lit("s").alias("kind"), g.alias("gram"), sym.alias("word")))
+    pieces = F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.transform(
+        F.when(F.length(sym) >= n, F.sequence(F.lit(1), F.length(sym) - n + 1)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(F.lit("g").alias("kind"), F.substring(sym, i, n).alias("gram"), sym.alias("word")))))
+    rows = df.filter(F.col(symbol).isNotNull() & (F.col(symbol) != "")).select(
+        F.col(symbol).alias("_sym"), F.explode(F.array_distinct(F.concat(own, starts, pieces))).alias("p"))
+    rows = rows.select("p.*", F.col("_sym").alias("symbol"))
+    return rows.distinct().repartitionByRange("kind", "gram", "symbol").sortWithinPartitions("kind", "gram", "symbol")
+
+
+def lookup(index: DataFrame, q: str, method: str = "symbol") -> DataFrame:
+    """(symbol) of the matches of ``autocomplete`` by the postings of the grams of ``q``, each verified
+    on the posted word: no scan of the master.  An empty ``q`` raises."""
+    ql = q.lower()
+    if not ql:
+        raise ValueError("nothing to look up")
+    if method in ("symbol", "symbol_name"):
+        kinds = ["s"] if method == "symbol" else ["s", "w"]
+        met = index.filter(F.col("kind").isin(kinds) & (F.col("gram") == ql[:3])).filter(F.col("word").startswith(ql))
+        return met.select("symbol").distinct()
+    if method != "symbol_within":
+        raise ValueError("method must be symbol, symbol_name or symbol_within")
+    grams = sorted({ql[i:i + 3] for i in range(len(ql) - 2)} or {ql})
+    met = index.filter((F.col("kind") == "g") & F.col("gram").isin(grams)).filter(F.col("word").contains(ql))
+    return met.groupBy("symbol").agg(F.countDistinct("gram").alias("n")).filter(F.col("n") == len(grams)).select("symbol")
+
+
 def page(df: DataFrame, order: Sequence[str], size: int, number: int = 0, last_id=None,
          id_col: str = "id") -> DataFrame:
     """SRT-05 one page: offset paging (page ``number`` of ``size``) or key-set paging
@@ -160,13 +202,20 @@ def page(df: DataFrame, order: Sequence[str], size: int, number: int = 0, last_i
     return df.orderBy(*order).offset(number * size).limit(size)
 
 
-def tail_per_key(df: DataFrame, n: int, key: str = "tic", order: str = "date") -> DataFrame:
-    """SRT-03 last ``n`` rows per key: block-split row positions and a per-key count, so
-    a long key is not sorted in one task."""
-    from tessera.operators.series import IDX, with_index
-    d = with_index(df, key, order)
-    cnt = d.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return d.join(cnt, key).filter(F.col(IDX) >= F.col("_n") - n).drop(IDX, "_n")
+def tail_per_key(df: DataFrame, n: int, key: str = "tic", order: str = "date", back: str | None = None) -> DataFrame:
+    """SRT-03 last ``n`` rows per key; ``back`` names a column with their place from the end (1: last).
+
+    Rows are counted per (key, calendar bucket); only buckets with fewer than ``n`` rows behind
+    them are read whole and numbered, each in its own task: neither the history nor a long key is
+    sorted.  Null keys are one key, null orders come first in it."""
+    d, kk = _safe_keys(_chunked(df, default_chunk(order, df)), [key], "_tk")
+    sizes = d.groupBy(*kk, "_chunk").agg(F.count(F.lit(1)).alias("_c"))
+    behind = Window.partitionBy(*kk).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    wanted = sizes.withColumn("_later", F.coalesce(F.sum("_c").over(behind), F.lit(0))).filter(F.col("_later") < n).drop("_c")
+    rows = d.join(broadcast_bounded(wanted), kk + ["_chunk"])
+    place = F.row_number().over(Window.partitionBy(*kk, "_chunk").orderBy(F.desc(order))) + F.col("_later")
+    out = rows.withColumn("_place", place).filter(F.col("_place") <= n)
+    return out.select(*df.columns, *([F.col("_place").alias(back)] if back else []))
 
 
 def percentiles(df: DataFrame, metrics: Sequence[str], peer: str) -> DataFrame:
@@ -181,23 +230,29 @@ def percentiles(df: DataFrame, metrics: Sequence[str], peer: str) -> DataFrame:
 def percent_rank(df: DataFrame, metric: str, peer: str, out: str) -> DataFrame:
     """``percent_rank() OVER (PARTITION BY peer ORDER BY metric)`` without a per-peer task.
 
-    Rows are range-partitioned on (peer, metric): equal keys share a partition and a large
-    peer group is cut into as many ordered partitions as its size needs.  The partition id
-    is pinned by a lineage cut (one sample, one layout).  Rank = rows of the peer in
-    earlier partitions (all strictly smaller) + the local rank inside (partition, peer);
-    the offsets come from the small (partition, peer) count table."""
-    d = df.repartitionByRange(peer, metric).withColumn("_pid", F.spark_partition_id())
-    d = materialize(d, pin=True)
-    loc = d.withColumn("_r", F.rank().over(Window.partitionBy("_pid", peer).orderBy(metric)))
-    cnt = d.groupBy("_pid", peer).agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(peer).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = cnt.select(F.col("_pid").alias("_ppid"), F.col(peer).alias("_ppeer"),
-                      F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
-                      F.sum("_c").over(Window.partitionBy(peer)).alias("_n"))
-    j = loc.join(broadcast_bounded(offs), (F.col("_pid") == F.col("_ppid")) & F.col(peer).eqNullSafe(F.col("_ppeer")))
-    rank = F.col("_off") + F.col("_r") - 1
-    pr = F.when(F.col("_n") > 1, rank / (F.col("_n") - 1)).otherwise(F.lit(0.0)).cast("double")
-    return j.withColumn(out, pr).select(*df.columns, out)
+    Ranks are those of values: rows are counted per (peer, value), and the counts, one row per
+    distinct value however many rows hold it, are range-partitioned and prefix-summed (the
+    partition id is pinned by a lineage cut).  Rows fetch the rank of their value; values that
+    many rows share, null included, are broadcast (``skew_join``)."""
+    # keys that are never null; -0.0 and 0.0 are one value
+    number = dict(df.dtypes)[metric] in ("double", "float")
+    value = F.col(metric) + 0.0 if number else F.col(metric)
+    key = {"_kp": F.coalesce(F.concat(F.lit("="), F.col(peer).cast("string")), F.lit("null")),
+           "_kv": F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("null"))}
+    d = materialize(df.withColumns(key))
+    counts = d.groupBy("_kp", "_kv").agg(F.count(F.lit(1)).alias("_c"), F.first(value).alias("_v"))
+    counts = materialize(counts.repartitionByRange("_kp", F.asc_nulls_first("_v")).withColumn("_pid", F.spark_partition_id()), pin=True)
+    local = Window.partitionBy("_pid", "_kp").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, -1)
+    part = counts.groupBy("_pid", "_kp").agg(F.sum("_c").alias("_pc"))
+    before = Window.partitionBy("_kp").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = part.select("_pid", "_kp", F.coalesce(F.sum("_pc").over(before), F.lit(0)).alias("_off"),
+                       F.sum("_pc").over(Window.partitionBy("_kp")).alias("_n"))
+    ranks = (counts.withColumn("_r", F.coalesce(F.sum("_c").over(local), F.lit(0))).join(broadcast_bounded(offs), ["_pid", "_kp"])
+             .select("_kp", "_kv", "_c", F.when(F.col("_n") > 1, (F.col("_off") + F.col("_r")) / (F.col("_n") - 1))
+                     .otherwise(F.lit(0.0)).cast("double").alias(out)))
+    ranks = materialize(ranks, pin=True)
+    total = ranks.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
+    return skew_join(d, ranks, ["_kp", "_kv"], "_c", total).select(*df.columns, out)
 
 
 def alpha_beta(returns: DataFrame, key: str = "tic", date: str = "date", ret: str = "ret") -> DataFrame:

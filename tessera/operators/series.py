@@ -129,6 +129,22 @@ def bfill(df: DataFrame, cols: Sequence[str], key="tic", order="date", chunk=Non
     return _fill(df, cols, key, order, chunk, forward=False)
 
 
+def running_max(df: DataFrame, col: str, out: str, key="tic", order="date", chunk=None) -> DataFrame:
+    """``out`` = the largest ``col`` (any comparable type, structs too; nulls are passed over) of the
+    rows of the key up to this one.  Maxima run inside calendar buckets, the carry is the
+    running maximum of the small bucket table."""
+    key, order = _cols(key), _cols(order)
+    ch = chunk if chunk is not None else default_chunk(order[0], df)
+    d, kk = _safe_keys(_chunked(materialize(df), ch), key, "_mk")
+    so_far = Window.partitionBy(*kk, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_l", F.max(col).over(so_far))
+    top = d.groupBy(*kk, "_chunk").agg(F.max(col).alias("_s"))
+    before = Window.partitionBy(*kk).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = top.select(*kk, "_chunk", F.max("_s").over(before).alias("_c"))
+    d = d.join(carry, on=kk + ["_chunk"], how="left")
+    return d.withColumn(out, F.greatest("_l", "_c")).drop("_l", "_c", "_chunk", *kk)
+
+
 def rolling(df: DataFrame, n: int, aggs: dict, key="tic", order="date",
             block: int = 4096) -> DataFrame:
     """Trailing row-frame aggregates (partial frames at the start, like pandas

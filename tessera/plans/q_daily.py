@@ -59,11 +59,6 @@ def pipe_01(spark, sf_dir):
     return D.clean_news(_fx(spark, sf_dir).news)
 
 
-@query("pipe_02_clean_bars", """SELECT tic, date, close, volume, day FROM bars_d""", ("bars_d",))
-def pipe_02(spark, sf_dir):
-    return D.clean_bars(_fx(spark, sf_dir).bars_d)
-
-
 @query("pipe_03_clean_earnings", f"WITH {SQL_EARN_CLEAN} SELECT * FROM er", ("earnings",))
 def pipe_03(spark, sf_dir):
     return D.clean_earnings(_fx(spark, sf_dir).earnings)

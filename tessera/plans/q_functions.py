@@ -356,6 +356,16 @@ def flt_02(spark, sf_dir):
     return D.clean_bars(e).select("tic", "date")
 
 
+@query("pipe_02_clean_bars", _flt02_sql().replace("SELECT tic, date FROM en WHERE", "SELECT en.tic, en.date, b.close, b.volume, b.day, en.macd, en.rsi "
+                                                  "FROM en JOIN bars_d b ON en.tic = b.tic AND en.date = b.date WHERE"), ("bars_d",))
+def pipe_02(spark, sf_dir):
+    """Enriched bars without open, high and low, and without rows whose indicators are invalid."""
+    from tessera.plans.q_daily import _stand_in_dims
+    fx = _fx(spark, sf_dir)
+    d = D.clean_bars(D.enrich_bars(fx.bars_d, *_stand_in_dims(fx)))
+    return d.select("tic", "date", F.round("close", 6).alias("close"), "volume", "day", "macd", "rsi")
+
+
 # ---- quality ------------------------------------------------------------------------------
 
 CONTRACT = {"id": "bigint", "date": "date", "ticker": "string", "importance": "int", "yield": "double",

@@ -20,6 +20,7 @@ from tessera.operators.risk import turbulence
 from tessera.plans.fixtures import Fixtures
 from tessera.plans.flagship import flagship
 from tessera.plans.registry import query
+from tessera.session import materialize
 
 WS = TX.WS_CLASS
 
@@ -70,6 +71,20 @@ def ml_04(spark, sf_dir):
     return d.groupBy("tic", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("ml_04_exact_split", """WITH h AS (SELECT tic, date, md5(concat_ws('|', '42', tic, CAST(date AS VARCHAR))) AS h,
+    md5(concat_ws('|', '7', tic, CAST(date AS VARCHAR))) AS h2, count(*) OVER (PARTITION BY tic) AS n FROM bars_d),
+a AS (SELECT *, row_number() OVER (PARTITION BY tic ORDER BY substr(h, 1, 15)) <= n - ceil(round(n * 0.1, 6)) AS keep FROM h),
+b AS (SELECT *, row_number() OVER (PARTITION BY tic ORDER BY substr(h2, 1, 15)) AS rk, count(*) OVER (PARTITION BY tic) AS m FROM a WHERE keep)
+SELECT tic, date, CASE WHEN rk <= m - ceil(round(m * 0.2, 6)) THEN 'train' ELSE 'val' END AS split FROM b
+UNION ALL SELECT tic, date, 'test' FROM a WHERE NOT keep""", ("bars_d",))
+def ml_04_exact(spark, sf_dir):
+    """Exactly 90/10, then 80/20 of the rest, per ticker."""
+    b = _fx(spark, sf_dir).bars_d.select("tic", "date")
+    d = FE.exact_split(b, ["tic"], ["tic", "date"], 0.1)
+    train = FE.exact_split(d.filter("split = 'train'").drop("split"), ["tic"], ["tic", "date"], 0.2, ("train", "val"), seed=7)
+    return train.unionByName(d.filter("split = 'test'"))
+
+
 @query("ml_05_feature_array", """SELECT tic, date, [close, volume, CAST(day AS DOUBLE), high - low] AS features FROM bars_d""",
        ("bars_d",))
 def ml_05(spark, sf_dir):
@@ -121,7 +136,8 @@ def _model_frame(spark, sf_dir, horizon=30):
     d = FE.lead_target(b, horizon, "close", "target")
     d = B.chrono_split(d).drop(IDX)
     d = FE.add_calendar_features(d)
-    return FE.assemble(d.fillna(0.0, ["ret"]), ["close", "ret", "month_sin", "month_cos", "day_of_week_sin"], "features")
+    # the frame is cut once: fits, stores and scores read the same table
+    return materialize(FE.assemble(d.fillna(0.0, ["ret"]), ["close", "ret", "month_sin", "month_cos", "day_of_week_sin"], "features"))
 
 
 @query("ml_06_fit_per_ticker", None)
@@ -238,6 +254,47 @@ def ml_13(spark, sf_dir):
     return M.evaluate(p)
 
 
+def _ridge_sql(out: str) -> str:
+    """Ridge on the standardised close alone, in closed form: slope = Sxy / (Sxx + 1)."""
+    cut = _descent_sql([(0, 0.1, 1, 1)]).index("st AS (")
+    return _descent_sql([(0, 0.1, 1, 1)])[:cut].replace("WITH RECURSIVE", "WITH").rstrip().rstrip(",") + """,
+sx AS (SELECT tic, avg(x1) AS xm, avg(y) AS ym, sum(x1 * x1) - count(*) * avg(x1) ^ 2 AS sxx, sum(x1 * y) - count(*) * avg(x1) * avg(y) AS sxy,
+         count(*) AS n FROM r WHERE split = 'train' GROUP BY tic),
+co AS (SELECT tic, sxy / (sxx + 1) AS w, ym - xm * sxy / (sxx + 1) AS b, n FROM sx),
+pd AS (SELECT r.tic, split, x1, y, w * x1 + b AS p FROM r JOIN co ON r.tic = co.tic)
+""" + out
+
+
+def _one_feature(spark, sf_dir):
+    return _descent_frame(spark, sf_dir).withColumn("features", F.slice("features", 1, 1))
+
+
+@query("ml_06_ridge_one_feature", _ridge_sql("""SELECT co.tic, round(w, 6) AS slope, round(b, 6) AS intercept, n AS n_train, round(v.mae, 6) AS val_mae
+FROM co JOIN (SELECT tic, avg(abs(p - y)) AS mae FROM pd WHERE split = 'val' GROUP BY tic) v ON co.tic = v.tic"""), ("bars_d",))
+def ml_06_ridge(spark, sf_dir):
+    m = M.fit_per_ticker(_one_feature(spark, sf_dir), lam=1.0)
+    return m.select("tic", round_half_up(F.col("coef")[0], 6).alias("slope"), round_half_up("intercept", 6).alias("intercept"), "n_train",
+                    round_half_up("val_mae", 6).alias("val_mae"))
+
+
+@query("ml_13_evaluate_fitted", _ridge_sql("""SELECT tic, split, round(avg(abs(p - y)), 6) AS mae, round(avg((p - y) ^ 2), 6) AS mse, count(*) AS n
+FROM pd GROUP BY tic, split"""), ("bars_d",))
+def ml_13_fitted(spark, sf_dir):
+    """Evaluation of the fitted rows per ticker and split."""
+    frame = _one_feature(spark, sf_dir)
+    e = M.evaluate(M.score(frame, M.fit_per_ticker(frame, lam=1.0)).withColumnRenamed("target", "observed"))
+    return e.select("tic", "split", round_half_up("mae", 6).alias("mae"), round_half_up("mse", 6).alias("mse"), "n")
+
+
+@query("ml_09_score_stored", """SELECT tic, date, round(CASE tic WHEN '1-URGENT' THEN 0.5 * close - 2 * volume + 10
+  WHEN '2-HIGH' THEN 1.25 * close + 0.5 * volume - 3 END, 4) AS prediction FROM bars_d""", ("bars_d",))
+def ml_09_stored(spark, sf_dir):
+    """Scoring by a stored coefficients table that holds two tickers; the others have no prediction."""
+    frame = FE.assemble(_fx(spark, sf_dir).bars_d, ["close", "volume"], "features")
+    coefs = spark.createDataFrame([("1-URGENT", 10.0, [0.5, -2.0]), ("2-HIGH", -3.0, [1.25, 0.5])], "tic string, intercept double, coef array<double>")
+    return M.score(frame, coefs).select("tic", "date", round_half_up("prediction", 4).alias("prediction"))
+
+
 @query("ml_13_evaluate_naive", """
 SELECT tic, split, round(avg(abs(prediction - observed)), 4) AS mae, round(avg((prediction - observed) ^ 2), 2) AS mse, count(*) AS n
 FROM (SELECT p.*, CASE WHEN j >= floor(n * 0.8) THEN 'test' WHEN j >= floor(floor(n * 0.8) * 0.8) THEN 'val' ELSE 'train' END AS split
@@ -406,14 +463,14 @@ def pipe_09(spark, sf_dir):
 
 @query("pipe_10_transcripts", """
 SELECT v.video_id, v.title, v.created, t.body FROM
-  (SELECT doc_id AS video_id, substr(text, 1, 30) AS title, DATE '2024-01-01' + CAST(doc_id % 60 AS INT) AS created FROM documents
+  (SELECT doc_id AS video_id, text AS title, DATE '2024-01-01' + CAST(doc_id % 60 AS INT) AS created FROM documents
    WHERE DATE '2024-01-01' + CAST(doc_id % 60 AS INT) BETWEEN DATE '2024-01-10' AND DATE '2024-02-20') v
 LEFT JOIN (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS body FROM conversations GROUP BY conv_id) t
   ON v.video_id = t.conv_id""")
 def pipe_10(spark, sf_dir):
     from tessera.plans.textplans import transcripts
     fx = _fx(spark, sf_dir)
-    videos = fx.documents.select(F.col("doc_id").alias("video_id"), F.substring("text", 1, 30).alias("title"),
+    videos = fx.documents.select(F.col("doc_id").alias("video_id"), F.col("text").alias("title"),
                                  F.date_format(F.date_add(F.lit("2024-01-01").cast("date"),
                                                           (F.col("doc_id") % 60).cast("int")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
                                  .alias("publishedAt"))

@@ -107,6 +107,27 @@ def join_12(spark, sf_dir):
                            ["fiscalDateEnding", "reportedEPS", "estimatedEPS"])
 
 
+_SQL_REVISIONS = """rev AS (SELECT tic, fiscalDateEnding, reportedDate, CAST(k AS INT) AS revision,
+    reportedDate + CAST(k * (25 + month(fiscalDateEnding) * 11 % 90) AS INT) AS updated, round(reportedEPS * (1 + k * 0.01), 4) AS eps
+  FROM earnings, (VALUES (0), (1), (2)) t(k))"""
+
+
+@query("join_12_known_as_of", f"""WITH {_SQL_REVISIONS},
+k AS (SELECT b.tic, b.date, arg_max(struct_pack(f := r.fiscalDateEnding, n := r.revision, e := r.eps), (r.reportedDate, r.updated, r.revision)) AS best
+  FROM bars_d b JOIN rev r ON b.tic = r.tic AND r.reportedDate <= b.date AND r.updated <= b.date GROUP BY b.tic, b.date)
+SELECT b.tic, b.date, best.f AS fiscalDateEnding, best.n AS revision, best.e AS eps
+FROM bars_d b LEFT JOIN k ON b.tic = k.tic AND b.date = k.date""", ("bars_d", "earnings"))
+def join_12_known(spark, sf_dir):
+    """For every bar the latest report that had come out by then, in the revision known that day."""
+    fx = _fx(spark, sf_dir)
+    k = F.col("revision")
+    rev = fx.earnings.withColumn("revision", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    rev = rev.withColumns({"updated": F.date_add("reportedDate", (k * (25 + F.month("fiscalDateEnding") * 11 % 90)).cast("int")),
+                           "eps": F.round(F.col("reportedEPS") * (1 + k * 0.01), 4)})
+    return A.known_as_of(fx.bars_d.select("tic", "date"), rev, "tic", "date", "reportedDate", "updated",
+                         ["fiscalDateEnding", "revision", "eps"], tie=["revision"])
+
+
 @query("join_09_spine", """
 SELECT k.tic, g.ts, h.close FROM (SELECT DISTINCT tic FROM bars_h) k
 CROSS JOIN (SELECT unnest(generate_series((SELECT min(ts) FROM bars_h), (SELECT max(ts) FROM bars_h), INTERVAL 1 HOUR)) AS ts) g
@@ -219,16 +240,16 @@ def agg_09(spark, sf_dir):
 
 
 @query("agg_10_source_health", """
-WITH req AS (SELECT DISTINCT p_brand AS tic FROM part),
-obs AS (SELECT tic, count(*) AS n FROM bars_x WHERE date = (SELECT min(date) FROM bars_x) GROUP BY tic),
+WITH req AS (SELECT DISTINCT p_brand AS tic FROM part UNION ALL VALUES ('Brand#00'), ('Brand#99')),
+obs AS (SELECT tic, count(*) AS n FROM bars_x WHERE date >= DATE '1994-01-01' AND date < DATE '1997-01-01' GROUP BY tic),
 r AS (SELECT req.tic, coalesce(obs.n, 0) AS n_rows, coalesce(obs.n, 0) > 0 AS ok FROM req LEFT JOIN obs ON req.tic = obs.tic)
 SELECT tic, n_rows, ok, NOT bool_or(ok) OVER () AS all_failed FROM r""", ("bars_x",))
 def agg_10(spark, sf_dir):
+    """Rows of every requested ticker over the whole requested range; two have none."""
     fx = _fx(spark, sf_dir)
-    x = fx.bars_x
-    first = x.agg(F.min("date").alias("d"))
-    obs = x.join(first, x.date == first.d).select("tic")
-    return EV.source_health(obs, fx.part.select(F.col("p_brand").alias("tic")))
+    x = fx.bars_x.filter((F.col("date") >= "1994-01-01") & (F.col("date") < "1997-01-01"))
+    more = spark.createDataFrame([("Brand#00",), ("Brand#99",)], "tic string")
+    return EV.source_health(x, fx.part.select(F.col("p_brand").alias("tic")).unionByName(more))
 
 
 @query("agg_11_resample_4h", """
@@ -543,6 +564,32 @@ def flt_11w(spark, sf_dir):
     return S.autocomplete(_fx(spark, sf_dir).universe, "77", "symbol_within", 15)
 
 
+def _looked_up(spark, sf_dir, q, method):
+    """Matches of a lookup by the written posting table of the universe."""
+    from tessera.sources.sinks import write_table
+    from tessera.session import scratch_path
+    u = _fx(spark, sf_dir).universe
+    path = scratch_path(spark, "lookup")
+    write_table(S.lookup_index(u), path)
+    return u.join(S.lookup(spark.read.parquet(path), q, method), "symbol", "left_semi")
+
+
+@query("flt_11_lookup_symbol", "SELECT * FROM universe WHERE starts_with(lower(symbol), 'p12')", ("universe",))
+def flt_11_lookup(spark, sf_dir):
+    return _looked_up(spark, sf_dir, "P12", "symbol")
+
+
+@query("flt_11_lookup_name", """SELECT * FROM universe WHERE starts_with(lower(symbol), 'bo')
+  OR len(list_filter(string_split(lower(name), ' '), lambda w: starts_with(w, 'bo'))) > 0""", ("universe",))
+def flt_11_lookup_name(spark, sf_dir):
+    return _looked_up(spark, sf_dir, "bo", "symbol_name")
+
+
+@query("flt_11_lookup_within", "SELECT * FROM universe WHERE contains(lower(symbol), '11')", ("universe",))
+def flt_11_lookup_within(spark, sf_dir):
+    return _looked_up(spark, sf_dir, "11", "symbol_within")
+
+
 @query("flt_12_ticker_selection", """SELECT * FROM bars_d WHERE tic IN ('1-URGENT', '3-MEDIUM', '5-LOW')""", ("bars_d",))
 def flt_12(spark, sf_dir):
     return _fx(spark, sf_dir).bars_d.filter(F.col("tic").isin("1-URGENT", "3-MEDIUM", "5-LOW"))

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as TX
+from tessera.functions.numeric import round_half_up
+from tessera.operators import screen as S
 from tessera.plans import daily as D
 from tessera.plans.fixtures import Fixtures
 from tessera.plans.registry import query
@@ -20,6 +22,7 @@ from tessera.sources import feeds as FD
 from tessera.sources import readers as RD
 from tessera.sources import sinks as SK
 from tessera.plans.q_model import lexicon_sql
+from tessera.streaming import blocks as BL
 from tessera.streaming import streams as ST
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -48,6 +51,12 @@ def stm_01(spark, sf_dir):
     return spark.read.parquet(path + "/out").select("doc_id", "tic", "created", "title")
 
 
+@query("stm_01_stream_news_keys", "SELECT DISTINCT created, title FROM news", ("news",))
+def stm_01_keys(spark, sf_dir):
+    """The (created, title) that the stream let through: each once, as in the batch form."""
+    return stm_01(spark, sf_dir).select("created", "title")
+
+
 # One landed file per table: the stream runs one data batch, then a no-data batch moves
 # the watermark to max(ts) - 10 minutes and closes every window that ends by then.
 SQL_STREAM_BARS = """SELECT event_type AS tic, date_trunc('hour', ts) AS ts, min_by(value, ts) AS open, max(value) AS high,
@@ -77,6 +86,33 @@ def stm_03(spark, sf_dir):
     return spark.read.parquet(path + "/out")
 
 
+def _stories(d):
+    """Stories with a time of publication among the events, from a documents frame."""
+    kinds = F.array(*[F.lit(t) for t in EVENT_TYPES])
+    return d.select(F.col("doc_id").alias("story_id"), kinds[(F.col("doc_id") % len(EVENT_TYPES)).cast("int")].alias("tic"),
+                    (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=(F.col("doc_id") * 37 % 43200).cast("int"))).alias("published"))
+
+
+# The five event types, the tickers of the intraday bars.
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+SQL_STORIES = """SELECT doc_id AS story_id, (['click', 'error', 'purchase', 'signup', 'view'])[doc_id % 5 + 1] AS tic,
+  TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id * 37 % 43200 AS INT)) AS published FROM documents"""
+
+
+@query("stm_03_stream_reports", f"""WITH s AS ({SQL_STORIES}),
+wm AS (SELECT least((SELECT max(ts) FROM events) - INTERVAL 10 MINUTE, (SELECT max(published) FROM s) - INTERVAL 2 HOUR) AS wm)
+SELECT e.event_id, e.event_type AS tic, e.ts, s.story_id, s.published FROM events e
+LEFT JOIN s ON s.tic = e.event_type AND e.ts >= s.published AND e.ts <= s.published + INTERVAL 1 HOUR
+WHERE s.story_id IS NOT NULL OR e.ts <= (SELECT wm FROM wm)""")
+def stm_03_reports(spark, sf_dir):
+    """Every event with the stories of the hour before it, both as streams that may be late."""
+    events = ST.file_stream(spark, sf_dir, "events", EVENTS_SCHEMA).select("event_id", F.col("event_type").alias("tic"), "ts")
+    stories = _stories(ST.file_stream(spark, sf_dir, "documents", DOCS_SCHEMA))
+    path = ST.scratch(spark, "stm03r")
+    ST.run_available_now(ST.stream_reports(events, stories), path)
+    return spark.read.parquet(path + "/out")
+
+
 @query("stm_04_stream_state", """WITH RECURSIVE b AS (
   SELECT event_type AS tic, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS j FROM events),
 r AS (SELECT tic, j, ts, value, value AS last_known, CAST(coalesce(value, 0.0) AS DOUBLE) AS num,
@@ -94,6 +130,23 @@ def stm_04(spark, sf_dir):
     return spark.read.parquet(path + "/out").drop("batch_id").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+@query("stm_04_block_state", """WITH RECURSIVE b AS (
+  SELECT event_type AS tic, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS j FROM events),
+r AS (SELECT tic, j, ts, value, value AS last_known, CAST(coalesce(value, 0.0) AS DOUBLE) AS num,
+        CAST(CASE WHEN value IS NULL THEN 0.0 ELSE 1.0 END AS DOUBLE) AS den FROM b WHERE j = 1
+  UNION ALL
+  SELECT b.tic, b.j, b.ts, b.value, coalesce(b.value, r.last_known), (1.0 - 2.0 / 13) * r.num + coalesce(b.value, 0.0),
+    (1.0 - 2.0 / 13) * r.den + CASE WHEN b.value IS NULL THEN 0.0 ELSE 1.0 END
+  FROM r JOIN b ON b.tic = r.tic AND b.j = r.j + 1)
+SELECT tic, ts, value, last_known, CASE WHEN den > 0 THEN num / den END AS ema FROM r
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def stm_04_blocks(spark, sf_dir):
+    """The same from state store blocks of a day, for all days that have closed."""
+    s = ST.file_stream(spark, sf_dir, "events", EVENTS_SCHEMA).withColumnRenamed("event_type", "tic")
+    d = BL.run_blocks(s, ST.scratch(spark, "stm04b"), block_seconds=86400)
+    return d.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query("stm_05_stream_rate", f"""SELECT doc_id, {lexicon_sql('body')} AS rating, 0 AS batch_id FROM news""", ("news",))
 def stm_05(spark, sf_dir):
     s = _news_expr(ST.file_stream(spark, sf_dir, "documents", DOCS_SCHEMA))
@@ -224,6 +277,46 @@ for _name in FD.FUNDAMENTAL_FEEDS:
     _fundamentals_query(_name)
 
 
+def _fundamental_records(fx):
+    """Records of all thirteen feeds, each with attributes of its own: (feed, record)."""
+    names = F.array(*[F.lit(f) for f in FD.FUNDAMENTAL_FEEDS])
+    i = F.col("symbol_id") % len(FD.FUNDAMENTAL_FEEDS)
+    common = [F.col("symbol"), F.lit("2024-01-31").alias("asOf")]
+    ratio = F.struct(*common, F.round("close", 2).alias("value"), F.col("symbol_id").alias("count"))
+    nested = F.struct(*common, F.struct(F.col("sector").alias("name"), (F.col("symbol_id") % 7).alias("level")).alias("class"),
+                      F.array("exchange", "sector").alias("tags"))
+    mixed = F.struct(*common, F.when(i % 2 == 0, F.col("symbol_id").cast("string")).otherwise(F.lit("n/a")).alias("score"), (F.col("close") > 1000).alias("large"))
+    text = F.when(i < 5, F.to_json(ratio)).when(i < 9, F.to_json(nested)).otherwise(F.to_json(mixed))
+    # among the ratios every third record has a text where the others have a number
+    text = F.when((i < 5) & (F.col("symbol_id") % 3 == 0), F.regexp_replace(text, '"count":([0-9]+)', '"count":"n$1"')).otherwise(text)
+    return fx.universe.select("symbol_id", names[i.cast("int")].alias("feed"), text.alias("record"))
+
+
+_FEEDS_SQL = "[" + ", ".join(f"'{f}'" for f in FD.FUNDAMENTAL_FEEDS) + "]"
+
+
+@query("src_08_feed_fields", f"""SELECT DISTINCT ({_FEEDS_SQL})[CAST(symbol_id % 13 + 1 AS INT)] AS feed, f.field, f.type FROM universe, (VALUES
+  (0, 'symbol', 'string'), (0, 'asOf', 'string'), (0, 'value', 'double'), (0, 'count', 'string'),
+  (1, 'symbol', 'string'), (1, 'asOf', 'string'), (1, 'class', 'struct<level:bigint,name:string>'), (1, 'tags', 'array<string>'),
+  (2, 'symbol', 'string'), (2, 'asOf', 'string'), (2, 'score', 'string'), (2, 'large', 'boolean')) f(kind, field, type)
+WHERE f.kind = CASE WHEN symbol_id % 13 < 5 THEN 0 WHEN symbol_id % 13 < 9 THEN 1 ELSE 2 END""", ("universe",))
+def src_08_fields(spark, sf_dir):
+    """The fields of the thirteen fundamentals feeds, inferred from their records."""
+    found = FD.infer_fields(_fundamental_records(_fx(spark, sf_dir)), "record", "feed")
+    rows = [(feed, n, t) for feed, fields in found.items() for n, t in fields.items()]
+    return spark.createDataFrame(rows, "feed string, field string, type string")
+
+
+@query("src_08_typed_records", """SELECT symbol_id, symbol, '2024-01-31' AS "asOf", round(close, 2) AS value,
+  CASE WHEN symbol_id % 3 <> 0 THEN symbol_id END AS count, CASE WHEN symbol_id % 3 = 0 THEN 'n' || symbol_id END AS rescued_count
+FROM universe WHERE symbol_id % 13 < 5""", ("universe",))
+def src_08_typed(spark, sf_dir):
+    """Ratio feeds typed; a count that is no number is rescued as text."""
+    r = _fundamental_records(_fx(spark, sf_dir)).filter(F.col("feed").isin(FD.FUNDAMENTAL_FEEDS[:5]))
+    d = FD.typed_records(r, "record", {"symbol": "string", "asOf": "string", "value": "double", "count": "bigint"})
+    return d.select("symbol_id", "symbol", "asOf", "value", "count", F.col("rescued")["count"].alias("rescued_count"))
+
+
 @query("src_10_reference_quote", """SELECT symbol, close AS last, CAST(NULL AS DOUBLE) AS previousClose,
   CAST(NULL AS DOUBLE) AS change, CAST(NULL AS DOUBLE) AS changePercent, CAST(NULL AS DOUBLE) AS fiftyDayAveragePrice,
   CAST(NULL AS DOUBLE) AS fiftyTwoWeekHigh, CAST(NULL AS DOUBLE) AS fiftyTwoWeekLow, CAST(trunc(marketcap) AS BIGINT) AS volume
@@ -235,6 +328,20 @@ def src_10(spark, sf_dir):
     return FD.load_feed(p, "quote")
 
 
+@query("src_10_ticker_detail", """SELECT symbol, exchange, sector, industry, marketcap, m.metric, m.value FROM (
+  SELECT symbol, exchange, sector, name AS industry, marketcap, unnest([struct_pack(metric := 'close', value := round(cp, 6)),
+    struct_pack(metric := 'marketcap', value := round(mp, 6))]) AS m
+  FROM (SELECT *, percent_rank() OVER (PARTITION BY sector ORDER BY close) AS cp,
+          percent_rank() OVER (PARTITION BY sector ORDER BY marketcap) AS mp FROM universe) r) d""", ("universe",))
+def src_10_detail(spark, sf_dir):
+    """Ticker details with their peer percentiles, one row per (symbol, metric)."""
+    u = S.percentiles(_fx(spark, sf_dir).universe, ["close", "marketcap"], "sector")
+    pct = F.array(*[F.struct(F.lit(m).alias("metric"), round_half_up(f"{m}_pctl", 6).alias("value")) for m in ("close", "marketcap")])
+    rec = F.struct("symbol", "exchange", "sector", F.col("name").alias("industry"), "marketcap", pct.alias("percentile"))
+    d = FD.load_feed(u.select(F.to_json(F.array(rec)).alias("payload")), "ticker-detail")
+    return d.select(*[c for c in d.columns if c != "percentile"], F.inline("percentile"))
+
+
 @query("src_11_load_videos", """SELECT event_id, CAST(substr(CAST(ts AS VARCHAR), 1, 10) AS DATE) AS created FROM events
 WHERE CAST(substr(CAST(ts AS VARCHAR), 1, 10) AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'""")
 def src_11(spark, sf_dir):
@@ -250,10 +357,20 @@ def src_12(spark, sf_dir):
     return RD.load_macro_series(m, {"1-URGENT": "NFP", "2-HIGH": "InterestRate", "3-MEDIUM": "UnemploymentRate"})
 
 
-@query("src_13_resume_scan", "SELECT doc_id, tic, created, benz_rate FROM news", ("news",))
+@query("src_13_resume_scan", """SELECT doc_id, tic, created, CASE WHEN doc_id % 2 = 0 THEN benz_rate END AS benz_rate FROM news""", ("news",))
 def src_13(spark, sf_dir):
+    """A landed table that holds the ratings of every second story, completed from the raw one."""
     n = _fx(spark, sf_dir).news.select("doc_id", "tic", "created", "benz_rate")
-    return RD.resume_scan(n, n.drop("benz_rate"))
+    path = ST.scratch(spark, "src13")
+    SK.write_table(n.filter("doc_id % 2 = 0"), path)
+    return RD.resume_scan(RD.read_optional(spark, path, fmt="parquet"), n.drop("benz_rate"), on="doc_id")
+
+
+@query("src_13_resume_scan_first_run", "SELECT doc_id, tic, created, CAST(NULL AS VARCHAR) AS benz_rate FROM news", ("news",))
+def src_13_first(spark, sf_dir):
+    """No rated table yet: the raw one with an empty rating."""
+    n = _fx(spark, sf_dir).news.select("doc_id", "tic", "created")
+    return RD.resume_scan(RD.read_optional(spark, f"{sf_dir}/no_such_ratings.parquet"), n, on="doc_id")
 
 
 # ---- sinks ---------------------------------------------------------------------------------
@@ -295,3 +412,24 @@ def snk_04(spark, sf_dir):
     SK.checkpoint_batches(r, path, "batch")
     SK.checkpoint_batches(r.filter(F.col("batch") == 1), path, "batch")  # replayed batch replaces itself
     return spark.read.parquet(path).select("tic", "date", "benz_rate")
+
+
+_SQL_VERSIONS = """WITH v AS (SELECT id, date, ticker, importance, CAST(id * 10 AS BIGINT) AS updated FROM feed
+  UNION ALL SELECT id, date + 1, ticker, importance + 10, CAST(id * 10 + 5 AS BIGINT) FROM feed WHERE id % 3 = 0
+  UNION ALL SELECT id, date + 2, ticker, importance + 20, CAST(id * 10 - 5 AS BIGINT) FROM feed WHERE id % 5 = 0
+  UNION ALL SELECT id + 1000000000, date, ticker, importance, CAST(7 AS BIGINT) FROM feed WHERE id % 50 = 0)"""
+
+
+@query("snk_02_upsert", _SQL_VERSIONS + """
+SELECT id, date, ticker, importance, updated FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated DESC) AS rk FROM v) x WHERE rk = 1""",
+       ("feed",))
+def snk_02_upsert(spark, sf_dir):
+    """A feed table kept current by batches of newer, older and new records; one batch comes twice."""
+    f = _fx(spark, sf_dir).feed.select(F.col("id").cast("long").alias("id"), "date", "ticker", "importance", (F.col("id") * 10).cast("long").alias("updated"))
+    newer = f.filter("id % 3 = 0").withColumns({"date": F.date_add("date", 1), "importance": F.col("importance") + 10, "updated": F.col("updated") + 5})
+    older = f.filter("id % 5 = 0").withColumns({"date": F.date_add("date", 2), "importance": F.col("importance") + 20, "updated": F.col("updated") - 5})
+    added = f.filter("id % 50 = 0").withColumns({"id": F.col("id") + 1000000000, "updated": F.lit(7).cast("long")})
+    path = ST.scratch(spark, "snk02u")
+    for batch in (f, newer, older.unionByName(added), newer):
+        SK.upsert(batch, path, ["id"], "updated", "date")
+    return spark.read.parquet(path).select("id", "date", "ticker", "importance", "updated")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import html_to_text
@@ -42,14 +42,14 @@ def transcripts(videos: DataFrame, fragments: DataFrame, start: str, end: str) -
 
 def latest_snapshot(ticks: DataFrame, minutes: int = 100, ma: int = 20) -> DataFrame:
     """PIPE-11 minute bars over the last ``minutes`` minutes on a full grid, gaps filled,
-    a moving average, and the latest row per ticker."""
-    bars = (ticks.groupBy("tic", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("ts"))
+    a moving average, and the latest row per ticker.  The grid ends at the latest minute of any
+    ticker; ticks before its start are filtered at the scan, and a ticker without any in it is
+    filled with zeros."""
+    hi = F.date_trunc("minute", ticks.select(F.max("ts")).scalar()).cast("timestamp_ntz")
+    lo = hi - F.make_dt_interval(mins=F.lit(minutes - 1))
+    bars = (ticks.filter(F.col("ts") >= lo).groupBy("tic", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("ts"))
             .agg(F.max_by("close", F.struct("ts", "event_id")).alias("close")))
-    # the grid ends at the latest minute of any ticker: a window over the per-ticker
-    # table (one row per ticker), no join with a one-row table
-    keys = (bars.groupBy("tic").agg(F.max("ts").alias("_last"))
-            .withColumn("_hi", F.max("_last").over(Window.partitionBy()))
-            .withColumn("_lo", F.col("_hi") - F.make_dt_interval(mins=F.lit(minutes - 1))).drop("_last"))
+    keys = ticks.select("tic").distinct().withColumns({"_lo": lo, "_hi": hi})
     b = bars.withColumns({"open": F.col("close"), "high": F.col("close"), "low": F.col("close"),
                           "volume": F.lit(0.0)})
     g = B.gap_fill(b, keys, "_lo", "_hi", "1 MINUTE")

@@ -2,13 +2,17 @@
 record schema (the "Returns" field lists), plus the payload key holding the records.
 
 Fundamentals feeds document no field list ("different attributes"), so they keep the
-identifying keys and the raw record as text.
+identifying keys and the raw record as text (``load_fundamentals``), or are typed by the fields
+that their records turn out to have (``infer_fields``, ``typed_records``).
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.sources.readers import ddl_fields, explode_payload
 
@@ -79,3 +83,40 @@ def load_fundamentals(df: DataFrame, feed: str, json_col: str = "payload") -> Da
     keys = {k: F.get_json_object("record", f"$.{k}") for k in ("symbol", "isin", "cik", "asOf")}
     return d.select(F.lit(feed).alias("feed"), *[v.alias(k) for k, v in keys.items()],
                     F.to_date(keys["asOf"]).alias("as_of"), "record")
+
+
+def infer_fields(df: DataFrame, json_col: str, by: str | None = None) -> dict:
+    """SRC-08 {group: {field: type}} of the JSON objects in ``json_col`` (per value of ``by``, or under
+    None), in field order.
+
+    Every row's schema is merged with the others by a native aggregate over one lattice of
+    types: integers widen to decimals, decimals read as double, a field that is an object or
+    array in all rows keeps its structure, one whose rows disagree is text.  Only the schemas
+    come to the driver.  Null, broken and non-object texts add nothing; fields that are null
+    in every row are text."""
+    v = F.try_parse_json(F.col(json_col))
+    objects = df.withColumn("_v", v).filter(F.schema_of_variant("_v").startswith("OBJECT"))
+    groups = objects.groupBy(*([by] if by else [])).agg(F.schema_of_variant_agg("_v").alias("s"), F.count(F.lit(1)).alias("n"))
+    out = {}
+    for r in groups.filter("n > 0").collect():
+        ddl = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", r["s"]).replace("OBJECT<", "STRUCT<")
+        ddl = re.sub(r"\b(VARIANT|VOID)\b", "STRING", ddl)
+        st = T._parse_datatype_string(ddl)
+        out[r[by] if by else None] = {f.name: f.dataType.simpleString() for f in st.fields}
+    return out
+
+
+def typed_records(df: DataFrame, json_col: str, fields: dict, rescue: str = "rescued") -> DataFrame:
+    """``df`` with the ``fields`` (name -> type) of the JSON objects in ``json_col`` as typed columns, and
+    a map ``rescue`` of all that does not fit: fields that are not listed, and texts of listed ones
+    whose type is another.  Nothing of a record is lost; a broken text gives nulls and no map.
+    Columns of ``df`` named like a field are replaced."""
+    texts = F.from_json(F.col(json_col), "map<string,string>")
+    struct = F.from_json(F.col(json_col), "struct<" + ", ".join(f"`{n}`: {t}" for n, t in fields.items()) + ">")
+    d = df.withColumns({"_t": texts, "_s": struct})
+    listed = F.array(*[F.lit(n) for n in fields]).cast("array<string>")
+    misfit = [F.when(F.col("_t")[n].isNotNull() & F.col("_s")[n].isNull(), F.lit(n)) for n in fields]
+    lost = F.array_compact(F.array(*misfit)) if misfit else listed
+    rest = F.map_filter("_t", lambda k, v: ~F.array_contains(listed, k) | F.array_contains(lost, k))
+    keep = [c for c in df.columns if c not in fields and c not in (json_col, rescue)]
+    return d.select(*keep, *[F.col("_s")[n].alias(n) for n in fields], rest.alias(rescue))

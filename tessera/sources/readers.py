@@ -73,13 +73,16 @@ def read_by_ticker(spark: SparkSession, glob: str, pattern: str = r"([^/]+?)(?:_
 def load_bars(raw: DataFrame, tickers: Sequence[str], start: str, end: str, adjusted: str | None = None) -> DataFrame:
     """SRC-04 landed daily bars -> requested tickers, start <= date < end, close :=
     adjusted close when given, day of week (Monday = 0), rows with any null dropped.
-    Use ``source_health`` (AGG-10) for the per-ticker success count."""
+    Raises if no requested ticker has a row (a look at one row); single empty tickers are told by
+    ``source_health`` (AGG-10)."""
     d = raw.filter(F.col("tic").isin(list(tickers)) & (F.col("date") >= F.lit(start).cast("date"))
                    & (F.col("date") < F.lit(end).cast("date")))
     if adjusted:
         d = d.withColumn("close", F.col(adjusted)).drop(adjusted)
-    d = d.withColumn("day", F.weekday("date"))
-    return d.na.drop(how="any")
+    d = d.withColumn("day", F.weekday("date")).na.drop(how="any")
+    if d.isEmpty():
+        raise ValueError(f"no rows for any of {list(tickers)} in [{start}, {end})")
+    return d
 
 
 def explode_payload(df: DataFrame, json_col: str, key: str, record_schema: str | T.StructType,
@@ -142,9 +145,14 @@ def load_macro_series(raw: DataFrame, names: Mapping[str, str], series: str = "s
     return raw.filter(F.col(series).isin(list(names))).withColumn("name", m[F.col(series)])
 
 
-def resume_scan(rated: DataFrame | None, raw: DataFrame, rating: str = "benz_rate") -> DataFrame:
+def resume_scan(rated: DataFrame | None, raw: DataFrame, rating: str = "benz_rate", on: str | None = None) -> DataFrame:
     """SRC-13 the already-rated table if present, else the raw table with an empty
-    rating column."""
-    if rated is not None:
+    rating column.  With ``on`` a present table is completed: the raw rows whose ``on`` it lacks
+    follow with an empty rating (null ids are never taken for rated)."""
+    empty = F.lit(None).cast("string")
+    if rated is None:
+        return raw.withColumn(rating, empty)
+    if on is None:
         return rated
-    return raw.withColumn(rating, F.lit(None).cast("string"))
+    rest = raw.join(rated.select(on), on, "left_anti").withColumn(rating, empty)
+    return rated.unionByName(rest.select(*rated.columns))

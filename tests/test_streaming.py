@@ -84,3 +84,50 @@ def test_stream_news_dedupe_keys_equal_batch(spark):
     n = Fixtures(spark, SF001).news
     assert got.select("created", "title").distinct().count() == n.select("created", "title").distinct().count()
     assert got.count() == got.select("created", "title").distinct().count()
+
+
+def test_blocks_of_late_rows_over_batches(spark):
+    import datetime as dt
+    import random
+
+    import pytest
+    from tessera.streaming import blocks as BL
+
+    rng, start = random.Random(8), dt.datetime(2024, 1, 1)
+    rows = [("hot" if i % 3 else rng.choice(["a", None]), start + dt.timedelta(minutes=7 * i, seconds=rng.randint(0, 50)),
+             rng.choice([None, float("nan"), rng.random()])) for i in range(300)]
+    rows.append(("end", start + dt.timedelta(days=9), 1.0))
+    folder, path = ST.scratch(spark, "t-land"), ST.scratch(spark, "t-blocks")
+    schema = "tic string, ts timestamp_ntz, value double"
+    # rows of a block are spread over batches and come in any order, up to the delay
+    parts = [[], [], [], []]
+    for k, r in enumerate(rows[:-1]):
+        parts[min(2, k // 100 + (rng.random() < 0.2 and k % 100 > 80))].append(r)
+    parts[3].append(rows[-1])
+    for k, part in enumerate(parts):
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).write.parquet(f"{folder}/ticks{k}.parquet")
+        got = BL.run_blocks(ST.file_stream(spark, folder, "ticks", schema), path, delay="6 hours")
+    assert spark.conf.get(BL.PROVIDER) != BL.ROCKSDB
+    got = sorted(((str(r.tic), r.ts.replace(tzinfo=None), r.value, r.last_known, r.ema) for r in
+                  got.withColumn("ts", F.col("ts").cast("timestamp_ntz")).collect()), key=lambda r: r[:2])
+    want, a = [], 1 - 2 / 13
+    for tic in {r[0] for r in rows} - {"end"}:
+        last, num, den = None, 0.0, 0.0
+        for _, ts, v in sorted((r for r in rows if r[0] == tic), key=lambda r: r[1]):
+            v = None if v is None or v != v else v
+            last, num, den = (v if v is not None else last), a * num + (v or 0.0), a * den + (v is not None)
+            want.append((str(tic), ts, v, last, num / den if den else None))
+    want.sort(key=lambda r: r[:2])
+    assert [g[:4] for g in got] == [w[:4] for w in want]
+    assert all((g[4] is None and w[4] is None) or g[4] == pytest.approx(w[4], rel=1e-9) for g, w in zip(got, want))
+
+
+def test_old_state_tables_are_deleted(spark):
+    folder, path = ST.scratch(spark, "t-land"), ST.scratch(spark, "t-old")
+    schema = "tic string, ts timestamp_ntz, value double"
+    for k in range(4):
+        spark.sql(f"SELECT 'a' AS tic, TIMESTAMP_NTZ'2024-01-0{k + 1} 00:00:00' AS ts, {k}D AS value").write.parquet(f"{folder}/ticks{k}.parquet")
+        ST.run_available_now(ST.stream_state(ST.file_stream(spark, folder, "ticks", schema)), path)
+    left = sorted(int(d) for d in os.listdir(path.replace("file:", "") + "/state"))
+    assert len(left) == 2 and spark.read.parquet(path + "/out").count() == 4
