@@ -353,3 +353,35 @@ def test_hashes_in_query(spark):
         spans = brute_spans(docs[r["doc_id"]])
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()
         assert [r[f"n_{k}"] for k in KINDS] == [sum(x[0] == k for x in spans) for k in KINDS]
+
+
+def test_redaction_takes_the_union_of_overlapping_spans(spark):
+    texts = ["+491701234567@gate.example.com x", "10.0.0.1.bob@x.com", "a@b.co and 10.0.0.1", "plain", None,
+             "call +1 (030) 555-0631 or bob@x.com."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["t"] for r in personal_data(df).select("doc_id", redacted(F.col("text"), "spans").alias("t")).collect()}
+    assert got == {0: "[EMAIL] x", 1: "[EMAIL]", 2: "[EMAIL] and [IP]", 3: "plain", 4: None, 5: "call [PHONE] or [EMAIL]."}
+
+
+def test_secrets_are_learnt(spark):
+    rng = random.Random(21)
+    def hexes(n): return "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows, real = [], {}
+    for i in range(400):
+        plain = " ".join(rng.choice(["word", "line", "title", "name"]) for _ in range(12))
+        if i % 8 == 0:
+            v = hexes(40)
+            rows.append((i, f'{plain} token = "{v}" {plain}'))
+            real[i] = v
+        elif i % 8 == 1:
+            rows.append((i, f'{plain} title = "averylongplaintitle" {"=" * 30} some-long-dashed-lower-case-name {plain}'))
+        else:
+            rows.append((i, plain))
+    rows += [(900, None), (901, ""), (902, 'token = "' + hexes(40) + '" ' * 2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in personal_data(df).collect()}
+    for i, t in rows[:400]:
+        spans = [t[x["s"]:x["e"]] for x in found[i]["spans"]]
+        assert spans == ([real[i]] if i in real else []), (i, spans)
+        assert found[i]["base"] == []
+    assert len(found[902]["spans"]) >= 1
