@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import pinned
 from tessera.llm.components import components
 from tessera.llm.shingles import MinHash, match_floor, set_key, shingle_set
+from tessera.operators.joins import skew_join
 
 #: Coordinates of a signature; chance that a pair right at the threshold is not a candidate.
 COORDINATES, MISS = 48, 1e-7
@@ -254,7 +255,10 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     of_class = (classes.select("key", "id").join(moved, "key", "left")
                 .select("key", F.when(F.col("f").isNull(), F.col("id")).otherwise(F.col("f.id")).alias("component"),
                         F.coalesce("f.key", "key").alias("first_key")))
-    out = rows.select("id", "n", "key", "print").join(of_class, "key", "left")
+    # a class that holds very many rows is met by broadcast
+    of_class = pinned(of_class.join(rows.filter("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("_rows")), "key"))
+    total = rows.filter("key IS NOT NULL").count()
+    out = skew_join(rows.select("id", "n", "key", "print"), of_class, ["key"], "_rows", total, "left")
     return out.select("id", "n", "key", "print", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component"))
                       .alias("component"), "first_key")
 

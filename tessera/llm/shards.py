@@ -16,6 +16,8 @@ from tessera.llm.common import pinned
 
 #: Buckets at least, so that small tables also spread over the executors.
 LEAST_BUCKETS = 256
+#: What a row takes in a bucket besides its size.
+ROW_BYTES = 256
 
 
 def shuffled(df: DataFrame, key: list[str], size_col: str, seed: int = 17, bucket_bytes: int = 64 << 20) -> DataFrame:
@@ -23,7 +25,9 @@ def shuffled(df: DataFrame, key: list[str], size_col: str, seed: int = 17, bucke
 
     The bucket of a record is a hash of its ``key`` columns and the number of its copy among
     equal keys of the input order, so a key held by a third of all rows spreads as well.  A
-    bucket holds about ``bucket_bytes`` of ``size_col`` (nulls count 0).  Other columns are
+    bucket holds about ``bucket_bytes`` of ``size_col`` (nulls count 0) and ``ROW_BYTES`` a row, so
+    rows without text do not swell it.  Rows with equal texts are dealt like any others: their
+    keys scatter them.  Other columns are
     carried along (an input column called ``position`` is replaced); an empty table gives no
     rows.  The order depends only on the keys, the seed
     and the total size, except among rows with equal keys."""
@@ -31,7 +35,7 @@ def shuffled(df: DataFrame, key: list[str], size_col: str, seed: int = 17, bucke
                   .withColumn("_shuf_h", F.xxhash64(F.lit(seed), *[F.col(k) for k in key]))
                   .withColumn("_shuf_copy", F.xxhash64(F.lit(seed + 1), F.monotonically_increasing_id())))
     total, rows = base.agg(F.sum(size_col), F.count(F.lit(1))).first()
-    n = max(LEAST_BUCKETS, -(-(total or 0) // bucket_bytes))
+    n = max(LEAST_BUCKETS, -(-((total or 0) + rows * ROW_BYTES) // bucket_bytes))
     # equal keys share a bucket, unless they are so many that they would fill it
     heavy = (base.groupBy("_shuf_h").count().filter(F.col("count") > max(1000, rows // n))
              .select("_shuf_h", F.lit(True).alias("_shuf_heavy")))
@@ -65,7 +69,13 @@ def assign_shards(df: DataFrame, key: list[str], size_col: str, shards: int = 24
             .withColumn("slot", F.floor(F.col("position") / shards).cast("long")).drop("position"))
 
 
-def write_shards(assigned: DataFrame, path: str) -> None:
-    """Write assigned rows, one folder a shard, rows in slot order in each file."""
-    (assigned.repartition("shard").sortWithinPartitions("shard", "slot")
+def write_shards(assigned: DataFrame, path: str, size_col: str, file_bytes: int = 256 << 20) -> None:
+    """Write assigned rows, one folder a shard, in files of about ``file_bytes`` of ``size_col``: each
+    file holds a run of slots in order, and the files of a shard follow each other by name.
+
+    Rows are range-partitioned by (shard, slot), so a shard is written by as many tasks as it has
+    files and no task holds more than about one file."""
+    total, rows = assigned.agg(F.sum(size_col), F.count(F.lit(1))).first()
+    files = max(1, -(-((total or 0) + rows * ROW_BYTES) // file_bytes))
+    (assigned.repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot")
      .write.mode("overwrite").partitionBy("shard").parquet(path))

@@ -117,11 +117,41 @@ def test_shards_spread_a_heavy_key(spark):
 
 
 def test_written_shards(spark, docs, tmp_path):
-    write_shards(assign_shards(sized(docs), ["doc_id", "text"], "size", shards=5), str(tmp_path / "s"))
+    write_shards(assign_shards(sized(docs), ["doc_id", "text"], "size", shards=5), str(tmp_path / "s"), "size", file_bytes=20000)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == len(ROWS) and {r["shard"] for r in back.select("shard").distinct().collect()} == set(range(5))
-    one = [r["slot"] for r in spark.read.parquet(str(tmp_path / "s" / "shard=3")).collect()]
-    assert one == sorted(one)
+    files = sorted((tmp_path / "s" / "shard=3").glob("*.parquet"))
+    slots = [r["slot"] for f in files for r in spark.read.parquet(str(f)).collect()]
+    assert len(files) > 1 and slots == list(range(len(slots)))
+
+
+def test_positions_equal_a_sequential_shuffle(spark):
+    """Scatter by seeded hash, then Fisher-Yates bucket by bucket, in one loop; null texts included."""
+    import numpy as np
+    from tessera.llm.shards import LEAST_BUCKETS, shuffled
+    rows = [(i, None if i % 3 == 0 else f"text {i}" * (i % 7)) for i in range(4000)]
+    df = sized(spark.createDataFrame(rows, "doc_id long, text string"))
+    h = {r["doc_id"]: r["h"] for r in df.select("doc_id", F.xxhash64(F.lit(17), "doc_id", "text").alias("h")).collect()}
+    b = {r["h"]: r["b"] for r in spark.createDataFrame([(x,) for x in h.values()], "h long").select(
+        "h", F.pmod(F.xxhash64("h"), F.lit(LEAST_BUCKETS)).alias("b")).collect()}
+    buckets = defaultdict(list)
+    for i, x in h.items():
+        buckets[b[x]].append((x, i))
+    want = []
+    for k in sorted(buckets):
+        held = [i for _, i in sorted(buckets[k])]
+        want += [held[j] for j in np.random.Generator(np.random.PCG64([17, k])).permutation(len(held))]
+    got = {r["position"]: r["doc_id"] for r in shuffled(df, ["doc_id", "text"], "size").collect()}
+    assert [got[p] for p in range(4000)] == want
+
+
+def test_rows_without_text_do_not_swell_a_bucket(spark, monkeypatch):
+    import tessera.llm.shards as sh
+    monkeypatch.setattr(sh, "LEAST_BUCKETS", 1)
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("size"))
+    got = sh.shuffled(df, ["doc_id"], "size", bucket_bytes=64 * sh.ROW_BYTES)
+    order = [r["doc_id"] for r in got.orderBy("position").collect()]
+    assert sorted(order) == list(range(5000)) and order != sorted(order)
 
 
 def test_shards_empty(spark):
