@@ -21,10 +21,17 @@ from tessera.session import scratch_path
 
 #: Rejected from this probability on.
 TOXIC = 0.3
+#: Rows of an Arrow batch: whole texts go to Python workers, and a batch is held on both sides.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity of ``TOXIC`` or more go; null and empty texts stay."""
+    _small_batches(spark)
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs, model, out="_toxicity").filter(F.col("_toxicity") < TOXIC).drop("_toxicity")
 
@@ -32,6 +39,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by 5-word shingles at a similarity of 0.8 or more, the document of
     the smallest id stays; documents without words stay."""
+    _small_batches(spark)
     return keep_one(docs, width=5, percent=80)
 
 
@@ -53,6 +61,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens, with their ids."""
+    _small_batches(spark)
     return pack_sum_of_squares(docs)
 
 
