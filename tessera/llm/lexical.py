@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import pinned
 
 #: A block is full with so many documents or words.
-BLOCK_DOCS, BLOCK_WORDS = 4096, 1 << 21
+BLOCK_DOCS, BLOCK_WORDS = 4096, 1 << 20
 #: Items searched at once hold at most so many bytes of text; they come to the driver and go to the tasks.
 ITEM_BYTES = 4 << 20
 #: Document ranges halved in one step.
