@@ -115,9 +115,9 @@ class Fixtures:
     # J: naive predictions (previous close) against observed
     @cached_property
     def preds(self) -> DataFrame:
-        w = Window.partitionBy("tic").orderBy("date")
-        return self.bars_d.select("tic", "date", F.lag("close").over(w).alias("prediction"),
-                                  F.col("close").alias("observed"))
+        from tessera.operators.indicators import prev_value
+        b = prev_value(self.bars_d.select("tic", "date", "close"), "close", "prediction")
+        return b.select("tic", "date", "prediction", F.col("close").alias("observed"))
 
     # L: calendar-feed stand-in
     @cached_property
