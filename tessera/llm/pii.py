@@ -148,7 +148,12 @@ def found_spans(df: DataFrame, text: str) -> DataFrame:
                      of("_card", "odd_card", lambda m: ~luhn_valid(m)), of("_phone", "odd_phone", lambda m: ~phone_valid(m)),
                      of("_local", "local_phone"), of("_assigned", "assigned"),
                      F.filter(of("_bare", "bare"), lambda x: ~F.exists("_assigned", lambda a: (a["s"] < x["e"]) & (x["s"] < a["e"]))))
-    df = df.withColumn("loose", F.filter(loose, lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))))
+    # a credential may hold what looks like a card number; other candidates give way to base spans
+    def taken(x):
+        return F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])
+                        & ~((x["k"] == ALL_KINDS.index("secret")) & (x["s"] <= b["s"]) & (b["e"] <= x["e"])))
+
+    df = df.withColumn("loose", F.filter(loose, lambda x: ~taken(x)))
     return df.drop("_email", "_ip", "_card", "_phone", "_spelled", "_local", "_assigned", "_bare")
 
 
