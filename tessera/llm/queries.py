@@ -147,7 +147,8 @@ def op5_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(own).alias("fingerprint"), fingerprint(F.col("edited_signatures")).alias("edited_fingerprint"),
         pruned_jaccard(own, F.col("edited_signatures")).alias("near_edited"),
-        pruned_jaccard(own, F.col("next_signatures")).alias("near_next"), "length_partition")
+        pruned_jaccard(own, F.col("next_signatures")).alias("near_next"),
+        "length_partition", "signature_class", "links")
 
 
 @query()

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import pinned
+from tessera.operators.joins import skew_join
 
 # Common words of four languages that serve as anchors.
 ANCHORS = (
@@ -59,51 +60,79 @@ def length_partition(n: Column, similarity: float) -> Column:
                   ).otherwise(F.lit(-1)).cast("int")
 
 
-def pruned_jaccard(a: Column, b: Column, at_least: float = 0.0) -> Column:
+def pruned_jaccard(a: Column, b: Column, at_least: float = 0.0, sizes: tuple[Column, Column] | None = None) -> Column:
     """Jaccard similarity of two signature sets; 0 where their lengths alone rule out
-    ``at_least``, without looking at the members.  Two empty sets are alike (1)."""
-    n, m = F.size(a), F.size(b)
+    ``at_least``, without looking at the members.  Two empty sets are alike (1).  With ``sizes``
+    (the lengths of the whole sets) ``a`` and ``b`` may lack signatures that no other set has."""
+    n, m = sizes or (F.size(a), F.size(b))
     reach = F.least(n, m) / F.greatest(n, m)
     both = F.size(F.array_intersect(a, b))
     return (F.when((n == 0) & (m == 0), F.lit(1.0)).when((n == 0) | (m == 0), F.lit(0.0))
             .when(reach < at_least, F.lit(0.0)).otherwise(both / (n + m - both)))
 
 
-def matches(df: DataFrame, similarity: float = 0.8, set_col: str = "signatures") -> tuple[DataFrame, DataFrame]:
+def signature_class(signatures: Column) -> Column:
+    """Class of a signature set: equal sets have one class (64 bits)."""
+    return F.xxhash64(signatures)
+
+
+def matches(df: DataFrame, similarity: float = 0.8, set_col: str = "signatures",
+            block: int = 1024) -> tuple[DataFrame, DataFrame]:
     """Classes (class, set, n, part, copies) of the equal signature sets of ``df``, and the pairs
     (a, b, similarity; a > b) of classes whose Jaccard similarity is at least ``similarity``.
+    ``df`` is read several times.
 
     Every set is posted under its rarest signatures, as many as a similar set must meet one of,
-    in its own length partition and in the next one; sets meet in the partition of the longer,
-    and are compared once.  All pairs are given, so a group of sets that are all alike but not
-    equal gives quadratically many.  Sets without signatures are one class that matches no other; null
-    sets are left out."""
-    sets = pinned(df.filter(F.col(set_col).isNotNull()).groupBy(F.col(set_col).alias("set"))
-                  .agg(F.count(F.lit(1)).alias("copies"))
-                  .select(F.monotonically_increasing_id().alias("class"), "set", F.size("set").alias("n"),
-                          length_partition(F.size("set"), similarity).alias("part"), "copies"))
-    each = sets.select("class", "n", "part", F.explode("set").alias("s"))
+    in its own length partition and in the next one; sets meet in the partition of the longer
+    where the signatures from the meeting point on can still reach the similarity, and are
+    compared once.  A signature that no other class has is not posted.  A posting list of more
+    than ``block`` classes is split: one side by class, the other repeated in every part.  All
+    pairs are given, so a group of sets that are all alike but not equal gives quadratically
+    many.  Sets without signatures are one class that matches no other; null sets are left out."""
+    n = F.size("set")
+    sets = (df.filter(F.col(set_col).isNotNull()).groupBy(signature_class(F.col(set_col)).alias("class"))
+            .agg(F.first(set_col).alias("set"), F.count(F.lit(1)).alias("copies"))
+            .select("class", "set", n.alias("n"), length_partition(n, similarity).alias("part"), "copies"))
+    each = sets.select("class", "n", F.explode("set").alias("s"))
     # a signature that no other class has meets nobody, but takes a place among the rarest
     shared = each.groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     places = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
-    rarest = (each.join(shared, "s").groupBy("class", "n", "part")
-              .agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("_s"))  # at most n
-              .withColumn("_take", (places - (F.col("n") - F.size("_s"))).cast("int")).filter("_take > 0")
-              .select("class", "n", "part", F.explode(F.slice(F.col("_s.s"), F.lit(1), F.col("_take"))).alias("s")))
-    rarest = pinned(rarest)
-    own = rarest.select(F.col("class").alias("a"), F.col("n").alias("_n"), "part", "s")
-    posts = rarest.select(F.col("class").alias("b"), F.col("n").alias("_m"), "s", F.explode(F.array(
-        F.struct("part", F.lit(True).alias("own")), F.struct((F.col("part") + 1).alias("part"), F.lit(False).alias("own")))).alias("_p"))
-    posts = posts.select("b", "_m", "s", "_p.part", "_p.own")
+    lists = pinned(each.join(shared, "s").groupBy("class", "n")
+                   .agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("l"))  # at most n
+                   .withColumn("take", (places - (F.col("n") - F.size("l"))).cast("int")).filter("take > 0")
+                   .withColumn("part", length_partition(F.col("n"), similarity)))
+    posts = (lists.select("class", "n", "part", F.size("l").alias("k"),
+                          F.posexplode(F.slice("l", F.lit(1), F.col("take"))).alias("i", "x"))
+             .select("class", "n", "part", "x.s", F.ceil(F.col("x.c") / block).cast("int").alias("blocks"),
+                     (F.col("k") - F.col("i")).alias("rest")))
+    own = posts.select(F.col("class").alias("a"), F.col("n").alias("_n"), F.col("rest").alias("_r"), "part", "s",
+                       F.pmod("class", F.col("blocks").cast("long")).cast("int").alias("block"))
+    other = (posts.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select(F.col("class").alias("b"), F.col("n").alias("_m"), F.col("rest").alias("_q"), "s", "block", F.explode(F.array(
+                 F.struct("part", F.lit(True).alias("own")), F.struct((F.col("part") + 1).alias("part"), F.lit(False).alias("own")))).alias("_p"))
+             .select("b", "_m", "_q", "s", "block", "_p.part", "_p.own"))
     near = F.least("_n", "_m") / F.greatest("_n", "_m") >= similarity
-    met = own.join(posts, ["part", "s"]).filter(near & (~F.col("own") | (F.col("a") > F.col("b")))).select("a", "b").distinct()
-    pairs = (met.join(sets.select(F.col("class").alias("a"), F.col("set").alias("_x")), "a")
-             .join(sets.select(F.col("class").alias("b"), F.col("set").alias("_y")), "b")
+    # holds where the two sets meet first: what follows in both lists is all they can share
+    enough = F.least("_r", "_q") >= (F.col("_n") + F.col("_m")) * (similarity / (1 + similarity)) - 1e-6
+    met = (own.join(other, ["part", "s", "block"]).filter(near & enough & (~F.col("own") | (F.col("a") > F.col("b"))))
+           .select("a", "b").distinct())
+    pairs = (met.join(lists.select(F.col("class").alias("a"), F.col("n").alias("_n"), F.col("l.s").alias("_x")), "a")
+             .join(lists.select(F.col("class").alias("b"), F.col("n").alias("_m"), F.col("l.s").alias("_y")), "b")
              .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"),
-                     pruned_jaccard(F.col("_x"), F.col("_y"), similarity).alias("similarity")))
+                     pruned_jaccard(F.col("_x"), F.col("_y"), similarity, (F.col("_n"), F.col("_m"))).alias("similarity")))
     return sets, pairs.filter(F.col("similarity") >= similarity)
 
 
+def linked_documents(keyed: DataFrame, similarity: float) -> DataFrame:
+    """The documents (_i, _h) of ``keyed`` (_i, _h, signatures; read several times) whose class
+    matches another one, with ``links``, the number of those classes."""
+    sets, pairs = matches(keyed, similarity)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
+    links = pinned(links.join(sets.select("class", "copies"), "class"))
+    rows = keyed.select("_i", "_h", signature_class(F.col("signatures")).alias("class"))
+    return skew_join(rows, links, ["class"], "copies", keyed.count()).groupBy("_i", "_h").agg(F.max("links").alias("links"))
+
+
 def successors(keys: DataFrame) -> DataFrame:
     """``keys`` (_i, _h; distinct) with the key after each in order (after the last: the first).
 
@@ -124,7 +153,8 @@ def successors(keys: DataFrame) -> DataFrame:
 def fingerprints(df: DataFrame, chain: int = 2, similarity: float = 0.8, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_chars, text, edited_text, the signature sets of the text, the edited
-    text and the next document, and the length partition of the first.
+    text and the next document; length partition and class of the first, and ``links``, the
+    number of other classes in the table whose similarity to it is at least ``similarity``.
 
     The edited text has its last quarter replaced by as many first characters of the next
     document, by id (null ids last; after the last document the first).  Null texts are empty.
@@ -138,6 +168,8 @@ def fingerprints(df: DataFrame, chain: int = 2, similarity: float = 0.8, id_col:
     bit = F.when(doc_id.isNull(), 1).otherwise(0).cast("long")
     docs = df.select(F.coalesce(doc_id, F.lit((1 << 63) - 1)).alias("_i"),
                      F.shiftleft(F.xxhash64(text), 1).bitwiseOR(bit).alias("_h"), text.alias("text"))
+    linked = linked_documents(
+        pinned(spot_columns(docs, F.col("text"), "signatures", chain).select("_i", "_h", "signatures")), similarity)
     sizes = docs.groupBy("_i", "_h").agg(F.max(F.length("text")).alias("_n"))
     asked = (successors(sizes).join(sizes, ["_i", "_h"])
              .select(F.col("_ni").alias("_i"), F.col("_nh").alias("_h"), F.col("_i").alias("_oi"),
@@ -146,7 +178,8 @@ def fingerprints(df: DataFrame, chain: int = 2, similarity: float = 0.8, id_col:
     lent = (spot_columns(docs.join(asked, ["_i", "_h"]), F.col("text"), "next_signatures", chain)
             .select(F.col("_oi").alias("_i"), F.col("_oh").alias("_h"), F.expr("left(text, _k)").alias("_lent"),
                     "next_signatures")
-            .groupBy("_i", "_h").agg(F.first("_lent").alias("_lent"), F.first("next_signatures").alias("next_signatures")))
+            .groupBy("_i", "_h").agg(F.first("_lent").alias("_lent"), F.first("next_signatures").alias("next_signatures"))
+            .join(linked, ["_i", "_h"], "left"))
     out = docs.join(lent, ["_i", "_h"]).withColumn("n_chars", F.length("text").cast("long"))
     kept = (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")
     out = out.withColumn("edited_text", F.concat(F.substring(F.col("text"), F.lit(1), kept), F.col("_lent")))
@@ -154,4 +187,6 @@ def fingerprints(df: DataFrame, chain: int = 2, similarity: float = 0.8, id_col:
     out = spot_columns(out, F.col("edited_text"), "edited_signatures", chain)
     own_id = F.when(F.col("_h").bitwiseAND(F.lit(1)) == 0, F.col("_i"))
     return out.select(own_id.alias("doc_id"), "n_chars", "text", "edited_text", "signatures", "edited_signatures",
-                      "next_signatures", length_partition(F.size("signatures"), similarity).alias("length_partition"))
+                      "next_signatures", length_partition(F.size("signatures"), similarity).alias("length_partition"),
+                      signature_class(F.col("signatures")).alias("signature_class"),
+                      F.coalesce("links", F.lit(0).cast("long")).alias("links"))

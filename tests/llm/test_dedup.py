@@ -206,7 +206,7 @@ def test_matches_equal_brute_force(spark):
     rows += [list(range(n)) for n in range(1, 40)] * 2 + [[], [], None] + [rows[0]] * 30
     df = spark.createDataFrame([(r,) for r in rows], "signatures array<int>")
     for similarity in (0.5, 0.8):
-        classes, pairs = matches(df, similarity)
+        classes, pairs = matches(df, similarity, block=16)  # lists of up to 90 classes: split
         classes = classes.collect()
         of = {r["class"]: tuple(r["set"]) for r in classes}
         assert sorted((tuple(r["set"]), r["copies"]) for r in classes) == sorted(
@@ -219,6 +219,24 @@ def test_matches_equal_brute_force(spark):
     assert "Python" not in plan and "Pandas" not in plan
 
 
+def test_links_equal_brute_force(spark):
+    rng, words = random.Random(41), ["the", "of", "is", "and"] * 30 + [f"w{i}" for i in range(300)]
+    base = [rng.choice(words) for _ in range(120)]
+    rows = []
+    for i in range(50):  # near copies that differ in a word each, some equal, one id for several texts
+        t = list(base)
+        t[rng.randrange(120)] = f"x{i % 35}"
+        rows.append((i // 2, " ".join(t)))
+    rows += [(100 + i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))) for i in range(60)]
+    rows += [(None, None), (None, rows[3][1]), (7, rows[5][1])] + [rows[0]] * 40
+    found = fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows)
+    classes = {frozenset(spots(t or "")) for _, t in rows}
+    near = {a: sum(a != b and len(a & b) >= 0.8 * len(a | b) for b in classes if b) if a else 0 for a in classes}
+    assert all(r["links"] == near[frozenset(spots(r["text"]))] for r in found) and max(near.values()) > 20
+    assert len({r["signature_class"] for r in found}) == len(classes)
+
+
 def test_query_digests(spark):
     from conftest import SF001
     from tessera.llm.queries import QUERIES
