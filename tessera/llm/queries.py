@@ -148,7 +148,7 @@ def op5_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprint(own).alias("fingerprint"), fingerprint(F.col("edited_signatures")).alias("edited_fingerprint"),
         pruned_jaccard(own, F.col("edited_signatures")).alias("near_edited"),
         pruned_jaccard(own, F.col("next_signatures")).alias("near_next"),
-        "length_partition", "signature_class", "links")
+        "length_partition", "near_class")
 
 
 @query()

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import pinned
+from tessera.llm.components import components
 from tessera.operators.joins import skew_join
 
 # Common words of four languages that serve as anchors.
@@ -76,35 +77,50 @@ def signature_class(signatures: Column) -> Column:
     return F.xxhash64(signatures)
 
 
-def matches(df: DataFrame, similarity: float = 0.8, set_col: str = "signatures",
-            block: int = 1024) -> tuple[DataFrame, DataFrame]:
-    """Classes (class, set, n, part, copies) of the equal signature sets of ``df``, and the pairs
-    (a, b, similarity; a > b) of classes whose Jaccard similarity is at least ``similarity``.
-    ``df`` is read several times.
-
-    Every set is posted under its rarest signatures, as many as a similar set must meet one of,
-    in its own length partition and in the next one; sets meet in the partition of the longer
-    where the signatures from the meeting point on can still reach the similarity, and are
-    compared once.  A signature that no other class has is not posted.  A posting list of more
-    than ``block`` classes is split: one side by class, the other repeated in every part.  All
-    pairs are given, so a group of sets that are all alike but not equal gives quadratically
-    many.  Sets without signatures are one class that matches no other; null sets are left out."""
+def _classes(df: DataFrame, similarity: float, set_col: str) -> DataFrame:
     n = F.size("set")
-    sets = (df.filter(F.col(set_col).isNotNull()).groupBy(signature_class(F.col(set_col)).alias("class"))
+    return (df.filter(F.col(set_col).isNotNull()).groupBy(signature_class(F.col(set_col)).alias("class"))
             .agg(F.first(set_col).alias("set"), F.count(F.lit(1)).alias("copies"))
             .select("class", "set", n.alias("n"), length_partition(n, similarity).alias("part"), "copies"))
+
+
+def _lists(sets: DataFrame, similarity: float) -> DataFrame:
+    """The classes that can match another: class, n, part, l (their signatures that other classes
+    have, rarest first) and take, the number of those to be posted."""
     each = sets.select("class", "n", F.explode("set").alias("s"))
     # a signature that no other class has meets nobody, but takes a place among the rarest
     shared = each.groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     places = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
-    lists = pinned(each.join(shared, "s").groupBy("class", "n")
+    return pinned(each.join(shared, "s").groupBy("class", "n")
                    .agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("l"))  # at most n
                    .withColumn("take", (places - (F.col("n") - F.size("l"))).cast("int")).filter("take > 0")
                    .withColumn("part", length_partition(F.col("n"), similarity)))
-    posts = (lists.select("class", "n", "part", F.size("l").alias("k"),
+
+
+def _posts(lists: DataFrame, block: int) -> DataFrame:
+    """A row per posted signature; ``rest`` counts the listed signatures from it on."""
+    return (lists.select("class", "n", "part", F.size("l").alias("k"),
                           F.posexplode(F.slice("l", F.lit(1), F.col("take"))).alias("i", "x"))
              .select("class", "n", "part", "x.s", F.ceil(F.col("x.c") / block).cast("int").alias("blocks"),
                      (F.col("k") - F.col("i")).alias("rest")))
+
+
+def matches(df: DataFrame, similarity: float = 0.8, set_col: str = "signatures",
+            block: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """Classes (class, set, n, part, copies) of the equal signature sets of ``df``, and the pairs
+    (a, b, similarity; a > b) of classes whose Jaccard similarity is at least ``similarity``.
+    ``df`` is read several times.
+
+    Every set is posted under its rarest signatures, as many as a similar set must meet one of,
+    in its own length partition and in the next one; sets meet in the partition of the longer
+    where the signatures from the meeting point on can still reach the similarity, and are
+    compared once.  A signature that no other class has is not posted.  A posting list of more
+    than ``block`` classes is split: one side by class, the other repeated in every part.  All
+    pairs are given, so a group of sets that are all alike but not equal gives quadratically
+    many.  Sets without signatures are one class that matches no other; null sets are left out."""
+    sets = _classes(df, similarity, set_col)
+    lists = _lists(sets, similarity)
+    posts = _posts(lists, block)
     own = posts.select(F.col("class").alias("a"), F.col("n").alias("_n"), F.col("rest").alias("_r"), "part", "s",
                        F.pmod("class", F.col("blocks").cast("long")).cast("int").alias("block"))
     other = (posts.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -116,21 +132,57 @@ def matches(df: DataFrame, similarity: float = 0.8, set_col: str = "signatures",
     enough = F.least("_r", "_q") >= (F.col("_n") + F.col("_m")) * (similarity / (1 + similarity)) - 1e-6
     met = (own.join(other, ["part", "s", "block"]).filter(near & enough & (~F.col("own") | (F.col("a") > F.col("b"))))
            .select("a", "b").distinct())
+    return sets, _verified(met, lists, similarity)
+
+
+def _verified(met: DataFrame, lists: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b, similarity; a > b) of ``met`` (a, b) that reach the similarity."""
     pairs = (met.join(lists.select(F.col("class").alias("a"), F.col("n").alias("_n"), F.col("l.s").alias("_x")), "a")
              .join(lists.select(F.col("class").alias("b"), F.col("n").alias("_m"), F.col("l.s").alias("_y")), "b")
              .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"),
                      pruned_jaccard(F.col("_x"), F.col("_y"), similarity, (F.col("_n"), F.col("_m"))).alias("similarity")))
-    return sets, pairs.filter(F.col("similarity") >= similarity)
+    return pairs.filter(F.col("similarity") >= similarity)
+
+
+def class_components(df: DataFrame, similarity: float = 0.8, set_col: str = "signatures") -> DataFrame:
+    """(node, root): classes of equal sets that reach each other through pairs of the similarity,
+    with the smallest one; classes without a match are left out.  ``df`` is read several times.
+
+    The posting lists are those of ``matches``, without its pairs: first every list is a star
+    around its smallest class; then only classes of one list that these stars leave in different
+    components are compared, and each once with every such component's members.  A pair within a component
+    would change nothing."""
+    lists = _lists(_classes(df, similarity, set_col), similarity)
+    posts = pinned(_posts(lists, 1).select("class", "n", "s", "rest", F.explode(F.array(
+        F.struct("part", F.lit(True).alias("own")), F.struct((F.col("part") + 1).alias("part"), F.lit(False).alias("own")))).alias("p"))
+        .select("class", "n", "s", "rest", "p.part", "p.own"))
+    centres = posts.groupBy("part", "s").agg(F.min("class").alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    stars = posts.join(centres, ["part", "s"]).filter(F.col("class") != F.col("b")).select(F.col("class").alias("a"), "b").distinct()
+    edges = pinned(_verified(stars, lists, similarity).select("a", "b"))
+    roots = components(edges).select(F.col("node").alias("class"), "root")
+    rooted = pinned(posts.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")))
+    mixed = (rooted.groupBy("part", "s").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.max("own").alias("_own"))
+             .filter("_own and _lo <> _hi").select("part", "s"))
+    left = rooted.join(mixed, ["part", "s"])
+    own = left.filter("own").select("part", "s", F.col("class").alias("a"), F.col("root").alias("_ra"), F.col("n").alias("_n"), F.col("rest").alias("_r"))
+    other = left.select("part", "s", F.col("class").alias("b"), F.col("root").alias("_rb"), F.col("n").alias("_m"), F.col("rest").alias("_q"), "own")
+    near = F.least("_n", "_m") / F.greatest("_n", "_m") >= similarity
+    # holds where the two sets meet first: what follows in both lists is all they can share
+    enough = F.least("_r", "_q") >= (F.col("_n") + F.col("_m")) * (similarity / (1 + similarity)) - 1e-6
+    met = (own.join(other, ["part", "s"])
+           .filter((F.col("_ra") != F.col("_rb")) & near & enough & (~F.col("own") | (F.col("a") > F.col("b"))))
+           .select("a", "b").distinct())
+    return components(edges.unionByName(_verified(met, lists, similarity).select("a", "b")))
 
 
-def linked_documents(keyed: DataFrame, similarity: float) -> DataFrame:
+def clustered_documents(keyed: DataFrame, similarity: float) -> DataFrame:
     """The documents (_i, _h) of ``keyed`` (_i, _h, signatures; read several times) whose class
-    matches another one, with ``links``, the number of those classes."""
-    sets, pairs = matches(keyed, similarity)
-    links = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
-    links = pinned(links.join(sets.select("class", "copies"), "class"))
+    matches another one, with ``root``, the smallest class of its component."""
+    roots = class_components(keyed, similarity).select(F.col("node").alias("class"), "root")
     rows = keyed.select("_i", "_h", signature_class(F.col("signatures")).alias("class"))
-    return skew_join(rows, links, ["class"], "copies", keyed.count()).groupBy("_i", "_h").agg(F.max("links").alias("links"))
+    copies = rows.groupBy("class").agg(F.count(F.lit(1)).alias("copies"))
+    roots = pinned(roots.join(copies, "class"))
+    return skew_join(rows, roots, ["class"], "copies", keyed.count()).groupBy("_i", "_h").agg(F.max("root").alias("root"))
 
 
 def successors(keys: DataFrame) -> DataFrame:
@@ -153,8 +205,8 @@ def successors(keys: DataFrame) -> DataFrame:
 def fingerprints(df: DataFrame, chain: int = 2, similarity: float = 0.8, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_chars, text, edited_text, the signature sets of the text, the edited
-    text and the next document; length partition and class of the first, and ``links``, the
-    number of other classes in the table whose similarity to it is at least ``similarity``.
+    text and the next document; length partition of the first, and its ``near_class``: rows have
+    the same one where equal sets, or chains of sets of at least ``similarity``, join them.
 
     The edited text has its last quarter replaced by as many first characters of the next
     document, by id (null ids last; after the last document the first).  Null texts are empty.
@@ -168,7 +220,7 @@ def fingerprints(df: DataFrame, chain: int = 2, similarity: float = 0.8, id_col:
     bit = F.when(doc_id.isNull(), 1).otherwise(0).cast("long")
     docs = df.select(F.coalesce(doc_id, F.lit((1 << 63) - 1)).alias("_i"),
                      F.shiftleft(F.xxhash64(text), 1).bitwiseOR(bit).alias("_h"), text.alias("text"))
-    linked = linked_documents(
+    clustered = clustered_documents(
         pinned(spot_columns(docs, F.col("text"), "signatures", chain).select("_i", "_h", "signatures")), similarity)
     sizes = docs.groupBy("_i", "_h").agg(F.max(F.length("text")).alias("_n"))
     asked = (successors(sizes).join(sizes, ["_i", "_h"])
@@ -179,7 +231,7 @@ def fingerprints(df: DataFrame, chain: int = 2, similarity: float = 0.8, id_col:
             .select(F.col("_oi").alias("_i"), F.col("_oh").alias("_h"), F.expr("left(text, _k)").alias("_lent"),
                     "next_signatures")
             .groupBy("_i", "_h").agg(F.first("_lent").alias("_lent"), F.first("next_signatures").alias("next_signatures"))
-            .join(linked, ["_i", "_h"], "left"))
+            .join(clustered, ["_i", "_h"], "left"))
     out = docs.join(lent, ["_i", "_h"]).withColumn("n_chars", F.length("text").cast("long"))
     kept = (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")
     out = out.withColumn("edited_text", F.concat(F.substring(F.col("text"), F.lit(1), kept), F.col("_lent")))
@@ -188,5 +240,4 @@ def fingerprints(df: DataFrame, chain: int = 2, similarity: float = 0.8, id_col:
     own_id = F.when(F.col("_h").bitwiseAND(F.lit(1)) == 0, F.col("_i"))
     return out.select(own_id.alias("doc_id"), "n_chars", "text", "edited_text", "signatures", "edited_signatures",
                       "next_signatures", length_partition(F.size("signatures"), similarity).alias("length_partition"),
-                      signature_class(F.col("signatures")).alias("signature_class"),
-                      F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+                      F.coalesce("root", signature_class(F.col("signatures"))).alias("near_class"))
