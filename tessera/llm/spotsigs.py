@@ -105,6 +105,13 @@ def _posts(lists: DataFrame, block: int) -> DataFrame:
                      (F.col("k") - F.col("i")).alias("rest")))
 
 
+def _can_match(similarity: float) -> Column:
+    """Whether sets of lengths _n and _m that meet with _r and _q listed signatures to go can be alike."""
+    near = F.least("_n", "_m") / F.greatest("_n", "_m") >= similarity
+    # holds where the two sets meet first: what follows in both lists is all they can share
+    return near & (F.least("_r", "_q") >= (F.col("_n") + F.col("_m")) * (similarity / (1 + similarity)) - 1e-6)
+
+
 def matches(df: DataFrame, similarity: float = 0.8, set_col: str = "signatures",
             block: int = 1024) -> tuple[DataFrame, DataFrame]:
     """Classes (class, set, n, part, copies) of the equal signature sets of ``df``, and the pairs
@@ -127,10 +134,7 @@ def matches(df: DataFrame, similarity: float = 0.8, set_col: str = "signatures",
              .select(F.col("class").alias("b"), F.col("n").alias("_m"), F.col("rest").alias("_q"), "s", "block", F.explode(F.array(
                  F.struct("part", F.lit(True).alias("own")), F.struct((F.col("part") + 1).alias("part"), F.lit(False).alias("own")))).alias("_p"))
              .select("b", "_m", "_q", "s", "block", "_p.part", "_p.own"))
-    near = F.least("_n", "_m") / F.greatest("_n", "_m") >= similarity
-    # holds where the two sets meet first: what follows in both lists is all they can share
-    enough = F.least("_r", "_q") >= (F.col("_n") + F.col("_m")) * (similarity / (1 + similarity)) - 1e-6
-    met = (own.join(other, ["part", "s", "block"]).filter(near & enough & (~F.col("own") | (F.col("a") > F.col("b"))))
+    met = (own.join(other, ["part", "s", "block"]).filter(_can_match(similarity) & (~F.col("own") | (F.col("a") > F.col("b"))))
            .select("a", "b").distinct())
     return sets, _verified(met, lists, similarity)
 
@@ -144,35 +148,56 @@ def _verified(met: DataFrame, lists: DataFrame, similarity: float) -> DataFrame:
     return pairs.filter(F.col("similarity") >= similarity)
 
 
-def class_components(df: DataFrame, similarity: float = 0.8, set_col: str = "signatures") -> DataFrame:
+def class_components(df: DataFrame, similarity: float = 0.8, set_col: str = "signatures", block: int = 1024,
+                     tests: int = 16) -> DataFrame:
     """(node, root): classes of equal sets that reach each other through pairs of the similarity,
-    with the smallest one; classes without a match are left out.  ``df`` is read several times.
-
-    The posting lists are those of ``matches``, without its pairs: first every list is a star
-    around its smallest class; then only classes of one list that these stars leave in different
-    components are compared, and each once with every such component's members.  A pair within a component
-    would change nothing."""
+    with the smallest one; classes without a match may be left out.  ``df`` is read several times.
+
+    The posting lists are those of ``matches``, without its pairs, since a pair within a
+    component would change nothing.  In each turn one class of every list, another one by turns,
+    is compared with those classes of the list that lie in other components.  Turns end when the
+    lists hold at most ``tests`` pairs of different components a posting, or when a turn does not
+    halve them; then these pairs are compared, each once.  How many turns there are changes the
+    work alone.  Lists of more than ``block`` classes are split as in ``matches``."""
     lists = _lists(_classes(df, similarity, set_col), similarity)
     posts = pinned(_posts(lists, 1).select("class", "n", "s", "rest", F.explode(F.array(
         F.struct("part", F.lit(True).alias("own")), F.struct((F.col("part") + 1).alias("part"), F.lit(False).alias("own")))).alias("p"))
         .select("class", "n", "s", "rest", "p.part", "p.own"))
-    centres = posts.groupBy("part", "s").agg(F.min("class").alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    stars = posts.join(centres, ["part", "s"]).filter(F.col("class") != F.col("b")).select(F.col("class").alias("a"), "b").distinct()
-    edges = pinned(_verified(stars, lists, similarity).select("a", "b"))
-    roots = components(edges).select(F.col("node").alias("class"), "root")
-    rooted = pinned(posts.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")))
-    mixed = (rooted.groupBy("part", "s").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.max("own").alias("_own"))
-             .filter("_own and _lo <> _hi").select("part", "s"))
-    left = rooted.join(mixed, ["part", "s"])
-    own = left.filter("own").select("part", "s", F.col("class").alias("a"), F.col("root").alias("_ra"), F.col("n").alias("_n"), F.col("rest").alias("_r"))
-    other = left.select("part", "s", F.col("class").alias("b"), F.col("root").alias("_rb"), F.col("n").alias("_m"), F.col("rest").alias("_q"), "own")
-    near = F.least("_n", "_m") / F.greatest("_n", "_m") >= similarity
-    # holds where the two sets meet first: what follows in both lists is all they can share
-    enough = F.least("_r", "_q") >= (F.col("_n") + F.col("_m")) * (similarity / (1 + similarity)) - 1e-6
-    met = (own.join(other, ["part", "s"])
-           .filter((F.col("_ra") != F.col("_rb")) & near & enough & (~F.col("own") | (F.col("a") > F.col("b"))))
-           .select("a", "b").distinct())
-    return components(edges.unionByName(_verified(met, lists, similarity).select("a", "b")))
+    total, edges, before, turn = posts.count(), None, None, 0
+    rooted = posts.withColumn("root", F.col("class"))
+    while True:
+        by_root = rooted.groupBy("part", "s", "root").agg(
+            F.count(F.lit(1)).alias("c"), F.max("own").alias("own"),
+            F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), "class", "root", "n", "rest", "own")).alias("b"))
+        mixed = pinned(by_root.groupBy("part", "s").agg(
+            F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count(F.lit(1)).alias("roots"),
+            F.max("own").alias("own"), F.min("b").alias("b"))
+            .filter("own AND roots > 1").select("part", "s", "c", "same", "b"))
+        apart = mixed.agg(F.sum(F.col("c") * F.col("c") - F.col("same"))).first()[0] or 0
+        if apart <= tests * total or (before is not None and 2 * apart > before):
+            break
+        centre = mixed.select("part", "s", "c", F.col("b.class").alias("b"), F.col("b.root").alias("_rb"),
+                              F.col("b.n").alias("_m"), F.col("b.rest").alias("_q"), F.col("b.own").alias("_own"))
+        stars = (skew_join(rooted.withColumnsRenamed({"class": "a", "n": "_n", "rest": "_r", "root": "_ra"}), centre,
+                           ["part", "s"], "c", total)
+                 .filter((F.col("_ra") != F.col("_rb")) & _can_match(similarity) & (F.col("own") | F.col("_own")))
+                 .select("a", "b").distinct())
+        met = _verified(stars, lists, similarity).select("a", "b")
+        edges = components(met if edges is None else edges.unionByName(met)).select(F.col("node").alias("a"), F.col("root").alias("b"))
+        rooted = pinned(posts.join(edges.select(F.col("a").alias("class"), F.col("b").alias("root")), "class", "left")
+                        .withColumn("root", F.coalesce("root", "class")))
+        before, turn = apart, turn + 1
+    left = skew_join(rooted, mixed.select("part", "s", F.ceil(F.col("c") / block).cast("int").alias("blocks"), "c"),
+                     ["part", "s"], "c", total)
+    own = left.filter("own").select("part", "s", F.col("class").alias("a"), F.col("root").alias("_ra"), F.col("n").alias("_n"),
+                                    F.col("rest").alias("_r"), F.pmod("class", F.col("blocks").cast("long")).cast("int").alias("block"))
+    other = left.select("part", "s", F.col("class").alias("b"), F.col("root").alias("_rb"), F.col("n").alias("_m"), F.col("rest").alias("_q"),
+                        "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    pairs = (own.join(other, ["part", "s", "block"])
+             .filter((F.col("_ra") != F.col("_rb")) & _can_match(similarity) & (~F.col("own") | (F.col("a") > F.col("b"))))
+             .select("a", "b").distinct())
+    met = _verified(pairs, lists, similarity).select("a", "b")
+    return components(met if edges is None else edges.unionByName(met))
 
 
 def clustered_documents(keyed: DataFrame, similarity: float) -> DataFrame:

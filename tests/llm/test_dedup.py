@@ -244,6 +244,38 @@ def test_near_classes_equal_brute_force(spark):
     assert len(pairs) == len({p[0] for p in pairs}) == len({p[1] for p in pairs}) < len(root) - 20
 
 
+def test_class_components_by_turns_equal_those_by_pairs(spark):
+    from tessera.llm.spotsigs import class_components, signature_class
+    rng = random.Random(5)
+    rows = []
+    for g in range(3):  # groups of near sets that share rare members with sets unlike all others
+        base = [1000 * g + i for i in range(40)]
+        for _ in range(40):
+            keep = rng.sample(base, 36)
+            rows.append((sorted(set(keep + [rng.randrange(5000, 5020) for _ in range(rng.randint(0, 3))])),))
+        rows += [(sorted(rng.sample(base, 12) + rng.sample(range(6000, 6100), 28)),) for _ in range(20)]
+    rows += [([],), (None,), rows[0], rows[70]]
+    df = spark.createDataFrame(rows, "signatures array<int>")
+    sets = {r["class"]: frozenset(r["signatures"]) for r in df.filter("size(signatures) > 0")
+            .select("signatures", signature_class(F.col("signatures")).alias("class")).collect()}
+    root = {c: c for c in sets}
+    def top(c):
+        while root[c] != c:
+            c = root[c]
+        return c
+    for a in sets:
+        for b in sets:
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                hi, lo = sorted((top(a), top(b)), reverse=True)
+                root[hi] = lo
+    want = {c: top(c) for c in sets}
+    for tests in (0, 2, 10 ** 9):  # turns as long as they halve the lists, some, none
+        found = {r["node"]: r["root"] for r in class_components(df, block=16, tests=tests).collect()}
+        assert {c: found.get(c, c) for c in sets} == want
+    assert len(set(want.values())) < len(want) - 60
+    assert class_components(df.limit(0)).collect() == []
+
+
 def test_query_digests(spark):
     from conftest import SF001
     from tessera.llm.queries import QUERIES
