@@ -149,15 +149,15 @@ def _verified(met: DataFrame, lists: DataFrame, similarity: float) -> DataFrame:
 
 
 def class_components(df: DataFrame, similarity: float = 0.8, set_col: str = "signatures", block: int = 1024,
-                     tests: int = 16) -> DataFrame:
+                     tests: int = 1) -> DataFrame:
     """(node, root): classes of equal sets that reach each other through pairs of the similarity,
     with the smallest one; classes without a match may be left out.  ``df`` is read several times.
 
     The posting lists are those of ``matches``, without its pairs, since a pair within a
-    component would change nothing.  In each turn one class of every list, another one by turns,
-    is compared with those classes of the list that lie in other components.  Turns end when the
-    lists hold at most ``tests`` pairs of different components a posting, or when a turn does not
-    halve them; then these pairs are compared, each once.  How many turns there are changes the
+    component would change nothing.  In each turn a class of the largest component in a list,
+    drawn by list and turn, is compared with the classes of the list in other components.  Turns end when the
+    lists hold at most ``tests`` pairs of different components a posting, or when a turn rids them
+    of less than a tenth of these; then these pairs are compared, each once.  How many turns there are changes the
     work alone.  Lists of more than ``block`` classes are split as in ``matches``."""
     lists = _lists(_classes(df, similarity, set_col), similarity)
     posts = pinned(_posts(lists, 1).select("class", "n", "s", "rest", F.explode(F.array(
@@ -168,13 +168,13 @@ def class_components(df: DataFrame, similarity: float = 0.8, set_col: str = "sig
     while True:
         by_root = rooted.groupBy("part", "s", "root").agg(
             F.count(F.lit(1)).alias("c"), F.max("own").alias("own"),
-            F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), "class", "root", "n", "rest", "own")).alias("b"))
+            F.min(F.struct(F.xxhash64("class", "s", F.lit(turn)).alias("h"), "class", "root", "n", "rest", "own")).alias("b"))
         mixed = pinned(by_root.groupBy("part", "s").agg(
             F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count(F.lit(1)).alias("roots"),
-            F.max("own").alias("own"), F.min("b").alias("b"))
+            F.max("own").alias("own"), F.max_by("b", F.struct("c", "b.h")).alias("b"))
             .filter("own AND roots > 1").select("part", "s", "c", "same", "b"))
         apart = mixed.agg(F.sum(F.col("c") * F.col("c") - F.col("same"))).first()[0] or 0
-        if apart <= tests * total or (before is not None and 2 * apart > before):
+        if apart <= tests * total or (before is not None and 10 * apart > 9 * before):
             break
         centre = mixed.select("part", "s", "c", F.col("b.class").alias("b"), F.col("b.root").alias("_rb"),
                               F.col("b.n").alias("_m"), F.col("b.rest").alias("_q"), F.col("b.own").alias("_own"))
