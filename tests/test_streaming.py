@@ -131,3 +131,22 @@ def test_old_state_tables_are_deleted(spark):
         ST.run_available_now(ST.stream_state(ST.file_stream(spark, folder, "ticks", schema)), path)
     left = sorted(int(d) for d in os.listdir(path.replace("file:", "") + "/state"))
     assert len(left) == 2 and spark.read.parquet(path + "/out").count() == 4
+
+
+def test_stream_reports_meet_by_slices_of_time(spark):
+    """Rows of one ticker meet by time as well: the join has the slice among its keys."""
+    from collections import Counter
+    from datetime import datetime, timedelta
+    t = datetime(2024, 1, 1)
+    at = [t + timedelta(minutes=20 * i) for i in range(30)] + [t + timedelta(hours=7)]
+    bars = [("A", x) for x in at] + [("A", at[3]), ("B", at[0]), (None, at[0]), ("A", None)]
+    reports = [("A", x, i) for i, x in enumerate(at[::2])] + [("A", at[0], 99), ("A", None, 98), (None, at[0], 97), ("B", t - timedelta(minutes=61), 96)]
+    got = ST.stream_reports(spark.createDataFrame(bars, "tic string, ts timestamp_ntz"),
+                            spark.createDataFrame(reports, "tic string, published timestamp_ntz, n int"))
+    want = Counter()
+    for tic, ts in bars:
+        met = [n for k, p, n in reports if tic and ts and p and k == tic and p <= ts <= p + timedelta(hours=1)]
+        want.update((tic, ts, n) for n in met or [None])
+    assert Counter((r.tic, r.ts, r.n) for r in got.collect()) == want
+    join = next(x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in x)
+    assert "_slice" in join and "_in" in join
