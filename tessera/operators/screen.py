@@ -159,21 +159,24 @@ def lookup_index(df: DataFrame, symbol: str = "symbol", name: str = "name") -> D
     under every piece of one to three characters of the symbol (``g``).  Written sorted by
     (kind, gram), a lookup reads the row groups of its grams only.  Rows without a symbol are left
     out, a null name has no words; repeated rows are one."""
-    sym = F.lower(F.col(symbol))
-
     def prefixes(w):
         return F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.length(w))), lambda n: F.substring(w, F.lit(1), n))
 
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(name), F.lit(""))), " "), lambda w: w != "")
-    starts = F.flatten(F.transform(words, lambda w: F.transform(prefixes(w), lambda g: F.struct(F.lit("w").alias("kind"), g.alias("gram"), w.alias("word")))))
-    own = F.transform(prefixes(sym), lambda g: F.struct(F.lit("s").alias("kind"), g.alias("gram"), sym.alias("word")))
+    def posted(kind, grams, w):
+        return F.transform(grams, lambda g: F.struct(F.lit(kind).alias("kind"), g.alias("gram"), w.alias("word")))
+
+    # repeats go before the rows multiply: a symbol, and a symbol with a word, give each posting once
+    rows = df.filter(F.col(symbol).isNotNull() & (F.col(symbol) != "")).select(F.col(symbol).alias("symbol"), F.col(name).alias("name")).distinct()
+    sym = F.lower("symbol")
     pieces = F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.transform(
         F.when(F.length(sym) >= n, F.sequence(F.lit(1), F.length(sym) - n + 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.lit("g").alias("kind"), F.substring(sym, i, n).alias("gram"), sym.alias("word")))))
-    rows = df.filter(F.col(symbol).isNotNull() & (F.col(symbol) != "")).select(
-        F.col(symbol).alias("_sym"), F.explode(F.array_distinct(F.concat(own, starts, pieces))).alias("p"))
-    rows = rows.select("p.*", F.col("_sym").alias("symbol"))
-    return rows.distinct().repartitionByRange("kind", "gram", "symbol").sortWithinPartitions("kind", "gram", "symbol")
+        lambda i: F.substring(sym, i, n))))
+    own = rows.select("symbol").distinct().select(
+        "symbol", F.explode(F.concat(posted("s", prefixes(sym), sym), posted("g", F.array_distinct(pieces), sym))).alias("p"))
+    word = F.explode(F.filter(F.split(F.lower("name"), " "), lambda w: w != ""))
+    words = rows.select("symbol", word.alias("w")).distinct().select("symbol", F.explode(posted("w", prefixes(F.col("w")), F.col("w"))).alias("p"))
+    index = own.unionByName(words).select("p.*", "symbol")
+    return index.repartitionByRange("kind", "gram", "symbol").sortWithinPartitions("kind", "gram", "symbol")
 
 
 def lookup(index: DataFrame, q: str, method: str = "symbol") -> DataFrame:

@@ -127,6 +127,18 @@ def test_lookup_equals_scan(spark, q, method):
         screen.lookup(screen.lookup_index(df), "", method)
 
 
+def test_lookup_index_drops_repeats_before_rows_multiply(spark):
+    rows = [("Ab1", "Two two tea"), ("Ab1", "two"), ("Ab1", None), ("Ab1", "Two two tea"), ("11", "")]
+    index = screen.lookup_index(spark.createDataFrame(rows, "symbol string, name string"))
+    got = [tuple(r) for r in index.collect()]
+    want = {("s", x[:n], x, y) for x, y in (("ab1", "Ab1"), ("11", "11")) for n in range(1, len(x) + 1)}
+    want |= {("g", x[i:i + n], x, y) for x, y in (("ab1", "Ab1"), ("11", "11")) for n in (1, 2, 3) for i in range(len(x) - n + 1)}
+    want |= {("w", w[:n], w, "Ab1") for w in ("two", "tea") for n in (1, 2, 3)}
+    assert sorted(got) == sorted(want)
+    plan = index._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert [x for x in plan if "Aggregate [" in x] and not [x for x in plan if "Aggregate [" in x and "gram" in x]
+
+
 def test_typed_records_lose_nothing(spark):
     texts = ['{"a": 1, "b": "x", "c": [1, 2]}', '{"a": 2.5, "b": 3, "d": {"e": null}}', '{"a": null, "b": "y"}', "[1]", "broken", None, "{}"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, j string")
