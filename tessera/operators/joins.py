@@ -91,7 +91,15 @@ def skew_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: st
     ``total`` = all of them; both read several times) with no key in one task: the few keys with
     more than ``HOT_SHARE`` of all rows are broadcast, the others shuffled.  ``weight`` is not
     returned; ``how`` is inner or left; null keys meet nothing."""
-    hot = F.col(weight) > F.lit(total * HOT_SHARE)
+    hot, rest = skew_parts(rows, table, keys, weight, total, how)
+    return hot.unionByName(rest)
+
+
+def skew_parts(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, total: int,
+               how: str = "inner", share: float = HOT_SHARE) -> tuple[DataFrame, DataFrame]:
+    """The two parts of ``skew_join``: the rows of the broadcast keys, those with more than ``share`` of
+    all rows, left where they are, and the others."""
+    hot = F.col(weight) > F.lit(total * share)
     few = F.broadcast(table.filter(hot).drop(weight))
     rest = rows.join(few.select(*keys), list(keys), "left_anti").join(table.filter(~hot).drop(weight), list(keys), how)
-    return rows.join(few, list(keys)).unionByName(rest)
+    return rows.join(few, list(keys)), rest

@@ -99,3 +99,27 @@ def test_bayes_equals_plain_loop(spark, monkeypatch):
     none = fit_text(df.filter("label = 'nobody'"), "label")
     assert {r["predicted"] for r in classify_text(df, none).collect()} == {None}
     assert classify_text(df.limit(0), model).count() == 0
+
+
+def test_words_are_counted_in_their_row(spark):
+    """No shuffle before words are counted; repeated ids are one text with the labels of all, null ids no text."""
+    from tessera.operators.textclass import terms
+    rows = [(1, "b a B, a a", "x"), (1, "a c", "y"), (2, "c c d", "x"), (2, "c c d", "x"), (3, None, "y"), (4, "", None), (None, "a c", "x"), (5, "d a", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    found = terms(df, "doc_id", "text")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert Counter(tuple(r) for r in found.collect()) == Counter([(1, "a", 3), (1, "b", 2), (1, "a", 1), (1, "c", 1), (2, "c", 2), (2, "d", 1), (2, "c", 2), (2, "d", 1),
+                                                                  (None, "a", 1), (None, "c", 1), (5, "a", 1), (5, "d", 1)])
+    model = fit_text(df, "label")
+    got = {r["term"]: (r["df"], {(o["label"]) for o in r["of"]}) for r in model.gains.collect()}
+    assert got == {"a": (2, {"x", "y"}), "b": (2, {"x", "y"}), "c": (4, {"x", "y"}), "d": (2, {"x"})}
+    # id 1: tf a 4, b 2, c 1 for x and y each; id 2: tf c 4, d 2 for x twice; N = 5
+    idf = {t: math.log(6 / (n + 1)) + 1 for t, (n, _) in got.items()}
+    tf = {"x": {"a": 4, "b": 2, "c": 9, "d": 4}, "y": {"a": 4, "b": 2, "c": 1}}
+    total = {k: sum(n * idf[t] for t, n in v.items()) + len(idf) for k, v in tf.items()}
+    prior = {"x": 4 / 5, "y": 1 / 5}
+    texts = {1: {"a": 4, "b": 2, "c": 1}, 2: {"c": 4, "d": 2}, 5: {"a": 1, "d": 1}}
+    for r in classify_text(df, model).collect():
+        score = {k: math.log(prior[k]) + sum(n * idf[t] * math.log((tf[k].get(t, 0) * idf[t] + 1) / total[k]) for t, n in texts.get(r["id"], {}).items()) for k in tf}
+        best = max(score, key=score.get)
+        assert (r["predicted"], round(score[best], 4)) == (best, round(r["score"], 4)), r
