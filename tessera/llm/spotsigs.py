@@ -97,19 +97,35 @@ def _lists(sets: DataFrame, similarity: float) -> DataFrame:
                    .withColumn("part", length_partition(F.col("n"), similarity)))
 
 
+#: Words of 64 bits of a sketch.
+SKETCH_WORDS = 4
+
+
+def _sketch(signatures: Column) -> Column:
+    """(k, w): the number of ``signatures`` and a bit set per signature, at a place its own bits name."""
+    place = lambda s: F.pmod(s, F.lit(64 * SKETCH_WORDS))
+    word = lambda i: F.aggregate(F.filter(signatures, lambda s: F.floor(place(s) / 64) == i), F.lit(0).cast("long"),
+                                 lambda w, s: w.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(s, F.lit(64)))))
+    return F.struct(F.size(signatures).alias("k"), *[word(i).alias(f"w{i}") for i in range(SKETCH_WORDS)])
+
+
 def _posts(lists: DataFrame, block: int) -> DataFrame:
-    """A row per posted signature; ``rest`` counts the listed signatures from it on."""
-    return (lists.select("class", "n", "part", F.size("l").alias("k"),
-                          F.posexplode(F.slice("l", F.lit(1), F.col("take"))).alias("i", "x"))
+    """A row per posted signature; ``rest`` counts the listed signatures from it on, ``sketch`` is of all listed."""
+    sketched = lists.withColumn("sketch", _sketch(F.col("l.s")))
+    return (sketched.select("class", "n", "part", "sketch", F.posexplode(F.slice("l", F.lit(1), F.col("take"))).alias("i", "x"))
              .select("class", "n", "part", "x.s", F.ceil(F.col("x.c") / block).cast("int").alias("blocks"),
-                     (F.col("k") - F.col("i")).alias("rest")))
+                     (F.col("sketch.k") - F.col("i")).alias("rest"), "sketch"))
 
 
 def _can_match(similarity: float) -> Column:
-    """Whether sets of lengths _n and _m that meet with _r and _q listed signatures to go can be alike."""
+    """Whether sets of lengths _n and _m, sketches _x and _y, that meet with _r and _q listed signatures to go
+    can be alike."""
     near = F.least("_n", "_m") / F.greatest("_n", "_m") >= similarity
-    # holds where the two sets meet first: what follows in both lists is all they can share
-    return near & (F.least("_r", "_q") >= (F.col("_n") + F.col("_m")) * (similarity / (1 + similarity)) - 1e-6)
+    least = (F.col("_n") + F.col("_m")) * (similarity / (1 + similarity)) - 1e-6
+    # each bit that only one sketch has stands for a signature, or more, that only one set has
+    apart = sum((F.bit_count(F.col(f"_x.w{i}").bitwiseXOR(F.col(f"_y.w{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
+    # the first holds where the two sets meet first: what follows in both lists is all they can share
+    return near & (F.least("_r", "_q") >= least) & (F.col("_x.k") + F.col("_y.k") - apart >= 2 * least)
 
 
 def matches(df: DataFrame, similarity: float = 0.8, set_col: str = "signatures",
@@ -128,12 +144,12 @@ def matches(df: DataFrame, similarity: float = 0.8, set_col: str = "signatures",
     sets = _classes(df, similarity, set_col)
     lists = _lists(sets, similarity)
     posts = _posts(lists, block)
-    own = posts.select(F.col("class").alias("a"), F.col("n").alias("_n"), F.col("rest").alias("_r"), "part", "s",
+    own = posts.select(F.col("class").alias("a"), F.col("n").alias("_n"), F.col("rest").alias("_r"), F.col("sketch").alias("_x"), "part", "s",
                        F.pmod("class", F.col("blocks").cast("long")).cast("int").alias("block"))
     other = (posts.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select(F.col("class").alias("b"), F.col("n").alias("_m"), F.col("rest").alias("_q"), "s", "block", F.explode(F.array(
+             .select(F.col("class").alias("b"), F.col("n").alias("_m"), F.col("rest").alias("_q"), F.col("sketch").alias("_y"), "s", "block", F.explode(F.array(
                  F.struct("part", F.lit(True).alias("own")), F.struct((F.col("part") + 1).alias("part"), F.lit(False).alias("own")))).alias("_p"))
-             .select("b", "_m", "_q", "s", "block", "_p.part", "_p.own"))
+             .select("b", "_m", "_q", "_y", "s", "block", "_p.part", "_p.own"))
     met = (own.join(other, ["part", "s", "block"]).filter(_can_match(similarity) & (~F.col("own") | (F.col("a") > F.col("b"))))
            .select("a", "b").distinct())
     return sets, _verified(met, lists, similarity)
@@ -154,21 +170,22 @@ def class_components(df: DataFrame, similarity: float = 0.8, set_col: str = "sig
     with the smallest one; classes without a match may be left out.  ``df`` is read several times.
 
     The posting lists are those of ``matches``, without its pairs, since a pair within a
-    component would change nothing.  In each turn a class of the largest component in a list,
+    component would change nothing; sets that meet are compared if their sketches (bits of their
+    signatures) leave room for the similarity.  In each turn a class of the largest component in a list,
     drawn by list and turn, is compared with the classes of the list in other components.  Turns end when the
     lists hold at most ``tests`` pairs of different components a posting, or when a turn rids them
     of less than a tenth of these; then these pairs are compared, each once.  How many turns there are changes the
     work alone.  Lists of more than ``block`` classes are split as in ``matches``."""
     lists = _lists(_classes(df, similarity, set_col), similarity)
-    posts = pinned(_posts(lists, 1).select("class", "n", "s", "rest", F.explode(F.array(
+    posts = pinned(_posts(lists, 1).select("class", "n", "s", "rest", "sketch", F.explode(F.array(
         F.struct("part", F.lit(True).alias("own")), F.struct((F.col("part") + 1).alias("part"), F.lit(False).alias("own")))).alias("p"))
-        .select("class", "n", "s", "rest", "p.part", "p.own"))
+        .select("class", "n", "s", "rest", "sketch", "p.part", "p.own"))
     total, edges, before, turn = posts.count(), None, None, 0
     rooted = posts.withColumn("root", F.col("class"))
     while True:
         by_root = rooted.groupBy("part", "s", "root").agg(
             F.count(F.lit(1)).alias("c"), F.max("own").alias("own"),
-            F.min(F.struct(F.xxhash64("class", "s", F.lit(turn)).alias("h"), "class", "root", "n", "rest", "own")).alias("b"))
+            F.min(F.struct(F.xxhash64("class", "s", F.lit(turn)).alias("h"), "class", "root", "n", "rest", "own", "sketch")).alias("b"))
         mixed = pinned(by_root.groupBy("part", "s").agg(
             F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count(F.lit(1)).alias("roots"),
             F.max("own").alias("own"), F.max_by("b", F.struct("c", "b.h")).alias("b"))
@@ -177,8 +194,8 @@ def class_components(df: DataFrame, similarity: float = 0.8, set_col: str = "sig
         if apart <= tests * total or (before is not None and 10 * apart > 9 * before):
             break
         centre = mixed.select("part", "s", "c", F.col("b.class").alias("b"), F.col("b.root").alias("_rb"),
-                              F.col("b.n").alias("_m"), F.col("b.rest").alias("_q"), F.col("b.own").alias("_own"))
-        stars = (skew_join(rooted.withColumnsRenamed({"class": "a", "n": "_n", "rest": "_r", "root": "_ra"}), centre,
+                              F.col("b.n").alias("_m"), F.col("b.rest").alias("_q"), F.col("b.own").alias("_own"), F.col("b.sketch").alias("_y"))
+        stars = (skew_join(rooted.withColumnsRenamed({"class": "a", "n": "_n", "rest": "_r", "root": "_ra", "sketch": "_x"}), centre,
                            ["part", "s"], "c", total)
                  .filter((F.col("_ra") != F.col("_rb")) & _can_match(similarity) & (F.col("own") | F.col("_own")))
                  .select("a", "b").distinct())
@@ -190,9 +207,9 @@ def class_components(df: DataFrame, similarity: float = 0.8, set_col: str = "sig
     left = skew_join(rooted, mixed.select("part", "s", F.ceil(F.col("c") / block).cast("int").alias("blocks"), "c"),
                      ["part", "s"], "c", total)
     own = left.filter("own").select("part", "s", F.col("class").alias("a"), F.col("root").alias("_ra"), F.col("n").alias("_n"),
-                                    F.col("rest").alias("_r"), F.pmod("class", F.col("blocks").cast("long")).cast("int").alias("block"))
+                                    F.col("rest").alias("_r"), F.col("sketch").alias("_x"), F.pmod("class", F.col("blocks").cast("long")).cast("int").alias("block"))
     other = left.select("part", "s", F.col("class").alias("b"), F.col("root").alias("_rb"), F.col("n").alias("_m"), F.col("rest").alias("_q"),
-                        "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+                        F.col("sketch").alias("_y"), "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     pairs = (own.join(other, ["part", "s", "block"])
              .filter((F.col("_ra") != F.col("_rb")) & _can_match(similarity) & (~F.col("own") | (F.col("a") > F.col("b"))))
              .select("a", "b").distinct())

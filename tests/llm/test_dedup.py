@@ -290,3 +290,30 @@ def test_query_digests(spark):
     want, _ = brute(docs, 3, 85)
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == sorted(want)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
+
+
+def test_sets_that_meet_are_compared_only_where_sketches_leave_room(spark, monkeypatch):
+    """Many sets of one family, most of them too unlike: the components hold, with few comparisons."""
+    import random
+    from tessera.llm import spotsigs as S
+    rng = random.Random(3)
+    family = [rng.randrange(-2 ** 31, 2 ** 31) for _ in range(50)]
+    sets = [sorted(rng.sample(family, 40)) for _ in range(60)]
+    sets += [sorted(set(x[:-1]) | {rng.randrange(-2 ** 31, 2 ** 31)}) for x in sets[:20]]
+    df = spark.createDataFrame([(x,) for x in sets], "signatures array<int>")
+    key = [r.c for r in df.select(S.signature_class(df.signatures).alias("c")).collect()]
+    alike = {(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(set(sets[i]) & set(sets[j])) >= 4 * len(set(sets[i]) | set(sets[j]))}
+    pairs = {(max(key[i], key[j]), min(key[i], key[j])) for i, j in alike}
+    compared, verified = [], S._verified
+
+    def counted(met, lists, similarity):
+        compared.append(met.count())
+        return verified(met, lists, similarity)
+    monkeypatch.setattr(S, "_verified", counted)
+    assert {(r.a, r.b) for r in S.matches(df, 0.8)[1].collect()} == pairs
+    assert len(pairs) == 22 and 22 <= compared[0] < 200
+    root = {k: k for p in pairs for k in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {r.node: r.root for r in S.class_components(df, 0.8).collect()} == root
