@@ -150,3 +150,79 @@ def test_stream_reports_meet_by_slices_of_time(spark):
     assert Counter((r.tic, r.ts, r.n) for r in got.collect()) == want
     join = next(x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in x)
     assert "_slice" in join and "_in" in join
+
+
+def _drain_reports(spark, steps, **more):
+    """``stream_reports`` over the landed (bars, reports) of each step, drained after each; its folder."""
+    land, path = ST.scratch(spark, "t-land"), ST.scratch(spark, "t-reports")
+    bars, reports = "tic string, ts timestamp_ntz, n int", "tic string, published timestamp_ntz, rep int"
+    for k, (b, r) in enumerate(steps):
+        spark.createDataFrame(b, bars).repartition(2).write.parquet(f"{land}/bars{k}.parquet")
+        spark.createDataFrame(r, reports).repartition(2).write.parquet(f"{land}/reps{k}.parquet")
+        ST.run_available_now(ST.stream_reports(ST.file_stream(spark, land, "bars", bars), ST.file_stream(spark, land, "reps", reports), **more), path)
+    return path
+
+
+def test_stream_reports_take_space_by_rows_and_not_by_pairs(spark):
+    """300 bars after 200 reports of their hour are 60,000 pairs; stored are the bars and the reports."""
+    from datetime import datetime, timedelta
+    t = datetime(2024, 1, 1)
+    bars = [("A", t + timedelta(minutes=40, seconds=i), i) for i in range(300)]
+    reports = [("A", t + timedelta(seconds=5 * i), i) for i in range(200)]
+    path = _drain_reports(spark, [(bars, reports)], packed=True)
+    packs = spark.read.parquet(path + "/out")
+    assert packs.agg(F.sum(F.size("bars")) + F.sum(F.size("reports"))).first()[0] == 500
+    got = ST.unpack_reports(packs)
+    assert got.columns == ["tic", "ts", "n", "published", "rep"]
+    assert got.select("n", "rep").distinct().count() == got.count() == 60000
+    assert not os.path.exists(path.replace("file:", "") + "/work")
+
+
+def test_stream_reports_over_batches_packed_or_not(spark, monkeypatch):
+    """Late, early, repeated and null rows over batches, in packs of three; state holds what is newer
+    than the watermark."""
+    import random
+    from collections import Counter
+    from datetime import datetime, timedelta
+
+    monkeypatch.setattr(ST, "PACK_ROWS", 3)
+    rng, t, n = random.Random(7), datetime(2024, 1, 1), 0
+    steps, hour = [], timedelta(hours=1)
+    for k in range(4):
+        at = lambda: t + timedelta(minutes=rng.randrange(max(0, 300 * k - 400), 300 * k + 300))
+        bars = [(rng.choice(["A", "A", "B", "C", None]), rng.choice([at(), at(), at(), None]), n + i) for i in range(120)]
+        reports = [(rng.choice(["A", "A", "B", None]), rng.choice([at(), at(), at(), None]), n + i) for i in range(90)]
+        steps.append((bars + bars[:2], reports + reports[:2]))
+        n += 200
+    want, passed, held, open_bars, seen = Counter(), None, [], [], [[], []]
+    for bars, reports in steps:
+        bars, reports = ([x for x in rows if x[1] and (passed is None or x[1] > passed)] for rows in (bars, reports))
+        open_bars += [[b, False] for b in bars]
+        held += reports
+        new = {id(x) for x in reports}
+        for pair in open_bars:
+            fresh = any(pair[0] is b for b in bars)
+            for r in held:
+                if pair[0][0] and r[0] == pair[0][0] and r[1] <= pair[0][1] <= r[1] + hour:
+                    if fresh or id(r) in new:
+                        want[pair[0][2], r[2]] += 1
+                    pair[1] = True
+        for s, rows in zip(seen, (bars, reports)):
+            s += [x[1] for x in rows]
+        newest = min(max(seen[0]) - timedelta(minutes=10), max(seen[1]) - timedelta(hours=2))
+        passed = newest if passed is None else max(passed, newest)
+        for b, met in (x for x in open_bars if x[0][1] <= passed):
+            want[b[2], None] += not met
+        open_bars = [x for x in open_bars if x[0][1] > passed]
+    want = +want
+    path = _drain_reports(spark, steps, packed=True)
+    got = ST.unpack_reports(spark.read.parquet(path + "/out"))
+    assert Counter((r.n, r.rep) for r in got.collect()) == want
+    assert sum(v for (_, r), v in want.items() if r is None) > 50 and sum(v for (_, r), v in want.items() if r is not None) > 200
+    plain = spark.read.parquet(_drain_reports(spark, steps) + "/out").drop("batch_id")
+    assert plain.columns == got.columns and plain.exceptAll(got).count() == got.exceptAll(plain).count() == 0
+    left = sorted(int(d) for d in os.listdir(path.replace("file:", "") + "/state"))
+    rows = spark.read.parquet(f"{path}/state/{left[-1]}/rows")
+    assert left == [2, 3]
+    assert rows.filter("bar IS NOT NULL").count() == len(open_bars)
+    assert rows.filter(F.col("report").isNotNull()).agg(F.min("report.published")).first()[0] > passed - hour
